@@ -273,3 +273,48 @@ def education_rank(clean: DataFrame) -> DataFrame:
         "prevalence_rank",
         F.rank().over(Window.orderBy(F.desc_nulls_first("_rate"))).cast("bigint"))
     return ranked.orderBy(F.desc_nulls_first("adhd_prevalence_pct")).drop("_rate")
+
+
+def severity_quartile(clean: DataFrame, k: int = 4) -> DataFrame:
+    """Pediatric rows with their severity quartile within the diagnosis (``NTILE``),
+    ordered by severity (NULL last) and then ``id`` so tied scores split the same way
+    every time. Exact and spread over (diagnosis, score, id-range) buckets."""
+    from strata.operators.windows import ntile
+    ped = clean.where(_pediatric()).select("id", "Diagnosis_Label", "Total_Severity")
+    return ntile(ped, k, ["Diagnosis_Label"], "Total_Severity", "id", name="severity_quartile")
+
+
+def severity_rank_outliers(clean: DataFrame, top: int = 5, z_limit: float = S.OUTLIER_Z) -> DataFrame:
+    """Pediatric patients ranked by severity within their diagnosis class (highest
+    first, gaps on ties), with the z-score against the class mean and sd; keeps the
+    top ``top`` ranks and every ``|z| > z_limit`` outlier.
+
+    Rank, z and the outlier flag depend only on (class, score), so they are computed on
+    the (class, score) histogram. Class statistics and the histogram come from one
+    grouping-sets aggregate (one scan, one shuffle of partial aggregates); the
+    qualifying (class, score) pairs are then joined back to the rows.
+    """
+    from strata.functions.scores import outlier_label, zscore
+    from strata.operators.joins import join_small
+    cols = ["id", "Age", "Gender", "Diagnosis_Label", "Total_Severity", "Hyperactivity_Index",
+            "Inattention_Index", "Sleep_Hours", "Daily_Phone_Usage_Hours", "Anxiety_Depression_Levels"]
+    ped = clean.where(_pediatric() & F.col("Diagnosis_Class").isNotNull())
+    keys = ["Diagnosis_Class", "Diagnosis_Label"]
+    both = ped.groupingSets([keys + ["Total_Severity"], keys], *keys, "Total_Severity").agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"),
+        F.avg("Total_Severity").alias("mean_sev"), F.stddev_samp("Total_Severity").alias("std_sev"))
+    stats = both.where(F.col("gid") == 1).select("Diagnosis_Class", "mean_sev", "std_sev")
+    hist = both.where(F.col("gid") == 0).select("Diagnosis_Class", "Total_Severity", "n")
+    before = (Window.partitionBy("Diagnosis_Class").orderBy(F.desc_nulls_first("Total_Severity"))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    ranked = hist.withColumn("severity_rank",
+                             (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).cast("bigint"))
+    z = zscore("Total_Severity", "mean_sev", "std_sev")
+    pairs = (ranked.join(stats, "Diagnosis_Class")
+             .select("Diagnosis_Class", "Total_Severity", "severity_rank",
+                     F.round(z, 2).alias("z_score"), outlier_label(z, z_limit).alias("outlier_flag"))
+             .where((F.col("severity_rank") <= top) | (F.col("outlier_flag") == "Outlier")))
+    rows = ped.select("Diagnosis_Class", *cols)
+    out = join_small(rows, pairs, ["Diagnosis_Class", "Total_Severity"], null_safe=True)
+    return (out.orderBy(_asc("Diagnosis_Label"), _asc("severity_rank"))
+            .select(*cols, "severity_rank", "z_score", "outlier_flag"))

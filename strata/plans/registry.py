@@ -26,8 +26,8 @@ def _clean(spark: SparkSession, sf_dir: str, edge: bool = False) -> DataFrame:
     return clean(_raw(spark, sf_dir, edge))
 
 
-def _on_clean(fn) -> Query:
-    return lambda spark, sf_dir: fn(_clean(spark, sf_dir))
+def _on_clean(fn, edge: bool = False) -> Query:
+    return lambda spark, sf_dir: fn(_clean(spark, sf_dir, edge))
 
 
 REGISTRY: dict[str, Query] = {
@@ -47,8 +47,26 @@ REGISTRY: dict[str, Query] = {
     "gender_prevalence": _on_clean(Q.gender_prevalence),
     "gender_gap": _on_clean(Q.gender_gap),
     "education_rank": _on_clean(Q.education_rank),
+    "severity_quartile": _on_clean(Q.severity_quartile),
+    "severity_rank_outliers": _on_clean(Q.severity_rank_outliers),
+    "clean_rows": _on_clean(lambda c: c),
 }
 
+# The same queries on the edge variant of the cohort (NULL and gap rules).
+_EDGE = {
+    "clean_rows": lambda c: c,
+    "cohort_overview": Q.cohort_overview,
+    "life_stage_overview": Q.life_stage_overview,
+    "diagnosis_distribution": Q.diagnosis_distribution,
+    "executive_summary": Q.executive_summary,
+    "severity_quartile": Q.severity_quartile,
+    "severity_rank_outliers": Q.severity_rank_outliers,
+    "sleep_buckets": Q.sleep_buckets,
+}
+REGISTRY.update({f"{k}_edge": _on_clean(fn, edge=True) for k, fn in _EDGE.items()})
+REGISTRY["prevalence_by_age_rolling_edge"] = (
+    lambda spark, d: Q.prevalence_by_age_rolling(_raw(spark, d, edge=True)))
+
 
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
