@@ -61,10 +61,11 @@ def quantile_cut(df: DataFrame, col: str, probs=tuple(S.RISK_QUANTILES),
            else F.percentile_approx(col, list(probs), accuracy).cast("array<double>"))
     cuts = df.select(agg.alias("q")).scalar()
     x = F.col(col)
-    # number of cut-offs strictly below x = index of the bucket (one subquery reference)
-    idx = F.size(F.filter(cuts, lambda q: x > q))
-    label = F.element_at(F.array(*[F.lit(s) for s in labels]), idx + 1)
-    return df.withColumn(name, F.when(x.isNull(), F.lit(labels[-1])).otherwise(label))
+    # the repeated subquery is planned once (ReusedSubquery in the executed plan)
+    expr = F.when(x.isNull(), F.lit(labels[-1]))
+    for i, lab in enumerate(labels[:-1]):
+        expr = expr.when(x <= cuts[i], F.lit(lab))
+    return df.withColumn(name, expr.otherwise(F.lit(labels[-1])))
 
 
 def features(raw: DataFrame, missing: str = "skip", with_quantile_risk: bool = True) -> DataFrame:

@@ -122,7 +122,7 @@ def midrank_sums(long: DataFrame, by: Sequence[str], group: str, value: str = "v
                  value_buckets: int = 1024) -> DataFrame:
     """For each ``by`` key (e.g. variable): per group the count ``n`` and the sum of the
     mid-ranks ``rank_sum`` of its values among all non-NULL values of that key, plus the
-    tie term ``sum(t^3 - t)`` over tied blocks (``ties``) and the total ``N``.
+    tie term ``sum(t^3 - t)`` over tied blocks (``ties``) and the total ``n_total``.
 
     Works on the value histogram only: ``(by, value, group) -> c``, ``(by, value) -> t``;
     the rows below each value come from a bucketed prefix sum over the histogram
@@ -144,7 +144,7 @@ def midrank_sums(long: DataFrame, by: Sequence[str], group: str, value: str = "v
     # mid-rank of a value = rows below + (t + 1) / 2
     mids = below.withColumn("midrank", F.col("below") + (F.col("t") + 1) / 2.0)
     ties = mids.groupBy(*by).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"),
-                                 F.sum("t").alias("N"))
+                                 F.sum("t").alias("n_total"))
     per_group = (h3.join(mids.select(*by, value, "midrank"), list(by) + [value])
                  .groupBy(*by, group).agg(F.sum("c").alias("n"),
                                           F.sum(F.col("c") * F.col("midrank")).alias("rank_sum")))

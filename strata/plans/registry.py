@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.operators.clean import clean
+from strata.operators.clean import clean, features
+from strata.plans import notebook as NB
 from strata.plans import queries as Q
 from strata.sources.cohort import patients_raw
 
@@ -68,10 +69,41 @@ REGISTRY["prevalence_by_age_rolling_edge"] = (
     lambda spark, d: Q.prevalence_by_age_rolling(_raw(spark, d, edge=True)))
 
 
+def _on_raw(fn, edge: bool = False) -> Query:
+    return lambda spark, sf_dir: fn(_raw(spark, sf_dir, edge))
+
+
+def _on_features(fn, edge: bool = False) -> Query:
+    return lambda spark, sf_dir: fn(features(_raw(spark, sf_dir, edge)))
+
+
+_NB_RAW = ["dataset_profile", "feature_rows", "diagnosis_value_counts", "dominant_subtype",
+           "rate_by_age", "peak_age", "gender_diagnosis_counts", "family_history_row_pct",
+           "correlations", "correlations_lower", "correlations_with_diagnosis", "age_histogram",
+           "diagnosis_bars"]
+_NB_FEATURES = ["risk_category_counts", "severity_class_counts", "severity_diagnosis_counts",
+                "group_stats_table", "describe_indices", "risk_score_histograms", "lifestyle_boxes",
+                "error_bars", "anova_severity", "anova_group_lines", "kruskal_lifestyle",
+                "chi_square_family", "contingency_family",
+                # with p-values: checked by rows only
+                "anova_severity_test", "kruskal_lifestyle_test", "chi_square_family_test"]
+REGISTRY.update({k: _on_raw(getattr(NB, k)) for k in _NB_RAW})
+REGISTRY.update({k: _on_features(getattr(NB, k)) for k in _NB_FEATURES})
+REGISTRY.update({
+    "dataset_profile_edge": _on_raw(NB.dataset_profile, edge=True),
+    "feature_rows_edge": _on_raw(NB.feature_rows, edge=True),
+    "rate_by_age_edge": _on_raw(NB.rate_by_age, edge=True),
+    "kruskal_lifestyle_edge": _on_features(NB.kruskal_lifestyle, edge=True),
+    "lifestyle_boxes_edge": _on_features(NB.lifestyle_boxes, edge=True),
+})
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
     from strata.plans.oracle import QUERIES
-    return {k: v for k, v in QUERIES.items() if k in REGISTRY}
+    from strata.plans.oracle_notebook import NB_QUERIES
+    both = {**QUERIES, **NB_QUERIES}
+    return {k: v for k, v in both.items() if k in REGISTRY}
