@@ -283,3 +283,25 @@ FROM e"""
 NB_QUERIES: dict[str, str] = {k: with_features(v) for k, v in B.items()}
 NB_EDGE_KEYS = ["dataset_profile", "feature_rows", "rate_by_age", "kruskal_lifestyle", "lifestyle_boxes"]
 NB_QUERIES.update({f"{k}_edge": with_features(B[k], edge=True) for k in NB_EDGE_KEYS})
+
+_FEATS = ["Age", "Gender", "Sleep_Hours", "Daily_Phone_Usage_Hours", "Daily_Walking_Running_Hours",
+          "Daily_Activity_Hours", "Daily_Coffee_Tea_Consumption", "Anxiety_Depression_Levels",
+          "Focus_Score_Video", "Learning_Difficulties", "Difficulty_Organizing_Tasks", "Hyperactivity_Index",
+          "Inattention_Index", "Total_Severity", "HI_Dominance_Ratio", "Score_Imbalance", "Risk_Score",
+          "Sleep_Risk", "High_Screen", "Anxiety_Risk", "Low_Activity", "Family_History_Enc"]
+_RANKED = """
+, mf AS (SELECT id, Diagnosis_Class AS class FROM features
+         WHERE Diagnosis_Class IS NOT NULL AND """ + " AND ".join(f"{c} IS NOT NULL" for c in _FEATS) + """),
+ranked AS (SELECT id, class,
+  ROW_NUMBER() OVER (PARTITION BY class ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) AS rn,
+  COUNT(*) OVER (PARTITION BY class) AS class_n FROM mf)"""
+_PART = "CASE WHEN rn <= ROUND(class_n * 0.2) THEN 'test' ELSE 'train' END"
+
+MODEL_B = {
+    "split_assignment": _RANKED + f"\nSELECT id, class, {_PART} AS part FROM ranked",
+    "split_report": _RANKED + f"\nSELECT {_PART} AS part, class, COUNT(*) AS n FROM ranked GROUP BY 1, 2",
+    "fold_assignment": _RANKED + "\nSELECT id, class, CAST((rn - 1) % 5 AS INT) AS fold FROM ranked",
+    "fold_sizes": _RANKED + "\nSELECT CAST((rn - 1) % 5 AS INT) AS fold, class, COUNT(*) AS n FROM ranked GROUP BY 1, 2",
+}
+NB_QUERIES.update({k: with_features(v) for k, v in MODEL_B.items()})
+NB_QUERIES["split_report_edge"] = with_features(MODEL_B["split_report"], edge=True)

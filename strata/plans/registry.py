@@ -98,6 +98,18 @@ REGISTRY.update({
 })
 
 
+from strata.plans import findings as FI  # noqa: E402
+from strata.plans import models as MD  # noqa: E402
+
+REGISTRY.update({k: _on_raw(getattr(MD, k)) for k in
+                 ["split_assignment", "split_report", "fold_assignment", "fold_sizes"]})
+REGISTRY["split_report_edge"] = _on_raw(MD.split_report, edge=True)
+# model reports: fitted with the analysed workload's settings; checked by rows only
+REGISTRY.update({k: _on_raw(getattr(MD, k)) for k in
+                 ["rf_report", "rf_confusion", "rf_importance", "cv_accuracy", "model_comparison"]})
+REGISTRY["key_findings"] = _on_raw(FI.key_findings)
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
