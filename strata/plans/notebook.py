@@ -177,3 +177,11 @@ def contingency_family(feat: DataFrame) -> DataFrame:
                          F.round("expected", 6).alias("expected"))
             .orderBy("Family_History", L.order_key("Diagnosis_Label", S.DX_ORDER)))
 
+
+
+def severity_density(feat: DataFrame) -> DataFrame:
+    return C.density_grid(feat, "Total_Severity", "Diagnosis_Label")
+
+
+def distinct_classes(raw: DataFrame) -> DataFrame:
+    return M.distinct_sorted(raw, "Diagnosis_Class")

@@ -110,12 +110,26 @@ REGISTRY.update({k: _on_raw(getattr(MD, k)) for k in
 REGISTRY["key_findings"] = _on_raw(FI.key_findings)
 
 
+from strata.plans import io_queries as IO  # noqa: E402
+from strata.plans import tables as TB  # noqa: E402
+
+REGISTRY["severity_density"] = _on_features(NB.severity_density)
+REGISTRY["distinct_classes"] = _on_raw(NB.distinct_classes)
+REGISTRY.update({k: getattr(IO, k) for k in
+                 ["enriched_export", "csv_executive_summary", "peek_rows", "id_key_check",
+                  "cleaned_parquet_roundtrip"]})
+REGISTRY.update({k: getattr(TB, k) for k in
+                 ["lineitem_flag_status", "lineitem_price_percentiles", "lineitem_kruskal",
+                  "events_value_boxes", "toxic_by_language"]})
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
 
 def oracle_sql() -> dict[str, str]:
     from strata.plans.oracle import QUERIES
+    from strata.plans.oracle_more import MORE
     from strata.plans.oracle_notebook import NB_QUERIES
-    both = {**QUERIES, **NB_QUERIES}
+    both = {**QUERIES, **NB_QUERIES, **MORE}
     return {k: v for k, v in both.items() if k in REGISTRY}
