@@ -177,24 +177,53 @@ def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
 
 
 def corr_long(df: DataFrame, cols: Sequence[str], digits: int | None = None,
-              lower_only: bool = False) -> DataFrame:
-    """Pairwise Pearson correlations ``(var_x, var_y, corr)`` from one global aggregate.
+              lower_only: bool = False, chunk_size: int = 11) -> DataFrame:
+    """Pairwise Pearson correlations ``(var_x, var_y, corr)`` in one pass over the rows.
 
     Each pair skips rows where either side is NULL (pairwise deletion, like pandas).
-    All pairs are computed in a single pass with partial aggregation; the result has
-    ``len(cols)**2`` rows (or the strict lower triangle ``i > j`` with ``lower_only``).
+    The result has ``len(cols)**2`` rows (or the strict lower triangle ``i > j`` with
+    ``lower_only``); the diagonal is 1.
     """
     n = len(cols)
-    pairs = [(i, j) for i in range(n) for j in range(n) if (i > j if lower_only else True)]
-    exprs = []
-    for i, j in pairs:
-        e = F.lit(1.0) if i == j else F.corr(cols[i], cols[j])
-        if digits is not None:
-            e = F.round(e, digits)
-        exprs.append(e.alias(f"c{i}_{j}"))
-    wide = df.agg(*exprs)
-    stacked = ", ".join(f"'{cols[i]}', '{cols[j]}', c{i}_{j}" for i, j in pairs)
-    return wide.selectExpr(f"stack({len(pairs)}, {stacked}) as (var_x, var_y, corr)")
+    # The matrix is symmetric, so each unordered pair is aggregated once. The pairs are
+    # cut into chunks; every input row is stacked into one row per chunk and one
+    # grouped aggregate of ``chunk_size`` correlations runs per chunk. This keeps the
+    # aggregate small enough for whole-stage codegen (one wide aggregate of all pairs
+    # is not) while expanding each row only ``#pairs / chunk_size`` times; the
+    # expansion feeds the map-side partial aggregate and is never shuffled.
+    pairs = [(i, j) for i in range(n) for j in range(i)]
+    chunks = [pairs[k:k + chunk_size] for k in range(0, len(pairs), chunk_size)]
+    width = max((len(c) for c in chunks), default=0)
+    rows = []
+    for ci, ch in enumerate(chunks):
+        vals = [str(ci)]
+        for s in range(width):
+            if s < len(ch):
+                vals += [f"CAST(`{cols[ch[s][0]]}` AS DOUBLE)", f"CAST(`{cols[ch[s][1]]}` AS DOUBLE)"]
+            else:
+                vals += ["CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"]
+        rows.append(", ".join(vals))
+    names = ["chunk"] + [f"{a}{s}" for s in range(width) for a in ("x", "y")]
+    stacked_rows = df.selectExpr(f"stack({len(chunks)}, {', '.join(rows)}) AS ({', '.join(names)})")
+    per_chunk = stacked_rows.groupBy("chunk").agg(*[F.corr(f"x{s}", f"y{s}").alias(f"c{s}") for s in range(width)])
+    # unpack the (at most a few) chunk rows into matrix cells: each computed pair in
+    # both orientations, and the diagonal (slot -1, attached to chunk 0)
+    entries = []
+    for ci, ch in enumerate(chunks):
+        for s, (i, j) in enumerate(ch):
+            entries += [(ci, s, i, j), (ci, s, j, i)]
+    entries += [(0, -1, d, d) for d in range(n)]
+    entries = [e for e in entries if (e[2] > e[3] if lower_only else True)]
+    slots = ", ".join(f"{a}, {b}, {c}, {d}" for a, b, c, d in entries)
+    pick = F.expr(f"CASE slot WHEN -1 THEN CAST(1.0 AS DOUBLE) "
+                  f"{' '.join(f'WHEN {s} THEN c{s}' for s in range(width))} END")
+    cells = (per_chunk.selectExpr("*", f"stack({len(entries)}, {slots}) AS (k, slot, i, j)")
+             .where("k = chunk").select("i", "j", pick.alias("corr")))
+    if digits is not None:
+        cells = cells.withColumn("corr", F.round("corr", digits))
+    names_arr = F.array(*[F.lit(c) for c in cols])
+    return cells.select(F.element_at(names_arr, F.col("i") + 1).alias("var_x"),
+                        F.element_at(names_arr, F.col("j") + 1).alias("var_y"), "corr")
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str,
