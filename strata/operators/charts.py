@@ -28,8 +28,8 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     empty bins included, NULL values left out. The range is one scalar subquery."""
     src = df.where(F.col(col).isNotNull())
     rng = src.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    lo = rng.select("lo").scalar()
-    hi = rng.select("hi").scalar()
+    bounds = rng.select(F.struct("lo", "hi")).scalar()  # one subquery, referenced twice
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     counts = (src.select(_bin_index(F.col(col).cast("double"), lo, hi, bins).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     frame = rng.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

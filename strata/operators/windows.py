@@ -28,6 +28,21 @@ def _bucket_names(n: int) -> list[str]:
     return [f"__b{i}" for i in range(n)]
 
 
+def _nonnull_keys(df: DataFrame, cols: Sequence[str], prefix: str) -> tuple[DataFrame, list[str]]:
+    """Replace nullable key columns by (value or sentinel, is-null flag) pairs, so plain
+    equi-joins and window partitions on them treat NULL as one group (like GROUP BY)
+    while keeping the hash partitioning of the join usable by the window."""
+    names, exprs = [], {}
+    types = dict(df.dtypes)
+    for i, c in enumerate(cols):
+        k, z = f"{prefix}k{i}", f"{prefix}z{i}"
+        sentinel = F.lit("") if types[c] == "string" else F.lit(0).cast(types[c])
+        exprs[k] = F.coalesce(F.col(c), sentinel)
+        exprs[z] = F.col(c).isNull()
+        names += [k, z]
+    return df.withColumns(exprs), names
+
+
 def bucketed_prefix_sum(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column],
                         buckets: Sequence[Column], name: str, weight: Column | None = None,
                         exclusive: bool = False, total_name: str | None = None) -> DataFrame:
@@ -36,27 +51,36 @@ def bucketed_prefix_sum(df: DataFrame, partition_by: Sequence[str], order_by: Se
     PRECEDING)``. ``exclusive`` leaves the row's own weight out. ``buckets`` must sort
     (ascending, NULLs last) consistently with ``order_by``.
     ``total_name`` adds the group total.
+
+    Plan: the rows are shuffled once, on (group, bucket); the per-bucket offsets are a
+    small aggregate shuffled on the same keys, so the equi-join and the local window
+    share that one partitioning (no broadcast needed, no second shuffle of the rows).
     """
     bnames = _bucket_names(len(buckets))
-    keys = list(partition_by) + bnames
     w_expr = F.lit(1).cast("long") if weight is None else weight
     x = df.withColumns({b: e for b, e in zip(bnames, buckets)}).withColumn("__w", w_expr)
+    x, gkeys = _nonnull_keys(x, list(partition_by), "__g")
+    x, bkeys = _nonnull_keys(x, bnames, "__c")
+    keys = gkeys + bkeys
     counts = x.groupBy(*keys).agg(F.sum("__w").alias("__bw"))
-    before = (Window.partitionBy(*partition_by)
-              .orderBy(*[F.asc_nulls_last(b) for b in bnames])
-              .rowsBetween(Window.unboundedPreceding, -1))
+    border = []
+    for i in range(len(bnames)):
+        border += [F.asc(f"__cz{i}"), F.asc(f"__ck{i}")]  # NULL buckets last
+    before = Window.partitionBy(*gkeys).orderBy(*border).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__start", F.coalesce(F.sum("__bw").over(before), F.lit(0)))
     if total_name:
-        counts = counts.withColumn(total_name, F.sum("__bw").over(Window.partitionBy(*partition_by)))
+        counts = counts.withColumn(total_name, F.sum("__bw").over(Window.partitionBy(*gkeys)))
     counts = counts.drop("__bw")
-    joined = join_small(x, counts, keys, null_safe=True)
+    # pinned to a shuffled join: a runtime switch to broadcast would make the window
+    # shuffle the rows a second time
+    joined = x.join(counts.hint("shuffle_hash"), keys, "inner")
     local_w = (Window.partitionBy(*keys).orderBy(*order_by)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = F.row_number().over(local_w) if weight is None else F.sum("__w").over(local_w)
     out = joined.withColumn(name, F.col("__start") + local)
     if exclusive:
         out = out.withColumn(name, F.col(name) - F.col("__w"))
-    return out.drop("__start", "__w", *bnames)
+    return out.drop("__start", "__w", *bnames, *keys)
 
 
 def exact_row_number(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column],
@@ -80,8 +104,8 @@ def ntile_from_row_number(rn: Column, n: Column, k: int) -> Column:
 def id_range_bucket(id_col: str, df: DataFrame, n_buckets: int = 256) -> Column:
     """Equal-width bucket of an integer key over its observed range (one scalar subquery
     for the bounds). Monotone in the key, so it can refine an order that ends with it."""
-    lo = df.select(F.min(id_col)).scalar()
-    hi = df.select(F.max(id_col)).scalar()
+    rng = df.select(F.struct(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))).scalar()
+    lo, hi = rng.getField("lo"), rng.getField("hi")
     width = F.greatest(F.ceil((hi - lo + 1) / F.lit(n_buckets)), F.lit(1))
     return F.floor((F.col(id_col) - lo) / width).cast("long")
 
