@@ -58,7 +58,7 @@ def kruskal_wallis(df: DataFrame, variables: Sequence[str], group: str, digits:
     variable; ``n`` reports what was used. Output ``(variable, k, n, h_stat)``.
     """
     long = unpivot(df.where(F.col(group).isNotNull()), variables, keep=[group])
-    sums = midrank_sums(long, ["variable"], group, "value", value_buckets)
+    sums = midrank_sums(long, ["variable"], group, "value", value_buckets, by_bound=len(variables))
     per_var = sums.groupBy("variable").agg(
         F.count(F.lit(1)).alias("k"), F.first("n_total").alias("n_total"), F.first("ties").alias("ties"),
         F.sum(F.col("rank_sum") ** 2 / F.col("n")).alias("s"))

@@ -143,7 +143,7 @@ def rank_by_score(df: DataFrame, partition_by: Sequence[str], score: str,
 
 
 def midrank_sums(long: DataFrame, by: Sequence[str], group: str, value: str = "value",
-                 value_buckets: int = 1024) -> DataFrame:
+                 value_buckets: int = 1024, by_bound: int | None = None) -> DataFrame:
     """For each ``by`` key (e.g. variable): per group the count ``n`` and the sum of the
     mid-ranks ``rank_sum`` of its values among all non-NULL values of that key, plus the
     tie term ``sum(t^3 - t)`` over tied blocks (``ties``) and the total ``n_total``.
@@ -156,9 +156,13 @@ def midrank_sums(long: DataFrame, by: Sequence[str], group: str, value: str = "v
     src = long.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     h3 = src.groupBy(*by, value, group).agg(F.count(F.lit(1)).alias("c"))
     h2 = h3.groupBy(*by, value).agg(F.sum("c").alias("t"))
-    # equal-width value buckets per key: bounds per key are a tiny table (one row per key)
+    # equal-width value buckets per key; the bounds table has one row per ``by`` key
     bounds = h2.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    h2b = join_small(h2, bounds, list(by))
+    if by_bound is not None:
+        # the caller proves the size (e.g. one row per listed variable): plain broadcast
+        h2b = h2.join(F.broadcast(bounds), list(by))
+    else:
+        h2b = join_small(h2, bounds, list(by))
     span = F.col("__hi") - F.col("__lo")
     bucket = F.when(span > 0, F.least(F.floor((F.col(value) - F.col("__lo")) * value_buckets / span),
                                       F.lit(value_buckets - 1))).otherwise(F.lit(0)).cast("long")
