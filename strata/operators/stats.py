@@ -90,25 +90,37 @@ def contingency_cells(df: DataFrame, row: str, col: str) -> DataFrame:
     return cells.withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("n"))
 
 
-def chi_square(df: DataFrame, row: str, col: str, digits: int | None = 6) -> DataFrame:
-    """Pearson chi-square test of independence of two labels (no continuity correction):
+def chi_square(df: DataFrame, row: str, col: str, digits: int | None = 6,
+               correction: bool = True) -> DataFrame:
+    """Pearson chi-square test of independence of two labels:
     ``(n, n_rows, n_cols, dof, chi2)``.
 
     An empty cell contributes (0 - e)^2 / e = e, and the expected counts of all cells
     sum to N, so chi2 = sum over observed cells of (o - e)^2 / e + (N - sum of their e):
     only observed cells are aggregated and no product of the margins is built.
+
+    With ``correction`` a 2x2 table (dof 1) gets the continuity correction: every cell of
+    a 2x2 table has the same |o - e| = D, so the corrected statistic is
+    max(D - 1/2, 0)^2 * N * (sum of 1/row totals) * (sum of 1/column totals).
     """
     cells = contingency_cells(df, row, col)
     o, e = F.col("observed").cast("double"), F.col("expected")
+    inv_rows = cells.groupBy(row).agg(F.first("row_total").alias("t")).agg(F.sum(1.0 / F.col("t")).alias("v"))
+    inv_cols = cells.groupBy(col).agg(F.first("col_total").alias("t")).agg(F.sum(1.0 / F.col("t")).alias("v"))
     out = cells.agg(
         F.first("n").alias("n"),
         F.countDistinct(row).alias("n_rows"), F.countDistinct(col).alias("n_cols"),
-        F.sum((o - e) ** 2 / e).alias("s_obs"), F.sum(e).alias("e_obs"))
+        F.sum((o - e) ** 2 / e).alias("s_obs"), F.sum(e).alias("e_obs"),
+        F.max(F.abs(o - e)).alias("d"))
+    dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
+    plain = F.col("s_obs") + (F.col("n") - F.col("e_obs"))
+    yates = (F.greatest(F.col("d") - F.lit(0.5), F.lit(0.0)) ** 2 * F.col("n")
+             * inv_rows.select("v").scalar() * inv_cols.select("v").scalar())
+    stat = F.when(dof == 1, yates).otherwise(plain) if correction else plain
     out = out.select(
         F.col("n").cast("bigint").alias("n"), F.col("n_rows").cast("bigint").alias("n_rows"),
-        F.col("n_cols").cast("bigint").alias("n_cols"),
-        ((F.col("n_rows") - 1) * (F.col("n_cols") - 1)).cast("bigint").alias("dof"),
-        (F.col("s_obs") + (F.col("n") - F.col("e_obs"))).alias("chi2"))
+        F.col("n_cols").cast("bigint").alias("n_cols"), dof.cast("bigint").alias("dof"),
+        stat.alias("chi2"))
     if digits is not None:
         out = out.withColumn("chi2", F.round("chi2", digits))
     return out

@@ -86,3 +86,16 @@ def test_crosstab_zero_fill_and_corr_vs_pandas(spark):
     for a in "xyz":
         for b in "xyz":
             assert abs(got[(a, b)] - exp.loc[a, b]) < 1e-9
+
+
+def test_chi_square_yates_2x2(spark):
+    # a=12, b=5, c=3, d=0 (one empty cell)
+    rows = [("u", "p")] * 12 + [("u", "q")] * 5 + [("v", "p")] * 3
+    df = spark.createDataFrame(rows, "a string, b string")
+    res = ST.chi_square(df, "a", "b", digits=None).collect()[0]
+    obs = np.array([[12.0, 5.0], [3.0, 0.0]])
+    exp = obs.sum(1, keepdims=True) * obs.sum(0, keepdims=True) / obs.sum()
+    adj = np.maximum(np.abs(obs - exp) - 0.5, 0.0)
+    assert res["dof"] == 1 and abs(res["chi2"] - (adj ** 2 / exp).sum()) < 1e-9
+    plain = ST.chi_square(df, "a", "b", digits=None, correction=False).collect()[0]
+    assert abs(plain["chi2"] - ((obs - exp) ** 2 / exp).sum()) < 1e-9
