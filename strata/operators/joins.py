@@ -1,9 +1,9 @@
 """Joining rows to small derived tables (group statistics, histograms, offsets).
 
 The small side is always an aggregate of the big one. It is broadcast only after its
-size has been checked: it is written once as a reliable checkpoint (the cluster's
-``spark.checkpoint.dir``; this also cuts its lineage, so a lost executor does not
-re-run the aggregate) and counted. Over the limit the join is left to the shuffle
+size has been checked: it is written once as Parquet under the cluster's shared
+``spark.checkpoint.dir`` (this also cuts its lineage, so a lost executor does not
+re-run the aggregate) and its rows are counted from the files. Over the limit the join is left to the shuffle
 planner with AQE skew-join splitting, so a hot key is split across tasks instead of
 landing whole on one.
 """
@@ -15,15 +15,23 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from strata.session import ensure_checkpoint_dir
 
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (eager) in the session's checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "mat") -> DataFrame:
+    """Write ``df`` once as Parquet into a fresh folder under the session's shared
+    checkpoint folder and read it back.
+
+    This cuts the lineage like a reliable checkpoint (a lost executor re-reads the files
+    instead of recomputing the input) but computes ``df`` exactly once (an eager RDD
+    checkpoint of an unpersisted plan computes it twice), stores it columnar, and gives
+    the planner the true size of the result."""
+    from strata.sources.sinks import shared_scratch
+    spark = df.sparkSession
+    path = shared_scratch(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
