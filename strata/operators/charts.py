@@ -85,15 +85,23 @@ def box_stats(df: DataFrame, variables: Sequence[str], group: str, whisker: floa
               digits: int | None = None, method: str = "exact") -> DataFrame:
     """Box-plot numbers per (variable, group): quartiles (linear interpolation), whiskers
     at the furthest points inside ``whisker``·IQR of the box, and the outlier count.
+    ``method``: ``'exact'`` (Spark ``percentile``: one value map per group, right for
+    scores with few values), ``'histogram'`` (exact and spread over tasks, for
+    continuous columns), ``'approx'`` (``percentile_approx``).
 
     One pass over the stacked long form computes the quartiles; the per-(variable,
     group) quartile table (bounded by variables x groups) is joined back to place the
     fences, then one more aggregate finds the whiskers and counts outliers.
     """
     long = unpivot(df.where(F.col(group).isNotNull()), variables, keep=[group]).where(F.col("value").isNotNull())
-    q = (F.percentile("value", [0.25, 0.5, 0.75]) if method == "exact"
-         else F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).cast("array<double>"))
-    quart = long.groupBy("variable", group).agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
+    if method == "histogram":
+        # exact, from the value histogram: for continuous columns with many values
+        from strata.operators.windows import histogram_percentiles
+        quart = histogram_percentiles(long, "value", ["variable", group], [0.25, 0.5, 0.75])
+    else:
+        q = (F.percentile("value", [0.25, 0.5, 0.75]) if method == "exact"
+             else F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).cast("array<double>"))
+        quart = long.groupBy("variable", group).agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
     quart = quart.select("variable", group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                          F.col("q")[2].alias("q3"))
     iqr = F.col("q3") - F.col("q1")

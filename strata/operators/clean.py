@@ -52,14 +52,20 @@ def quantile_cut(df: DataFrame, col: str, probs=tuple(S.RISK_QUANTILES),
     ``x <= q[0]`` -> labels[0], ``x <= q[1]`` -> labels[1], ... else the last label.
     The cut-offs are one scalar subquery over the same column: a single global
     aggregate (partial on every task, one tiny merge), shipped to the tasks as a
-    literal, with no join and nothing collected by the caller. ``method='approx'``
-    switches to ``percentile_approx`` for continuous columns with huge cardinality.
+    literal, with no join and nothing collected by the caller. ``method='exact'`` uses
+    Spark's ``percentile`` (one value map, right for scores with few distinct values);
+    ``'histogram'`` is exact and spread over tasks for continuous columns; ``'approx'``
+    uses ``percentile_approx``.
     """
     if len(labels) != len(probs) + 1:
         raise ValueError("need one label more than cut points")
-    agg = (F.percentile(col, list(probs)) if method == "exact"
-           else F.percentile_approx(col, list(probs), accuracy).cast("array<double>"))
-    cuts = df.select(agg.alias("q")).scalar()
+    if method == "histogram":
+        from strata.operators.windows import histogram_percentiles
+        cuts = histogram_percentiles(df, col, [], list(probs)).select("q").scalar()
+    else:
+        agg = (F.percentile(col, list(probs)) if method == "exact"
+               else F.percentile_approx(col, list(probs), accuracy).cast("array<double>"))
+        cuts = df.select(agg.alias("q")).scalar()
     x = F.col(col)
     # the repeated subquery is planned once (ReusedSubquery in the executed plan)
     expr = F.when(x.isNull(), F.lit(labels[-1]))

@@ -177,3 +177,51 @@ def midrank_sums(long: DataFrame, by: Sequence[str], group: str, value: str = "v
                  .groupBy(*by, group).agg(F.sum("c").alias("n"),
                                           F.sum(F.col("c") * F.col("midrank")).alias("rank_sum")))
     return per_group.join(ties, list(by))
+
+
+def histogram_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
+                          value_buckets: int = 1024, name: str = "q") -> DataFrame:
+    """Exact interpolated percentiles (``percentile_cont``) per group, computed from the
+    value histogram: ``(by..., n, q)`` with ``q`` an array in the order of ``probs``.
+
+    Spark's ``percentile`` merges a value->count map per group in one task, which is
+    fine for scores with a few dozen values but not for a continuous column whose hot
+    group has billions of distinct values. Here the histogram's running counts come
+    from the bucketed prefix sum (spread over value buckets), each histogram row is
+    tested against the two target ranks of every probability (generated per row, at
+    most ``len(probs)`` rows), and only the matching rows reach the final aggregate.
+    """
+    src = df.where(F.col(value).isNotNull())
+    hist = src.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__t"))
+    if by:
+        bounds = hist.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+        hb = join_small(hist, bounds, list(by), null_safe=True)
+    else:
+        rng = hist.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+        hb = hist.withColumns({"__lo": rng.getField("lo"), "__hi": rng.getField("hi")})
+    span = F.col("__hi") - F.col("__lo")
+    bucket = F.when(span > 0, F.least(F.floor((F.col(value) - F.col("__lo")) * value_buckets / span),
+                                      F.lit(value_buckets - 1))).otherwise(F.lit(0)).cast("long")
+    hb = hb.withColumn("__vb", bucket).drop("__lo", "__hi")
+    part = list(by) if by else []
+    if not part:
+        hb = hb.withColumn("__all", F.lit(0))
+        part = ["__all"]
+    ranked = bucketed_prefix_sum(hb, part, [F.asc(value)], [F.col("__vb")], name="__below",
+                                 weight=F.col("__t"), exclusive=True, total_name="__n").drop("__vb")
+    pos = F.col("__p") * (F.col("__n") - 1)
+    lo_i, hi_i = F.floor(pos), F.ceil(pos)
+    probes = ranked.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("__k", "__p"))
+    inside = lambda i: (F.col("__below") <= i) & (i < F.col("__below") + F.col("__t"))
+    hits = probes.where(inside(lo_i) | inside(hi_i))
+    per = hits.groupBy(*part, "__k").agg(
+        F.first("__n").alias("n"), F.first("__p").alias("__p"),
+        F.min(F.when(inside(lo_i), F.col(value))).alias("__vlo"),
+        F.max(F.when(inside(hi_i), F.col(value))).alias("__vhi"))
+    pos2 = F.col("__p") * (F.col("n") - 1)
+    interp = F.when(F.floor(pos2) == F.ceil(pos2), F.col("__vlo").cast("double")).otherwise(
+        (F.ceil(pos2) - pos2) * F.col("__vlo") + (pos2 - F.floor(pos2)) * F.col("__vhi"))
+    out = per.withColumn("__v", interp).groupBy(*part).agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("__k", "__v"))).alias("__qs"))
+    out = out.select(*part, "n", F.transform("__qs", lambda s: s["__v"]).alias(name))
+    return out.drop("__all") if part == ["__all"] else out

@@ -88,3 +88,20 @@ def test_result_independent_of_partitioning(spark):
     a = ntile(df.repartition(1), 4, ["g"], "s", "id", name="q").select("id", "q")
     b = ntile(df.repartition(37), 4, ["g"], "s", "id", name="q").select("id", "q")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_histogram_percentiles_match_percentile(spark):
+    from strata.operators.windows import histogram_percentiles
+    df = _skewed(spark, n=2000)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: r for r in histogram_percentiles(df, "v", ["g"], probs, value_buckets=8).collect()}
+    ref = {r["g"]: r for r in df.where(F.col("v").isNotNull()).groupBy("g").agg(
+        F.count("v").alias("n"), F.percentile("v", probs).alias("q")).collect()}
+    assert set(got) == set(ref)
+    for g in ref:
+        assert got[g]["n"] == ref[g]["n"]
+        for a, b in zip(got[g]["q"], ref[g]["q"]):
+            assert abs(a - b) < 1e-12
+    whole = histogram_percentiles(df, "s", [], [0.5, 0.75]).collect()[0]["q"]
+    exp = df.agg(F.percentile("s", [0.5, 0.75])).collect()[0][0]
+    assert all(abs(a - b) < 1e-12 for a, b in zip(whole, exp))
