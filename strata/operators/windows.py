@@ -24,10 +24,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from strata.operators.joins import join_small
 
 
-def _bucket_names(n: int) -> list[str]:
-    return [f"__b{i}" for i in range(n)]
-
-
 def _nonnull_keys(df: DataFrame, cols: Sequence[str], prefix: str) -> tuple[DataFrame, list[str]]:
     """Replace nullable key columns by (value or sentinel, is-null flag) pairs, so plain
     equi-joins and window partitions on them treat NULL as one group (like GROUP BY)
@@ -45,7 +41,8 @@ def _nonnull_keys(df: DataFrame, cols: Sequence[str], prefix: str) -> tuple[Data
 
 def bucketed_prefix_sum(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column],
                         buckets: Sequence[Column], name: str, weight: Column | None = None,
-                        exclusive: bool = False, total_name: str | None = None) -> DataFrame:
+                        exclusive: bool = False, total_name: str | None = None,
+                        offset_buckets: Sequence[Column] | None = None) -> DataFrame:
     """Running sum of ``weight`` (row count if None) within ``partition_by`` in the order
     ``order_by``, as ``SUM(weight) OVER (PARTITION BY p ORDER BY o ROWS UNBOUNDED
     PRECEDING)``. ``exclusive`` leaves the row's own weight out. ``buckets`` must sort
@@ -55,40 +52,74 @@ def bucketed_prefix_sum(df: DataFrame, partition_by: Sequence[str], order_by: Se
     Plan: the rows are shuffled once, on (group, bucket); the per-bucket offsets are a
     small aggregate shuffled on the same keys, so the equi-join and the local window
     share that one partitioning (no broadcast needed, no second shuffle of the rows).
+
+    ``offset_buckets`` (coarser than ``buckets``, same order) computes the offsets of
+    the count table with this same two-level method, for data so large that one
+    group's count table should not sit in one task either.
     """
-    bnames = _bucket_names(len(buckets))
+    depth = sum(1 for c in df.columns if c.startswith("__lvl"))
+    tag = f"__l{depth}"
+    bnames = [f"{tag}b{i}" for i in range(len(buckets))]
     w_expr = F.lit(1).cast("long") if weight is None else weight
-    x = df.withColumns({b: e for b, e in zip(bnames, buckets)}).withColumn("__w", w_expr)
-    x, gkeys = _nonnull_keys(x, list(partition_by), "__g")
-    x, bkeys = _nonnull_keys(x, bnames, "__c")
+    x = df.withColumns({b: e for b, e in zip(bnames, buckets)}).withColumn(f"{tag}w", w_expr)
+    onames = [f"{tag}o{i}" for i in range(len(offset_buckets or []))]
+    if offset_buckets:
+        x = x.withColumns({o: e for o, e in zip(onames, offset_buckets)})
+    x, gkeys = _nonnull_keys(x, list(partition_by), f"{tag}g")
+    x, bkeys = _nonnull_keys(x, bnames, f"{tag}c")
     keys = gkeys + bkeys
-    counts = x.groupBy(*keys).agg(F.sum("__w").alias("__bw"))
+    counts = x.groupBy(*keys, *onames).agg(F.sum(f"{tag}w").alias(f"{tag}bw"))
     border = []
     for i in range(len(bnames)):
-        border += [F.asc(f"__cz{i}"), F.asc(f"__ck{i}")]  # NULL buckets last
-    before = Window.partitionBy(*gkeys).orderBy(*border).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__start", F.coalesce(F.sum("__bw").over(before), F.lit(0)))
-    if total_name:
-        counts = counts.withColumn(total_name, F.sum("__bw").over(Window.partitionBy(*gkeys)))
-    counts = counts.drop("__bw")
+        border += [F.asc(f"{tag}cz{i}"), F.asc(f"{tag}ck{i}")]  # NULL buckets last
+    if offset_buckets:
+        # offsets of the count table, themselves in two levels
+        counts = bucketed_prefix_sum(counts.withColumn(f"__lvl{depth}", F.lit(1)), gkeys, border,
+                                     [F.col(o) for o in onames], name=f"{tag}start",
+                                     weight=F.col(f"{tag}bw"), exclusive=True,
+                                     total_name=total_name).drop(f"__lvl{depth}", *onames)
+    else:
+        before = Window.partitionBy(*gkeys).orderBy(*border).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn(f"{tag}start", F.coalesce(F.sum(f"{tag}bw").over(before), F.lit(0)))
+        if total_name:
+            counts = counts.withColumn(total_name, F.sum(f"{tag}bw").over(Window.partitionBy(*gkeys)))
+    counts = counts.drop(f"{tag}bw")
+    x = x.drop(*onames)
     # pinned to a shuffled join: a runtime switch to broadcast would make the window
     # shuffle the rows a second time
     joined = x.join(counts.hint("shuffle_hash"), keys, "inner")
     local_w = (Window.partitionBy(*keys).orderBy(*order_by)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = F.row_number().over(local_w) if weight is None else F.sum("__w").over(local_w)
-    out = joined.withColumn(name, F.col("__start") + local)
+    local = F.row_number().over(local_w) if weight is None else F.sum(f"{tag}w").over(local_w)
+    out = joined.withColumn(name, F.col(f"{tag}start") + local)
     if exclusive:
-        out = out.withColumn(name, F.col(name) - F.col("__w"))
-    return out.drop("__start", "__w", *bnames, *keys)
+        out = out.withColumn(name, F.col(name) - F.col(f"{tag}w"))
+    return out.drop(f"{tag}start", f"{tag}w", *bnames, *keys)
 
 
 def exact_row_number(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[Column],
                      buckets: Sequence[Column], name: str = "row_number",
-                     total_name: str | None = None) -> DataFrame:
+                     total_name: str | None = None,
+                     offset_buckets: Sequence[Column] | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY p ORDER BY o)`` in the two-level form; the order
     must be total (end it with a unique key)."""
-    return bucketed_prefix_sum(df, partition_by, order_by, buckets, name, total_name=total_name)
+    return bucketed_prefix_sum(df, partition_by, order_by, buckets, name, total_name=total_name,
+                               offset_buckets=offset_buckets)
+
+
+def estimated_rows(df: DataFrame, bytes_per_row: int = 32) -> int:
+    """A planning-time row estimate from the optimizer's size statistics (no job runs).
+    Deliberately generous: sizes of compressed files divided by a small row width."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(1, int(size) // bytes_per_row)
+
+
+def hash_prefix_for(rows: int, rows_per_bucket: int = 1_000_000, minimum: int = 3) -> int:
+    """Hex digits of a uniform hash prefix so that a bucket holds about
+    ``rows_per_bucket`` rows at most (16 buckets per digit)."""
+    import math
+    need = max(1.0, rows / rows_per_bucket)
+    return max(minimum, math.ceil(math.log(need, 16)))
 
 
 def ntile_from_row_number(rn: Column, n: Column, k: int) -> Column:
@@ -111,15 +142,21 @@ def id_range_bucket(id_col: str, df: DataFrame, n_buckets: int = 256) -> Column:
 
 
 def ntile(df: DataFrame, k: int, partition_by: Sequence[str], score: str, id_col: str,
-          name: str = "ntile", id_buckets: int = 256) -> DataFrame:
+          name: str = "ntile", id_buckets: int | None = None) -> DataFrame:
     """``NTILE(k) OVER (PARTITION BY p ORDER BY score NULLS LAST, id)``.
 
     Buckets are (score, id range), so a group whose rows share one score is still spread
-    over ``id_buckets`` tasks.
+    over ``id_buckets`` tasks. By default the id ranges grow with the planner's row
+    estimate (256 .. 65536); past 4096 the count table's offsets are computed per score
+    in two levels as well.
     """
+    if id_buckets is None:
+        id_buckets = int(max(256, min(65536, estimated_rows(df) // 1_000_000)))
     order = [F.asc_nulls_last(score), F.asc(id_col)]
     buckets = [F.col(score), id_range_bucket(id_col, df, id_buckets)]
-    rn = exact_row_number(df, partition_by, order, buckets, name="__rn", total_name="__n")
+    coarse = [F.col(score)] if id_buckets > 4096 else None
+    rn = exact_row_number(df, partition_by, order, buckets, name="__rn", total_name="__n",
+                          offset_buckets=coarse)
     return rn.withColumn(name, ntile_from_row_number(F.col("__rn"), F.col("__n"), k)).drop("__rn", "__n")
 
 

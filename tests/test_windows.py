@@ -105,3 +105,35 @@ def test_histogram_percentiles_match_percentile(spark):
     whole = histogram_percentiles(df, "s", [], [0.5, 0.75]).collect()[0]["q"]
     exp = df.agg(F.percentile("s", [0.5, 0.75])).collect()[0][0]
     assert all(abs(a - b) < 1e-12 for a, b in zip(whole, exp))
+
+
+def test_three_level_row_number(spark):
+    """Offsets of the count table computed in two levels again (huge-data path)."""
+    df = _skewed(spark, n=2500)
+    x = df.withColumn("h", F.md5(F.col("id").cast("string")))
+    got = exact_row_number(x, ["g"], [F.asc("h"), F.asc("id")], [F.substring("h", 1, 3)], name="rn",
+                           total_name="n", offset_buckets=[F.substring("h", 1, 1)])
+    ref = x.withColumn("rn_ref", F.row_number().over(Window.partitionBy("g").orderBy("h", "id")))
+    ref = ref.withColumn("n_ref", F.count(F.lit(1)).over(Window.partitionBy("g")))
+    j = got.join(ref.select("id", "rn_ref", "n_ref"), "id")
+    assert j.count() == df.count()
+    assert j.where((F.col("rn") != F.col("rn_ref")) | (F.col("n") != F.col("n_ref"))).count() == 0
+
+
+def test_split_with_forced_deep_prefix(spark, sf_small):
+    from strata.operators import ml as ML
+    from strata.operators.clean import features
+    from strata.sources.cohort import patients_raw
+    rows = ML.model_frame(features(patients_raw(spark, sf_small)))
+    a = ML.stratified_rows(rows, hash_prefix=3).select("id", "rn")
+    b = ML.stratified_rows(rows, hash_prefix=5).select("id", "rn")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_ntile_many_id_buckets_two_level_offsets(spark):
+    df = _skewed(spark, n=1500)
+    got = ntile(df, 4, ["g"], "s", "id", name="q", id_buckets=5000)
+    w = Window.partitionBy("g").orderBy(F.asc_nulls_last("s"), F.asc("id"))
+    ref = df.withColumn("q_ref", F.ntile(4).over(w))
+    j = got.join(ref.select("id", "q_ref"), "id")
+    assert j.count() == df.count() and j.where(F.col("q") != F.col("q_ref")).count() == 0
