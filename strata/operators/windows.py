@@ -110,7 +110,10 @@ def exact_row_number(df: DataFrame, partition_by: Sequence[str], order_by: Seque
 def estimated_rows(df: DataFrame, bytes_per_row: int = 32) -> int:
     """A planning-time row estimate from the optimizer's size statistics (no job runs).
     Deliberately generous: sizes of compressed files divided by a small row width."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    except Exception:  # noqa: BLE001 - a session without JVM access (e.g. Spark Connect)
+        return 100_000_000
     return max(1, int(size) // bytes_per_row)
 
 

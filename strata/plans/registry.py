@@ -108,13 +108,14 @@ _NB_FEATURES = ["risk_category_counts", "severity_class_counts", "severity_diagn
                 "anova_severity_test", "kruskal_lifestyle_test", "chi_square_family_test"]
 REGISTRY.update({k: _on_raw(getattr(NB, k)) for k in _NB_RAW})
 REGISTRY.update({k: _on_features(getattr(NB, k)) for k in _NB_FEATURES})
-REGISTRY.update({
-    "dataset_profile_edge": _on_raw(NB.dataset_profile, edge=True),
-    "feature_rows_edge": _on_raw(NB.feature_rows, edge=True),
-    "rate_by_age_edge": _on_raw(NB.rate_by_age, edge=True),
-    "kruskal_lifestyle_edge": _on_features(NB.kruskal_lifestyle, edge=True),
-    "lifestyle_boxes_edge": _on_features(NB.lifestyle_boxes, edge=True),
-})
+# the notebook queries on the edge variant (NULL and gap rules of the notebook half)
+REGISTRY.update({f"{k}_edge": _on_raw(getattr(NB, k), edge=True) for k in
+                 ["dataset_profile", "feature_rows", "rate_by_age", "diagnosis_value_counts",
+                  "dominant_subtype", "peak_age", "gender_diagnosis_counts", "family_history_row_pct",
+                  "age_histogram", "correlations_with_diagnosis", "correlations"]})
+REGISTRY.update({f"{k}_edge": _on_features(getattr(NB, k), edge=True) for k in
+                 ["kruskal_lifestyle", "lifestyle_boxes", "group_stats_table", "anova_severity",
+                  "chi_square_family", "describe_indices", "error_bars", "risk_category_counts"]})
 
 
 from strata.plans import findings as FI  # noqa: E402
