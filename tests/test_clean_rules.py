@@ -1,6 +1,5 @@
 """Edge rows with hand-computed expectations (FIXTURES.md §4)."""
 
-from pyspark.sql import functions as F
 
 from strata.operators.clean import clean, features
 from strata.sources import schema as S

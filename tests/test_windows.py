@@ -69,7 +69,6 @@ def test_weighted_prefix_sum_exclusive(spark):
 
 
 def test_midrank_sums_match_pandas(spark):
-    import pandas as pd
     df = _skewed(spark, n=800).where(F.col("g").isNotNull())
     long = df.select("g", F.lit("s").alias("variable"), F.col("s").cast("double").alias("value"))
     got = {r["g"]: r for r in midrank_sums(long, ["variable"], "g", "value", value_buckets=4).collect()}
