@@ -164,14 +164,38 @@ def ntile(df: DataFrame, k: int, partition_by: Sequence[str], score: str, id_col
 
 
 def rank_histogram(df: DataFrame, partition_by: Sequence[str], score: str,
-                   descending: bool = True, name: str = "rank") -> DataFrame:
+                   descending: bool = True, name: str = "rank", value_buckets: int = 1024) -> DataFrame:
     """Histogram ``(group..., score, n)`` with the gap rank of each score in its group:
     1 + number of rows with a better score. NULL scores rank first when descending and
-    last when ascending (the ordering of the analysed SQL dialect)."""
+    last when ascending (the ordering of the analysed SQL dialect).
+
+    The running counts over the histogram use the bucketed prefix sum with equal-width
+    value buckets per group (flipped for descending order), so a continuous score with
+    many distinct values is not ranked on one task per group.
+    """
     hist = df.groupBy(*partition_by, score).agg(F.count(F.lit(1)).alias("n"))
-    o = F.desc_nulls_first(score) if descending else F.asc_nulls_last(score)
-    before = Window.partitionBy(*partition_by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
-    return hist.withColumn(name, (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).cast("bigint"))
+    part = list(partition_by)
+    if part:
+        bounds = hist.groupBy(*part).agg(F.min(score).alias("__rlo"), F.max(score).alias("__rhi"))
+        hb = join_small(hist, bounds, part, null_safe=True)
+    else:
+        rng = hist.select(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"))).scalar()
+        hb = hist.withColumns({"__rlo": rng.getField("lo"), "__rhi": rng.getField("hi"), "__rall": F.lit(0)})
+        part = ["__rall"]
+    span = F.col("__rhi") - F.col("__rlo")
+    raw = F.when(span > 0, F.least(F.floor((F.col(score) - F.col("__rlo")) * value_buckets / span),
+                                   F.lit(value_buckets - 1))).otherwise(F.lit(0)).cast("long")
+    if descending:
+        bucket = F.when(F.col(score).isNull(), F.lit(-1)).otherwise(F.lit(value_buckets - 1) - raw)
+        order = [F.desc_nulls_first(score)]
+    else:
+        bucket = raw  # NULL score -> NULL bucket, which sorts last
+        order = [F.asc_nulls_last(score)]
+    hb = hb.withColumn("__rb", bucket).drop("__rlo", "__rhi")
+    ranked = bucketed_prefix_sum(hb, part, order, [F.col("__rb")], name="__before",
+                                 weight=F.col("n"), exclusive=True)
+    out = ranked.withColumn(name, (F.col("__before") + 1).cast("bigint")).drop("__before", "__rb")
+    return out.drop("__rall") if part == ["__rall"] else out
 
 
 def rank_by_score(df: DataFrame, partition_by: Sequence[str], score: str,

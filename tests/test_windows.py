@@ -136,3 +136,15 @@ def test_ntile_many_id_buckets_two_level_offsets(spark):
     ref = df.withColumn("q_ref", F.ntile(4).over(w))
     j = got.join(ref.select("id", "q_ref"), "id")
     assert j.count() == df.count() and j.where(F.col("q") != F.col("q_ref")).count() == 0
+
+
+def test_rank_ascending_and_continuous(spark):
+    df = _skewed(spark, n=1200)
+    got = rank_by_score(df, ["g"], "v", descending=False, name="r")
+    ref = df.withColumn("r_ref", F.rank().over(Window.partitionBy("g").orderBy(F.asc_nulls_last("v"))))
+    j = got.join(ref.select("id", "r_ref"), "id")
+    assert j.count() == df.count() and j.where(F.col("r") != F.col("r_ref")).count() == 0
+    got2 = rank_by_score(df, [], "s", descending=True, name="r")
+    ref2 = df.withColumn("r_ref", F.rank().over(Window.orderBy(F.desc_nulls_first("s"))))
+    j2 = got2.join(ref2.select("id", "r_ref"), "id")
+    assert j2.count() == df.count() and j2.where(F.col("r") != F.col("r_ref")).count() == 0
