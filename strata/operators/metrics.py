@@ -129,24 +129,38 @@ def crosstab_row_pct(df: DataFrame, row: str, col: str, col_values: Sequence,
 
 def group_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str],
                 stats: Sequence[str] = ("mean", "std", "median"), digits: int | None = 2,
-                drop_null_keys: bool = True) -> DataFrame:
+                drop_null_keys: bool = True, median_method: str = "exact") -> DataFrame:
     """Several statistics of several columns per group in one aggregate, flat names
-    ``<column>_<stat>``. ``std`` is the sample one; ``median`` is exact."""
+    ``<column>_<stat>``. ``std`` is the sample one; ``median`` is exact.
+
+    ``median_method='exact'`` uses Spark's ``median`` (a value map per group: right for
+    scores); ``'histogram'`` computes the medians of all columns from their stacked value
+    histograms (exact, spread over tasks, for continuous columns)."""
     fns = {"mean": F.avg, "std": F.stddev_samp, "median": F.median, "min": F.min,
            "max": F.max, "count": F.count, "sum": F.sum}
     src = df
     if drop_null_keys:
         src = src.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by]))
+    rnd = (lambda e: e) if digits is None else (lambda e: F.round(e, digits))
+    split_median = median_method == "histogram" and "median" in stats
     exprs = []
     for c in cols:
         for s in stats:
+            if s == "median" and split_median:
+                continue
             e = fns[s](c)
             if s not in ("count",):
-                e = e.cast("double")
-                if digits is not None:
-                    e = F.round(e, digits)
+                e = rnd(e.cast("double"))
             exprs.append(e.alias(f"{c}_{s}"))
-    return src.groupBy(*by).agg(*exprs)
+    out = src.groupBy(*by).agg(*exprs)
+    if not split_median:
+        return out.select(*by, *[f"{c}_{s}" for c in cols for s in stats])
+    from strata.operators.windows import histogram_percentiles
+    med = histogram_percentiles(unpivot(src, cols, keep=by), "value", list(by) + ["variable"], [0.5])
+    wide = med.groupBy(*by).pivot("variable", list(cols)).agg(F.first(F.col("q")[0]))
+    wide = wide.select(*by, *[rnd(F.col(c)).alias(f"{c}_median") for c in cols])
+    joined = out.join(wide, list(by), "left")  # both sides: one row per group
+    return joined.select(*by, *[f"{c}_{s}" for c in cols for s in stats])
 
 
 def describe(df: DataFrame, cols: Sequence[str], digits: int | None = 2) -> DataFrame:

@@ -99,3 +99,14 @@ def test_chi_square_yates_2x2(spark):
     assert res["dof"] == 1 and abs(res["chi2"] - (adj ** 2 / exp).sum()) < 1e-9
     plain = ST.chi_square(df, "a", "b", digits=None, correction=False).collect()[0]
     assert abs(plain["chi2"] - ((obs - exp) ** 2 / exp).sum()) < 1e-9
+
+
+def test_group_stats_histogram_median_equals_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(x), float(y)) for g in "abc" for x, y in rng.normal(size=(101, 2)).round(3)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    a = {r["g"]: r for r in M.group_stats(df, ["g"], ["x", "y"], digits=None).collect()}
+    b = {r["g"]: r for r in M.group_stats(df, ["g"], ["x", "y"], digits=None, median_method="histogram").collect()}
+    for g in a:
+        for c in ("x_mean", "x_std", "x_median", "y_median"):
+            assert abs(a[g][c] - b[g][c]) < 1e-12
