@@ -40,7 +40,8 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
             .orderBy("bin"))
 
 
-def histogram_by_group(df: DataFrame, col: str, group: str, bins: int = 30) -> DataFrame:
+def histogram_by_group(df: DataFrame, col: str, group: str, bins: int = 30,
+                       groups_bound: int | None = None) -> DataFrame:
     """Histogram per group, each over the group's own range:
     ``(group, bin, bin_lo, bin_hi, count)`` with empty bins. Groups with a NULL key
     are left out. Per-group ranges are a table of one row per group, joined back
@@ -48,7 +49,8 @@ def histogram_by_group(df: DataFrame, col: str, group: str, bins: int = 30) -> D
     src = df.where(F.col(col).isNotNull() & F.col(group).isNotNull())
     rng = src.groupBy(group).agg(F.min(col).cast("double").alias("lo"),
                                  F.max(col).cast("double").alias("hi"))
-    rows = join_small(src.select(group, F.col(col).cast("double").alias("x")), rng, [group])
+    rows = join_small(src.select(group, F.col(col).cast("double").alias("x")), rng, [group],
+                      proven_rows=groups_bound)
     counts = (rows.select(group, _bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
               .groupBy(group, "bin").agg(F.count(F.lit(1)).alias("count")))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
@@ -82,7 +84,8 @@ def ordered_counts(df: DataFrame, col: str, order: Sequence[str], share_of: str
 
 
 def box_stats(df: DataFrame, variables: Sequence[str], group: str, whisker: float = 1.5,
-              digits: int | None = None, method: str = "exact") -> DataFrame:
+              digits: int | None = None, method: str = "exact",
+              groups_bound: int | None = None) -> DataFrame:
     """Box-plot numbers per (variable, group): quartiles (linear interpolation), whiskers
     at the furthest points inside ``whisker``·IQR of the box, and the outlier count.
     ``method``: ``'exact'`` (Spark ``percentile``: one value map per group, right for
@@ -107,7 +110,9 @@ def box_stats(df: DataFrame, variables: Sequence[str], group: str, whisker: floa
     iqr = F.col("q3") - F.col("q1")
     quart = quart.withColumns({"lo_fence": F.col("q1") - F.lit(whisker) * iqr,
                                "hi_fence": F.col("q3") + F.lit(whisker) * iqr})
-    rows = join_small(long, quart.select("variable", group, "lo_fence", "hi_fence"), ["variable", group])
+    bound = None if groups_bound is None else groups_bound * len(variables)
+    rows = join_small(long, quart.select("variable", group, "lo_fence", "hi_fence"), ["variable", group],
+                      proven_rows=bound)
     inside = F.col("value").between(F.col("lo_fence"), F.col("hi_fence"))
     wh = rows.groupBy("variable", group).agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
@@ -151,7 +156,8 @@ def mean_sd(df: DataFrame, metrics: Sequence[str], group: str, order: Sequence[s
 
 
 def density_grid(df: DataFrame, col: str, group: str, grid: int = 100, cut: float = 2.0,
-                 bw_adjust: float = 1.0, reach: float = 8.0, digits: int | None = 6) -> DataFrame:
+                 bw_adjust: float = 1.0, reach: float = 8.0, digits: int | None = 6,
+                 groups_bound: int | None = None) -> DataFrame:
     """Gaussian kernel density per group on an even grid (violin data):
     ``(group, i, x, density)``.
 
@@ -170,7 +176,7 @@ def density_grid(df: DataFrame, col: str, group: str, grid: int = 100, cut: floa
         "g0": F.col("lo") - F.lit(cut) * F.col("h"),
         "step": (F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("h")) / F.lit(grid - 1)})
     hist = src.groupBy(group, "x").agg(F.count(F.lit(1)).alias("c"))
-    rows = join_small(hist, st.select(group, "n", "h", "g0", "step"), [group])
+    rows = join_small(hist, st.select(group, "n", "h", "g0", "step"), [group], proven_rows=groups_bound)
     first = F.greatest(F.ceil((F.col("x") - F.lit(reach) * F.col("h") - F.col("g0")) / F.col("step")), F.lit(0))
     last = F.least(F.floor((F.col("x") + F.lit(reach) * F.col("h") - F.col("g0")) / F.col("step")), F.lit(grid - 1))
     pts = rows.select(group, "x", "c", "n", "h", "g0", "step",

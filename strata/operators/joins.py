@@ -36,15 +36,20 @@ def materialize(df: DataFrame, name: str = "mat") -> DataFrame:
 
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-               null_safe: bool = False) -> DataFrame:
+               null_safe: bool = False, proven_rows: int | None = None) -> DataFrame:
     """Join ``big`` to an aggregated ``small`` on the columns ``on``.
 
-    ``null_safe`` matches NULL keys to NULL keys (``<=>``); the key columns of
-    ``small`` are then dropped from the result.
+    ``proven_rows``: the caller's proof that ``small`` has at most that many rows (e.g.
+    grouped by a label made from a fixed code list); it is then broadcast directly,
+    without the runtime check. ``null_safe`` matches NULL keys to NULL keys (``<=>``);
+    the key columns of ``small`` are then dropped from the result.
     """
-    small = materialize(small)
-    n = small.count()
-    right = F.broadcast(small) if n <= max_broadcast_rows else small
+    if proven_rows is not None and proven_rows <= max_broadcast_rows:
+        right = F.broadcast(small)
+    else:
+        small = materialize(small)
+        n = small.count()
+        right = F.broadcast(small) if n <= max_broadcast_rows else small
     if not null_safe:
         return big.join(right, list(on), how)
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in small.columns])

@@ -19,6 +19,10 @@ from strata.operators.clean import features
 from strata.sources import schema as S
 
 
+# Diagnosis_Label is a CASE over the fixed code list: at most that many labels plus NULL
+DX_LABELS_BOUND = len(S.DX_ORDER) + 1
+
+
 def with_labels(raw: DataFrame) -> DataFrame:
     """``df_raw`` of the notebook: the file columns plus the two label columns."""
     return raw.select(*S.CSV_SCHEMA.fieldNames(), L.diagnosis_label().alias("Diagnosis_Label"),
@@ -120,7 +124,7 @@ def age_histogram(raw: DataFrame) -> DataFrame:
 
 
 def risk_score_histograms(feat: DataFrame) -> DataFrame:
-    return C.histogram_by_group(feat, "Risk_Score", "Diagnosis_Label", 30)
+    return C.histogram_by_group(feat, "Risk_Score", "Diagnosis_Label", 30, groups_bound=DX_LABELS_BOUND)
 
 
 def diagnosis_bars(raw: DataFrame) -> DataFrame:
@@ -128,7 +132,8 @@ def diagnosis_bars(raw: DataFrame) -> DataFrame:
 
 
 def lifestyle_boxes(feat: DataFrame) -> DataFrame:
-    return C.box_stats(feat, S.LIFESTYLE_VARS + ["HI_Dominance_Ratio"], "Diagnosis_Label")
+    return C.box_stats(feat, S.LIFESTYLE_VARS + ["HI_Dominance_Ratio"], "Diagnosis_Label",
+                       groups_bound=DX_LABELS_BOUND)
 
 
 def error_bars(feat: DataFrame) -> DataFrame:
@@ -180,7 +185,7 @@ def contingency_family(feat: DataFrame) -> DataFrame:
 
 
 def severity_density(feat: DataFrame) -> DataFrame:
-    return C.density_grid(feat, "Total_Severity", "Diagnosis_Label")
+    return C.density_grid(feat, "Total_Severity", "Diagnosis_Label", groups_bound=DX_LABELS_BOUND)
 
 
 def distinct_classes(raw: DataFrame) -> DataFrame:
