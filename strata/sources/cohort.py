@@ -8,6 +8,7 @@ projection: one narrow, pipelined stage, no shuffle, work proportional to ``orde
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from strata.sources import schema as S
 
@@ -17,28 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_questionnaire_csv(spark: SparkSession, path: str, with_id: bool = True,
-                           na_markers: tuple = ("NA", "null", "None")) -> DataFrame:
+                           na_markers: tuple = ("NA", "N/A", "NaN", "null", "None")) -> DataFrame:
     """Header CSV with the fixed 32-column schema; header names are checked, not inferred.
 
-    Blank cells read as NULL (never NaN, which would pass ``NaN > 4`` in Spark). Text
-    cells equal to one of ``na_markers`` also become NULL, as the notebook's reader
-    treats them. ``with_id`` adds a surrogate key that is unique but not dense
+    Cells are read as text under the fixed header, then typed: a blank cell or one of
+    ``na_markers`` becomes NULL in every column (never NaN, which would pass
+    ``NaN > 4`` in Spark), anything else is cast with an ANSI cast, so a value that is
+    neither a number nor a marker fails the load instead of silently turning NULL.
+    ``with_id`` adds a surrogate key that is unique but not dense
     (``monotonically_increasing_id``), computed without a shuffle.
     """
-    df = (spark.read.schema(S.CSV_SCHEMA).option("header", True)
-          .option("enforceSchema", False).option("mode", "FAILFAST")
-          .option("nullValue", "").csv(path))
-    cols = []
-    for f in S.CSV_SCHEMA.fields:
-        c = F.col(f.name)
-        if f.dataType.simpleString() == "string" and na_markers:
-            c = F.when(c.isin(*na_markers), F.lit(None).cast("string")).otherwise(c).alias(f.name)
-        cols.append(c)
+    df = (spark.read.schema(TEXT_SCHEMA).option("header", True).option("enforceSchema", False)
+          .option("mode", "FAILFAST").option("nullValue", "").csv(path))
+    cols = typed_cells(na_markers)
     if with_id:
         cols = [F.monotonically_increasing_id().alias("id")] + cols
     return df.select(*cols)
 
 
+# the file's columns, all as text: cells are typed by ``typed_cells``
+TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType(), True) for f in S.CSV_SCHEMA.fields])
+
+
+def typed_cells(na_markers: tuple = ("NA", "N/A", "NaN", "null", "None")) -> list[Column]:
+    """The 32 file columns typed from text: blank or NA marker -> NULL, else ANSI cast."""
+    cols = []
+    for f in S.CSV_SCHEMA.fields:
+        c = F.trim(F.col(f.name))
+        missing = c.isNull() | (c == "") | c.isin(*na_markers)
+        typed = c if f.dataType == T.StringType() else c.cast(f.dataType)
+        cols.append(F.when(missing, F.lit(None).cast(f.dataType)).otherwise(typed).alias(f.name))
+    return cols
+
+
 def _edge(cond: Column, value, expr: Column) -> Column:
     return F.when(cond, value).otherwise(expr)
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strata.operators.clean import clean
 from strata.plans.queries import executive_summary
-from strata.sources import schema as S
+from strata.sources.cohort import TEXT_SCHEMA, typed_cells
 from strata.sources.sinks import shared_scratch
 
 
@@ -21,9 +21,9 @@ def read_questionnaire_stream(spark: SparkSession, input_dir: str, max_files_per
 
     Streamed rows carry no surrogate key (``id`` is NULL): a position-based id is not
     available to a stream, and the summary never reads the key."""
-    df = (spark.readStream.schema(S.CSV_SCHEMA).option("header", True)
+    df = (spark.readStream.schema(TEXT_SCHEMA).option("header", True)
           .option("maxFilesPerTrigger", max_files_per_trigger).csv(input_dir))
-    return df.select(F.lit(None).cast("long").alias("id"), *S.CSV_SCHEMA.fieldNames())
+    return df.select(F.lit(None).cast("long").alias("id"), *typed_cells())
 
 
 def summary_stream(spark: SparkSession, input_dir: str) -> DataFrame:

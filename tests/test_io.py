@@ -35,6 +35,22 @@ def test_csv_na_markers(spark):
     assert r["Educational_Level"] is None and r["Sleep_Hours"] is None and r["Family_History"] == "Yes"
 
 
+def test_csv_numeric_na_markers_and_bad_values(spark):
+    import pytest
+    header = ",".join(S.CSV_SCHEMA.fieldNames())
+    ok = ["NA", "null", "x", "Yes", "7.5", "None"] + ["1"] * 18 + ["N/A", "1", "1", "0", "1", "1", "0", "2"]
+    bad = ["ten", "1", "x", "Yes", "7.5", "1"] + ["1"] * 18 + ["0", "1", "1", "0", "1", "1", "0", "2"]
+    base = tempfile.mkdtemp(prefix="strata-test-na2-")
+    for name, vals in (("ok", ok), ("bad", bad)):
+        with open(f"{base}/{name}.csv", "w") as fh:
+            fh.write(header + "\n" + ",".join(vals) + "\n")
+    r = read_questionnaire_csv(spark, f"{base}/ok.csv").collect()[0]
+    assert r["Age"] is None and r["Gender"] is None and r["Sleep_Hours"] == 7.5
+    assert r["Daily_Activity_Hours"] is None and r["Diagnosis_Class"] is None and r["Q1_1"] == 1
+    with pytest.raises(Exception):
+        read_questionnaire_csv(spark, f"{base}/bad.csv").collect()
+
+
 def test_key_check(spark, sf_small):
     r = key_check(patients_raw(spark, sf_small), "id").collect()[0]
     assert r["rows"] == r["distinct_keys"] and r["duplicate_keys"] == 0
