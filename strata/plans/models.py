@@ -88,15 +88,18 @@ def compare_models(raw: DataFrame, num_trees: int = S.RF_TREES, gbt_rounds: int
     train, test = _split(raw)
     n_train = train.count()
     results, forest = None, None
-    for name, pipe in [("Random Forest", ML.random_forest(num_trees=num_trees)),
-                       ("Gradient Boosting", ML.gradient_boosting(rounds=gbt_rounds)),
-                       ("Logistic Regression", ML.logistic_regression(n_train))]:
+    for pos, (name, pipe) in enumerate([("Random Forest", ML.random_forest(num_trees=num_trees)),
+                                        ("Gradient Boosting", ML.gradient_boosting(rounds=gbt_rounds)),
+                                        ("Logistic Regression", ML.logistic_regression(n_train))]):
         model, pred = ML.fit_and_score(pipe, train, test)
         forest = model if forest is None else forest
-        acc = materialize(ML.accuracy(pred).select(F.lit(name).alias("model"), "accuracy", "n"))
+        acc = materialize(ML.accuracy(pred).select(F.lit(name).alias("model"), "accuracy", "n",
+                                                   F.lit(pos).alias("_pos")))
         results = acc if results is None else results.unionByName(acc)
-    best = F.row_number().over(Window.orderBy(F.desc("accuracy"), "model")) == 1
-    return results.withColumn("best", best).orderBy(F.desc("accuracy"), "model"), forest
+    # best = highest accuracy; on a tie the first model listed (as max over the list)
+    order = [F.desc("accuracy"), F.asc("_pos")]
+    best = F.row_number().over(Window.orderBy(*order)) == 1
+    return results.withColumn("best", best).orderBy(*order).drop("_pos"), forest
 
 
 def model_comparison(raw: DataFrame, num_trees: int = S.RF_TREES, gbt_rounds: int = S.GBT_ROUNDS) -> DataFrame:

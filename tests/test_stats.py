@@ -110,3 +110,14 @@ def test_group_stats_histogram_median_equals_exact(spark):
     for g in a:
         for c in ("x_mean", "x_std", "x_median", "y_median"):
             assert abs(a[g][c] - b[g][c]) < 1e-12
+
+
+def test_mode_and_value_counts_ties(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("c",), (None,)], "x string")
+    top = M.mode_value(df, "x").collect()[0]
+    assert (top["value"], top["count"]) == ("a", 2)
+    vc = M.value_counts(df, "x", normalize_over="all", digits=None).collect()
+    assert [r["value"] for r in vc] == ["a", "b", "c"]
+    assert abs(vc[0]["share_pct"] - 100 * 2 / 6) < 1e-12
+    vc2 = M.value_counts(df, "x", normalize_over="non_null", digits=None).collect()
+    assert abs(vc2[0]["share_pct"] - 100 * 2 / 5) < 1e-12
