@@ -143,3 +143,13 @@ def test_rank_ties(spark):
                                "id int, g string, s int")
     got = {r["id"]: r["rank"] for r in rank_by_score(df, ["g"], "s").collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 2}
+
+
+def test_stage_counts_include_null_and_sum_to_total(spark, sf_small):
+    from strata.plans.queries import life_stage_overview
+    from strata.sources.cohort import patients_raw
+    c = clean(patients_raw(spark, sf_small, edge=True))
+    rows = life_stage_overview(c).collect()
+    assert any(r["Life_Stage"] is None for r in rows)
+    assert sum(r["patients"] for r in rows) == c.count()
+    assert abs(sum(r["pct_of_total"] for r in rows) - 100) <= 0.05 * len(rows)

@@ -51,3 +51,13 @@ def test_logistic_regression_runs(spark, sf_small):
     train, test = data.where("part = 'train'"), data.where("part = 'test'")
     _, pred = ML.fit_and_score(ML.logistic_regression(train.count(), max_iter=50), train, test)
     assert 0.0 <= ML.accuracy(pred).collect()[0]["accuracy"] <= 1.0
+
+
+def test_forest_is_deterministic_for_a_seed(spark, sf_small):
+    data = ML.stratified_split(_rows(spark, sf_small))
+    train, test = data.where("part = 'train'"), data.where("part = 'test'")
+    _, p1 = ML.fit_and_score(ML.random_forest(num_trees=5, max_depth=4), train, test)
+    _, p2 = ML.fit_and_score(ML.random_forest(num_trees=5, max_depth=4), train, test)
+    a = p1.select("id", "prediction")
+    b = p2.select("id", "prediction")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
