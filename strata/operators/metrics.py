@@ -79,14 +79,14 @@ def value_counts(df: DataFrame, col: str, normalize_over: str = "non_null",
     divides by the non-null total, ``'all'`` by all rows (count / len).
     """
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    # the denominator is one scalar subquery, not a window: the count table of a
+    # high-cardinality column must not be gathered on one task
     if normalize_over == "all":
-        total = F.sum("count").over(Window.partitionBy())
-        counts = counts.withColumn("_all", total)
-        counts = counts.withColumn("share_pct", pct("count", "_all", digits))
-        counts = counts.where(F.col("value").isNotNull()).drop("_all")
+        total = df.agg(F.count(F.lit(1))).scalar()
     else:
-        counts = counts.where(F.col("value").isNotNull())
-        counts = counts.withColumn("share_pct", pct("count", F.sum("count").over(Window.partitionBy()), digits))
+        total = df.agg(F.count(col)).scalar()
+    counts = counts.where(F.col("value").isNotNull())
+    counts = counts.withColumn("share_pct", pct("count", total, digits))
     return counts.orderBy(F.desc("count"), F.asc("value"))
 
 
