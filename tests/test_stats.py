@@ -121,3 +121,23 @@ def test_mode_and_value_counts_ties(spark):
     assert abs(vc[0]["share_pct"] - 100 * 2 / 6) < 1e-12
     vc2 = M.value_counts(df, "x", normalize_over="non_null", digits=None).collect()
     assert abs(vc2[0]["share_pct"] - 100 * 2 / 5) < 1e-12
+
+
+def test_box_outliers_and_quantile_cut_methods(spark):
+    from strata.operators.charts import box_outliers, box_stats
+    from strata.operators.clean import quantile_cut
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.normal(0, 1, 300).round(2), [8.0, -7.5, 9.1]])
+    pdf = pd.DataFrame({"id": range(len(vals)), "g": ["a"] * len(vals), "v": vals})
+    df = spark.createDataFrame(pdf)
+    q1, q3 = np.percentile(vals, [25, 75])
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    exp_ids = set(pdf.id[(pdf.v < lo) | (pdf.v > hi)])
+    got_ids = {r["id"] for r in box_outliers(df, "v", "g", "id").collect()}
+    assert got_ids == exp_ids
+    st = box_stats(df, ["v"], "g").collect()[0]
+    assert st["n_outliers"] == len(exp_ids)
+    assert abs(st["whisker_hi"] - vals[vals <= hi].max()) < 1e-12
+    a = quantile_cut(df, "v", name="c").select("id", "c")
+    b = quantile_cut(df, "v", name="c", method="histogram").select("id", "c")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
