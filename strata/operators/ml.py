@@ -23,7 +23,7 @@ from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembl
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from strata.operators.windows import estimated_rows, exact_row_number, hash_prefix_for
+from strata.operators.windows import bucket_target, exact_row_number, hash_prefix_for
 from strata.sources import schema as S
 
 LABEL = "label"
@@ -47,10 +47,11 @@ def stratified_rows(df: DataFrame, label: str = LABEL, id_col: str = "id", seed:
     """Adds ``rn`` (1-based position of the row in its class, ordered by
     ``md5(id:seed)`` then id) and ``class_n`` (rows in the class).
 
-    Buckets are a prefix of the md5 text, sized from the planner's row estimate so a
-    (class, bucket) window holds about a million rows at most; beyond 4096 buckets the
-    per-class offsets are themselves computed in two levels (3-digit prefix)."""
-    digits = hash_prefix or hash_prefix_for(estimated_rows(df))
+    Buckets are a prefix of the md5 text with about 64 buckets per shuffle partition
+    (at least 4096), so a (class, bucket) window is a small slice of a partition at any
+    size; beyond 4096 buckets the per-class offsets are themselves computed in two
+    levels (3-digit prefix)."""
+    digits = hash_prefix or hash_prefix_for(bucket_target(df.sparkSession))
     h = _hash_order(id_col, seed)
     x = df.withColumn("__h", h)
     coarse = [F.substring("__h", 1, digits - 3)] if digits > 3 else None

@@ -107,22 +107,19 @@ def exact_row_number(df: DataFrame, partition_by: Sequence[str], order_by: Seque
                                offset_buckets=offset_buckets)
 
 
-def estimated_rows(df: DataFrame, bytes_per_row: int = 32) -> int:
-    """A planning-time row estimate from the optimizer's size statistics (no job runs).
-    Deliberately generous: sizes of compressed files divided by a small row width."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    except Exception:  # noqa: BLE001 - a session without JVM access (e.g. Spark Connect)
-        return 100_000_000
-    return max(1, int(size) // bytes_per_row)
-
-
-def hash_prefix_for(rows: int, rows_per_bucket: int = 1_000_000, minimum: int = 3) -> int:
-    """Hex digits of a uniform hash prefix so that a bucket holds about
-    ``rows_per_bucket`` rows at most (16 buckets per digit)."""
+def bucket_target(spark, per_partition: int = 64) -> int:
+    """How many buckets a two-level window should use: ``per_partition`` per shuffle
+    partition. ``spark.sql.shuffle.partitions`` is what a cluster scales with the data
+    (e.g. thousands for 100 TB), so each (group, bucket) window stays a small slice of
+    one partition's rows at any size, without running a job to count rows."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, parts * per_partition)
+
+
+def hash_prefix_for(buckets: int, minimum: int = 3, maximum: int = 8) -> int:
+    """Hex digits of a uniform hash prefix giving at least ``buckets`` buckets."""
     import math
-    need = max(1.0, rows / rows_per_bucket)
-    return max(minimum, math.ceil(math.log(need, 16)))
+    return min(maximum, max(minimum, math.ceil(math.log(max(buckets, 2), 16))))
 
 
 def ntile_from_row_number(rn: Column, n: Column, k: int) -> Column:
@@ -149,12 +146,12 @@ def ntile(df: DataFrame, k: int, partition_by: Sequence[str], score: str, id_col
     """``NTILE(k) OVER (PARTITION BY p ORDER BY score NULLS LAST, id)``.
 
     Buckets are (score, id range), so a group whose rows share one score is still spread
-    over ``id_buckets`` tasks. By default the id ranges grow with the planner's row
-    estimate (256 .. 65536); past 4096 the count table's offsets are computed per score
-    in two levels as well.
+    over ``id_buckets`` tasks. By default the id ranges grow with the session's shuffle
+    partitions (256 .. 65536); past 4096 the count table's offsets are computed per
+    score in two levels as well.
     """
     if id_buckets is None:
-        id_buckets = int(max(256, min(65536, estimated_rows(df) // 1_000_000)))
+        id_buckets = int(max(256, min(65536, bucket_target(df.sparkSession, 8))))
     order = [F.asc_nulls_last(score), F.asc(id_col)]
     buckets = [F.col(score), id_range_bucket(id_col, df, id_buckets)]
     coarse = [F.col(score)] if id_buckets > 4096 else None
