@@ -104,18 +104,21 @@ def chi_square(df: DataFrame, row: str, col: str, digits: int | None = 6,
     max(D - 1/2, 0)^2 * N * (sum of 1/row totals) * (sum of 1/column totals).
     """
     cells = contingency_cells(df, row, col)
+    # cells per row / column, so that sums over cells can form sums over rows / columns
+    cells = (cells.withColumn("row_cells", F.count(F.lit(1)).over(Window.partitionBy(row)))
+             .withColumn("col_cells", F.count(F.lit(1)).over(Window.partitionBy(col))))
     o, e = F.col("observed").cast("double"), F.col("expected")
-    inv_rows = cells.groupBy(row).agg(F.first("row_total").alias("t")).agg(F.sum(1.0 / F.col("t")).alias("v"))
-    inv_cols = cells.groupBy(col).agg(F.first("col_total").alias("t")).agg(F.sum(1.0 / F.col("t")).alias("v"))
     out = cells.agg(
         F.first("n").alias("n"),
         F.countDistinct(row).alias("n_rows"), F.countDistinct(col).alias("n_cols"),
         F.sum((o - e) ** 2 / e).alias("s_obs"), F.sum(e).alias("e_obs"),
-        F.max(F.abs(o - e)).alias("d"))
+        F.max(F.abs(o - e)).alias("d"),
+        F.sum(1.0 / (F.col("row_total") * F.col("row_cells"))).alias("inv_rows"),
+        F.sum(1.0 / (F.col("col_total") * F.col("col_cells"))).alias("inv_cols"))
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
     plain = F.col("s_obs") + (F.col("n") - F.col("e_obs"))
     yates = (F.greatest(F.col("d") - F.lit(0.5), F.lit(0.0)) ** 2 * F.col("n")
-             * inv_rows.select("v").scalar() * inv_cols.select("v").scalar())
+             * F.col("inv_rows") * F.col("inv_cols"))
     stat = F.when(dof == 1, yates).otherwise(plain) if correction else plain
     out = out.select(
         F.col("n").cast("bigint").alias("n"), F.col("n_rows").cast("bigint").alias("n_rows"),
