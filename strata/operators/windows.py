@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strata.operators.joins import join_small
+from strata.operators.joins import join_small, materialize
 
 
 def _nonnull_keys(df: DataFrame, cols: Sequence[str], prefix: str) -> tuple[DataFrame, list[str]]:
@@ -170,7 +170,7 @@ def rank_histogram(df: DataFrame, partition_by: Sequence[str], score: str,
     value buckets per group (flipped for descending order), so a continuous score with
     many distinct values is not ranked on one task per group.
     """
-    hist = df.groupBy(*partition_by, score).agg(F.count(F.lit(1)).alias("n"))
+    hist = materialize(df.groupBy(*partition_by, score).agg(F.count(F.lit(1)).alias("n")), "hist")
     part = list(partition_by)
     if part:
         bounds = hist.groupBy(*part).agg(F.min(score).alias("__rlo"), F.max(score).alias("__rhi"))
@@ -215,7 +215,9 @@ def midrank_sums(long: DataFrame, by: Sequence[str], group: str, value: str = "v
     distinct values is spread over tasks.
     """
     src = long.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    h3 = src.groupBy(*by, value, group).agg(F.count(F.lit(1)).alias("c"))
+    # the one pass over the rows; every later step (bounds, running counts, mid-ranks,
+    # ties, rank sums) reads this histogram, written once, instead of re-scanning
+    h3 = materialize(src.groupBy(*by, value, group).agg(F.count(F.lit(1)).alias("c")), "hist")
     h2 = h3.groupBy(*by, value).agg(F.sum("c").alias("t"))
     # equal-width value buckets per key; the bounds table has one row per ``by`` key
     bounds = h2.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
@@ -253,7 +255,8 @@ def histogram_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: S
     most ``len(probs)`` rows), and only the matching rows reach the final aggregate.
     """
     src = df.where(F.col(value).isNotNull())
-    hist = src.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__t"))
+    # one pass over the rows; bounds, running counts and probes read the written histogram
+    hist = materialize(src.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__t")), "hist")
     if by:
         bounds = hist.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
         hb = join_small(hist, bounds, list(by), null_safe=True)

@@ -295,7 +295,7 @@ def severity_rank_outliers(clean: DataFrame, top: int = 5, z_limit: float = S.OU
     qualifying (class, score) pairs are then joined back to the rows.
     """
     from strata.functions.scores import outlier_label, zscore
-    from strata.operators.joins import join_small
+    from strata.operators.joins import join_small, materialize
     cols = ["id", "Age", "Gender", "Diagnosis_Label", "Total_Severity", "Hyperactivity_Index",
             "Inattention_Index", "Sleep_Hours", "Daily_Phone_Usage_Hours", "Anxiety_Depression_Levels"]
     ped = clean.where(_pediatric() & F.col("Diagnosis_Class").isNotNull())
@@ -303,6 +303,7 @@ def severity_rank_outliers(clean: DataFrame, top: int = 5, z_limit: float = S.OU
     both = ped.groupingSets([keys + ["Total_Severity"], keys], *keys, "Total_Severity").agg(
         F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"),
         F.avg("Total_Severity").alias("mean_sev"), F.stddev_samp("Total_Severity").alias("std_sev"))
+    both = materialize(both, "sev-hist")  # read twice below (stats, histogram): one scan
     stats = both.where(F.col("gid") == 1).select("Diagnosis_Class", "mean_sev", "std_sev")
     hist = both.where(F.col("gid") == 0).select("Diagnosis_Class", "Total_Severity", "n")
     before = (Window.partitionBy("Diagnosis_Class").orderBy(F.desc_nulls_first("Total_Severity"))
