@@ -51,13 +51,17 @@ def histogram_by_group(df: DataFrame, col: str, group: str, bins: int = 30,
                                  F.max(col).cast("double").alias("hi"))
     rows = join_small(src.select(group, F.col(col).cast("double").alias("x")), rng, [group],
                       proven_rows=groups_bound)
-    counts = (rows.select(group, _bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-              .groupBy(group, "bin").agg(F.count(F.lit(1)).alias("count")))
+    counts = (rows.select(group, "lo", "hi", _bin_index(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+              .groupBy(group, "bin").agg(F.count(F.lit(1)).alias("count"), F.first("lo").alias("lo"),
+                                         F.first("hi").alias("hi")))
+    # per group: the non-empty bins as a map (at most ``bins`` entries), then every bin
+    per = counts.groupBy(group).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+                                    F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    frame = rng.select(group, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    frame = frame.select(group, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-                         (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"))
-    return (frame.join(counts, [group, "bin"], "left").na.fill(0, subset=["count"])
+    frame = per.select(group, "lo", "hi", "m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return (frame.select(group, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
+                         (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
+                         F.coalesce(F.col("m")[F.col("bin")], F.lit(0)).cast("bigint").alias("count"))
             .orderBy(group, "bin"))
 
 
@@ -65,22 +69,22 @@ def ordered_counts(df: DataFrame, col: str, order: Sequence[str], share_of: str
                    digits: int | None = 1) -> DataFrame:
     """Counts of a label in a fixed category order, categories without rows kept with
     count 0: ``(label, ord, count, pct)``; ``pct`` is over all rows (``'all'``) or
-    over the listed categories (``'listed'``)."""
-    counts = df.groupBy(F.col(col).alias("label")).agg(F.count(F.lit(1)).alias("count"))
-    total_all = counts.agg(F.sum("count").alias("t")).select("t").scalar()
-    listed = F.col("label").isin(*order)
-    total_listed = counts.where(listed).agg(F.sum("count").alias("t")).select("t").scalar()
-    # the category list becomes a column of the (one-row) total, exploded: no join on
-    # the data, no fixed-input DataFrame
-    dims = (counts.agg(F.lit(1).alias("_")).select(
-        F.posexplode(F.array(*[F.lit(v) for v in order])).alias("pos", "label"))
-        .select("label", (F.col("pos") + 1).alias("ord")))
-    out = dims.join(counts.where(listed), "label", "left").na.fill(0, subset=["count"])
-    denom = total_all if share_of == "all" else total_listed
-    p = F.lit(100.0) * F.col("count") / denom
+    over the listed categories (``'listed'``).
+
+    One global aggregate of conditional counts (partial on every task) gives the whole
+    table in one row, which is stacked into one row per category: one pass, no join."""
+    c = F.col(col)
+    one = df.agg(*[F.count(F.when(c == F.lit(v), F.lit(1))).alias(f"_c{i}") for i, v in enumerate(order)],
+                 F.count(F.lit(1)).alias("_all"))
+    listed = sum((F.col(f"_c{i}") for i in range(len(order))), F.lit(0))
+    one = one.withColumn("_den", F.col("_all") if share_of == "all" else listed)
+    entries = ", ".join(f"'{v}', {i + 1}, _c{i}" for i, v in enumerate(order))
+    out = one.selectExpr(f"stack({len(order)}, {entries}) AS (label, ord, count)", "_den")
+    p = F.lit(100.0) * F.col("count") / F.col("_den")
     if digits is not None:
         p = F.round(p, digits)
-    return out.select("label", "ord", F.col("count").cast("bigint").alias("count"), p.alias("pct")).orderBy("ord")
+    return out.select("label", F.col("ord").cast("int").alias("ord"), F.col("count").cast("bigint").alias("count"),
+                      p.alias("pct")).orderBy("ord")
 
 
 def box_stats(df: DataFrame, variables: Sequence[str], group: str, whisker: float = 1.5,
@@ -111,16 +115,16 @@ def box_stats(df: DataFrame, variables: Sequence[str], group: str, whisker: floa
     quart = quart.withColumns({"lo_fence": F.col("q1") - F.lit(whisker) * iqr,
                                "hi_fence": F.col("q3") + F.lit(whisker) * iqr})
     bound = None if groups_bound is None else groups_bound * len(variables)
-    rows = join_small(long, quart.select("variable", group, "lo_fence", "hi_fence"), ["variable", group],
-                      proven_rows=bound)
+    # the quartile table rides along the broadcast join, so it is read once
+    rows = join_small(long, quart.select("variable", group, "n", "q1", "median", "q3", "lo_fence", "hi_fence"),
+                      ["variable", group], proven_rows=bound)
     inside = F.col("value").between(F.col("lo_fence"), F.col("hi_fence"))
-    wh = rows.groupBy("variable", group).agg(
+    out = rows.groupBy("variable", group).agg(
+        F.first("n").cast("bigint").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
+        F.first("q3").alias("q3"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-        F.count(F.when(~inside, F.lit(1))).alias("n_outliers"))
-    out = quart.join(wh, ["variable", group]).select(
-        "variable", group, F.col("n").cast("bigint").alias("n"), "q1", "median", "q3",
-        "whisker_lo", "whisker_hi", F.col("n_outliers").cast("bigint").alias("n_outliers"))
+        F.count(F.when(~inside, F.lit(1))).cast("bigint").alias("n_outliers"))
     if digits is not None:
         out = out.select(*[F.round(c, digits).alias(c) if c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")
                            else c for c in out.columns])

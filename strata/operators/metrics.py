@@ -117,6 +117,21 @@ def crosstab(df: DataFrame, row: str, col: str, col_values: Sequence, fill: int
     return wide.na.fill(fill, subset=[str(v) for v in col_values])
 
 
+def crosstab_ordered(df: DataFrame, row: str, row_values: Sequence, col: str, col_values: Sequence) -> DataFrame:
+    """Counts of ``row`` x ``col`` for fixed category lists on both sides, every listed
+    row present (zeros included) in list order: one global aggregate of conditional
+    counts, stacked into one row per row category (one pass, no join)."""
+    r, c = F.col(row), F.col(col)
+    cells = [(i, j) for i in range(len(row_values)) for j in range(len(col_values))]
+    one = df.agg(*[F.count(F.when((r == F.lit(row_values[i])) & (c == F.lit(col_values[j])), F.lit(1)))
+                   .alias(f"_c{i}_{j}") for i, j in cells])
+    entries = ", ".join(f"{i}, '{row_values[i]}', " + ", ".join(f"_c{i}_{j}" for j in range(len(col_values)))
+                        for i in range(len(row_values)))
+    names = ", ".join(f"`{v}`" for v in col_values)
+    out = one.selectExpr(f"stack({len(row_values)}, {entries}) AS (_ord, `{row}`, {names})")
+    return out.orderBy("_ord").drop("_ord")
+
+
 def crosstab_row_pct(df: DataFrame, row: str, col: str, col_values: Sequence,
                      digits: int | None = 2) -> DataFrame:
     """Row-percent cross-tab: each cell over its row total, in percent."""

@@ -92,11 +92,7 @@ def family_history_row_pct(raw: DataFrame) -> DataFrame:
 def severity_diagnosis_counts(feat: DataFrame) -> DataFrame:
     """Severity class x diagnosis counts, rows in severity order (missing classes kept
     as zero rows), columns in diagnosis order."""
-    wide = M.crosstab(feat, "Severity_Class", "Diagnosis_Label", S.DX_ORDER)
-    dims = (wide.agg(F.lit(1).alias("_")).select(
-        F.posexplode(F.array(*[F.lit(v) for v in S.SEV_ORDER])).alias("ord", "Severity_Class")))
-    return (dims.join(wide, "Severity_Class", "left").na.fill(0, subset=S.DX_ORDER)
-            .orderBy("ord").drop("ord"))
+    return M.crosstab_ordered(feat, "Severity_Class", S.SEV_ORDER, "Diagnosis_Label", S.DX_ORDER)
 
 
 def group_stats_table(feat: DataFrame) -> DataFrame:
