@@ -102,9 +102,30 @@ def box_stats(df: DataFrame, variables: Sequence[str], group: str, whisker: floa
     """
     long = unpivot(df.where(F.col(group).isNotNull()), variables, keep=[group]).where(F.col("value").isNotNull())
     if method == "histogram":
-        # exact, from the value histogram: for continuous columns with many values
+        # exact and in one pass over the rows: the (variable, group, value) histogram is
+        # written once; quartiles, whiskers and outlier counts all come from it
+        from strata.operators.joins import materialize
         from strata.operators.windows import histogram_percentiles
-        quart = histogram_percentiles(long, "value", ["variable", group], [0.25, 0.5, 0.75])
+        hist = materialize(long.groupBy("variable", group, "value").agg(F.count(F.lit(1)).alias("c")), "hist")
+        quart = histogram_percentiles(hist, "value", ["variable", group], [0.25, 0.5, 0.75], counts="c")
+        quart = quart.select("variable", group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+                             F.col("q")[2].alias("q3"))
+        iqr = F.col("q3") - F.col("q1")
+        quart = quart.withColumns({"lo_fence": F.col("q1") - F.lit(whisker) * iqr,
+                                   "hi_fence": F.col("q3") + F.lit(whisker) * iqr})
+        rows = join_small(hist, quart, ["variable", group],
+                          proven_rows=None if groups_bound is None else groups_bound * len(variables))
+        inside = F.col("value").between(F.col("lo_fence"), F.col("hi_fence"))
+        out = rows.groupBy("variable", group).agg(
+            F.first("n").cast("bigint").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
+            F.first("q3").alias("q3"),
+            F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
+            F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
+            F.sum(F.when(~inside, F.col("c")).otherwise(F.lit(0))).cast("bigint").alias("n_outliers"))
+        if digits is not None:
+            out = out.select(*[F.round(c, digits).alias(c) if c in ("q1", "median", "q3", "whisker_lo",
+                                                                    "whisker_hi") else c for c in out.columns])
+        return out.orderBy("variable", group)
     else:
         q = (F.percentile("value", [0.25, 0.5, 0.75]) if method == "exact"
              else F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).cast("array<double>"))
@@ -171,15 +192,21 @@ def density_grid(df: DataFrame, col: str, group: str, grid: int = 100, cut: floa
     bandwidths (a term beyond 8h is below 1e-14 of the peak), generated per row by
     ``sequence``/``explode``: no join of rows with rows.
     """
+    from strata.operators.joins import materialize
     src = df.where(F.col(col).isNotNull() & F.col(group).isNotNull()).select(
         group, F.col(col).cast("double").alias("x"))
-    st = src.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-                                F.stddev_samp("x").alias("sd"))
+    # one pass over the rows: the (group, value) histogram, written once; n, range and
+    # sd come from it (centred second pass over the small table, for stability)
+    hist = materialize(src.groupBy(group, "x").agg(F.count(F.lit(1)).alias("c")), "hist")
+    m = hist.groupBy(group).agg(F.sum("c").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"))
+    dev = join_small(hist, m.select(group, "mean"), [group], proven_rows=groups_bound)
+    ss = dev.groupBy(group).agg(F.sum(F.col("c") * (F.col("x") - F.col("mean")) ** 2).alias("ss"))
+    st = m.join(ss, group).withColumn("sd", F.sqrt(F.col("ss") / F.nullif(F.col("n") - 1, F.lit(0))))
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.lit(bw_adjust))
     st = st.where(F.col("h") > 0).withColumns({
         "g0": F.col("lo") - F.lit(cut) * F.col("h"),
         "step": (F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("h")) / F.lit(grid - 1)})
-    hist = src.groupBy(group, "x").agg(F.count(F.lit(1)).alias("c"))
     rows = join_small(hist, st.select(group, "n", "h", "g0", "step"), [group], proven_rows=groups_bound)
     first = F.greatest(F.ceil((F.col("x") - F.lit(reach) * F.col("h") - F.col("g0")) / F.col("step")), F.lit(0))
     last = F.least(F.floor((F.col("x") + F.lit(reach) * F.col("h") - F.col("g0")) / F.col("step")), F.lit(grid - 1))

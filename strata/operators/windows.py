@@ -243,7 +243,8 @@ def midrank_sums(long: DataFrame, by: Sequence[str], group: str, value: str = "v
 
 
 def histogram_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
-                          value_buckets: int = 1024, name: str = "q") -> DataFrame:
+                          value_buckets: int = 1024, name: str = "q",
+                          counts: str | None = None) -> DataFrame:
     """Exact interpolated percentiles (``percentile_cont``) per group, computed from the
     value histogram: ``(by..., n, q)`` with ``q`` an array in the order of ``probs``.
 
@@ -253,10 +254,15 @@ def histogram_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: S
     from the bucketed prefix sum (spread over value buckets), each histogram row is
     tested against the two target ranks of every probability (generated per row, at
     most ``len(probs)`` rows), and only the matching rows reach the final aggregate.
+    ``counts`` names a count column when ``df`` is already a histogram.
     """
     src = df.where(F.col(value).isNotNull())
-    # one pass over the rows; bounds, running counts and probes read the written histogram
-    hist = materialize(src.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__t")), "hist")
+    if counts is not None:
+        # ``df`` is already a (by..., value, counts) histogram
+        hist = src.withColumnRenamed(counts, "__t")
+    else:
+        # one pass over the rows; bounds, running counts and probes read the written histogram
+        hist = materialize(src.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__t")), "hist")
     if by:
         bounds = hist.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
         hb = join_small(hist, bounds, list(by), null_safe=True)

@@ -141,3 +141,17 @@ def test_box_outliers_and_quantile_cut_methods(spark):
     a = quantile_cut(df, "v", name="c").select("id", "c")
     b = quantile_cut(df, "v", name="c", method="histogram").select("id", "c")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_box_stats_histogram_equals_exact(spark):
+    from strata.operators.charts import box_stats
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v), float(w)) for g in "ab" for v, w in rng.normal(size=(150, 2)).round(2)]
+    rows += [("a", 9.0, None), ("b", None, -8.0)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    a = {(r["variable"], r["g"]): r for r in box_stats(df, ["v", "w"], "g").collect()}
+    b = {(r["variable"], r["g"]): r for r in box_stats(df, ["v", "w"], "g", method="histogram").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for c in ("n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers"):
+            assert abs(a[k][c] - b[k][c]) < 1e-12, (k, c)
