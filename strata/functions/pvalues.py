@@ -9,11 +9,20 @@ with a vectorised pandas UDF to one-row test results only, never on data rows.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
+# The UDFs below run on the executors. Their code is shipped with them (pickled by
+# value), so executors need no copy of this package; the module only uses math/pandas.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: the package must then be shipped
+    pass
+
 _EPS = 1e-15
 _TINY = 1e-300
 _MAX_IT = 10_000
