@@ -67,7 +67,7 @@ def quantile_cut(df: DataFrame, col: str, probs=tuple(S.RISK_QUANTILES),
                else F.percentile_approx(col, list(probs), accuracy).cast("array<double>"))
         cuts = df.select(agg.alias("q")).scalar()
     x = F.col(col)
-    # the repeated subquery is planned once (ReusedSubquery in the executed plan)
+    # the repeated subquery reference runs one job (AQE's subquery cache)
     expr = F.when(x.isNull(), F.lit(labels[-1]))
     for i, lab in enumerate(labels[:-1]):
         expr = expr.when(x <= cuts[i], F.lit(lab))
