@@ -2,8 +2,9 @@
 importances, cross-validated accuracy, model comparison and the key findings.
 
 Each query fits what it reports from the raw cohort. The split rows are written once
-as Parquet in the shared checkpoint folder before fitting (the fit and the scoring both read them, and
-a lost executor then re-reads the checkpoint instead of recomputing the split).
+as Parquet in the shared checkpoint folder before fitting (the fit and the scoring
+both read them, and a lost executor re-reads the files instead of recomputing the
+split).
 """
 
 from __future__ import annotations
