@@ -43,6 +43,11 @@ def test_query_matches_duckdb(spark, con, name):
     res = con.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == cols
+    # exact type correspondence, column by column
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE"}
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    for f in df.schema.fields:
+        assert kinds.get(f.dataType.simpleString()) == dtypes[f.name], (f.name, f.dataType, dtypes[f.name])
     idx = {c: i for i, c in enumerate(dcols)}
     exp = sorted((tuple(_norm(r[idx[c]]) for c in cols) for r in res.fetchall()), key=_key)
     assert got == exp
