@@ -35,7 +35,10 @@ def model_frame(feat: DataFrame, feature_cols: Sequence[str] = tuple(S.FEATURE_C
     (those rows cannot be fitted or scored)."""
     cols = [F.col(c).cast("double").alias(c) for c in feature_cols]
     out = feat.select(id_col, F.col(label_col).cast("double").alias(LABEL), *cols)
-    return out.dropna(subset=[LABEL, *feature_cols])
+    # only columns the schema marks nullable can hold NULL: checking just those keeps
+    # the (pushed-down) filter from re-evaluating every derived feature expression
+    nullable = [f.name for f in out.schema.fields if f.nullable and f.name in {LABEL, *feature_cols}]
+    return out.dropna(subset=nullable) if nullable else out
 
 
 def _hash_order(id_col: str, seed: int):
