@@ -56,8 +56,3 @@ def pct(num, den, digits: int | None = 1) -> Column:
     """``100 * num / den`` as double, rounded half away from zero; den 0 gives NULL."""
     v = F.lit(100.0) * _c(num) / F.nullif(_c(den).cast("double"), F.lit(0.0))
     return v if digits is None else F.round(v, digits)
-
-
-def indicator_count(cond: Column) -> Column:
-    """``SUM(CASE WHEN cond THEN 1 ELSE 0 END)`` as bigint."""
-    return F.sum(flag(cond)).cast("bigint")

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strata.operators.clean import clean, features
 from strata.plans import queries as Q
 from strata.sources import schema as S
-from strata.sources.cohort import patients_raw, read_questionnaire_csv
-from strata.sources.sinks import key_check, read_csv_as, shared_scratch, write_csv
+from strata.sources.cohort import patients_raw, peek, read_questionnaire_csv
+from strata.sources.sinks import key_check, read_csv_as, shared_scratch, write_csv, write_parquet
 
 EXPORT_TYPES = {"Gender_Label": "string", "Educational_Level": "string", "Family_History": "string",
                 "Life_Stage": "string", "Age_Band": "string", "Severity_Class": "string",
@@ -43,7 +43,7 @@ def csv_executive_summary(spark: SparkSession, sf_dir: str, path: str | None = N
 
 def peek_rows(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     """First rows by key after load (the look the load script takes)."""
-    return patients_raw(spark, sf_dir).orderBy("id").limit(n)
+    return peek(patients_raw(spark, sf_dir), n, "id")
 
 
 def id_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,6 @@ def cleaned_parquet_roundtrip(spark: SparkSession, sf_dir: str, path: str | None
     pediatric comorbidity query on it: the stage and age filters then prune partitions
     and push into the scan."""
     path = path or shared_scratch(spark, "clean")
-    clean(patients_raw(spark, sf_dir)).write.mode("overwrite").partitionBy("Life_Stage").parquet(path)
+    write_parquet(clean(patients_raw(spark, sf_dir)), path, partition_by=["Life_Stage"])
     stored = spark.read.parquet(path).where(F.col("Life_Stage") == "Pediatric (5-14)")
     return Q.comorbidity_matrix(stored)

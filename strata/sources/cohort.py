@@ -101,6 +101,7 @@ def patients_raw(spark: SparkSession, sf_dir: str, edge: bool = False) -> DataFr
     return cohort_from_orders(table(spark, sf_dir, "orders"), edge=edge)
 
 
-def peek(df: DataFrame, n: int = 10) -> DataFrame:
-    """First rows for a look after load (a limit is the feature here)."""
-    return df.limit(n)
+def peek(df: DataFrame, n: int = 10, order_by: str | None = "id") -> DataFrame:
+    """First rows for a look after load (a limit is the feature here). Ordered by the
+    key, the rows are the same every time; each task keeps only its first ``n``."""
+    return (df.orderBy(order_by) if order_by else df).limit(n)
