@@ -61,3 +61,10 @@ def test_forest_is_deterministic_for_a_seed(spark, sf_small):
     a = p1.select("id", "prediction")
     b = p2.select("id", "prediction")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_split_independent_of_input_partitioning(spark, sf_small):
+    rows = _rows(spark, sf_small)
+    a = ML.stratified_split(rows.repartition(1)).select("id", "part")
+    b = ML.stratified_split(rows.repartition(50)).select("id", "part")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
