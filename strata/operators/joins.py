@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000  # about 50 MB at typical row widths
 
 
 def materialize(df: DataFrame, name: str = "mat") -> DataFrame:
