@@ -25,3 +25,22 @@ def test_stream_matches_batch(spark, sf_small):
     a = sorted(got.collect(), key=lambda r: r[key])
     b = sorted(exp.collect(), key=lambda r: r[key])
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_stream_reader_types_cells_like_batch(spark):
+    import os
+
+    from strata.sources.cohort import read_questionnaire_csv
+    from strata.streaming.incremental import read_questionnaire_stream
+    base = tempfile.mkdtemp(prefix="strata-test-stream-na-")
+    os.makedirs(f"{base}/in")
+    header = ",".join(S.CSV_SCHEMA.fieldNames())
+    vals = ["NA", "1", "x", "Yes", "6.5", "1"] + ["1"] * 18 + ["null", "1", "1", "0", "1", "1", "0", "2"]
+    with open(f"{base}/in/f.csv", "w") as fh:
+        fh.write(header + "\n" + ",".join(vals) + "\n")
+    q = (read_questionnaire_stream(spark, f"{base}/in").writeStream.format("memory")
+         .queryName("na_stream").trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = spark.sql("SELECT * FROM na_stream").drop("id").collect()[0]
+    exp = read_questionnaire_csv(spark, f"{base}/in/f.csv").drop("id").collect()[0]
+    assert got == exp and got["Age"] is None and got["Diagnosis_Class"] is None
