@@ -63,3 +63,19 @@ def ascii_lower(text: Column) -> Column:
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; NULL keys fall in the fold of the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, max_rows: int) -> DataFrame:
+    """(id, text, y) of at most ``max_rows`` labelled documents outside the held-out fold.
+
+    The rows are those with the smallest hashes of their ids, so the sample is the same on
+    every run. Its ids are broadcast (bounded by ``max_rows``). Contradicting labels of one id
+    are averaged; NULL labels and ids are left out; of several texts with one id the smallest
+    is taken."""
+    ids = (labels.select(F.col("doc_id").alias("i"), F.col(label).alias("l"))
+           .where(F.col("l").isNotNull() & F.col("i").isNotNull() & (fold(F.col("i"), folds) != held))
+           .groupBy("i").agg((F.avg("l") >= 0.5).cast("int").alias("y"))
+           .orderBy(F.xxhash64("i"), "i").limit(max_rows))
+    own = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return (own.join(F.broadcast(ids), F.col("id") == F.col("i"))
+            .groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")))

@@ -11,8 +11,8 @@ strings. The scan is map-only: no shuffle, and nothing grows with the pages.
 
 from __future__ import annotations
 
-import hashlib
 import struct
+import uuid
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -101,7 +101,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "p
     data = digest_file(rules)
     if len(data) > max_bytes:
         raise ValueError("rule list over max_bytes: split it and apply the parts in turn")
-    name = f"urls-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+    name = f"urls-{uuid.uuid4().hex}.bin"  # a file name can be registered with one path only
     spark.sparkContext.addFile(Scratch(spark, "urls").write_bytes(data, name))
     lengths = sorted({len(r.partition("/")[2]) + 1 for _, r in rules})
 
