@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat, mixing, secrets, url_filter
+from strata.llm import (chat, decontam, mixing, quality, secrets, suffix_dedup, toxicity,
+                        url_filter, vectors)
 from strata.llm.oracle import ORACLE
 
 # Fixed by the contract of op1.
@@ -28,12 +29,36 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_report(table(spark, sf_dir, "documents"))
+
+
+_OPS = (op1_url_filter, op3_chat_perspectives, op4_mix_sources, op5_quality, op6_decontaminate, op7_toxicity,
+        op8_vector_search, op9_secret_scan, op10_suffix_dedup)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_chat_perspectives, op4_mix_sources, op9_secret_scan)}
+    return {f.__name__: f for f in _OPS}
 
 
 def oracle_sql() -> dict[str, str]:
