@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import (chat, decontam, mixing, quality, secrets, suffix_dedup, toxicity,
+from strata.llm import (chat, decontam, jaccard, mixing, quality, secrets, suffix_dedup, toxicity,
                         url_filter, vectors)
 from strata.llm.oracle import ORACLE
 
@@ -21,6 +21,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -53,8 +57,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_report(table(spark, sf_dir, "documents"))
 
 
-_OPS = (op1_url_filter, op3_chat_perspectives, op4_mix_sources, op5_quality, op6_decontaminate, op7_toxicity,
-        op8_vector_search, op9_secret_scan, op10_suffix_dedup)
+_OPS = (op1_url_filter, op2_jaccard_join, op3_chat_perspectives, op4_mix_sources, op5_quality, op6_decontaminate,
+        op7_toxicity, op8_vector_search, op9_secret_scan, op10_suffix_dedup)
 
 
 def queries() -> dict:
