@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from strata.llm import (chat, decontam, jaccard, mixing, quality, secrets, suffix_dedup, toxicity,
                         url_filter, vectors)
 from strata.llm.oracle import ORACLE
@@ -62,7 +63,7 @@ _OPS = (op1_url_filter, op2_jaccard_join, op3_chat_perspectives, op4_mix_sources
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _OPS}
+    return {**{f.__name__: f for f in _OPS}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
