@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from strata.llm.common import Scratch, word_count
 
-RANGE_DIGITS = 4  # 65,536 key ranges per source
+RANGE_DIGITS = (2, 4)  # nested key ranges: 256 per source, then 256 in each of those
 
 
 def mix_key(doc: Column, seed: int) -> Column:
@@ -55,33 +55,40 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, cap:
                     .otherwise(F.col("final_level") * F.col("weight")).alias("target")))
 
 
+def _cut_range(table: DataFrame, at: DataFrame, digits: int) -> DataFrame:
+    """``at`` (s, inside, left): per source the key range that holds the cut and the words left to
+    take in it. Returns the range of ``digits`` digits inside it that holds the cut, with its size
+    ``n``. A source's prefix sum runs over the ranges inside one range only."""
+    known = F.length("inside")
+    own = (table.join(at.drop("n"), F.col("source").eqNullSafe(F.col("s"))
+                      & (F.col("key").substr(F.lit(1), known) == F.col("inside")))
+           .groupBy("s", "left", F.substring("key", 1, digits).alias("inside")).agg(F.sum("size").alias("n")))
+    upto = F.sum("n").over(W.partitionBy("s").orderBy("inside"))
+    return (own.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
+            .where((F.col("upto") >= F.col("left")) & (F.col("below") < F.col("left")))
+            .select("s", "inside", (F.col("left") - F.col("below")).alias("left"), "n"))
+
+
 def mix_plan(narrow: DataFrame, scratch: Scratch, weights: Sequence[int], share: float, cap: float) -> DataFrame:
     """One row per source: size, target, whole epochs and the cut of the last one.
 
     ``narrow`` has ``source``, ``key``, ``size``. The cut is the key whose document is taken
     in part (``cut_left`` of its ``cut_size`` words); documents with smaller keys are taken
     whole, later ones not at all."""
-    ranged = narrow.withColumn("rng", F.substring("key", 1, RANGE_DIGITS))
-    ranges = scratch.save(ranged.groupBy("source", "rng").agg(F.sum("size").alias("n")), "ranges")
-    sizes = ranges.groupBy("source").agg(F.sum("n").alias("source_size"))
+    ranges = scratch.save(narrow.groupBy("source", F.substring("key", 1, RANGE_DIGITS[-1]).alias("key"))
+                          .agg(F.sum("size").alias("size")), "ranges")
+    sizes = ranges.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = (targets.withColumn("epochs", epochs.cast("long"))
                .withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")))
     targets = scratch.save(targets, "targets")
-    upto = F.sum("n").over(W.partitionBy("source").orderBy("rng"))
-    placed = ranges.withColumn("upto", upto).withColumnRenamed("source", "s")
-    at = (placed.join(targets, F.col("s").eqNullSafe(F.col("source")))
-          .where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
-          .select("s", F.col("rng").alias("r"), (F.col("rest") - (F.col("upto") - F.col("n"))).alias("left")))
-    at = scratch.save(at, "cut_ranges")  # one row per source
-    inside = (ranged.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("rng") == F.col("r")))
-              .groupBy("s", "left", "key").agg(F.sum("size").alias("n")))
-    upto = F.sum("n").over(W.partitionBy("s").orderBy("key"))
-    cut = (inside.withColumn("upto", upto)
-           .where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("n") < F.col("left")))
-           .select("s", F.col("key").alias("cut_key"), F.col("n").alias("cut_size"),
-                   (F.col("left") - (F.col("upto") - F.col("n"))).alias("cut_left")))
+    # down the nested ranges: at each level only the range that holds the cut is looked into
+    at = targets.select(F.col("source").alias("s"), F.lit("").alias("inside"), F.col("rest").alias("left"))
+    for digits in (*RANGE_DIGITS, 32):
+        table = narrow if digits == 32 else ranges
+        at = scratch.save(_cut_range(table, at, digits), f"cut_{digits}")  # one row per source
+    cut = at.select("s", F.col("inside").alias("cut_key"), F.col("n").alias("cut_size"), F.col("left").alias("cut_left"))
     plan = targets.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest")
     return scratch.save(plan, "plan")
 
