@@ -133,9 +133,11 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     plan = mix_plan(narrow, scratch, weights, share, cap)
     plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
     new = ("mix_size", "mix_target", "mix_taken")
-    own = [c for c in docs.columns if c not in new]
-    return (docs.select(*own, size.alias("mix_size"), key.alias("_mix_key"))
-            .join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    # the row travels as one struct, so its columns cannot clash with the working ones
+    return (docs.select(F.struct(*own).alias("_mix_row"), F.col("source").alias("_mix_own"), size.alias("mix_size"),
+                        key.alias("_mix_key"))
+            .join(plan, F.col("_mix_own").eqNullSafe(F.col("_mix_source")))
             .withColumn("mix_target", F.col("_mix_target"))
             .withColumn("mix_taken", taken_words(F.col("mix_size"), F.col("_mix_key"), "_mix_"))
-            .where("mix_taken > 0").select(*own, *new))
+            .where("mix_taken > 0").select("_mix_row.*", *new))

@@ -241,7 +241,9 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars"
     ``n_chars`` renewed where something was replaced. Columns and rows stay as they are."""
     own = docs.columns
     scratch = Scratch(docs.sparkSession, "secrets")
-    found = find_spans(docs)
+    # the row travels as one struct, so its columns cannot clash with the working ones
+    found = find_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(f"`{text}`").alias("_text")),
+                       "_text")
     cuts = scratch.save(thresholds(scratch.save(found.select("_cand"), "cand"), q), "cuts")
     out = flagged(found, cuts)
     # the text between the merged spans: each gap runs from the furthest end so far to the next start
@@ -250,13 +252,20 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars"
             F.struct(a["end"].alias("from"), s["start"].alias("to"))))).alias("parts"),
         F.greatest(a["end"], s["end"]).alias("end"))
     init = F.struct(F.array().cast("array<struct<from:bigint,to:bigint>>").alias("parts"), F.lit(0).cast("long").alias("end"))
-    size = F.length(F.col(text)).cast("long")
+    size = F.length("_text").cast("long")
     gaps = F.aggregate("_spans", init, step, lambda a: F.concat(a["parts"], F.array(F.struct(
         a["end"].alias("from"), size.alias("to")))))
-    clean = F.array_join(F.transform(gaps, lambda g: F.substring(F.col(text), (g["from"] + 1).cast("int"),
+    clean = F.array_join(F.transform(gaps, lambda g: F.substring(F.col("_text"), (g["from"] + 1).cast("int"),
                                                                   (g["to"] - g["from"]).cast("int"))), mark)
     hit = F.size("_spans") > 0
-    out = out.withColumn(text, F.when(hit, clean).otherwise(F.col(text)))
-    if n_chars in own:
-        out = out.withColumn(n_chars, F.when(hit, F.length(F.col(text)).cast("long")).otherwise(F.col(n_chars)))
-    return out.select(*own)
+    out = out.withColumn("_new", F.when(hit, clean).otherwise(F.col("_text"))).withColumn("_hit", hit)
+
+    def field(c: str) -> Column:
+        old = F.col("_row")[c]
+        if c == text:
+            return F.col("_new").alias(c)
+        if c == n_chars:
+            return F.when(F.col("_hit"), F.length("_new").cast("long")).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return out.select(*[field(c) for c in own])
