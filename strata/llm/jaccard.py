@@ -7,7 +7,7 @@ one task's chunk; a bounded table of the most frequent ones, written once) come
 all others come first, by hash. A set's prefix is its first ``n - ceil(t n) + 1`` shingles; sets that
 link share a shingle of their prefixes. The order decides the cost only, never the result.
 
-*Answers of the leader.* Each list has a leader, its smallest id. Every list member is compared
+*Answers of the leader.* Each list has a leader: its member that stands in the most lists. Every list member is compared
 with its leaders: first by parity bitmaps (bits that differ bound the sets' difference from
 below, so the overlap from above), then, where that bound allows a link, by the exact overlap of
 the full sets.
@@ -15,8 +15,11 @@ the full sets.
 *Skipping and deriving.* Two members y, z of a leader x's lists need a look only if they are not yet
 connected. Their overlap is at most ``|x and z| + |y - x|`` (and the same with y and z exchanged), so
 the leader's answers rule most pairs out with no further work; lists are cut into blocks by set
-size, and blocks too far apart never meet. The pairs that remain go through the same two steps.
-A group of near copies thus costs about one comparison per member, not one per pair.
+size, and blocks too far apart never meet. Members near their leader are held as its set plus
+and minus a few changes; their overlaps follow from the changes alone, so two of them can only
+link if they share enough changes, and a prefix index over the changes (with a bound by position)
+finds those. The pairs that remain go through the same two comparisons. A group of near copies
+thus costs about one comparison per member, not one per pair.
 
 The links are closed to components by written rounds. Nothing but counts and the bounded table of
 frequent shingles reaches the driver.
@@ -198,8 +201,7 @@ def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     bound = scratch.save(wide.mapInArrow(_bound_rows, "a long, b long, na long, nb long, hi long"), f"{name}_bound")
     open_ = bound.where(F.col("hi") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
     ids = scratch.save(open_.select(F.col("a").alias("i")).union(open_.select(F.col("b").alias("i"))).distinct(), f"{name}_ids")
-    full = scratch.save(docs.join(ids, F.col("id") == F.col("i")).select("id", "text")
-                        .mapInArrow(_full_rows(k), "id long, full binary"), f"{name}_full")
+    full = scratch.save(_full_sets(ids, docs, k), f"{name}_full")
     both = (open_.select("a", "b").join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
             .join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
             .select("a", "b", "fa", "fb").mapInArrow(_overlap_rows, "a long, b long, both long")
@@ -211,6 +213,85 @@ def _compare(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     return out
 
 
+def _full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, full) of the documents in ``ids`` (i)."""
+    return (docs.join(ids, F.col("id") == F.col("i")).select("id", "text")
+            .mapInArrow(_full_rows(k), "id long, full binary"))
+
+
+def _delta_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A member as its leader plus ``added`` and minus ``dropped`` shingles; ``el`` holds both kinds,
+    the added ones first (even numbers), then the dropped ones (odd numbers)."""
+    for batch in batches:
+        added, dropped, el = [], [], []
+        for fa, fb in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
+            x, y = unpack(fa), unpack(fb)
+            more, less = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+            added.append(len(more))
+            dropped.append(len(less))
+            el.append(np.concatenate([more * 2, less * 2 + 1]).astype(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:5], pa.array(added, pa.int64()), pa.array(dropped, pa.int64()), pa.array(el, pa.list_(pa.int64()))],
+            names=["a", "b", "comp", "na", "nb", "added", "dropped", "el"])
+
+
+def _unsettled(answers: DataFrame, known: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) below one leader, not connected yet, that its answers do not rule out."""
+    bucket = F.floor(F.log(F.col("nb").cast("double")) / math.log(100 / percent))
+    member = (answers.join(known.select(F.col("id").alias("b"), "component"), "b", "left")
+              .select("a", "b", "na", "nb", "lo", "hi", F.coalesce("component", "b").alias("comp"), bucket.alias("block"),
+                      (F.col("hi") * 2 >= F.greatest("na", "nb")).alias("near")))
+    member = scratch.save(member, "members")
+
+    def mixed(df: DataFrame) -> DataFrame:
+        heads = (df.groupBy(F.col("a").alias("x")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+                 .where("c0 <> c1").select("x"))
+        return df.join(heads, F.col("a") == F.col("x")).drop("x")
+
+    member = scratch.save(mixed(member), "mixed")
+    y = member.select("a", *[F.col(c).alias(f"y_{c}") for c in ("b", "nb", "lo", "hi", "comp", "near")], F.col("block"))
+    z = member.select("a", *[F.col(c).alias(f"z_{c}") for c in ("b", "nb", "lo", "hi", "comp", "near")],
+                      F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
+    sized = F.least("y_nb", "z_nb") * 100 >= F.greatest("y_nb", "z_nb") * percent
+    apart = (F.col("y_b") < F.col("z_b")) & (F.col("y_comp") != F.col("z_comp")) & sized
+    most = F.least(F.col("z_hi") + F.col("y_nb") - F.col("y_lo"), F.col("y_hi") + F.col("z_nb") - F.col("z_lo"), "y_nb", "z_nb")
+    far = (y.join(z, ["a", "block"])
+           .where(apart & ~(F.col("y_near") & F.col("z_near"))
+                  & (most * (100 + percent) >= (F.col("y_nb") + F.col("z_nb")) * percent))
+           .select(F.col("y_b").alias("a"), F.col("z_b").alias("b")))
+    # members near their leader, as its set plus and minus a few shingles: with y = x - D + A,
+    #   |y and z| = |x| - |D_y| - |D_z| + |D_y and D_z| + |A_y and A_z|
+    # so y and z must share r = need - |x| + |D_y| + |D_z| changes. For two sets that are not connected
+    # r is positive (else one would link with x), so it rules a prefix of the changes, in which
+    # linked sets meet, and a change at position i leaves at most (changes - i) to share.
+    near = mixed(member.where("near").select("a", "b", "comp", "na", "nb"))
+    near = scratch.save(near, "near")
+    ids = scratch.save(near.select(F.col("a").alias("i")).union(near.select(F.col("b").alias("i"))).distinct(), "near_ids")
+    full = scratch.save(_full_sets(ids, docs, k), "near_full")
+    deltas = (near.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
+              .join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
+              .select("a", "b", "comp", "na", "nb", "fa", "fb")
+              .mapInArrow(_delta_rows, "a long, b long, comp long, na long, nb long, added long, dropped long, el array<long>"))
+    share = percent / (100 + percent)
+    deltas = scratch.save(deltas.withColumn("g", F.col("nb") * share + F.col("dropped")), "deltas")
+    # the least g among the members of other components
+    first = deltas.groupBy(F.col("a").alias("x")).agg(F.min(F.struct("g", "comp")).alias("f"))
+    second = (deltas.join(first, F.col("a") == F.col("x")).where(F.col("comp") != F.col("f.comp"))
+              .groupBy("x", "f").agg(F.min("g").alias("s")))
+    own = deltas.join(second, F.col("a") == F.col("x"))
+    other = F.when(F.col("comp") == F.col("f.comp"), F.col("s")).otherwise(F.col("f.g"))
+    r = F.greatest(F.ceil(F.col("g") - F.col("na") + other - 1e-6), F.lit(1))
+    own = (own.withColumn("size", F.size("el")).withColumn("keep", (F.col("size") - r + 1).cast("int")).where("keep > 0")
+           .select("a", "b", "comp", "na", "nb", "g", "size", F.posexplode(F.slice("el", F.lit(1), F.col("keep"))).alias("pos", "e")))
+    own = scratch.save(own, "changes")
+    y = own.select("a", "e", "na", *[F.col(c).alias(f"y_{c}") for c in ("b", "comp", "nb", "g", "size", "pos")])
+    z = own.select("a", "e", *[F.col(c).alias(f"z_{c}") for c in ("b", "comp", "nb", "g", "size", "pos")])
+    left = F.least(F.col("y_size") - F.col("y_pos"), F.col("z_size") - F.col("z_pos"))
+    close = (y.join(z, ["a", "e"]).where(apart & (left >= F.col("y_g") + F.col("z_g") - F.col("na") - 1e-6))
+             .select(F.col("y_b").alias("a"), F.col("z_b").alias("b")))
+    return far.union(close).distinct()
+
+
 def _links(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(F.col("lo") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
@@ -240,32 +321,19 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, key:
                       (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("id") == F.col("rep")))
             .groupBy("id", "s1", "s2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")))
     reps = scratch.save(reps.select("id", "n", "prefix", "bitmap"), "reps")
-    # index lists and their leaders
+    # index lists of two and more; each is led by its member that stands in the most lists (in a
+    # group of near copies: the one with the fewest edits), the smallest id on ties
     postings = reps.select("id", F.explode("prefix").alias("sh"))
-    lists = postings.groupBy("sh").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1")
-    pairs = (postings.join(lists.select("sh", "lead"), "sh").where("id <> lead")
+    lists = postings.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sh")
+    shared = scratch.save(postings.join(lists, "sh"), "shared")
+    placed = shared.join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("rank")), "id")
+    leads = placed.groupBy("sh").agg(F.max(F.struct("rank", (-F.col("id")).alias("less"))).alias("top"))
+    pairs = (shared.join(leads.select("sh", (-F.col("top.less")).alias("lead")), "sh").where("id <> lead")
              .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     answers = _compare(scratch.save(pairs, "pairs"), reps, docs, k, percent, scratch, "lead")
     links = _links(answers, percent)
     known = components(links, scratch, "first")
-    # pairs below one leader that are not connected yet, unless the leader's answers rule them out
-    bucket = F.floor(F.log(F.col("nb").cast("double")) / math.log(100 / percent))
-    member = (answers.join(known.select(F.col("id").alias("b"), "component"), "b", "left")
-              .select("a", "b", "nb", "lo", "hi", F.coalesce("component", "b").alias("comp"), bucket.alias("block")))
-    member = scratch.save(member, "members")
-    mixed = (member.groupBy(F.col("a").alias("x")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-             .where("c0 <> c1").select("x"))
-    member = scratch.save(member.join(mixed, F.col("a") == F.col("x")).drop("x"), "mixed")
-    y = member.select("a", *[F.col(c).alias(f"y_{c}") for c in ("b", "nb", "lo", "hi", "comp")], F.col("block"))
-    z = member.select("a", *[F.col(c).alias(f"z_{c}") for c in ("b", "nb", "lo", "hi", "comp")],
-                      F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    most = F.least(F.col("z_hi") + F.col("y_nb") - F.col("y_lo"), F.col("y_hi") + F.col("z_nb") - F.col("z_lo"), "y_nb", "z_nb")
-    rest = (y.join(z, ["a", "block"])
-            .where((F.col("y_b") < F.col("z_b")) & (F.col("y_comp") != F.col("z_comp"))
-                   & (F.least("y_nb", "z_nb") * 100 >= F.greatest("y_nb", "z_nb") * percent)
-                   & (most * (100 + percent) >= (F.col("y_nb") + F.col("z_nb")) * percent))
-            .select(F.col("y_b").alias("a"), F.col("z_b").alias("b")).distinct())
-    rest = scratch.save(rest, "rest")
+    rest = scratch.save(_unsettled(answers, known, docs, k, percent, scratch), "rest")
     found = _compare(rest, reps, docs, k, percent, scratch, "rest")
     all_links = links.union(_links(found, percent))
     comp = components(all_links, scratch, "all")
