@@ -14,10 +14,10 @@ most-significant-digit passes, and a suffix that is alone in its group after a p
 3. the last digit is the whole window, for the windows of those representatives only. Equal
    groups are exactly the repeated windows; a window alone in its group is unique.
 
-Groups are hash aggregates with map-side combining, so a stretch shared by a third of all
-documents shrinks to one row per task before any shuffle. What comes back to the texts are the
+Anchors are counted by head and stretch in every batch before they leave the task, so a stretch
+shared by a third of all documents is a row per batch in any shuffle. What comes back to the texts are the
 *unique* anchors and windows; everything else is repeated. Digits travel as 64-bit hashes (in
-passes 1 and 2) and 128-bit hashes (stretch together with its head, and the last pass).
+pass 1), 128 bits (a stretch with its head) and 96 bits (the last pass).
 """
 
 from __future__ import annotations
@@ -106,8 +106,8 @@ def _raw(text) -> bytes:
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(head, stretch, t1, loc) of every anchor; loc holds 32 bits of the identity and the run's
-    first window."""
+    """(head, stretch, c, t1, loc): the anchors of a batch, counted by head and stretch, with one
+    place each; loc holds 32 bits of the identity and the run's first window."""
     for batch in batches:
         raws = [r for r in map(_raw, batch.column(0).to_pylist()) if len(r) >= WIDTH]
         if not raws:
@@ -119,13 +119,18 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretch = np.fromiter((digest(raws[t][a:b + WIDTH]) for t, a, b in zip(text.tolist(), first.tolist(), last.tolist())),
                               np.uint64, len(text))
         loc = (ids[text, 1] << np.uint64(32)) | first.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(x)) for x in (head, stretch, ids[text, 0], loc)],
-                                         names=["head", "stretch", "t1", "loc"])
+        order = np.lexsort((loc, ids[text, 0], stretch, head))
+        fresh = np.flatnonzero(np.concatenate([[True], (np.diff(head[order]) != 0) | (np.diff(stretch[order]) != 0)])[:len(order)])
+        one = order[fresh]
+        count = np.diff(np.append(fresh, len(order)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(_signed(head[one])), pa.array(_signed(stretch[one])), pa.array(count, pa.int64()),
+             pa.array(_signed(ids[text[one], 0])), pa.array(_signed(loc[one]))], names=["head", "stretch", "c", "t1", "loc"])
 
 
 def _packed_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, t1, t2, z): identity and compressed bytes of every row's text."""
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         raws = list(map(_raw, batch.column(1).to_pylist()))
         ids = np.array([_identity(r) for r in raws], np.uint64).reshape(-1, 2)
@@ -135,8 +140,8 @@ def _packed_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, t1, loc, m) of the windows of the representatives' stretches; m is 2 where the
-    stretch itself is repeated."""
+    """(w1, w2, t1, loc, m) of the windows of the representatives' stretches: 96 bits of hash, the
+    place, and m = 2 where the stretch itself is repeated."""
     unpack = zstandard.ZstdDecompressor()
     digest = xxhash.xxh3_128_digest
     for batch in batches:
@@ -152,7 +157,7 @@ def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = np.frombuffer(b"".join(digest(raw[s:s + WIDTH]) for s in starts), "<i8").reshape(-1, 2)
             loc = (np.uint64(t2) << np.uint64(32)) | np.array(starts, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.full(len(w), t1, np.int64)),
+                [pa.array(w[:, 0]), pa.array(w[:, 1].astype(np.int32)), pa.array(np.full(len(w), t1, np.int64)),
                  pa.array(_signed(loc)), pa.array(np.array(m, np.int32))], names=["w1", "w2", "t1", "loc", "m"])
 
 
@@ -209,17 +214,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     all_anchors = docs.select(F.col(text).alias("text")).mapInArrow(
-        _anchor_rows, "head long, stretch long, t1 long, loc long")
+        _anchor_rows, "head long, stretch long, c long, t1 long, loc long")
     lo = F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("lo")
     t2 = F.shiftrightunsigned("loc", 32).alias("t2")
     # pass 1: heads. In a group of one the minima are its only row.
-    heads = scratch.save(all_anchors.groupBy("head").agg(F.count(F.lit(1)).alias("c"), F.min("t1").alias("t1"),
+    heads = scratch.save(all_anchors.groupBy("head").agg(F.sum("c").alias("c"), F.min("t1").alias("t1"),
                                                          F.min("loc").alias("loc")), "heads")
     alone = heads.where("c = 1").select("t1", t2, lo)
     shared = heads.where("c > 1").select(F.col("head").alias("h"))
     # pass 2: stretches of shared heads
     stretches = scratch.save(all_anchors.join(shared, F.col("head") == F.col("h")).groupBy("head", "stretch").agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct("t1", "loc")).alias("rep")), "stretches")
+        F.sum("c").alias("c"), F.min(F.struct("t1", "loc")).alias("rep")), "stretches")
     several = stretches.groupBy(F.col("head").alias("h")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     reps = (stretches.join(several, F.col("head") == F.col("h"))
             .select("rep.t1", "rep.loc", F.least("c", F.lit(2)).cast("int").alias("m"))
@@ -230,14 +235,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
         _packed_rows, f"key {kind}, t1 long, t2 long, z binary")
     # last pass: whole windows
     windows = (packed.join(reps, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")))
-               .select("t1", "t2", "z", "reps").mapInArrow(_window_rows, "w1 long, w2 long, t1 long, loc long, m int"))
-    once = scratch.save(windows.groupBy("w1", "w2").agg(F.sum("m").alias("c"), F.min("t1").alias("t1"), F.min("loc").alias("loc"))
-                        .where("c = 1").select("t1", t2, lo), "once")
+               .select("t1", "t2", "z", "reps").mapInArrow(_window_rows, "w1 long, w2 int, t1 long, loc long, m int"))
+    once = windows.groupBy("w1", "w2").agg(F.sum("m").alias("c"), F.min("t1").alias("t1"), F.min("loc").alias("loc")).where("c = 1")
+    by_text = lambda df, name: (df.groupBy(F.col("t1").alias("r1"), F.col("t2").alias("r2"))
+                                .agg(F.collect_list("lo").alias(name)))
+    once = scratch.save(by_text(once.select("t1", t2, lo), "windows"), "once")
     scratch.drop("stretches", "reps")
-    mark = lambda df, name: df.select("t1", "t2", F.struct(*[
-        (F.col("lo") if n == name else F.lit(None).cast("int")).alias(n) for n in ("run", "window")]).alias("u"))
-    unique = (mark(alone, "run").unionByName(mark(once, "window")).groupBy(F.col("t1").alias("r1"), F.col("t2").alias("r2"))
-              .agg(F.collect_list("u.run").alias("runs"), F.collect_list("u.window").alias("windows")))
+    alone = scratch.save(by_text(alone, "runs"), "alone")
+    scratch.drop("heads")
+    unique = alone.join(once, ["r1", "r2"], "full")
     both = packed.join(unique, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")), "left")
     out = both.select("key", "z", "runs", "windows").mapInArrow(
         lambda it: _finish(it, with_bytes),
