@@ -141,7 +141,7 @@ def anova_severity(feat: DataFrame) -> DataFrame:
 
 
 def anova_severity_test(feat: DataFrame) -> DataFrame:
-    return ST.with_f_pvalue(anova_severity(feat), S.SIGNIFICANCE)
+    return ST.with_f_pvalue(anova_severity(feat), S.SIGNIFICANCE, digits=9)
 
 
 def anova_group_lines(feat: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def kruskal_lifestyle(feat: DataFrame) -> DataFrame:
 
 def kruskal_lifestyle_test(feat: DataFrame) -> DataFrame:
     res = kruskal_lifestyle(feat).withColumn("dof", F.col("k") - 1)
-    return ST.with_chi2_pvalue(res, "h_stat", "dof", S.SIGNIFICANCE).withColumn(
+    return ST.with_chi2_pvalue(res, "h_stat", "dof", S.SIGNIFICANCE, digits=9).withColumn(
         "h_stat_2dp", F.round("h_stat", 2))
 
 
@@ -169,7 +169,7 @@ def chi_square_family(feat: DataFrame) -> DataFrame:
 
 
 def chi_square_family_test(feat: DataFrame) -> DataFrame:
-    return ST.with_chi2_pvalue(chi_square_family(feat), "chi2", "dof", S.SIGNIFICANCE)
+    return ST.with_chi2_pvalue(chi_square_family(feat), "chi2", "dof", S.SIGNIFICANCE, digits=9)
 
 
 def contingency_family(feat: DataFrame) -> DataFrame:

@@ -260,26 +260,79 @@ SELECT agg.variable, CAST(agg.k AS BIGINT) AS k, CAST(tie.n_all AS BIGINT) AS n,
   {R('(12.0 / (CAST(tie.n_all AS DOUBLE) * (tie.n_all + 1)) * agg.s - 3 * (tie.n_all + 1)) / NULLIF(1 - tie.ties / (CAST(tie.n_all AS DOUBLE) * tie.n_all * tie.n_all - tie.n_all), 0)', 6)} AS h_stat
 FROM agg JOIN tie USING (variable)"""
 
-_CELLS = """, cells AS (
-  SELECT Family_History, Diagnosis_Label, COUNT(*) AS observed FROM features
-  WHERE Family_History IS NOT NULL AND Diagnosis_Label IS NOT NULL
-  GROUP BY Family_History, Diagnosis_Label),
-m AS (SELECT *, SUM(observed) OVER (PARTITION BY Family_History) AS row_total,
-        SUM(observed) OVER (PARTITION BY Diagnosis_Label) AS col_total,
-        SUM(observed) OVER () AS n FROM cells),
-e AS (SELECT *, CAST(row_total AS DOUBLE) * col_total / n AS expected FROM m)"""
-
+# every pair of the two margins is a cell; a pair that never occurs has 0
+_CELLS = """, obs AS (
+  SELECT Family_History, Diagnosis_Label FROM features
+  WHERE Family_History IS NOT NULL AND Diagnosis_Label IS NOT NULL),
+rm AS (SELECT Family_History, COUNT(*) AS row_total FROM obs GROUP BY Family_History),
+cm AS (SELECT Diagnosis_Label, COUNT(*) AS col_total FROM obs GROUP BY Diagnosis_Label),
+e AS (SELECT rm.Family_History, cm.Diagnosis_Label, row_total, col_total,
+        (SELECT COUNT(*) FROM obs) AS n,
+        (SELECT COUNT(*) FROM obs o WHERE o.Family_History = rm.Family_History
+           AND o.Diagnosis_Label = cm.Diagnosis_Label) AS observed,
+        CAST(row_total AS DOUBLE) * col_total / (SELECT COUNT(*) FROM obs) AS expected
+      FROM rm, cm)"""
+
+_CHI2 = "SUM((observed - expected) * (observed - expected) / expected)"
 B["chi_square_family"] = _CELLS + f"""
 SELECT CAST(MAX(n) AS BIGINT) AS n, CAST(COUNT(DISTINCT Family_History) AS BIGINT) AS n_rows,
   CAST(COUNT(DISTINCT Diagnosis_Label) AS BIGINT) AS n_cols,
   CAST((COUNT(DISTINCT Family_History) - 1) * (COUNT(DISTINCT Diagnosis_Label) - 1) AS BIGINT) AS dof,
-  {R('SUM((observed - expected) * (observed - expected) / expected) + (MAX(n) - SUM(expected))', 6)} AS chi2
+  {R(_CHI2, 6)} AS chi2
 FROM e"""
 
 B["contingency_family"] = _CELLS + f"""
 SELECT Family_History, Diagnosis_Label, CAST(observed AS BIGINT) AS observed, {R('expected', 6)} AS expected
 FROM e"""
 
+# Tails by Simpson's rule in u = sqrt(s) over the integrals of functions/pvalues.py: another
+# rule and another variable than the Spark side. Gamma at half-integers is a product.
+_NODES = 20000
+
+
+def _simpson(f: str, upper: float) -> str:
+    """int_0^upper f(u) du; f is SQL over the lambda variable u."""
+    h = upper / _NODES
+    return (f"(list_sum(list_transform(range(0, {_NODES + 1}), lambda i: (CASE WHEN i = 0 OR i = {_NODES} THEN 1 "
+            f"WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({f.replace('$u', f'(i * {h!r})')}))) * {h!r} / 3)")
+
+
+def _gamma_half(n: str) -> str:
+    """Gamma(n / 2) for an integer n >= 1."""
+    return (f"(CASE WHEN {n} % 2 = 0 THEN 1.0 ELSE SQRT(PI()) END * list_product(list_transform(range(0, 60), "
+            f"lambda j: CASE WHEN (2 - {n} % 2) / 2.0 + j < {n} / 2.0 - 0.25 THEN (2 - {n} % 2) / 2.0 + j ELSE 1.0 END)))")
+
+
+def chi2_tail(x: str, k: str) -> str:
+    half, a = f"(({x}) / 2.0)", f"({k} / 2.0)"
+    inner = _simpson(f"2 * $u * EXP(-$u * $u) * POWER(1 + $u * $u / {half}, {a} - 1)", 8.0)
+    return f"LEAST(POWER({half}, {a} - 1) * EXP(-{half}) / {_gamma_half(k)} * {inner}, 1.0)"
+
+
+def f_tail(f: str, d1: str, d2: str) -> str:
+    """For d2 so large that Gamma(a + b) / Gamma(a) = a^b (1 + b(b-1)/2a + ...) to three terms."""
+    a, b, spread = f"({d2} / 2.0)", f"({d1} / 2.0)", f"LN(1 + {d1} * ({f}) / {d2})"
+    ratio = (f"POWER({a}, {b}) * (1 + {b} * ({b} - 1) / (2 * {a}) + {b} * ({b} - 1) * ({b} - 2) * (3 * {b} - 1) / (24 * {a} * {a}) "
+             f"+ {b} * {b} * ({b} - 1) * ({b} - 1) * ({b} - 2) * ({b} - 3) / (48 * {a} * {a} * {a}))")
+    inner = _simpson(f"2 * $u * EXP(-$u * $u) * POWER(1 - EXP(-({spread} + $u * $u / {a})), {b} - 1)", 8.0)
+    return f"LEAST(EXP(-{a} * {spread}) / {a} * {ratio} / {_gamma_half(d1)} * {inner}, 1.0)"
+
+
+_YES = "CASE WHEN p_value < 0.05 THEN 'YES' ELSE 'NO' END AS significant"
+
+
+def _tested(name: str, tail: str, digits: int = 9, more: str = "") -> str:
+    """The statistics of ``name`` with a tail over their rounded values."""
+    head, _, last = B[name].rpartition("\nSELECT ")
+    return (f"{head}, st AS (SELECT {last}), tp AS (SELECT *, {R(tail, digits)} AS p_value FROM st)\n"
+            f"SELECT *, {_YES}{more} FROM tp")
+
+
+B["anova_severity_test"] = _tested("anova_severity", f_tail("f_stat", "df_between", "df_within"))
+B["kruskal_lifestyle_test"] = _tested("kruskal_lifestyle", chi2_tail("h_stat", "(k - 1)"),
+                                      more=f", k - 1 AS dof, {R('h_stat', 2)} AS h_stat_2dp")
+B["chi_square_family_test"] = _tested("chi_square_family", chi2_tail("chi2", "dof"))
+
 NB_QUERIES: dict[str, str] = {k: with_features(v) for k, v in B.items()}
 NB_EDGE_KEYS = ["dataset_profile", "feature_rows", "rate_by_age", "kruskal_lifestyle", "lifestyle_boxes",
                 "diagnosis_value_counts", "dominant_subtype", "peak_age", "gender_diagnosis_counts",

@@ -6,27 +6,68 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from strata.functions.pvalues import beta_inc, chi2_sf, f_sf, gamma_q
+from strata.functions.pvalues import chi2_pvalue, f_pvalue
 from strata.operators import metrics as M
 from strata.operators import stats as ST
 
 
-def test_pvalue_table_values():
-    assert abs(chi2_sf(7.815, 3) - 0.05) < 1e-3
-    assert abs(chi2_sf(12.592, 6) - 0.05) < 1e-3
-    assert abs(chi2_sf(3.841, 1) - 0.05) < 1e-3
-    assert abs(f_sf(2.680, 3, 120) - 0.05) < 1e-3
-    assert abs(f_sf(3.94, 1, 100) - 0.05) < 2e-3
+def _chi2(spark, pairs):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x double, k int")
+    return [r.p for r in df.withColumn("p", chi2_pvalue(F.col("x"), F.col("k"))).orderBy("i").collect()]
 
 
-def test_pvalue_closed_forms():
-    for x in (0.5, 3.0, 12.0, 40.0):
-        # dof 6: exp(-x/2) (1 + x/2 + x^2/8)
-        assert abs(chi2_sf(x, 6) - math.exp(-x / 2) * (1 + x / 2 + x * x / 8)) < 1e-12
-        assert abs(gamma_q(1.0, x) - math.exp(-x)) < 1e-12
-    # I_x(1, b) = 1 - (1 - x)^b
-    for x in (0.1, 0.5, 0.9):
-        assert abs(beta_inc(1.0, 3.0, x) - (1 - (1 - x) ** 3)) < 1e-12
+def _f(spark, rows):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(rows)], "i int, f double, a int, b long")
+    return [r.p for r in df.withColumn("p", f_pvalue(F.col("f"), F.col("a"), F.col("b"))).orderBy("i").collect()]
+
+
+def test_pvalues_against_closed_forms(spark):
+    xs = (1e-6, 0.5, 3.0, 12.0, 40.0, 900.0)
+    one = _chi2(spark, [(x, 1) for x in xs])
+    two = _chi2(spark, [(x, 2) for x in xs])
+    six = _chi2(spark, [(x, 6) for x in xs])
+    for x, a, b, c in zip(xs, one, two, six):
+        assert math.isclose(a, math.erfc(math.sqrt(x / 2)), rel_tol=1e-10)
+        assert math.isclose(b, math.exp(-x / 2), rel_tol=1e-10)
+        assert math.isclose(c, math.exp(-x / 2) * (1 + x / 2 + x * x / 8), rel_tol=1e-10)
+    # two and four degrees above: finite sums of powers of y = d2 / (d2 + d1 f)
+    for f, d2 in ((0.2, 3), (1.5, 10), (5.0, 40), (30.0, 12)):
+        y2, y4 = d2 / (d2 + 2 * f), d2 / (d2 + 4 * f)
+        got = _f(spark, [(f, 2, d2), (f, 4, d2)])
+        assert math.isclose(got[0], y2 ** (d2 / 2), rel_tol=1e-10)
+        assert math.isclose(got[1], y4 ** (d2 / 2) * (1 + d2 / 2 * (1 - y4)), rel_tol=1e-10)
+
+
+def test_f_tail_keeps_its_digits_for_many_rows(spark):
+    limit = _chi2(spark, [(3 * 2.68, 3)])[0]
+    for p, n in zip(_f(spark, [(2.68, 3, n) for n in (10 ** 8, 10 ** 12, 10 ** 14)]), (10 ** 8, 10 ** 12, 10 ** 14)):
+        assert math.isclose(p, limit, rel_tol=max(30 / n, 1e-9))
+
+
+def test_pvalues_of_undefined_statistics(spark):
+    assert _chi2(spark, [(None, 3), (float("nan"), 3), (1.0, 0), (0.0, 3), (-1.0, 3)]) == [None, None, None, 1.0, 1.0]
+    assert _f(spark, [(None, 1, 2), (float("nan"), 1, 2), (1.0, 0, 5), (1.0, 1, 0), (0.0, 1, 2)]) == [None] * 4 + [1.0]
+
+
+def test_statistics_without_a_definition(spark):
+    nan = float("nan")
+    one_group = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", nan), ("b", None)], "g string, v double")
+    r = ST.with_f_pvalue(ST.anova_oneway(one_group, "v", "g")).first()
+    assert (r.k, r.n, r.df_between, r.f_stat, r.p_value, r.significant) == (1, 2, 0, None, None, "NO")
+    single_rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "g string, v double")
+    assert ST.anova_oneway(single_rows, "v", "g").first().f_stat is None
+    assert ST.kruskal_wallis(single_rows.limit(1), ["v"], "g").first().h_stat is None
+    nans = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", nan), ("b", nan)], "g string, v double")
+    assert ST.kruskal_wallis(nans, ["v"], "g").first().n == 2
+    none = spark.createDataFrame([], "g string, v double")
+    assert ST.anova_oneway(none, "v", "g").first().n == 0
+    assert ST.chi_square(single_rows.where("g = 'a'"), "g", "v").first().chi2 is None
+
+
+def test_contingency_table_lists_empty_cells(spark):
+    df = spark.createDataFrame([("x", "p")] * 3 + [("x", "q")] * 2 + [("y", "p")], "a string, b string")
+    got = {(r.a, r.b): (r.observed, r.expected) for r in ST.contingency_cells(df, "a", "b").collect()}
+    assert got == {("x", "p"): (3, 5 * 4 / 6), ("x", "q"): (2, 5 * 2 / 6), ("y", "p"): (1, 4 / 6), ("y", "q"): (0, 2 / 6)}
 
 
 def _groups(spark):
