@@ -26,7 +26,7 @@ def _bin_index(x, lo, hi, bins: int):
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram over the column's own range: ``(bin, bin_lo, bin_hi, count)``,
     empty bins included, NULL values left out. The range is one scalar subquery."""
-    src = df.where(F.col(col).isNotNull())
+    src = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     rng = src.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
     bounds = rng.select(F.struct("lo", "hi")).scalar()  # one subquery, referenced twice
     lo, hi = bounds.getField("lo"), bounds.getField("hi")
@@ -181,16 +181,17 @@ def mean_sd(df: DataFrame, metrics: Sequence[str], group: str, order: Sequence[s
 
 
 def density_grid(df: DataFrame, col: str, group: str, grid: int = 100, cut: float = 2.0,
-                 bw_adjust: float = 1.0, reach: float = 8.0, digits: int | None = 6,
+                 bw_adjust: float = 1.0, reach: float | None = None, digits: int | None = 6,
                  groups_bound: int | None = None) -> DataFrame:
     """Gaussian kernel density per group on an even grid (violin data):
     ``(group, i, x, density)``.
 
     Bandwidth is Scott's rule, ``sd * n^(-1/5) * bw_adjust``; the grid runs from
     ``min - cut*h`` to ``max + cut*h``. The sum runs over the (group, value, count)
-    histogram, and each histogram row adds only to grid points within ``reach``
-    bandwidths (a term beyond 8h is below 1e-14 of the peak), generated per row by
-    ``sequence``/``explode``: no join of rows with rows.
+    histogram; each histogram row adds to every grid point, generated per row by
+    ``sequence``/``explode``: no join of rows with rows. ``reach`` leaves out the terms beyond
+    that many bandwidths (each below exp(-reach^2 / 2) of the peak). A group without a
+    bandwidth (one row, or one value) has one row: ``i`` 0, its value, and a NULL density.
     """
     from strata.operators.joins import materialize
     src = df.where(F.col(col).isNotNull() & F.col(group).isNotNull()).select(
@@ -204,12 +205,16 @@ def density_grid(df: DataFrame, col: str, group: str, grid: int = 100, cut: floa
     ss = dev.groupBy(group).agg(F.sum(F.col("c") * (F.col("x") - F.col("mean")) ** 2).alias("ss"))
     st = m.join(ss, group).withColumn("sd", F.sqrt(F.col("ss") / F.nullif(F.col("n") - 1, F.lit(0))))
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.lit(bw_adjust))
+    flat = st.where(F.col("h").isNull() | (F.col("h") <= 0)).select(
+        group, F.lit(0).alias("i"), F.col("lo").alias("x"), F.lit(None).cast("double").alias("density"))
     st = st.where(F.col("h") > 0).withColumns({
         "g0": F.col("lo") - F.lit(cut) * F.col("h"),
         "step": (F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("h")) / F.lit(grid - 1)})
     rows = join_small(hist, st.select(group, "n", "h", "g0", "step"), [group], proven_rows=groups_bound)
-    first = F.greatest(F.ceil((F.col("x") - F.lit(reach) * F.col("h") - F.col("g0")) / F.col("step")), F.lit(0))
-    last = F.least(F.floor((F.col("x") + F.lit(reach) * F.col("h") - F.col("g0")) / F.col("step")), F.lit(grid - 1))
+    first, last = F.lit(0), F.lit(grid - 1)
+    if reach is not None:
+        first = F.greatest(F.ceil((F.col("x") - F.lit(reach) * F.col("h") - F.col("g0")) / F.col("step")), first)
+        last = F.least(F.floor((F.col("x") + F.lit(reach) * F.col("h") - F.col("g0")) / F.col("step")), last)
     pts = rows.select(group, "x", "c", "n", "h", "g0", "step",
                       F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("i"))
     gx = F.col("g0") + F.col("i") * F.col("step")
@@ -220,7 +225,7 @@ def density_grid(df: DataFrame, col: str, group: str, grid: int = 100, cut: floa
                                        F.first("step").alias("step"))
     x = F.col("g0") + F.col("i") * F.col("step")
     d = F.col("s") / (F.col("n") * F.col("h") * F.lit(2.5066282746310002))
-    out = dens.select(group, F.col("i").cast("int").alias("i"), x.alias("x"), d.alias("density"))
+    out = dens.select(group, F.col("i").cast("int").alias("i"), x.alias("x"), d.alias("density")).unionByName(flat)
     if digits is not None:
         out = out.withColumn("x", F.round("x", digits)).withColumn("density", F.round("density", digits))
     return out.orderBy(group, "i")

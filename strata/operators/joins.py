@@ -1,11 +1,10 @@
 """Joining rows to small derived tables (group statistics, histograms, offsets).
 
-The small side is always an aggregate of the big one. It is broadcast only after its
-size has been checked: it is written once as Parquet under the cluster's shared
-``spark.checkpoint.dir`` (this also cuts its lineage, so a lost executor does not
-re-run the aggregate) and its rows are counted from the files. Over the limit the join is left to the shuffle
-planner with AQE skew-join splitting, so a hot key is split across tasks instead of
-landing whole on one.
+The small side is always an aggregate of the big one. It is written once as Parquet under the
+cluster's shared ``spark.checkpoint.dir`` (this also cuts its lineage, so a lost executor does
+not re-run the aggregate), which gives the planner its true size in bytes:
+``spark.sql.autoBroadcastJoinThreshold`` then decides between a broadcast and a shuffled join
+with AQE skew-join splitting, so a hot key is split across tasks instead of landing whole on one.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000  # about 50 MB at typical row widths
+PROVEN_BROADCAST_ROWS = 100_000  # a caller's bound up to here is broadcast without a look at the size
 
 
 def materialize(df: DataFrame, name: str = "mat") -> DataFrame:
@@ -35,21 +34,18 @@ def materialize(df: DataFrame, name: str = "mat") -> DataFrame:
 
 
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
-               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                null_safe: bool = False, proven_rows: int | None = None) -> DataFrame:
     """Join ``big`` to an aggregated ``small`` on the columns ``on``.
 
     ``proven_rows``: the caller's proof that ``small`` has at most that many rows (e.g.
-    grouped by a label made from a fixed code list); it is then broadcast directly,
-    without the runtime check. ``null_safe`` matches NULL keys to NULL keys (``<=>``);
-    the key columns of ``small`` are then dropped from the result.
+    grouped by a label made from a fixed code list); it is then broadcast directly.
+    Otherwise the planner decides by the written size. ``null_safe`` matches NULL keys to
+    NULL keys (``<=>``); the key columns of ``small`` are then dropped from the result.
     """
-    if proven_rows is not None and proven_rows <= max_broadcast_rows:
+    if proven_rows is not None and proven_rows <= PROVEN_BROADCAST_ROWS:
         right = F.broadcast(small)
     else:
-        small = materialize(small)
-        n = small.count()
-        right = F.broadcast(small) if n <= max_broadcast_rows else small
+        right = materialize(small)
     if not null_safe:
         return big.join(right, list(on), how)
     renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in small.columns])

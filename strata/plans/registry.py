@@ -19,31 +19,16 @@ from strata.sources.cohort import patients_raw
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-# The base plans (cohort, cleaned view, feature table) are built once per (session,
-# folder, variant) and shared by the queries: a DataFrame is an immutable plan, and
-# building it means a file listing, a footer read and an analysis pass per step.
-_BASE: dict = {}
-
-
-def _memo(kind: str, spark: SparkSession, sf_dir: str, edge: bool, build) -> DataFrame:
-    key = (kind, id(spark), sf_dir.rstrip("/"), edge)
-    hit = _BASE.get(key)
-    if hit is None or hit[0] is not spark:
-        hit = (spark, build())
-        _BASE[key] = hit
-    return hit[1]
-
-
 def _raw(spark: SparkSession, sf_dir: str, edge: bool = False) -> DataFrame:
-    return _memo("raw", spark, sf_dir, edge, lambda: patients_raw(spark, sf_dir, edge=edge))
+    return patients_raw(spark, sf_dir, edge=edge)
 
 
 def _clean(spark: SparkSession, sf_dir: str, edge: bool = False) -> DataFrame:
-    return _memo("clean", spark, sf_dir, edge, lambda: clean(_raw(spark, sf_dir, edge)))
+    return clean(_raw(spark, sf_dir, edge))
 
 
 def _features(spark: SparkSession, sf_dir: str, edge: bool = False) -> DataFrame:
-    return _memo("features", spark, sf_dir, edge, lambda: features(_raw(spark, sf_dir, edge)))
+    return features(_raw(spark, sf_dir, edge))
 
 
 def _on_clean(fn, edge: bool = False) -> Query:
