@@ -95,7 +95,7 @@ def _assembler(feature_cols: Sequence[str], out: str = "features") -> VectorAsse
 
 def random_forest(feature_cols: Sequence[str] = tuple(S.FEATURE_COLS), num_trees: int = S.RF_TREES,
                   max_depth: int = S.RF_DEPTH, min_leaf: int = S.RF_MIN_LEAF, seed: int = S.SEED,
-                  max_bins: int = 64) -> Pipeline:
+                  max_bins: int = S.MAX_BINS) -> Pipeline:
     rf = RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=num_trees,
                                 maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed,
                                 featureSubsetStrategy="sqrt", maxBins=max_bins, impurity="gini",
@@ -105,9 +105,9 @@ def random_forest(feature_cols: Sequence[str] = tuple(S.FEATURE_COLS), num_trees
 
 def gradient_boosting(feature_cols: Sequence[str] = tuple(S.FEATURE_COLS), rounds: int = S.GBT_ROUNDS,
                       depth: int = S.GBT_DEPTH, step: float = S.GBT_STEP, seed: int = S.SEED,
-                      parallelism: int = 4) -> Pipeline:
+                      parallelism: int = 4, max_bins: int = S.MAX_BINS) -> Pipeline:
     gbt = GBTClassifier(labelCol=LABEL, featuresCol="features", maxIter=rounds, maxDepth=depth,
-                        stepSize=step, seed=seed, checkpointInterval=10)
+                        stepSize=step, seed=seed, maxBins=max_bins, checkpointInterval=10)
     ovr = OneVsRest(classifier=gbt, labelCol=LABEL, featuresCol="features", parallelism=parallelism)
     return Pipeline(stages=[_assembler(feature_cols), ovr])
 
@@ -138,51 +138,49 @@ def accuracy(pred: DataFrame) -> DataFrame:
 
 def confusion(pred: DataFrame, classes: Sequence[int] = tuple(S.DIAGNOSIS_LABELS)) -> DataFrame:
     """Counts per (actual, predicted) as a wide table plus row percent (recall per
-    class): ``(actual, pred_<c>..., pct_<c>...)``."""
-    long = (pred.groupBy(F.col(LABEL).cast("int").alias("actual"), F.col("prediction").cast("int").alias("p"))
+    class): ``(actual, pred_<c>..., pct_<c>...)``. One row per class present among the actual
+    or the predicted labels; a class that is only predicted has zeros and NULL percents."""
+    long = (pred.groupBy(F.col(LABEL).cast("int").alias("a"), F.col("prediction").cast("int").alias("p"))
             .agg(F.count(F.lit(1)).alias("n")))
-    wide = long.groupBy("actual").pivot("p", list(classes)).agg(F.first("n")).na.fill(0)
-    wide = wide.select("actual", *[F.col(str(c)).cast("bigint").alias(f"pred_{c}") for c in classes])
-    total = sum((F.col(f"pred_{c}") for c in classes), F.lit(0))
+    hits = [F.sum(F.when((F.col("a") == F.col("actual")) & (F.col("p") == c) & F.col("own"), F.col("n")).otherwise(0))
+            .cast("bigint").alias(f"pred_{c}") for c in classes]
+    # the (a, p) cell is exploded to both its classes; it counts in the row of its actual class once
+    seen = long.select(F.posexplode(F.array("a", "p")).alias("side", "actual"), "a", "p", "n")
+    wide = seen.withColumn("own", F.col("side") == 0).groupBy("actual").agg(*hits)
+    total = F.nullif(sum((F.col(f"pred_{c}") for c in classes), F.lit(0)), F.lit(0))
     pcts = [(F.lit(100.0) * F.col(f"pred_{c}") / total).alias(f"pct_{c}") for c in classes]
     return wide.select("*", *pcts).orderBy("actual")
 
 
-def classification_report(pred: DataFrame, classes: Sequence[int] = tuple(S.DIAGNOSIS_LABELS),
-                          names: dict | None = None) -> DataFrame:
-    """Precision, recall, F1 and support per class, then accuracy, macro and weighted
-    averages (zero denominators give 0), all from one aggregate of the predictions."""
+def classification_report(pred: DataFrame, names: dict | None = None) -> DataFrame:
+    """Precision, recall, F1 and support of every class present among the actual or the predicted
+    labels, then accuracy, macro and weighted averages (zero denominators give 0). Everything
+    comes from the (actual, predicted) counts, one aggregate of the predictions."""
     names = names or S.DIAGNOSIS_LABELS
-    exprs = []
-    for c in classes:
-        is_l, is_p = F.col(LABEL) == float(c), F.col("prediction") == float(c)
-        exprs += [F.sum((is_l & is_p).cast("long")).alias(f"tp{c}"),
-                  F.sum(is_p.cast("long")).alias(f"pp{c}"), F.sum(is_l.cast("long")).alias(f"sup{c}")]
-    counts = pred.agg(*exprs, F.count(F.lit(1)).alias("n"))
-    rows = []
-    for c in classes:
-        tp, pp, sup = F.col(f"tp{c}"), F.col(f"pp{c}"), F.col(f"sup{c}")
-        prec = F.when(pp > 0, tp / pp).otherwise(F.lit(0.0))
-        rec = F.when(sup > 0, tp / sup).otherwise(F.lit(0.0))
-        f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-        rows.append(F.struct(F.lit(names.get(c, str(c))).alias("class"), prec.alias("precision"),
-                             rec.alias("recall"), f1.alias("f1"), sup.alias("support")))
-    per_class = counts.select(F.explode(F.array(*rows)).alias("r"), "n").select("r.*", "n")
-    acc = counts.select(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                        F.lit(None).cast("double").alias("recall"),
-                        (sum((F.col(f"tp{c}") for c in classes), F.lit(0)) / F.col("n")).alias("f1"),
-                        F.col("n").alias("support"))
-    avg = per_class.agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
-        F.sum("support").alias("s"))
-    macro = avg.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"),
-                       F.col("mr").alias("recall"), F.col("mf").alias("f1"), F.col("s").alias("support"))
-    weighted = avg.select(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"),
-                          F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("s").alias("support"))
-    return per_class.drop("n").unionByName(acc).unionByName(macro).unionByName(weighted)
+    cells = (pred.groupBy(F.col(LABEL).cast("int").alias("a"), F.col("prediction").cast("int").alias("p"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    sides = cells.select(F.posexplode(F.array("a", "p")).alias("side", "c"), "a", "p", "n")
+    per = sides.groupBy("c").agg(
+        F.sum(F.when((F.col("side") == 0) & (F.col("a") == F.col("p")), F.col("n")).otherwise(0)).alias("tp"),
+        F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("pp"),
+        F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).cast("bigint").alias("support"))
+    tp, pp, sup = F.col("tp"), F.col("pp"), F.col("support")
+    per = (per.withColumn("precision", F.when(pp > 0, tp / pp).otherwise(F.lit(0.0)))
+           .withColumn("recall", F.when(sup > 0, tp / sup).otherwise(F.lit(0.0))))
+    both = F.col("precision") + F.col("recall")
+    per = per.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(F.lit(0.0)))
+    label = F.coalesce(*[F.when(F.col("c") == c, F.lit(v)) for c, v in names.items()], F.col("c").cast("string"))
+    rows = per.select(label.alias("class"), "precision", "recall", "f1", "support")
+    none = F.lit(None).cast("double")
+    weigh = lambda m: F.sum(F.col(m) * sup) / F.sum(sup)
+    tails = per.agg(F.array(
+        F.struct(F.lit("accuracy").alias("class"), none.alias("precision"), none.alias("recall"),
+                 (F.sum("tp") / F.sum(sup)).alias("f1"), F.sum(sup).alias("support")),
+        F.struct(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
+                 F.avg("f1").alias("f1"), F.sum(sup).alias("support")),
+        F.struct(F.lit("weighted avg").alias("class"), weigh("precision").alias("precision"), weigh("recall").alias("recall"),
+                 weigh("f1").alias("f1"), F.sum(sup).alias("support"))).alias("t")).select(F.inline("t"))
+    return rows.unionByName(tails)
 
 
 def feature_importance(model: PipelineModel, feature_cols: Sequence[str] = tuple(S.FEATURE_COLS),

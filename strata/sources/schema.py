@@ -105,6 +105,7 @@ EXPORT_COLS = ["Age", "Gender_Label", "Educational_Level", "Family_History", "Sl
 # Model settings
 SPLIT_TEST_FRACTION = 0.2
 SEED = 42
+MAX_BINS = 256  # split candidates per feature; covers every value of the score features
 CV_FOLDS = 5
 RF_TREES, RF_DEPTH, RF_MIN_LEAF = 200, 15, 5
 GBT_ROUNDS, GBT_DEPTH, GBT_STEP = 100, 3, 0.1
