@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from strata.operators.windows import bucket_target, exact_row_number, hash_prefix_for
 from strata.sources import schema as S
 
 
@@ -17,37 +18,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_questionnaire_csv(spark: SparkSession, path: str, with_id: bool = True,
-                           na_markers: tuple = ("NA", "N/A", "NaN", "null", "None")) -> DataFrame:
-    """Header CSV with the fixed 32-column schema; header names are checked, not inferred.
-
-    Cells are read as text under the fixed header, then typed: a blank cell or one of
-    ``na_markers`` becomes NULL in every column (never NaN, which would pass
-    ``NaN > 4`` in Spark), anything else is cast with an ANSI cast, so a value that is
-    neither a number nor a marker fails the load instead of silently turning NULL.
-    ``with_id`` adds a surrogate key that is unique but not dense
-    (``monotonically_increasing_id``), computed without a shuffle.
-    """
-    df = (spark.read.schema(TEXT_SCHEMA).option("header", True).option("enforceSchema", False)
-          .option("mode", "FAILFAST").option("nullValue", "").csv(path))
-    cols = typed_cells(na_markers)
-    if with_id:
-        cols = [F.monotonically_increasing_id().alias("id")] + cols
-    return df.select(*cols)
-
+# The texts that the notebook's CSV reader takes as missing.
+MISSING_MARKERS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                   "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 # the file's columns, all as text: cells are typed by ``typed_cells``
 TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType(), True) for f in S.CSV_SCHEMA.fields])
 
 
-def typed_cells(na_markers: tuple = ("NA", "N/A", "NaN", "null", "None")) -> list[Column]:
-    """The 32 file columns typed from text: blank or NA marker -> NULL, else ANSI cast."""
+def read_questionnaire_csv(spark: SparkSession, path: str, with_id: bool = True, rules: str = "notebook") -> DataFrame:
+    """Header CSV with the fixed 32-column schema; header names are checked, not inferred.
+
+    Cells are read as text under the fixed header, then typed by :func:`typed_cells`; a value that
+    is neither a number nor a marker fails the load instead of silently turning NULL.
+    ``with_id`` adds the surrogate key of :func:`with_surrogate_id`."""
+    df = (spark.read.schema(TEXT_SCHEMA).option("header", True).option("enforceSchema", False)
+          .option("mode", "FAILFAST").option("nullValue", "").option("ignoreLeadingWhiteSpace", False)
+          .option("ignoreTrailingWhiteSpace", False).csv(path))
+    if with_id:
+        df = with_surrogate_id(df)
+    return df.select(*(["id"] if with_id else []), *typed_cells(rules))
+
+
+def with_surrogate_id(df: DataFrame, name: str = "id") -> DataFrame:
+    """A dense key 1..n in the order of a hash of the cells (equal rows in any order: they are
+    interchangeable). It is unique and does not depend on files, splits or partitions. The rows
+    are numbered in two levels over hash ranges, one shuffle, no single task."""
+    order = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    digits = hash_prefix_for(bucket_target(df.sparkSession))
+    out = exact_row_number(df.withColumn("_order", order), [], [F.asc("_order")], [F.substring("_order", 1, digits)], name=name)
+    return out.select(F.col(name).cast("bigint").alias(name), *[F.col(f"`{c}`") for c in df.columns])
+
+
+def typed_cells(rules: str = "notebook") -> list[Column]:
+    """The 32 file columns typed from text.
+
+    ``notebook``: a cell that is one of ``MISSING_MARKERS`` is NULL, in text columns too.
+    ``sql``: only the blank cell is NULL; ``NA`` is text in a text column and an error in a
+    numeric one. In both, numeric cells are trimmed and text cells are kept as they are; NaN
+    never enters (it would pass ``NaN > 4`` in Spark); an integer column takes ``2.0`` as 2 (what
+    a column with gaps is written as) and fails on a fraction."""
+    if rules not in ("notebook", "sql"):
+        raise ValueError("rules: notebook or sql")
+    markers = MISSING_MARKERS if rules == "notebook" else ("",)
     cols = []
     for f in S.CSV_SCHEMA.fields:
-        c = F.trim(F.col(f.name))
-        missing = c.isNull() | (c == "") | c.isin(*na_markers)
-        typed = c if f.dataType == T.StringType() else c.cast(f.dataType)
-        cols.append(F.when(missing, F.lit(None).cast(f.dataType)).otherwise(typed).alias(f.name))
+        raw = F.col(f.name)
+        if f.dataType == T.StringType():
+            out = F.when(raw.isNull() | raw.isin(*markers), F.lit(None)).otherwise(raw)
+        else:
+            cell = F.trim(raw)
+            number = cell.cast("double")  # an ANSI cast: anything but a number fails
+            if f.dataType != T.DoubleType():
+                whole = F.when(number == F.floor(number), number)
+                number = F.when(whole.isNull(), F.raise_error(F.concat(F.lit(f"not a whole number in {f.name}: "), cell))
+                                .cast("double")).otherwise(whole)
+            number = F.nullif(number, F.lit(float("nan")))
+            out = F.when(cell.isNull() | cell.isin(*markers), F.lit(None)).otherwise(number).cast(f.dataType)
+        cols.append(out.cast(f.dataType).alias(f.name))
     return cols
 
 

@@ -21,7 +21,8 @@ def read_questionnaire_stream(spark: SparkSession, input_dir: str, max_files_per
 
     Streamed rows carry no surrogate key (``id`` is NULL): a position-based id is not
     available to a stream, and the summary never reads the key."""
-    df = (spark.readStream.schema(TEXT_SCHEMA).option("header", True)
+    df = (spark.readStream.schema(TEXT_SCHEMA).option("header", True).option("enforceSchema", False)
+          .option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .option("maxFilesPerTrigger", max_files_per_trigger).csv(input_dir))
     return df.select(F.lit(None).cast("long").alias("id"), *typed_cells())
 

@@ -51,6 +51,53 @@ def test_csv_numeric_na_markers_and_bad_values(spark):
         read_questionnaire_csv(spark, f"{base}/bad.csv").collect()
 
 
+def _file(vals_rows, path):
+    with open(path, "w") as fh:
+        fh.write(",".join(S.CSV_SCHEMA.fieldNames()) + "\n" + "".join(",".join(v) + "\n" for v in vals_rows))
+    return path
+
+
+def _cells(**over):
+    base = dict(zip(S.CSV_SCHEMA.fieldNames(), ["10", "1", "Primary", "Yes", "7.5", "1"] + ["1"] * 18
+                    + ["0", "1", "1", "0", "1", "1", "0", "2"]))
+    return [{**base, **over}[c] for c in S.CSV_SCHEMA.fieldNames()]
+
+
+def test_notebook_and_sql_rules(spark):
+    import pytest
+    base = tempfile.mkdtemp(prefix="strata-test-rules-")
+    path = _file([_cells(Educational_Level=" Primary ", Family_History="n/a", Gender="2.0", Sleep_Hours="nan", Age=" 11 ",
+                         Daily_Activity_Hours="#N/A", Q1_1="<NA>", Diagnosis_Class="")], f"{base}/a.csv")
+    r = read_questionnaire_csv(spark, path).first()
+    assert (r.Educational_Level, r.Family_History, r.Gender, r.Sleep_Hours, r.Age) == (" Primary ", None, 2, None, 11.0)
+    assert (r.Daily_Activity_Hours, r.Q1_1, r.Diagnosis_Class) == (None, None, None)
+    with pytest.raises(Exception):
+        read_questionnaire_csv(spark, path, rules="sql").collect()
+    path = _file([_cells(Educational_Level="NA", Family_History="", Sleep_Hours="")], f"{base}/b.csv")
+    r = read_questionnaire_csv(spark, path, rules="sql").first()
+    assert (r.Educational_Level, r.Family_History, r.Sleep_Hours) == ("NA", None, None)
+    path = _file([_cells(Gender="1.5")], f"{base}/c.csv")
+    with pytest.raises(Exception):
+        read_questionnaire_csv(spark, path).collect()
+
+
+def test_surrogate_key_is_dense_and_independent_of_splits(spark, sf_small):
+    path = tempfile.mkdtemp(prefix="strata-test-key-") + "/cohort"
+    rows = patients_raw(spark, sf_small).select(*S.CSV_SCHEMA.fieldNames())
+    write_csv(rows.union(rows.limit(50)).repartition(5), path)
+    a = read_questionnaire_csv(spark, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        n = a.count()
+        assert a.agg(F.min("id"), F.max("id"), F.countDistinct("id")).first() == (1, n, n)
+        a = sorted(map(tuple, a.collect()))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        b = sorted(map(tuple, read_questionnaire_csv(spark, path).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert a == b
+
+
 def test_key_check(spark, sf_small):
     r = key_check(patients_raw(spark, sf_small), "id").collect()[0]
     assert r["rows"] == r["distinct_keys"] and r["duplicate_keys"] == 0
