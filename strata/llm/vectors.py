@@ -27,7 +27,8 @@ SEED = 20240917
 PLANES = 6        # bits per query coordinate
 EPSILON = 2.5     # standard deviations of the estimate's error (tests measure the recall)
 FIRST = 4         # first reranked: FIRST * k vectors with the best estimates
-STEP = 256        # queries handled at once
+STEP = 64         # queries handled at once
+PAIRS = 1 << 15   # exact products taken at once
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -70,13 +71,16 @@ class Codes:
         with_code = (2 * at_ones - (low * self.dim + width * level.sum(axis=1, keepdims=True))) / np.sqrt(self.dim)
         size = np.linalg.norm(queries, axis=1)[:, None]
         spread = np.sqrt(np.maximum(1 - self.own ** 2, 0) / max(self.dim - 1, 1)) / self.own
-        return (self.norm * with_code / self.own,
-                self.norm * (size * EPSILON * spread + rounding / self.own))
+        return (with_code * (self.norm / self.own),
+                size * (EPSILON * self.norm * spread) + rounding * (self.norm / self.own))
 
 
-def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products of paired rows, in double precision."""
-    return np.einsum("ij,ij->i", queries, vectors)
+def exact(queries: np.ndarray, vectors: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of query i and vector j of every pair, in double precision."""
+    out = np.empty(len(i))
+    for b in range(0, len(i), PAIRS):
+        out[b:b + PAIRS] = np.einsum("ij,ij->i", queries[i[b:b + PAIRS]], vectors[j[b:b + PAIRS]])
+    return out
 
 
 def block_top(vec_ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
@@ -94,7 +98,7 @@ def block_top(vec_ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
             scores[vec_ids[first] == qid[:, None]] = -np.inf
             bound = np.partition(scores, -k, axis=1)[:, -k]
         i, j = np.nonzero(other & (value + error >= bound[:, None]))
-        score = exact(q[i], vectors[j])
+        score = exact(q, vectors, i, j)
         order = np.lexsort((vec_ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
