@@ -1,10 +1,9 @@
 """Feature matrix, stratified split and folds, three classifiers and their evaluation.
 
 * The split and the folds are exact per class: each class's rows are ordered by
-  ``md5(id:seed)`` and numbered with the bucketed row number of ``windows`` (hash
-  prefix buckets), so no class is ever sorted on one task. The first
-  ``round(test_fraction * n_class)`` rows of a class are the test part; fold =
-  (row number - 1) mod k.
+  ``md5(id:seed)``, and the rows at the cut positions are found from counts per hash range. The
+  first ``round(test_fraction * n_class)`` rows of a class are the test part; the folds are k
+  consecutive parts of the order. Rows are compared with the cuts in the scan.
 * Models are Spark ML pipelines (distributed fits). Multi-class boosting is one-vs-rest
   over binary GBTs, since Spark's GBT is binary only.
 * Every evaluation number is an aggregate over the prediction DataFrame; only model
@@ -23,7 +22,8 @@ from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembl
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from strata.operators.windows import bucket_target, exact_row_number, hash_prefix_for
+from strata.operators.joins import join_small
+from strata.operators.windows import bucket_target, hash_prefix_for, passed_cuts, position_cuts
 from strata.sources import schema as S
 
 LABEL = "label"
@@ -41,44 +41,43 @@ def model_frame(feat: DataFrame, feature_cols: Sequence[str] = tuple(S.FEATURE_C
     return out.dropna(subset=nullable) if nullable else out
 
 
-def _hash_order(id_col: str, seed: int):
-    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
+def _hash_cuts(df: DataFrame, label: str, id_col: str, seed: int, positions) -> tuple[DataFrame, DataFrame]:
+    """Rows with their hash order ``__h`` (md5 of ``id:seed``) and its range ``__r``, and each
+    class's cut rows in that order: ranges are counted, and only the ranges that hold a cut are
+    looked into."""
+    x = df.withColumn("__h", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))))
+    digits = hash_prefix_for(bucket_target(df.sparkSession))
+    x = x.withColumn("__r", F.substring("__h", 1, digits))
+    return x, position_cuts(x.select(label, "__r", "__h"), [label], "__r", "__h", positions)
 
 
-def stratified_rows(df: DataFrame, label: str = LABEL, id_col: str = "id", seed: int = S.SEED,
-                    hash_prefix: int | None = None) -> DataFrame:
-    """Adds ``rn`` (1-based position of the row in its class, ordered by
-    ``md5(id:seed)`` then id) and ``class_n`` (rows in the class).
-
-    Buckets are a prefix of the md5 text with about 64 buckets per shuffle partition
-    (at least 4096), so a (class, bucket) window is a small slice of a partition at any
-    size; beyond 4096 buckets the per-class offsets are themselves computed in two
-    levels (3-digit prefix)."""
-    digits = hash_prefix or hash_prefix_for(bucket_target(df.sparkSession))
-    h = _hash_order(id_col, seed)
-    x = df.withColumn("__h", h)
-    coarse = [F.substring("__h", 1, digits - 3)] if digits > 3 else None
-    out = exact_row_number(x, [label], [F.asc("__h"), F.asc(id_col)],
-                           [F.substring("__h", 1, digits)], name="rn", total_name="class_n",
-                           offset_buckets=coarse)
-    return out.drop("__h")
+def _passed(df: DataFrame, label: str, id_col: str, seed: int, positions, name: str) -> DataFrame:
+    x, cuts = _hash_cuts(df, label, id_col, seed, positions)
+    rows = join_small(x, cuts, [label], how="left", null_safe=True)
+    return (rows.withColumn(name, passed_cuts(F.col("cuts"), F.col("__r"), F.col("__h")))
+            .withColumn("__some", F.size(F.coalesce("cuts", F.array())) > 0).drop("cuts", "__h", "__r"))
 
 
 def stratified_split(df: DataFrame, label: str = LABEL, id_col: str = "id",
                      test_fraction: float = S.SPLIT_TEST_FRACTION, seed: int = S.SEED) -> DataFrame:
     """Adds ``part`` = 'test' for the first round(test_fraction * class size) rows of each
-    class in hash order, else 'train'. Exact per-class counts."""
-    rows = stratified_rows(df, label, id_col, seed)
-    n_test = F.round(F.col("class_n") * F.lit(test_fraction)).cast("bigint")
-    return rows.withColumn("part", F.when(F.col("rn") <= n_test, "test").otherwise("train")).drop("rn", "class_n")
+    class in hash order, else 'train'. Exact per-class counts. Only the cut row of each class is
+    looked for; the rows are labelled where they are scanned and not shuffled."""
+    n_test = lambda n: F.array(F.round(n * F.lit(test_fraction)).cast("bigint"))
+    rows = _passed(df, label, id_col, seed, n_test, "__after")
+    test = F.col("__some") & (F.col("__after") == 0)
+    return rows.withColumn("part", F.when(test, "test").otherwise("train")).drop("__after", "__some")
 
 
 def stratified_folds(df: DataFrame, k: int = S.CV_FOLDS, label: str = LABEL, id_col: str = "id",
                      seed: int = S.SEED) -> DataFrame:
-    """Adds ``fold`` in 0..k-1: consecutive rows of a class in hash order go to
-    consecutive folds, so fold sizes per class differ by at most one."""
-    rows = stratified_rows(df, label, id_col, seed)
-    return rows.withColumn("fold", ((F.col("rn") - 1) % k).cast("int")).drop("rn", "class_n")
+    """Adds ``fold`` in 0..k-1: each class in hash order is cut into k consecutive parts whose
+    sizes differ by at most one (the first ones are larger); k - 1 cut rows per class."""
+    def ends(n):
+        q, r = F.floor(n / k), n % k
+        return F.array(*[(F.lit(j) * q + F.least(F.lit(j), r)).cast("long") for j in range(1, k)])
+
+    return _passed(df, label, id_col, seed, ends, "fold").withColumn("fold", F.col("fold").cast("int")).drop("__some")
 
 
 def split_report(split: DataFrame, label: str = LABEL) -> DataFrame:

@@ -54,8 +54,7 @@ def with_f_pvalue(res: DataFrame, alpha: float = 0.05, digits: int | None = None
         "significant", F.when(F.col("p_value") < alpha, "YES").otherwise("NO"))
 
 
-def kruskal_wallis(df: DataFrame, variables: Sequence[str], group: str, digits: int | None = 6,
-                   value_buckets: int = 1024) -> DataFrame:
+def kruskal_wallis(df: DataFrame, variables: Sequence[str], group: str, digits: int | None = 6) -> DataFrame:
     """Kruskal-Wallis H per variable across ``group``, with the tie correction.
 
     All variables in one pass: stacked long ``(variable, group, value)``, mid-ranks from
@@ -64,7 +63,7 @@ def kruskal_wallis(df: DataFrame, variables: Sequence[str], group: str, digits:
     """
     long = unpivot(df.where(F.col(group).isNotNull()), variables, keep=[group])
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    sums = midrank_sums(long, ["variable"], group, "value", value_buckets, by_bound=len(variables))
+    sums = midrank_sums(long, ["variable"], group, "value")
     per_var = sums.groupBy("variable").agg(
         F.count(F.lit(1)).alias("k"), F.first("n_total").alias("n_total"), F.first("ties").alias("ties"),
         F.sum(F.col("rank_sum") ** 2 / F.col("n")).alias("s"))

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strata.operators.joins import join_small, materialize
 
+VALUE_BUCKETS = 128  # buckets of a group's histogram: each is a task's worth of distinct values
+
 
 def _nonnull_keys(df: DataFrame, cols: Sequence[str], prefix: str) -> tuple[DataFrame, list[str]]:
     """Replace nullable key columns by (value or sentinel, is-null flag) pairs, so plain
@@ -122,73 +124,93 @@ def hash_prefix_for(buckets: int, minimum: int = 3, maximum: int = 8) -> int:
     return min(maximum, max(minimum, math.ceil(math.log(max(buckets, 2), 16))))
 
 
-def ntile_from_row_number(rn: Column, n: Column, k: int) -> Column:
-    """``NTILE(k)`` from a 1-based row number and the group size: the first ``n % k``
-    tiles hold one row more."""
-    q = F.floor(n / k).cast("long")
-    r = (n % k).cast("long")
-    big = r * (q + 1)
-    return (F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1)
-            .otherwise(r + F.floor((rn - big - 1) / F.nullif(q, F.lit(0))) + 1)).cast("int")
-
-
-def id_range_bucket(id_col: str, df: DataFrame, n_buckets: int = 256) -> Column:
-    """Equal-width bucket of an integer key over its observed range (one scalar subquery
-    for the bounds). Monotone in the key, so it can refine an order that ends with it."""
-    rng = df.select(F.struct(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"))).scalar()
-    lo, hi = rng.getField("lo"), rng.getField("hi")
-    width = F.greatest(F.ceil((hi - lo + 1) / F.lit(n_buckets)), F.lit(1))
-    return F.floor((F.col(id_col) - lo) / width).cast("long")
-
-
-def ntile(df: DataFrame, k: int, partition_by: Sequence[str], score: str, id_col: str,
-          name: str = "ntile", id_buckets: int | None = None) -> DataFrame:
-    """``NTILE(k) OVER (PARTITION BY p ORDER BY score NULLS LAST, id)``.
-
-    Buckets are (score, id range), so a group whose rows share one score is still spread
-    over ``id_buckets`` tasks. By default the id ranges grow with the session's shuffle
-    partitions (256 .. 65536); past 4096 the count table's offsets are computed per
-    score in two levels as well.
-    """
-    if id_buckets is None:
-        id_buckets = int(max(256, min(65536, bucket_target(df.sparkSession, 8))))
-    order = [F.asc_nulls_last(score), F.asc(id_col)]
-    buckets = [F.col(score), id_range_bucket(id_col, df, id_buckets)]
-    coarse = [F.col(score)] if id_buckets > 4096 else None
-    rn = exact_row_number(df, partition_by, order, buckets, name="__rn", total_name="__n",
-                          offset_buckets=coarse)
-    return rn.withColumn(name, ntile_from_row_number(F.col("__rn"), F.col("__n"), k)).drop("__rn", "__n")
+def value_bucketed(hist: DataFrame, value: str, by: Sequence[str], n: int, name: str = "__vb") -> DataFrame:
+    """Adds a bucket number 0..n-1 of ``value`` within ``by``, monotone in the value and even in
+    histogram rows: the bounds are approximate quantiles of the values themselves (one bounded
+    sketch per group), so one outlier or a long tail does not push the rest into one bucket.
+    NULL values get a NULL bucket."""
+    probs = [i / n for i in range(1, n)]
+    cuts = F.percentile_approx(value, probs, 20 * n)
+    if by:
+        bounds = hist.groupBy(*by).agg(cuts.alias("__cuts"))
+        hist = join_small(hist, bounds, list(by), null_safe=True)
+    else:
+        hist = hist.withColumn("__cuts", hist.select(cuts.alias("c")).scalar())
+    below = F.aggregate("__cuts", F.lit(0), lambda acc, c: acc + F.when(c < F.col(value), 1).otherwise(0))
+    return hist.withColumn(name, F.when(F.col(value).isNotNull(), below).cast("long")).drop("__cuts")
+
+
+def position_cuts(df: DataFrame, by: Sequence[str], coarse: str, fine: str, positions) -> DataFrame:
+    """The rows at given positions of each group's order, without moving the rows.
+
+    The order is ``coarse`` (ascending, NULLs last), then ``fine`` (a unique key). ``positions`` is
+    a function of the group size that gives an array of 1-based positions. Result: ``by``,
+    ``cuts``: one struct (k, last, coarse, fine) per position from 1 on, k its place in the array
+    and ``last`` whether ``coarse`` is NULL.
+
+    Counts per (group, coarse) say in which coarse value each position falls; only the rows with
+    those values are numbered, in two levels. Everything else is only counted."""
+    counts = materialize(df.groupBy(*by, coarse).agg(F.count(F.lit(1)).alias("__c")), "counts")
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_last(coarse))
+    counts = (counts.withColumn("__before", F.sum("__c").over(order) - F.col("__c"))
+              .withColumn("__n", F.sum("__c").over(Window.partitionBy(*by))))
+    wanted = (counts.select(*by, coarse, "__before", "__c", F.posexplode(positions(F.col("__n"))).alias("__k", "__pos"))
+              .where((F.col("__pos") > F.col("__before")) & (F.col("__pos") <= F.col("__before") + F.col("__c")))
+              .select(*by, coarse, "__k", (F.col("__pos") - F.col("__before")).alias("__at")))
+    cells = materialize(wanted.groupBy(*by, coarse).agg(F.collect_list(F.struct("__k", "__at")).alias("__want")), "cells")
+    inside = join_small(df.select(*by, coarse, fine), cells, [*by, coarse], null_safe=True)
+    # a numeric key may fill a hot coarse value (a score): spread it; a hash text's range is small
+    numeric = dict(df.dtypes)[fine] != "string"
+    inside = value_bucketed(inside, fine, [*by, coarse], 64, "__fb") if numeric else inside.withColumn("__fb", F.lit(0))
+    numbered = bucketed_prefix_sum(inside, [*by, coarse], [F.asc(fine)], [F.col("__fb")], name="__rn")
+    hits = numbered.select(*by, coarse, fine, "__rn", F.explode("__want").alias("w")).where(F.col("w.__at") == F.col("__rn"))
+    cut = F.struct(F.col("w.__k").alias("k"), F.col(coarse).isNull().alias("last"), F.col(coarse).alias("coarse"),
+                   F.col(fine).alias("fine"))
+    return materialize(hits.groupBy(*by).agg(F.sort_array(F.collect_list(cut)).alias("cuts")), "cuts")
+
+
+def passed_cuts(cuts: Column, coarse: Column, fine: Column) -> Column:
+    """How many of its group's cuts a row stands after (the cut row itself is not after it)."""
+    def after(c: Column) -> Column:
+        null, other = coarse.isNull(), c["last"]
+        tie = (null & other) | (coarse == c["coarse"])
+        return (null & ~other) | F.coalesce(coarse > c["coarse"], F.lit(False)) | (F.coalesce(tie, F.lit(False)) & (fine > c["fine"]))
+
+    return F.coalesce(F.size(F.filter(cuts, after)), F.lit(0))
+
+
+def ntile(df: DataFrame, k: int, partition_by: Sequence[str], score: str, id_col: str, name: str = "ntile") -> DataFrame:
+    """``NTILE(k) OVER (PARTITION BY p ORDER BY score NULLS LAST, id)`` by ``k - 1`` cut rows per
+    group: the rows are labelled where they are scanned and never shuffled."""
+    def ends(n: Column) -> Column:
+        q, r = F.floor(n / k), n % k
+        return F.array(*[(F.lit(j) * q + F.least(F.lit(j), r)).cast("long") for j in range(1, k)])
+
+    cuts = position_cuts(df, list(partition_by), score, id_col, ends)
+    rows = join_small(df, cuts, list(partition_by), how="left", null_safe=True)
+    return rows.withColumn(name, (passed_cuts(F.col("cuts"), F.col(score), F.col(id_col)) + 1).cast("int")).drop("cuts")
 
 
 def rank_histogram(df: DataFrame, partition_by: Sequence[str], score: str,
-                   descending: bool = True, name: str = "rank", value_buckets: int = 1024) -> DataFrame:
+                   descending: bool = True, name: str = "rank", value_buckets: int = VALUE_BUCKETS) -> DataFrame:
     """Histogram ``(group..., score, n)`` with the gap rank of each score in its group:
     1 + number of rows with a better score. NULL scores rank first when descending and
     last when ascending (the ordering of the analysed SQL dialect).
 
-    The running counts over the histogram use the bucketed prefix sum with equal-width
-    value buckets per group (flipped for descending order), so a continuous score with
-    many distinct values is not ranked on one task per group.
+    The running counts over the histogram use the bucketed prefix sum over value buckets per
+    group (flipped for descending order), so a continuous score with many distinct values is
+    not ranked on one task per group.
     """
     hist = materialize(df.groupBy(*partition_by, score).agg(F.count(F.lit(1)).alias("n")), "hist")
     part = list(partition_by)
-    if part:
-        bounds = hist.groupBy(*part).agg(F.min(score).alias("__rlo"), F.max(score).alias("__rhi"))
-        hb = join_small(hist, bounds, part, null_safe=True)
-    else:
-        rng = hist.select(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"))).scalar()
-        hb = hist.withColumns({"__rlo": rng.getField("lo"), "__rhi": rng.getField("hi"), "__rall": F.lit(0)})
-        part = ["__rall"]
-    span = F.col("__rhi") - F.col("__rlo")
-    raw = F.when(span > 0, F.least(F.floor((F.col(score) - F.col("__rlo")) * value_buckets / span),
-                                   F.lit(value_buckets - 1))).otherwise(F.lit(0)).cast("long")
+    hb = value_bucketed(hist, score, part, value_buckets, "__rb")
+    if not part:
+        hb, part = hb.withColumn("__rall", F.lit(0)), ["__rall"]
     if descending:
-        bucket = F.when(F.col(score).isNull(), F.lit(-1)).otherwise(F.lit(value_buckets - 1) - raw)
+        hb = hb.withColumn("__rb", F.coalesce(F.lit(value_buckets) - F.col("__rb"), F.lit(-1)))
         order = [F.desc_nulls_first(score)]
     else:
-        bucket = raw  # NULL score -> NULL bucket, which sorts last
-        order = [F.asc_nulls_last(score)]
-    hb = hb.withColumn("__rb", bucket).drop("__rlo", "__rhi")
+        order = [F.asc_nulls_last(score)]  # a NULL score has a NULL bucket, which sorts last
     ranked = bucketed_prefix_sum(hb, part, order, [F.col("__rb")], name="__before",
                                  weight=F.col("n"), exclusive=True)
     out = ranked.withColumn(name, (F.col("__before") + 1).cast("bigint")).drop("__before", "__rb")
@@ -204,46 +226,39 @@ def rank_by_score(df: DataFrame, partition_by: Sequence[str], score: str,
 
 
 def midrank_sums(long: DataFrame, by: Sequence[str], group: str, value: str = "value",
-                 value_buckets: int = 1024, by_bound: int | None = None) -> DataFrame:
+                 value_buckets: int = VALUE_BUCKETS) -> DataFrame:
     """For each ``by`` key (e.g. variable): per group the count ``n`` and the sum of the
     mid-ranks ``rank_sum`` of its values among all non-NULL values of that key, plus the
     tie term ``sum(t^3 - t)`` over tied blocks (``ties``) and the total ``n_total``.
 
     Works on the value histogram only: ``(by, value, group) -> c``, ``(by, value) -> t``;
-    the rows below each value come from a bucketed prefix sum over the histogram
-    (value buckets of equal width per key), so even a continuous column with many
-    distinct values is spread over tasks.
+    the rows below each value come from a bucketed prefix sum over the histogram, so even a
+    continuous column with many distinct values is spread over tasks. The group counts of a
+    value travel as one array with it, so ranks, ties and rank sums come from one pass over
+    the running counts.
     """
     src = long.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     # the one pass over the rows; every later step (bounds, running counts, mid-ranks,
     # ties, rank sums) reads this histogram, written once, instead of re-scanning
     h3 = materialize(src.groupBy(*by, value, group).agg(F.count(F.lit(1)).alias("c")), "hist")
-    h2 = h3.groupBy(*by, value).agg(F.sum("c").alias("t"))
-    # equal-width value buckets per key; the bounds table has one row per ``by`` key
-    bounds = h2.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    if by_bound is not None:
-        # the caller proves the size (e.g. one row per listed variable): plain broadcast
-        h2b = h2.join(F.broadcast(bounds), list(by))
-    else:
-        h2b = join_small(h2, bounds, list(by))
-    span = F.col("__hi") - F.col("__lo")
-    bucket = F.when(span > 0, F.least(F.floor((F.col(value) - F.col("__lo")) * value_buckets / span),
-                                      F.lit(value_buckets - 1))).otherwise(F.lit(0)).cast("long")
-    h2b = h2b.withColumn("__vb", bucket).drop("__lo", "__hi")
-    below = bucketed_prefix_sum(h2b, by, [F.asc(value)], [F.col("__vb")], name="below",
+    # a value's counts per group: at most as many entries as groups
+    h2 = h3.groupBy(*by, value).agg(F.sum("c").alias("t"), F.collect_list(F.struct(F.col(group).alias("g"), "c")).alias("cs"))
+    h2 = materialize(value_bucketed(h2, value, by, value_buckets), "ranked")
+    below = bucketed_prefix_sum(h2, by, [F.asc(value)], [F.col("__vb")], name="below",
                                 weight=F.col("t"), exclusive=True).drop("__vb")
-    # mid-rank of a value = rows below + (t + 1) / 2
-    mids = below.withColumn("midrank", F.col("below") + (F.col("t") + 1) / 2.0)
-    ties = mids.groupBy(*by).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"),
-                                 F.sum("t").alias("n_total"))
-    per_group = (h3.join(mids.select(*by, value, "midrank"), list(by) + [value])
-                 .groupBy(*by, group).agg(F.sum("c").alias("n"),
-                                          F.sum(F.col("c") * F.col("midrank")).alias("rank_sum")))
-    return per_group.join(ties, list(by))
+    # mid-rank of a value = rows below + (t + 1) / 2; the tie term rides along on the first group
+    mid = F.col("below") + (F.col("t") + 1) / 2.0
+    parts = below.select(*by, mid.alias("mid"), (F.col("t").cast("double") ** 3 - F.col("t")).alias("tie"),
+                         F.posexplode("cs").alias("pos", "s"))
+    per_group = parts.groupBy(*by, F.col("s.g").alias(group)).agg(
+        F.sum("s.c").alias("n"), F.sum(F.col("s.c") * F.col("mid")).alias("rank_sum"),
+        F.sum(F.when(F.col("pos") == 0, F.col("tie")).otherwise(0.0)).alias("tie"))
+    own = Window.partitionBy(*by)  # one row per group here
+    return (per_group.withColumn("ties", F.sum("tie").over(own)).withColumn("n_total", F.sum("n").over(own)).drop("tie"))
 
 
 def histogram_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
-                          value_buckets: int = 1024, name: str = "q",
+                          value_buckets: int = VALUE_BUCKETS, name: str = "q",
                           counts: str | None = None) -> DataFrame:
     """Exact interpolated percentiles (``percentile_cont``) per group, computed from the
     value histogram: ``(by..., n, q)`` with ``q`` an array in the order of ``probs``.
@@ -256,23 +271,14 @@ def histogram_percentiles(df: DataFrame, value: str, by: Sequence[str], probs: S
     most ``len(probs)`` rows), and only the matching rows reach the final aggregate.
     ``counts`` names a count column when ``df`` is already a histogram.
     """
-    src = df.where(F.col(value).isNotNull())
+    src = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if counts is not None:
         # ``df`` is already a (by..., value, counts) histogram
         hist = src.withColumnRenamed(counts, "__t")
     else:
         # one pass over the rows; bounds, running counts and probes read the written histogram
         hist = materialize(src.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__t")), "hist")
-    if by:
-        bounds = hist.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-        hb = join_small(hist, bounds, list(by), null_safe=True)
-    else:
-        rng = hist.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-        hb = hist.withColumns({"__lo": rng.getField("lo"), "__hi": rng.getField("hi")})
-    span = F.col("__hi") - F.col("__lo")
-    bucket = F.when(span > 0, F.least(F.floor((F.col(value) - F.col("__lo")) * value_buckets / span),
-                                      F.lit(value_buckets - 1))).otherwise(F.lit(0)).cast("long")
-    hb = hb.withColumn("__vb", bucket).drop("__lo", "__hi")
+    hb = value_bucketed(hist, value, list(by), value_buckets)
     part = list(by) if by else []
     if not part:
         hb = hb.withColumn("__all", F.lit(0))

@@ -357,8 +357,9 @@ _PART = "CASE WHEN rn <= ROUND(class_n * 0.2) THEN 'test' ELSE 'train' END"
 MODEL_B = {
     "split_assignment": _RANKED + f"\nSELECT id, class, {_PART} AS part FROM ranked",
     "split_report": _RANKED + f"\nSELECT {_PART} AS part, class, COUNT(*) AS n FROM ranked GROUP BY 1, 2",
-    "fold_assignment": _RANKED + "\nSELECT id, class, CAST((rn - 1) % 5 AS INT) AS fold FROM ranked",
-    "fold_sizes": _RANKED + "\nSELECT CAST((rn - 1) % 5 AS INT) AS fold, class, COUNT(*) AS n FROM ranked GROUP BY 1, 2",
+    "fold_assignment": _RANKED + "\nSELECT id, class, CAST(NTILE(5) OVER (PARTITION BY class ORDER BY rn) - 1 AS INT) AS fold FROM ranked",
+    "fold_sizes": _RANKED + "\nSELECT fold, class, COUNT(*) AS n FROM (SELECT class, "
+                            "CAST(NTILE(5) OVER (PARTITION BY class ORDER BY rn) - 1 AS INT) AS fold FROM ranked) f GROUP BY 1, 2",
 }
 NB_QUERIES.update({k: with_features(v) for k, v in MODEL_B.items()})
 NB_QUERIES["split_report_edge"] = with_features(MODEL_B["split_report"], edge=True)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window, functions as F
 
 from strata.operators.windows import (bucketed_prefix_sum, exact_row_number, midrank_sums, ntile,
-                                      rank_by_score)
+                                      rank_by_score, value_bucketed)
 
 
 def _skewed(spark, n=3000, seed=7):
@@ -34,7 +34,7 @@ def test_exact_row_number_matches_window(spark):
 
 def test_ntile_matches_window_with_tiebreak(spark):
     df = _skewed(spark)
-    got = ntile(df, 4, ["g"], "s", "id", name="q", id_buckets=16)
+    got = ntile(df, 4, ["g"], "s", "id", name="q")
     w = Window.partitionBy("g").orderBy(F.asc_nulls_last("s"), F.asc("id"))
     ref = df.withColumn("q_ref", F.ntile(4).over(w))
     j = got.join(ref.select("id", "q_ref"), "id")
@@ -119,19 +119,27 @@ def test_three_level_row_number(spark):
     assert j.where((F.col("rn") != F.col("rn_ref")) | (F.col("n") != F.col("n_ref"))).count() == 0
 
 
-def test_split_with_forced_deep_prefix(spark, sf_small):
-    from strata.operators import ml as ML
-    from strata.operators.clean import features
-    from strata.sources.cohort import patients_raw
-    rows = ML.model_frame(features(patients_raw(spark, sf_small)))
-    a = ML.stratified_rows(rows, hash_prefix=3).select("id", "rn")
-    b = ML.stratified_rows(rows, hash_prefix=5).select("id", "rn")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_value_buckets_are_even_with_outliers_and_tails(spark):
+    rows = [("x", i / 1000.0) for i in range(4000)] + [("x", 1e12)] + [("x", float(2 ** i)) for i in range(60)] + [("y", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = value_bucketed(df, "v", ["g"], 32, "b").where("v is not null")
+    sizes = [r["count"] for r in got.groupBy("b").count().collect()]
+    assert max(sizes) <= 3 * sum(sizes) / 32
+    lows = got.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(lows, lows[1:]))
+
+
+def test_ntile_of_small_groups(spark):
+    rows = [(g * 100 + i, f"g{g}", None if i == 0 else 5) for g in range(1, 8) for i in range(g)]
+    df = spark.createDataFrame(rows, "id long, g string, s int")
+    w = Window.partitionBy("g").orderBy(F.asc_nulls_last("s"), F.asc("id"))
+    j = ntile(df, 4, ["g"], "s", "id", name="q").withColumn("q_ref", F.ntile(4).over(w))
+    assert j.count() == len(rows) and j.where("q <> q_ref").count() == 0
 
 
 def test_ntile_many_id_buckets_two_level_offsets(spark):
     df = _skewed(spark, n=1500)
-    got = ntile(df, 4, ["g"], "s", "id", name="q", id_buckets=5000)
+    got = ntile(df, 4, ["g"], "s", "id", name="q")
     w = Window.partitionBy("g").orderBy(F.asc_nulls_last("s"), F.asc("id"))
     ref = df.withColumn("q_ref", F.ntile(4).over(w))
     j = got.join(ref.select("id", "q_ref"), "id")
