@@ -88,13 +88,13 @@ def ordered_counts(df: DataFrame, col: str, order: Sequence[str], share_of: str
 
 
 def box_stats(df: DataFrame, variables: Sequence[str], group: str, whisker: float = 1.5,
-              digits: int | None = None, method: str = "exact",
+              digits: int | None = None, method: str = "histogram",
               groups_bound: int | None = None) -> DataFrame:
     """Box-plot numbers per (variable, group): quartiles (linear interpolation), whiskers
     at the furthest points inside ``whisker``·IQR of the box, and the outlier count.
-    ``method``: ``'exact'`` (Spark ``percentile``: one value map per group, right for
-    scores with few values), ``'histogram'`` (exact and spread over tasks, for
-    continuous columns), ``'approx'`` (``percentile_approx``).
+    ``method``: ``'histogram'`` (exact and spread over tasks), ``'exact'`` (Spark ``percentile``:
+    one value map per group, only for scores with few values), ``'approx'``
+    (``percentile_approx``).
 
     One pass over the stacked long form computes the quartiles; the per-(variable,
     group) quartile table (bounded by variables x groups) is joined back to place the
@@ -154,8 +154,9 @@ def box_stats(df: DataFrame, variables: Sequence[str], group: str, whisker: floa
 
 def box_outliers(df: DataFrame, variable: str, group: str, id_col: str, whisker: float = 1.5) -> DataFrame:
     """The outlier points themselves for one variable: ``(id, group, value)``."""
+    from strata.operators.windows import histogram_percentiles
     src = df.where(F.col(group).isNotNull() & F.col(variable).isNotNull())
-    quart = src.groupBy(group).agg(F.percentile(variable, [0.25, 0.75]).alias("q"))
+    quart = histogram_percentiles(src, variable, [group], [0.25, 0.75])
     iqr = F.col("q")[1] - F.col("q")[0]
     quart = quart.select(group, (F.col("q")[0] - whisker * iqr).alias("lo_fence"),
                          (F.col("q")[1] + whisker * iqr).alias("hi_fence"))

@@ -46,7 +46,7 @@ def clean(raw: DataFrame, missing: str = "propagate") -> DataFrame:
 
 def quantile_cut(df: DataFrame, col: str, probs=tuple(S.RISK_QUANTILES),
                  labels=tuple(S.RISK_QUANTILE_LABELS), name: str = "Risk_Category",
-                 method: str = "exact", accuracy: int = 10000) -> DataFrame:
+                 method: str = "histogram", accuracy: int = 10000) -> DataFrame:
     """Label each row by where ``col`` falls among its own column quantiles.
 
     ``x <= q[0]`` -> labels[0], ``x <= q[1]`` -> labels[1], ... else the last label.
@@ -108,5 +108,7 @@ def features(raw: DataFrame, missing: str = "skip", with_quantile_risk: bool = T
         "Family_History_Enc": L.family_history_code(),
     })
     if with_quantile_risk:
-        out = quantile_cut(out, "Risk_Score")
+        # the score is a weighted sum of item counts and half hours: a value map of a few thousand
+        # entries, whatever the number of rows
+        out = quantile_cut(out, "Risk_Score", method="exact")
     return out

@@ -144,13 +144,13 @@ def crosstab_row_pct(df: DataFrame, row: str, col: str, col_values: Sequence,
 
 def group_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str],
                 stats: Sequence[str] = ("mean", "std", "median"), digits: int | None = 2,
-                drop_null_keys: bool = True, median_method: str = "exact") -> DataFrame:
+                drop_null_keys: bool = True, median_method: str = "histogram") -> DataFrame:
     """Several statistics of several columns per group in one aggregate, flat names
     ``<column>_<stat>``. ``std`` is the sample one; ``median`` is exact.
 
-    ``median_method='exact'`` uses Spark's ``median`` (a value map per group: right for
-    scores); ``'histogram'`` computes the medians of all columns from their stacked value
-    histograms (exact, spread over tasks, for continuous columns)."""
+    ``median_method='histogram'`` computes the medians of all columns from their stacked value
+    histograms (exact, spread over tasks); ``'exact'`` uses Spark's ``median`` (a value map per
+    group: only for scores with few values)."""
     fns = {"mean": F.avg, "std": F.stddev_samp, "median": F.median, "min": F.min,
            "max": F.max, "count": F.count, "sum": F.sum}
     src = df

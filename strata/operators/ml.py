@@ -182,19 +182,36 @@ def classification_report(pred: DataFrame, names: dict | None = None) -> DataFra
     return rows.unionByName(tails)
 
 
-def feature_importance(model: PipelineModel, feature_cols: Sequence[str] = tuple(S.FEATURE_COLS),
-                       engineered: Sequence[str] = tuple(S.ENGINEERED_FEATURES), top: int = 10) -> DataFrame:
-    """Importances of the forest (model metadata), ascending as in the chart, with the
-    engineered-feature mark, the mean, and the rank from the top."""
-    imps = model.stages[-1].featureImportances.toArray().tolist()
-    session = SparkSession.getActiveSession()
-    df = session.createDataFrame([(n, float(v), n in engineered) for n, v in zip(feature_cols, imps)],
-                                 "feature string, importance double, engineered boolean")
+def ranked_importances(imps: DataFrame, engineered: Sequence[str] = tuple(S.ENGINEERED_FEATURES), top: int = 10) -> DataFrame:
+    """(feature, importance) ascending as in the chart, with the engineered-feature mark, the mean,
+    the rank from the top (ties by name) and whether it is among the ``top``. One row per feature."""
+    df = imps.withColumn("engineered", F.col("feature").isin(list(engineered)))
     df = df.withColumn("mean_importance", F.avg("importance").over(Window.partitionBy()))
     df = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
     return df.withColumn("top", F.col("rank") <= top).orderBy("importance", "feature")
 
 
+def feature_importance(model: PipelineModel, feature_cols: Sequence[str] = tuple(S.FEATURE_COLS), **kw) -> DataFrame:
+    """Importances of the forest (model metadata: one number per feature)."""
+    imps = model.stages[-1].featureImportances.toArray().tolist()
+    session = SparkSession.getActiveSession()
+    return ranked_importances(session.createDataFrame([(n, float(v)) for n, v in zip(feature_cols, imps)],
+                                                      "feature string, importance double"), **kw)
+
+
+def best_first(results: DataFrame) -> DataFrame:
+    """(model, accuracy, n, _pos) with ``best``: the highest accuracy, the first listed on a tie."""
+    order = [F.desc("accuracy"), F.asc("_pos")]
+    return results.withColumn("best", F.row_number().over(Window.orderBy(*order)) == 1).orderBy(*order).drop("_pos")
+
+
+def scaler_stats(df: DataFrame, feature_cols: Sequence[str] = tuple(S.FEATURE_COLS)) -> DataFrame:
+    """Mean and population sd of every feature, as the standardisation uses them."""
+    one = df.agg(*[e for c in feature_cols for e in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s"))])
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}_m").alias("mean"), F.col(f"{c}_s").alias("sd")) for c in feature_cols]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def fit_and_score(pipeline: Pipeline, train: DataFrame, test: DataFrame):
     model = pipeline.fit(train)
     return model, model.transform(test)

@@ -12,26 +12,28 @@ from strata.plans import notebook as NB
 from strata.sources import schema as S
 
 
-def key_findings(raw: DataFrame, num_trees: int = S.RF_TREES, gbt_rounds: int = S.GBT_ROUNDS) -> DataFrame:
-    """One row. Parts come from one-row results combined as scalar subqueries (no join)."""
+def data_findings(raw: DataFrame) -> DataFrame:
+    """The findings that need no model, in one row of scalar subqueries (no join)."""
     feat = features(raw)
     diagnosed = F.col("Diagnosis_Class").isNull() | (F.col("Diagnosis_Class") != 0)
     base = raw.agg((F.avg(diagnosed.cast("double")) * F.lit(100.0)).alias("adhd_prevalence_pct"),
                    F.count(F.lit(1)).alias("patients"))
     dom = NB.dominant_subtype(raw)
-    peak = NB.peak_age(raw)
-    anova = NB.anova_severity_test(feat)
-    chi = NB.chi_square_family_test(feat)
-    results, forest = MD.compare_models(raw, num_trees, gbt_rounds)
-    best = results.where(F.col("best"))
-    top = feature_importance(forest).where(F.col("rank") == 1)
     return base.select(
         "patients", "adhd_prevalence_pct",
         dom.select("dominant_type").scalar().alias("dominant_type"),
         dom.select("dominant_pct").scalar().alias("dominant_pct"),
-        peak.select("peak_age").scalar().alias("peak_age"),
-        anova.select("significant").scalar().alias("anova_significant"),
-        chi.select("significant").scalar().alias("chi_square_significant"),
-        best.select("model").scalar().alias("best_model"),
+        NB.peak_age(raw).select("peak_age").scalar().alias("peak_age"),
+        NB.anova_severity_test(feat).select("significant").scalar().alias("anova_significant"),
+        NB.chi_square_family_test(feat).select("significant").scalar().alias("chi_square_significant"))
+
+
+def key_findings(raw: DataFrame, num_trees: int = S.RF_TREES, gbt_rounds: int = S.GBT_ROUNDS) -> DataFrame:
+    """One row: the data findings, the best model and the top feature."""
+    results, forest = MD.compare_models(raw, num_trees, gbt_rounds)
+    best = results.where(F.col("best"))
+    top = feature_importance(forest).where(F.col("rank") == 1)
+    return data_findings(raw).select(
+        "*", best.select("model").scalar().alias("best_model"),
         (best.select("accuracy").scalar() * F.lit(100.0)).alias("best_accuracy_pct"),
         top.select("feature").scalar().alias("top_feature"))

@@ -56,6 +56,18 @@ def diagnosis_value_counts(raw: DataFrame) -> DataFrame:
     return M.value_counts(with_labels(raw), "Diagnosis_Label", normalize_over="all", digits=1)
 
 
+def gender_value_counts(raw: DataFrame) -> DataFrame:
+    return M.value_counts(with_labels(raw), "Gender_Label", normalize_over="all", digits=1)
+
+
+def family_history_value_counts(raw: DataFrame) -> DataFrame:
+    return M.value_counts(raw, "Family_History", normalize_over="all", digits=1)
+
+
+def life_stage_value_counts(raw: DataFrame) -> DataFrame:
+    return M.value_counts(features(raw, with_quantile_risk=False), "Life_Stage", normalize_over="all", digits=1)
+
+
 def dominant_subtype(raw: DataFrame) -> DataFrame:
     """Most common diagnosis among the diagnosed, with its share of all labelled rows."""
     df = with_labels(raw)
@@ -96,7 +108,8 @@ def severity_diagnosis_counts(feat: DataFrame) -> DataFrame:
 
 
 def group_stats_table(feat: DataFrame) -> DataFrame:
-    return M.group_stats(feat, ["Diagnosis_Label"], S.STAT_COLS, ("mean", "std", "median"), digits=2)
+    return M.group_stats(feat, ["Diagnosis_Label"], S.STAT_COLS, ("mean", "std", "median"), digits=2,
+                         median_method="histogram")
 
 
 def describe_indices(feat: DataFrame) -> DataFrame:
@@ -132,6 +145,18 @@ def lifestyle_boxes(feat: DataFrame) -> DataFrame:
                        groups_bound=DX_LABELS_BOUND)
 
 
+def screen_outlier_points(feat: DataFrame) -> DataFrame:
+    """The points a box plot of cubed screen time per diagnosis draws beyond whiskers of half the box."""
+    x = feat.withColumn("x", F.col("Daily_Phone_Usage_Hours") * F.col("Daily_Phone_Usage_Hours") * F.col("Daily_Phone_Usage_Hours"))
+    return C.box_outliers(x, "x", "Diagnosis_Label", "id", whisker=0.5)
+
+
+def severity_violin_quartiles(feat: DataFrame) -> DataFrame:
+    """The quartile lines inside the violins of the severity density."""
+    q = C.box_stats(feat, ["Total_Severity"], "Diagnosis_Label", groups_bound=DX_LABELS_BOUND)
+    return q.select("Diagnosis_Label", "n", "q1", "median", "q3")
+
+
 def error_bars(feat: DataFrame) -> DataFrame:
     return C.mean_sd(feat, S.MEAN_SD_METRICS, "Diagnosis_Label", S.DX_ORDER)
 

@@ -361,5 +361,96 @@ MODEL_B = {
     "fold_sizes": _RANKED + "\nSELECT fold, class, COUNT(*) AS n FROM (SELECT class, "
                             "CAST(NTILE(5) OVER (PARTITION BY class ORDER BY rn) - 1 AS INT) AS fold FROM ranked) f GROUP BY 1, 2",
 }
-NB_QUERIES.update({k: with_features(v) for k, v in MODEL_B.items()})
+_RULES = {"Balance rule": "CASE WHEN Hyperactivity_Index - Inattention_Index > 3 THEN 2 WHEN Inattention_Index - "
+                          "Hyperactivity_Index > 3 THEN 1 WHEN Total_Severity >= 30 THEN 3 ELSE 0 END",
+          "Severity rule": "CASE WHEN Total_Severity >= 36 THEN 3 WHEN Total_Severity >= 27 THEN 2 "
+                           "WHEN Total_Severity >= 20 THEN 1 ELSE 0 END",
+          "Never class 3": "CASE WHEN Total_Severity >= 27 THEN 2 ELSE 0 END"}
+_FRAME = _RANKED + ", fr AS (SELECT f.*, r.rn, r.class_n, " + _PART + " AS part FROM features f JOIN ranked r ON f.id = r.id)"
+
+
+def _report(rule: str, where: str) -> str:
+    return _FRAME + f"""
+, p AS (SELECT Diagnosis_Class AS a, {_RULES[rule]} AS p FROM fr WHERE {where}),
+cl AS (SELECT a AS c FROM p UNION SELECT p FROM p),
+per AS (
+  SELECT c, (SELECT COUNT(*) FROM p WHERE a = c AND p = c) AS tp, (SELECT COUNT(*) FROM p WHERE p = c) AS pp,
+    (SELECT COUNT(*) FROM p WHERE a = c) AS support FROM cl),
+m AS (SELECT *, CASE WHEN pp > 0 THEN CAST(tp AS DOUBLE) / pp ELSE 0.0 END AS precision,
+        CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS recall FROM per),
+q AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m)
+SELECT CASE c WHEN 0 THEN 'No ADHD' WHEN 1 THEN 'Inattentive Type' WHEN 2 THEN 'Hyperactive Type'
+    WHEN 3 THEN 'Combined Type' END AS class, precision, recall, f1, CAST(support AS BIGINT) AS support FROM q
+UNION ALL SELECT 'accuracy', NULL, NULL, CAST(SUM(tp) AS DOUBLE) / SUM(support), CAST(SUM(support) AS BIGINT) FROM q
+UNION ALL SELECT 'macro avg', AVG(precision), AVG(recall), AVG(f1), CAST(SUM(support) AS BIGINT) FROM q
+UNION ALL SELECT 'weighted avg', SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
+  SUM(f1 * support) / SUM(support), CAST(SUM(support) AS BIGINT) FROM q"""
+
+
+MODEL_B["rule_report"] = _report("Balance rule", "TRUE")
+MODEL_B["rule_report_few_classes"] = _report("Never class 3", "Diagnosis_Class IN (0, 1)")
+MODEL_B["rule_confusion"] = _FRAME + f"""
+, p AS (SELECT CAST(Diagnosis_Class AS INT) AS actual, {_RULES['Balance rule']} AS p FROM fr)
+SELECT actual, {', '.join(f'COUNT(CASE WHEN p = {c} THEN 1 END) AS pred_{c}' for c in range(4))},
+  {', '.join(f'CAST(100.0 AS DOUBLE) * COUNT(CASE WHEN p = {c} THEN 1 END) / COUNT(*) AS pct_{c}' for c in range(4))}
+FROM p GROUP BY actual"""
+MODEL_B["rule_cv_accuracy"] = _FRAME + f"""
+, p AS (SELECT Diagnosis_Class AS a, {_RULES['Balance rule']} AS p,
+          CAST(NTILE(5) OVER (PARTITION BY Diagnosis_Class ORDER BY rn) - 1 AS INT) AS fold FROM fr),
+per AS (SELECT fold, COUNT(*) AS n, AVG(CASE WHEN a = p THEN 1.0 ELSE 0.0 END) AS accuracy FROM p GROUP BY fold)
+SELECT fold, n, accuracy, AVG(accuracy) OVER () AS mean_accuracy, STDDEV_POP(accuracy) OVER () AS std_accuracy FROM per"""
+MODEL_B["rule_comparison"] = _FRAME + ", acc AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS model, {i} AS pos, AVG(CASE WHEN Diagnosis_Class = {r} THEN 1.0 ELSE 0.0 END) AS accuracy, COUNT(*) AS n "
+    f"FROM fr WHERE part = 'test'" for i, (n, r) in enumerate(_RULES.items())) + """)
+SELECT model, accuracy, n, pos = (SELECT arg_min(pos, (-accuracy, pos)) FROM acc) AS best FROM acc"""
+MODEL_B["scaler_statistics"] = _FRAME + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, AVG(CAST({c} AS DOUBLE)) AS mean, STDDEV_POP(CAST({c} AS DOUBLE)) AS sd FROM fr WHERE part = 'train'"
+    for c in _FEATS)
+MODEL_B["feature_vectors"] = _FRAME + "\nSELECT id, CAST(Diagnosis_Class AS DOUBLE) AS label, " + ", ".join(
+    f"CAST({c} AS DOUBLE) AS f{i}_{c}" for i, c in enumerate(_FEATS)) + " FROM fr"
+_ENGINEERED = ["Hyperactivity_Index", "Inattention_Index", "Total_Severity", "HI_Dominance_Ratio", "Score_Imbalance",
+               "Risk_Score", "Sleep_Risk", "High_Screen", "Anxiety_Risk", "Low_Activity"]
+MODEL_B["feature_correlation_rank"] = _FRAME + ", c AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {R(f'COALESCE(ABS(CORR({c}, Diagnosis_Class)), 0)', 9)} AS importance FROM fr" for c in _FEATS) + f""")
+SELECT feature, importance, feature IN ({', '.join(repr(c) for c in _ENGINEERED)}) AS engineered,
+  AVG(importance) OVER () AS mean_importance, CAST(ROW_NUMBER() OVER (ORDER BY importance DESC, feature) AS INT) AS rank,
+  ROW_NUMBER() OVER (ORDER BY importance DESC, feature) <= 10 AS top FROM c"""
+MODEL_B["split_losses"] = _RANKED + """
+SELECT (SELECT COUNT(*) FROM features) AS rows, (SELECT COUNT(*) FROM ranked) AS used,
+  (SELECT COUNT(*) FROM features) - (SELECT COUNT(*) FROM ranked) AS dropped"""
+
+
+def _counts(col: str, src: str) -> str:
+    return f"""
+SELECT {col} AS value, COUNT(*) AS count, {R(f'100.0 * COUNT(*) / (SELECT COUNT(*) FROM {src})', 1)} AS share_pct
+FROM {src} WHERE {col} IS NOT NULL GROUP BY {col}"""
+
+
+for _name, _col, _src in (("gender", "Gender_Label", "labelled"), ("family_history", "Family_History", "patients_raw"),
+                          ("life_stage", "Life_Stage", "features")):
+    MODEL_B[f"{_name}_value_counts"] = _counts(_col, _src)
+    NB_QUERIES[f"{_name}_value_counts_edge"] = with_features(MODEL_B[f"{_name}_value_counts"], edge=True)
+
+MODEL_B["screen_outlier_points"] = """
+, x AS (SELECT id, Diagnosis_Label, POWER(Daily_Phone_Usage_Hours, 3) AS value FROM features
+        WHERE Diagnosis_Label IS NOT NULL AND Daily_Phone_Usage_Hours IS NOT NULL),
+q AS (SELECT Diagnosis_Label, QUANTILE_CONT(value, 0.25) AS q1, QUANTILE_CONT(value, 0.75) AS q3 FROM x GROUP BY Diagnosis_Label)
+SELECT x.id, x.Diagnosis_Label, x.value FROM x JOIN q USING (Diagnosis_Label)
+WHERE value < q1 - 0.5 * (q3 - q1) OR value > q3 + 0.5 * (q3 - q1)"""
+MODEL_B["severity_violin_quartiles"] = """
+SELECT Diagnosis_Label, COUNT(*) AS n, CAST(QUANTILE_CONT(Total_Severity, 0.25) AS DOUBLE) AS q1,
+  CAST(QUANTILE_CONT(Total_Severity, 0.5) AS DOUBLE) AS median, CAST(QUANTILE_CONT(Total_Severity, 0.75) AS DOUBLE) AS q3
+FROM features WHERE Diagnosis_Label IS NOT NULL AND Total_Severity IS NOT NULL GROUP BY Diagnosis_Label"""
+MODEL_B["data_findings"] = f"""
+, dom AS ({B['dominant_subtype']}), pk AS ({B['peak_age']})
+SELECT (SELECT COUNT(*) FROM patients_raw) AS patients,
+  (SELECT AVG({_DIAG}) * CAST(100.0 AS DOUBLE) FROM patients_raw) AS adhd_prevalence_pct,
+  dominant_type, dominant_pct, peak_age,
+  ({{anova}}) AS anova_significant, ({{chi}}) AS chi_square_significant FROM dom, pk"""
+NB_QUERIES.update({k: with_features(v) for k, v in MODEL_B.items() if k != "data_findings"})
+# the verdicts as scalar subqueries over the two test queries
+NB_QUERIES["data_findings"] = with_features(MODEL_B["data_findings"].format(
+    anova=f"SELECT significant FROM ({with_features(B['anova_severity_test'])}) t1",
+    chi=f"SELECT significant FROM ({with_features(B['chi_square_family_test'])}) t2"))
+NB_QUERIES["split_losses_edge"] = with_features(MODEL_B["split_losses"], edge=True)
 NB_QUERIES["split_report_edge"] = with_features(MODEL_B["split_report"], edge=True)

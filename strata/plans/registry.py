@@ -108,6 +108,12 @@ from strata.plans import models as MD  # noqa: E402
 
 REGISTRY.update({k: _on_raw(getattr(MD, k)) for k in
                  ["split_assignment", "split_report", "fold_assignment", "fold_sizes"]})
+# the evaluation code on rule predictions, and the parts of the models that SQL can state
+_MODEL_CHECKS = ["rule_report", "rule_report_few_classes", "rule_confusion", "rule_cv_accuracy", "rule_comparison",
+                 "scaler_statistics", "feature_vectors", "feature_correlation_rank", "split_losses"]
+REGISTRY.update({k: _on_raw(getattr(MD, k)) for k in _MODEL_CHECKS})
+REGISTRY["split_losses_edge"] = _on_raw(MD.split_losses, edge=True)
+REGISTRY["data_findings"] = _on_raw(FI.data_findings)
 REGISTRY["split_report_edge"] = _on_raw(MD.split_report, edge=True)
 # model reports: fitted with the analysed workload's settings; checked by rows only
 REGISTRY.update({k: _on_raw(getattr(MD, k)) for k in
@@ -119,6 +125,12 @@ from strata.plans import io_queries as IO  # noqa: E402
 from strata.plans import tables as TB  # noqa: E402
 
 REGISTRY["severity_density"] = _on_features(NB.severity_density)
+REGISTRY.update({k: _on_raw(getattr(NB, k)) for k in
+                 ["gender_value_counts", "family_history_value_counts", "life_stage_value_counts"]})
+REGISTRY.update({f"{k}_edge": _on_raw(getattr(NB, k), edge=True) for k in
+                 ["gender_value_counts", "family_history_value_counts", "life_stage_value_counts"]})
+REGISTRY["screen_outlier_points"] = _on_features(NB.screen_outlier_points)
+REGISTRY["severity_violin_quartiles"] = _on_features(NB.severity_violin_quartiles)
 REGISTRY["distinct_classes"] = _on_raw(NB.distinct_classes)
 REGISTRY.update({k: getattr(IO, k) for k in
                  ["enriched_export", "csv_executive_summary", "peek_rows", "id_key_check",
