@@ -16,7 +16,7 @@ EXPORT = ["Age", "Gender_Label", "Educational_Level", "Family_History", "Sleep_H
 
 MORE: dict[str, str] = {}
 
-MORE["severity_density"] = with_features(f"""
+_DENSITY = f"""
 , src AS (SELECT Diagnosis_Label AS g, CAST(Total_Severity AS DOUBLE) AS x FROM features
           WHERE Total_Severity IS NOT NULL AND Diagnosis_Label IS NOT NULL),
 st AS (SELECT g, COUNT(*) AS n, MIN(x) AS lo, MAX(x) AS hi,
@@ -26,7 +26,10 @@ hist AS (SELECT g, x, COUNT(*) AS c FROM src GROUP BY g, x),
 grid AS (SELECT g, CAST(r.range AS INT) AS i, g0 + r.range * step AS gx, n, h FROM st2, range(100) r)
 SELECT grid.g AS Diagnosis_Label, i, {R('gx', 6)} AS x,
   {R('SUM(c * EXP(-0.5 * ((gx - x) / h) * ((gx - x) / h))) / (n * h * 2.5066282746310002)', 6)} AS density
-FROM grid JOIN hist USING (g) GROUP BY grid.g, i, gx, n, h""")
+FROM grid JOIN hist USING (g) GROUP BY grid.g, i, gx, n, h
+UNION ALL SELECT g, 0, {R('lo', 6)}, NULL FROM st WHERE h IS NULL OR h <= 0"""
+MORE["severity_density"] = with_features(_DENSITY)
+MORE["severity_density_edge"] = with_features(_DENSITY, edge=True)
 
 MORE["distinct_classes"] = with_features(
     "SELECT DISTINCT Diagnosis_Class FROM patients_raw WHERE Diagnosis_Class IS NOT NULL")

@@ -337,7 +337,7 @@ NB_QUERIES: dict[str, str] = {k: with_features(v) for k, v in B.items()}
 NB_EDGE_KEYS = ["dataset_profile", "feature_rows", "rate_by_age", "kruskal_lifestyle", "lifestyle_boxes",
                 "diagnosis_value_counts", "dominant_subtype", "peak_age", "gender_diagnosis_counts",
                 "family_history_row_pct", "age_histogram", "group_stats_table", "anova_severity",
-                "chi_square_family", "correlations_with_diagnosis", "correlations", "describe_indices",
+                "chi_square_family", "contingency_family", "chi_square_family_test", "correlations_with_diagnosis", "correlations", "describe_indices",
                 "error_bars", "risk_category_counts"]
 NB_QUERIES.update({f"{k}_edge": with_features(B[k], edge=True) for k in NB_EDGE_KEYS})
 

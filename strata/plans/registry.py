@@ -100,7 +100,7 @@ REGISTRY.update({f"{k}_edge": _on_raw(getattr(NB, k), edge=True) for k in
                   "age_histogram", "correlations_with_diagnosis", "correlations"]})
 REGISTRY.update({f"{k}_edge": _on_features(getattr(NB, k), edge=True) for k in
                  ["kruskal_lifestyle", "lifestyle_boxes", "group_stats_table", "anova_severity",
-                  "chi_square_family", "describe_indices", "error_bars", "risk_category_counts"]})
+                  "chi_square_family", "contingency_family", "severity_density", "chi_square_family_test", "describe_indices", "error_bars", "risk_category_counts"]})
 
 
 from strata.plans import findings as FI  # noqa: E402

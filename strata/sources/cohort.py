@@ -86,8 +86,9 @@ def _edge(cond: Column, value, expr: Column) -> Column:
 def cohort_from_orders(orders: DataFrame, edge: bool = False) -> DataFrame:
     """Stand-in patient table (33 columns) derived row by row from ``orders``.
 
-    ``edge=True`` plants the edge rows of FIXTURES.md: fractional ages, missing sleep,
-    a missing questionnaire item and a missing diagnosis.
+    ``edge=True`` plants the edge rows of FIXTURES.md: fractional ages and ages beyond the bands,
+    missing sleep, a missing questionnaire item, missing and unknown diagnosis and gender codes, a
+    missing family history, and a family history level that occurs with one diagnosis only.
     """
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     p = F.floor(F.col("o_totalprice")).cast("bigint")
@@ -103,12 +104,20 @@ def cohort_from_orders(orders: DataFrame, edge: bool = False) -> DataFrame:
         sleep = _edge(k % 97 == 0, F.lit(None).cast(dbl), sleep)
         q1[2] = _edge(k % 89 == 0, F.lit(None).cast(i32), ((p + k * 3) % 4).cast(i32)).alias("Q1_3")
         dx = _edge(k % 101 == 0, F.lit(None).cast(i32), dx)
+        dx = _edge(k % 109 == 0, F.lit(9), dx)
+        age = _edge(k % 113 == 0, F.lit(56.0), age)
 
+    gender = (F.lit(1) + c % 2).cast(i32)
     fam = F.when(p % 3 == 0, "Yes").when(p % 3 == 1, "No").otherwise("Unknown")
+    if edge:
+        gender = _edge(k % 103 == 0, F.lit(None).cast(i32), _edge(k % 107 == 0, F.lit(9), gender))
+        # a level that never meets three of the classes: empty cells in every cross-tab
+        fam = _edge((k % 31 == 0) & (dx == 1), "Adopted", fam)
+        fam = _edge(k % 127 == 0, F.lit(None).cast("string"), fam)
     return orders.select(
         k.alias("id"),
         age.alias("Age"),
-        (F.lit(1) + c % 2).cast(i32).alias("Gender"),
+        gender.alias("Gender"),
         F.col("o_orderpriority").alias("Educational_Level"),
         fam.alias("Family_History"),
         sleep.alias("Sleep_Hours"),
