@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from strata.plans import registry as E
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "

@@ -3,7 +3,7 @@ and the two-level window shuffles its rows once."""
 
 import pytest
 
-import __spark_entry__ as E
+from strata.plans import registry as E
 
 SF = "/root/testdata/sf0.001"
 MODELS = {"rf_report", "rf_confusion", "rf_importance", "cv_accuracy", "model_comparison", "key_findings"}

@@ -10,20 +10,58 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from strata.operators import joins  # noqa: E402
+from strata.plans import registry  # noqa: E402
 from strata.session import local_session  # noqa: E402
 
 MODELS = {"rf_report", "rf_confusion", "rf_importance", "cv_accuracy", "model_comparison", "key_findings"}
 
 
-def final_plan(df) -> str:
-    df.write.format("noop").mode("overwrite").save()
+def executed(df) -> str:
+    """Run the frame's own plan (not a copy of it) and return it as it ended."""
     qe = df._jdf.queryExecution()
-    return qe.executedPlan().toString()
+    qe.toRdd().count()
+    return final_only(qe.executedPlan().toString())
+
+
+def final_only(text: str) -> str:
+    """The text without any "Initial Plan" part: each ends where its subtree's indent ends."""
+    out, skip = [], None
+    for line in text.split("\n"):
+        indent = len(line) - len(line.lstrip(" :+-|"))
+        if skip is not None and indent <= skip and line.strip():
+            skip = None
+        if "== Initial Plan ==" in line:
+            skip = len(line) - len(line.lstrip(" :+-|")) - 1
+        if skip is None:
+            out.append(line)
+    return "\n".join(out)
+
+
+class Steps:
+    """Collects the plans of the tables written while a query is built."""
+
+    def __init__(self):
+        self.plans = []
+
+    def materialize(self, df, name="mat"):
+        self.plans.append(executed(df))
+        return self.real(df, name)
+
+    def __enter__(self):
+        self.real = joins.materialize
+        self.places = [m for m in list(sys.modules.values()) if getattr(m, "materialize", None) is self.real]
+        for m in self.places:
+            m.materialize = self.materialize
+        return self
+
+    def __exit__(self, *_):
+        for m in self.places:
+            m.materialize = self.real
 
 
 def summarize(plan: str) -> dict:
-    final = plan.split("== Initial Plan ==")[0]
+    final = plan
     ex = re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition|RoundRobinPartitioning)", final)
     scans = re.findall(r"ReadSchema: struct<([^>]*)>", final)
     return {
@@ -44,35 +82,37 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session()
     rows = []
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         if name in MODELS or name.endswith("_edge"):
             continue
-        rows.append((name, summarize(final_plan(fn(spark, sf_dir)))))
+        with Steps() as steps:
+            main_plan = executed(fn(spark, sf_dir))
+        both = summarize("\n".join([main_plan, *steps.plans]))
+        rows.append((name, both | {"steps": len(steps.plans)}))
     head = ("| query | hash shuffles | range shuffles | single-partition | broadcasts | BHJ | SHJ | SMJ "
-            "| windows | subqueries | widest scan (cols) |\n| --- | --- | --- | --- | --- | --- | --- | --- "
-            "| --- | --- | --- |")
+            "| windows | subqueries | widest scan (cols) | written steps |\n| --- | --- | --- | --- | --- | --- | --- | --- "
+            "| --- | --- | --- | --- |")
     lines = [f"| {n} | {s['hash']} | {s['range']} | {s['single']} | {s['bcast']} | {s['bhj']} | {s['shj']} "
-             f"| {s['smj']} | {s['window']} | {s['subq']} | {s['scan_cols']} |" for n, s in rows]
+             f"| {s['smj']} | {s['window']} | {s['subq']} | {s['scan_cols']} | {s['steps']} |" for n, s in rows]
     crosses = [n for n, s in rows if s["cross"]]
     text = f"""# PLANS — final adaptive plans of the registered queries
 
 Generated by `python tools/plan_report.py {sf_dir}` on local[8] (8 shuffle partitions).
-Counts are operators in the final (AQE) plan of the main query; scalar subqueries are
-counted separately and their own plans are not included. "single-partition" exchanges
-feed windows or sorts over already aggregated rows (shares, ranks of groups, rolling
-means). "widest scan" is the number of columns the widest Parquet scan reads. Model
-fits are not listed (they are Spark ML jobs).
+Counts are operators in the final (AQE) plans that ran: the query's own plan with its scalar
+subqueries, and the plans of the tables it writes while it is built ("written steps").
+"single-partition" exchanges feed windows or sorts over already aggregated rows (shares, ranks
+of groups, rolling means). "widest scan" is the number of columns the widest Parquet scan
+reads. Model fits are not listed (they are Spark ML jobs).
 
 Cross products or nested-loop joins: {', '.join(crosses) if crosses else 'none'}.
 
 How to read it against scale:
 
 - a grouped query is one hash shuffle of partial aggregates;
-- the two-level windows (`severity_quartile`, `split_*`, `fold_*`) show the row shuffle
-  feeding a shuffled hash join (SHJ) and the local window, with single-partition
-  exchanges only on the small count table;
-- joins of rows to per-group tables are broadcast hash joins (BHJ), after a size
-  check or on a proven bound.
+- `severity_quartile`, `split_*` and `fold_*` count rows per (group, coarse order) and number the
+  rows of the few cells that hold a cut; the rows themselves are labelled in the scan;
+- joins of rows to per-group tables are broadcast hash joins (BHJ), on a proven bound or because
+  the written table is below `spark.sql.autoBroadcastJoinThreshold`.
 
 {head}
 """ + "\n".join(lines) + "\n"
