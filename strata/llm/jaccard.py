@@ -13,9 +13,9 @@ below, so the overlap from above), then, where that bound allows a link, by the
 the full sets.
 
 *Skipping and deriving.* Two members y, z of a leader x's lists need a look only if they are not yet
-connected. Their overlap is at most ``|x and z| + |y - x|`` (and the same with y and z exchanged), so
-the leader's answers rule most pairs out with no further work; lists are cut into blocks by set
-size, and blocks too far apart never meet. Members near their leader are held as its set plus
+connected. Their overlap is at most ``|x and z| + |y - x|`` (and the same with y and z exchanged), and
+a parity sketch of fixed size bounds it too, so most pairs are ruled out inside the join; lists
+are cut into blocks by set size, and blocks too far apart never meet. Members near their leader are held as its set plus
 and minus a few changes; their overlaps follow from the changes alone, so two of them can only
 link if they share enough changes, and a prefix index over the changes (with a bound by position)
 finds those. The pairs that remain go through the same two comparisons. A group of near copies
@@ -42,6 +42,7 @@ CHUNK = 4_000_000      # shingles counted at once by a task
 SEEN = 3               # frequent: seen so often in one chunk
 FREQUENT = 1 << 18     # shingles in the table of the most frequent ones
 HINT_BITS = 22
+SKETCH = 8             # 64-bit words of the fixed-size parity sketch
 PACK = 5               # bytes kept of each shingle for the exact overlap
 
 
@@ -99,6 +100,12 @@ def bitmap(own: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parity bitmap of fixed size, for bounds inside a join."""
+    parity = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     """Largest overlap that two sets with these bitmaps can have."""
     x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
@@ -150,7 +157,7 @@ def _set_rows(k: int, percent: int, frequent):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
         for batch in batches:
-            n, s1, s2, prefix, maps = [], [], [], [], []
+            n, s1, s2, prefix, maps, words = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, k)
                 sig = xxhash.xxh3_128_intdigest(own.tobytes())
@@ -160,10 +167,12 @@ def _set_rows(k: int, percent: int, frequent):
                 size = len(own) + 1 + (-percent * len(own)) // 100 if len(own) else 0  # n - ceil(t n) + 1
                 prefix.append(table.prefix(own, size).view(np.int64))
                 maps.append(bitmap(own))
+                words.append(sketch(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)),
                  pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(prefix, pa.list_(pa.int64())),
-                 pa.array(maps, pa.binary())], names=["id", "n", "s1", "s2", "prefix", "bitmap"])
+                 pa.array(maps, pa.binary()), pa.array(words, pa.list_(pa.int64()))],
+                names=["id", "n", "s1", "s2", "prefix", "bitmap", "sketch"])
     return rows
 
 
@@ -235,7 +244,8 @@ def _delta_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["a", "b", "comp", "na", "nb", "added", "dropped", "el"])
 
 
-def _unsettled(answers: DataFrame, known: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+def _unsettled(answers: DataFrame, known: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int,
+               scratch: Scratch) -> DataFrame:
     """Pairs (a, b) below one leader, not connected yet, that its answers do not rule out."""
     bucket = F.floor(F.log(F.col("nb").cast("double")) / math.log(100 / percent))
     member = (answers.join(known.select(F.col("id").alias("b"), "component"), "b", "left")
@@ -248,15 +258,19 @@ def _unsettled(answers: DataFrame, known: DataFrame, docs: DataFrame, k: int, pe
                  .where("c0 <> c1").select("x"))
         return df.join(heads, F.col("a") == F.col("x")).drop("x")
 
-    member = scratch.save(mixed(member), "mixed")
-    y = member.select("a", *[F.col(c).alias(f"y_{c}") for c in ("b", "nb", "lo", "hi", "comp", "near")], F.col("block"))
-    z = member.select("a", *[F.col(c).alias(f"z_{c}") for c in ("b", "nb", "lo", "hi", "comp", "near")],
+    member = mixed(member).join(reps.select(F.col("id").alias("b"), "sketch"), "b")
+    member = scratch.save(member, "mixed")
+    kept = ("b", "nb", "lo", "hi", "comp", "near", "sketch")
+    y = member.select("a", *[F.col(c).alias(f"y_{c}") for c in kept], F.col("block"))
+    z = member.select("a", *[F.col(c).alias(f"z_{c}") for c in kept],
                       F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
     sized = F.least("y_nb", "z_nb") * 100 >= F.greatest("y_nb", "z_nb") * percent
     apart = (F.col("y_b") < F.col("z_b")) & (F.col("y_comp") != F.col("z_comp")) & sized
     most = F.least(F.col("z_hi") + F.col("y_nb") - F.col("y_lo"), F.col("y_hi") + F.col("z_nb") - F.col("z_lo"), "y_nb", "z_nb")
+    differ = sum((F.bit_count(F.col("y_sketch")[i].bitwiseXOR(F.col("z_sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    sketched = (F.col("y_nb") + F.col("z_nb") - differ) * (100 + percent) >= 2 * percent * (F.col("y_nb") + F.col("z_nb"))
     far = (y.join(z, ["a", "block"])
-           .where(apart & ~(F.col("y_near") & F.col("z_near"))
+           .where(apart & ~(F.col("y_near") & F.col("z_near")) & sketched
                   & (most * (100 + percent) >= (F.col("y_nb") + F.col("z_nb")) * percent))
            .select(F.col("y_b").alias("a"), F.col("z_b").alias("b")))
     # members near their leader, as its set plus and minus a few shingles: with y = x - D + A,
@@ -313,38 +327,42 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, key:
            .orderBy(F.desc("c"), "sh").limit(FREQUENT))
     rows = scratch.save(top, "frequent").toPandas()  # at most FREQUENT rows
     frequent = spark.sparkContext.broadcast(Frequent(rows["sh"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)))
-    sets = scratch.save(docs.mapInArrow(_set_rows(k, percent, frequent),
-                                        "id long, n long, s1 long, s2 long, prefix array<long>, bitmap binary"), "sets")
+    kind = "id long, n long, s1 long, s2 long, prefix array<long>, bitmap binary, sketch array<long>"
+    sets = scratch.save(docs.mapInArrow(_set_rows(k, percent, frequent), kind), "sets")
+    members = scratch.save(sets.select("id", "n", "s1", "s2"), "rows")
     # classes of equal sets; the smallest id stands for the class
-    classes = scratch.save(sets.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    reps = (sets.join(classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep"),
+    classes = scratch.save(members.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
+    full = (sets.join(classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep"),
                       (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("id") == F.col("rep")))
-            .groupBy("id", "s1", "s2").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")))
-    reps = scratch.save(reps.select("id", "n", "prefix", "bitmap"), "reps")
+            .groupBy("id", "s1", "s2").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "bitmap", "sketch")]))
+    full = scratch.save(full.drop("s1", "s2"), "classes_full")
+    scratch.drop("sets")
     # index lists of two and more; each is led by its member that stands in the most lists (in a
     # group of near copies: the one with the fewest edits), the smallest id on ties
-    postings = reps.select("id", F.explode("prefix").alias("sh"))
+    postings = full.select("id", F.explode("prefix").alias("sh"))
     lists = postings.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sh")
     shared = scratch.save(postings.join(lists, "sh"), "shared")
+    reps = scratch.save(full.select("id", "n", "bitmap", "sketch"), "reps")
+    scratch.drop("classes_full")
     placed = shared.join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("rank")), "id")
     leads = placed.groupBy("sh").agg(F.max(F.struct("rank", (-F.col("id")).alias("less"))).alias("top"))
     pairs = (shared.join(leads.select("sh", (-F.col("top.less")).alias("lead")), "sh").where("id <> lead")
              .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     answers = _compare(scratch.save(pairs, "pairs"), reps, docs, k, percent, scratch, "lead")
+    scratch.drop("shared", "pairs")
     links = _links(answers, percent)
     known = components(links, scratch, "first")
-    rest = scratch.save(_unsettled(answers, known, docs, k, percent, scratch), "rest")
+    rest = scratch.save(_unsettled(answers, known, reps, docs, k, percent, scratch), "rest")
+    scratch.drop("members", "mixed", "near", "near_full", "deltas", "changes")
     found = _compare(rest, reps, docs, k, percent, scratch, "rest")
-    all_links = links.union(_links(found, percent))
-    comp = components(all_links, scratch, "all")
-    out = (sets.select("id", "n", "s1", "s2")
-           .join(classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep"),
-                 (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
+    comp = components(links.union(_links(found, percent)), scratch, "all")
+    out = (members.join(classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep"),
+                        (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
            .join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left"))
     out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
                      F.coalesce("component", "rep", "id").alias("component_id"))
-    done = scratch.save(out, "done")
-    scratch.drop("sets", "reps")
+    done = Scratch(spark, "jaccard-result").save(out, "components")
+    scratch.clear()
     return done
 
 
