@@ -140,12 +140,12 @@ def _packed_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, t1, loc, m) of the windows of the representatives' stretches: 96 bits of hash, the
-    place, and m = 2 where the stretch itself is repeated."""
+    """(w1, w2, rid, lo, m) of the windows of the representatives' stretches: 96 bits of hash, the
+    text's number and the window, and m = 2 where the stretch itself is repeated."""
     unpack = zstandard.ZstdDecompressor()
     digest = xxhash.xxh3_128_digest
     for batch in batches:
-        for t1, t2, z, reps in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for rid, z, reps in zip(*(batch.column(i).to_pylist() for i in range(3))):
             raw = unpack.decompress(z)
             _, first, last, _ = anchors([raw])
             wanted = {r["lo"]: r["m"] for r in reps}
@@ -155,10 +155,9 @@ def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     starts += range(a, b + 1)
                     m += [wanted[a]] * (b + 1 - a)
             w = np.frombuffer(b"".join(digest(raw[s:s + WIDTH]) for s in starts), "<i8").reshape(-1, 2)
-            loc = (np.uint64(t2) << np.uint64(32)) | np.array(starts, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w[:, 0]), pa.array(w[:, 1].astype(np.int32)), pa.array(np.full(len(w), t1, np.int64)),
-                 pa.array(_signed(loc)), pa.array(np.array(m, np.int32))], names=["w1", "w2", "t1", "loc", "m"])
+                [pa.array(w[:, 0]), pa.array(w[:, 1].astype(np.int32)), pa.array(np.full(len(w), rid, np.int64)),
+                 pa.array(starts, pa.int32()), pa.array(m, pa.int32())], names=["w1", "w2", "rid", "lo", "m"])
 
 
 def repeated_spans(raw: bytes, unique_runs: Iterable[int], unique_windows: Iterable[int]) -> list[tuple[int, int]]:
@@ -229,19 +228,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     reps = (stretches.join(several, F.col("head") == F.col("h"))
             .select("rep.t1", "rep.loc", F.least("c", F.lit(2)).cast("int").alias("m"))
             .groupBy("t1", t2).agg(F.collect_list(F.struct(lo, F.col("m"))).alias("reps")))
-    reps = scratch.save(reps.withColumnRenamed("t1", "r1").withColumnRenamed("t2", "r2"), "reps")
+    # a short number per text instead of its identity: it stays fixed once the table is written
+    reps = reps.select(F.monotonically_increasing_id().alias("rid"), F.col("t1").alias("r1"), F.col("t2").alias("r2"), "reps")
+    reps = scratch.save(reps, "reps")
     kind = docs.schema[key].dataType.simpleString()
     packed = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
         _packed_rows, f"key {kind}, t1 long, t2 long, z binary")
     # last pass: whole windows
     windows = (packed.join(reps, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")))
-               .select("t1", "t2", "z", "reps").mapInArrow(_window_rows, "w1 long, w2 int, t1 long, loc long, m int"))
-    once = windows.groupBy("w1", "w2").agg(F.sum("m").alias("c"), F.min("t1").alias("t1"), F.min("loc").alias("loc")).where("c = 1")
-    by_text = lambda df, name: (df.groupBy(F.col("t1").alias("r1"), F.col("t2").alias("r2"))
-                                .agg(F.collect_list("lo").alias(name)))
-    once = scratch.save(by_text(once.select("t1", t2, lo), "windows"), "once")
+               .select("rid", "z", "reps").mapInArrow(_window_rows, "w1 long, w2 int, rid long, lo int, m int"))
+    once = windows.groupBy("w1", "w2").agg(F.sum("m").alias("c"), F.min("rid").alias("rid"), F.min("lo").alias("lo")).where("c = 1")
+    once = once.groupBy("rid").agg(F.collect_list("lo").alias("windows")).join(reps.select("rid", "r1", "r2"), "rid").drop("rid")
+    once = scratch.save(once, "once")
     scratch.drop("stretches", "reps")
-    alone = scratch.save(by_text(alone, "runs"), "alone")
+    alone = alone.groupBy(F.col("t1").alias("r1"), F.col("t2").alias("r2")).agg(F.collect_list("lo").alias("runs"))
+    alone = scratch.save(alone, "alone")
     scratch.drop("heads")
     unique = alone.join(once, ["r1", "r2"], "full")
     both = packed.join(unique, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")), "left")
