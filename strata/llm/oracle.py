@@ -74,4 +74,49 @@ FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
 JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.key = g.key
 """
 
-ORACLE = {"op1_url_filter": _OP1, "op3_chat_perspectives": _OP3, "op4_mix_sources": _OP4}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(LOWERED, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, list_slice(ws, i, i + 3) AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+r(id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.id = e.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.root AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) m ON m.id = d.doc_id
+""".replace("LOWERED", _LOWER.format("text"))
+
+_OP6 = r"""
+WITH b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item, n, list_slice(ws, i, i + n - 1) AS w
+  FROM (SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i
+        FROM b WHERE len(ws) > 0)),
+d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+dw AS (
+  SELECT doc_id, n, i, list_slice(ws, i, i + n - 1) AS w
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win))),
+occ AS (SELECT doc_id, dw.i, dw.n, item FROM dw JOIN win ON dw.n = win.n AND dw.w = win.w),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
+it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+""".replace("LOWERED", _LOWER.format("text"))
+
+ORACLE = {"op1_url_filter": _OP1, "op2_jaccard_join": _OP2, "op3_chat_perspectives": _OP3, "op4_mix_sources": _OP4,
+          "op6_decontaminate": _OP6}
