@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
                for c in range(256))
 SAMPLE = 8            # every 8th text position keeps its place
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 PAIR_BITS = 22
 
 
@@ -66,7 +66,7 @@ class Windows:
         return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
     def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
+        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int32, len(words))
 
     def keep(self, codes: np.ndarray) -> np.ndarray:
         """Mask of the words that some occurrence may cover (``codes`` has a 0 after each document)."""
@@ -185,15 +185,15 @@ class FMIndex:
         return out
 
 
-def shard_hits(texts: list[list[bytes]], windows: Windows) -> list[tuple[np.ndarray, set[str]]]:
-    """Per document: word mask of the hits and the items found."""
-    sizes = np.array([len(t) for t in texts], np.int64)
+def shard_hits(docs: list[np.ndarray], windows: Windows) -> list[tuple[np.ndarray, set[str]]]:
+    """Per document (given as word codes): word mask of the hits and the items found."""
+    sizes = np.array([len(t) for t in docs], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     codes = np.zeros(begin[-1], np.int64)
-    for b, t in zip(begin, texts):
-        codes[b:b + len(t)] = windows.codes(t)
+    for b, t in zip(begin, docs):
+        codes[b:b + len(t)] = t
     hit = np.zeros(begin[-1] + 1, np.int64)
-    found: list[set[str]] = [set() for _ in texts]
+    found: list[set[str]] = [set() for _ in docs]
     kept = np.flatnonzero(windows.keep(codes)) if len(codes) and windows.by_length else np.zeros(0, np.int64)
     if len(kept):
         gap = np.concatenate([[0], np.cumsum(np.diff(kept) > 1)])  # one 0 between chains
@@ -222,18 +222,18 @@ def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 
 
-def _shards(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Slices of the batches with their words, each of about ``SHARD_WORDS`` words at most."""
+def _shards(batches: Iterable[pa.RecordBatch], column: str, windows: Windows) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches with their texts as word codes, of about ``SHARD_WORDS`` words at most."""
     for batch in batches:
-        begin, words, n = 0, [], 0
+        begin, codes, n = 0, [], 0
         for i, text in enumerate(batch.column(batch.schema.get_field_index(column))):
-            words.append(words_of(text.as_py()))
-            n += len(words[-1])
+            codes.append(windows.codes(words_of(text.as_py())))
+            n += len(codes[-1])
             if n >= SHARD_WORDS:
-                yield batch.slice(begin, i + 1 - begin), words
-                begin, words, n = i + 1, [], 0
-        if words:
-            yield batch.slice(begin), words
+                yield batch.slice(begin, i + 1 - begin), codes
+                begin, codes, n = i + 1, [], 0
+        if codes:
+            yield batch.slice(begin), codes
 
 
 def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Windows]:
@@ -265,7 +265,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, b
         shared = sc.broadcast(windows)
 
         def scan(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch, words in _shards(batches, "text"):
+            for batch, words in _shards(batches, "text", shared.value):
                 spans, items = [], []
                 hits = shard_hits(words, shared.value)
                 old_spans, old_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
@@ -301,7 +301,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, bl
         shared = sc.broadcast(windows)
 
         def clean(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch, words in _shards(batches, text):
+            for batch, words in _shards(batches, text, shared.value):
                 hits = shard_hits(words, shared.value)
                 yield batch.filter(pa.array([not mask.any() for mask, _ in hits], pa.bool_()))
 

@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame, functions as F
 from strata.llm.common import Scratch
 from strata.llm.components import components
 
-CHUNK = 4_000_000      # shingles counted at once by a task
-SEEN = 3               # frequent: seen so often in one chunk
+CHUNK = 2_000_000      # shingles counted at once by a task
+SEEN = 2               # frequent: seen so often in one chunk
 FREQUENT = 1 << 18     # shingles in the table of the most frequent ones
 HINT_BITS = 22
 SKETCH = 8             # 64-bit words of the fixed-size parity sketch
@@ -158,8 +158,8 @@ def _set_rows(k: int, percent: int, frequent):
         table = frequent.value
         for batch in batches:
             n, s1, s2, prefix, maps, words = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                own = shingle_set(text, k)
+            for text in batch.column(1):
+                own = shingle_set(text.as_py(), k)
                 sig = xxhash.xxh3_128_intdigest(own.tobytes())
                 n.append(len(own))
                 s1.append(sig & 0xFFFFFFFFFFFFFFFF)
@@ -180,7 +180,7 @@ def _full_rows(k: int):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([pack(shingle_set(t, k)) for t in batch.column(1).to_pylist()], pa.binary())],
+                [batch.column(0), pa.array([pack(shingle_set(t.as_py(), k)) for t in batch.column(1)], pa.binary())],
                 names=["id", "full"])
     return rows
 
@@ -196,7 +196,8 @@ def _overlap_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         known: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
         both = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = x.as_py(), y.as_py()
             if known[0] != x:
                 known = (x, unpack(x))
             both.append(len(np.intersect1d(known[1], unpack(y), assume_unique=True)))
@@ -233,8 +234,8 @@ def _delta_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the added ones first (even numbers), then the dropped ones (odd numbers)."""
     for batch in batches:
         added, dropped, el = [], [], []
-        for fa, fb in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
-            x, y = unpack(fa), unpack(fb)
+        for fa, fb in zip(batch.column(5), batch.column(6)):
+            x, y = unpack(fa.as_py()), unpack(fb.as_py())
             more, less = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
             added.append(len(more))
             dropped.append(len(less))

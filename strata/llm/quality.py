@@ -159,7 +159,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(model.value.score(matrix(b.column(1).to_pylist())))], names=["doc_id", "score"])
+                [b.column(0), pa.array(model.value.score(matrix(t.as_py() for t in b.column(1))))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
@@ -174,6 +174,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) ->
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(model.value.score(matrix(b.column(at).to_pylist())) >= 0.5, pa.bool_()))
+            yield b.filter(pa.array(model.value.score(matrix(t.as_py() for t in b.column(at))) >= 0.5, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
