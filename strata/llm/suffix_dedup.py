@@ -217,10 +217,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     lo = F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("lo")
     t2 = F.shiftrightunsigned("loc", 32).alias("t2")
     # pass 1: heads. In a group of one the minima are its only row.
-    heads = scratch.save(all_anchors.groupBy("head").agg(F.sum("c").alias("c"), F.min("t1").alias("t1"),
-                                                         F.min("loc").alias("loc")), "heads")
-    alone = heads.where("c = 1").select("t1", t2, lo)
-    shared = heads.where("c > 1").select(F.col("head").alias("h"))
+    heads = all_anchors.groupBy("head").agg(F.sum("c").alias("c"), F.min("t1").alias("t1"), F.min("loc").alias("loc"))
+    one = F.col("c") == 1
+    heads = scratch.save(heads.select(F.when(~one, F.col("head")).alias("h"), F.when(one, F.col("t1")).alias("t1"),
+                                      F.when(one, F.col("loc")).alias("loc")), "heads")
+    alone = (heads.where("h is null").select("t1", t2, lo).groupBy(F.col("t1").alias("r1"), F.col("t2").alias("r2"))
+             .agg(F.collect_list("lo").alias("runs")))
+    alone = scratch.save(alone, "alone")
+    shared = scratch.save(heads.where("h is not null").select("h"), "shared")
+    scratch.drop("heads")
     # pass 2: stretches of shared heads
     stretches = scratch.save(all_anchors.join(shared, F.col("head") == F.col("h")).groupBy("head", "stretch").agg(
         F.sum("c").alias("c"), F.min(F.struct("t1", "loc")).alias("rep")), "stretches")
@@ -241,9 +246,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     once = once.groupBy("rid").agg(F.collect_list("lo").alias("windows")).join(reps.select("rid", "r1", "r2"), "rid").drop("rid")
     once = scratch.save(once, "once")
     scratch.drop("stretches", "reps")
-    alone = alone.groupBy(F.col("t1").alias("r1"), F.col("t2").alias("r2")).agg(F.collect_list("lo").alias("runs"))
-    alone = scratch.save(alone, "alone")
-    scratch.drop("heads")
     unique = alone.join(once, ["r1", "r2"], "full")
     both = packed.join(unique, (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")), "left")
     out = both.select("key", "z", "runs", "windows").mapInArrow(
