@@ -1,13 +1,18 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine.
 
-A bounded sample of labelled documents is the example set. Its vocabulary is the words whose
-document frequencies differ between the two labels beyond chance (likelihood ratio, corrected
-for the number of words); vectors are TF-IDF over it, of unit length. The examples are held
-in an inverted index whose postings are cut into blocks of examples; each term knows its
-largest weight in each block. A document bounds every block by its terms' largest weights,
-visits the blocks from the best bound down, and stops when no bound reaches its k-th best
-cosine, so the neighbours are exact. Their votes, weighted by closeness, are mapped to
-probabilities by an isotonic fit over the examples' own leave-one-out votes.
+A bounded sample of labelled documents is the example set. Its vocabulary is every word of the
+examples. Vectors are TF-IDF of unit length; each word's weight also carries how far its document
+frequencies differ between the two labels (likelihood ratio), so a word that says nothing weighs
+little but is never dropped, and a rare word counts where no stronger one stands.
+
+The examples are held in an inverted index cut into blocks of examples. Words of few examples
+have postings; the frequent ones are columns of a dense matrix with their largest weight in each
+block. The postings give every example its share exactly; a block's bound is its best share plus
+the most that the frequent words can add. Blocks are visited from the best bound down, those of a
+few documents at a time, until no bound reaches the k-th best cosine; what is within rounding of
+it is computed again in double precision, so the neighbours are exact. Their votes, weighted by
+closeness, are mapped to probabilities by an isotonic fit over the examples' own leave-one-out
+votes.
 
 The index is broadcast (bounded by the sample); the documents are scanned once, whole, with no
 shuffle.
@@ -15,12 +20,15 @@ shuffle.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from strata.llm.common import fold, labelled_sample
@@ -31,191 +39,305 @@ BLOCK = 128
 K = 15
 PRIOR = 1.0       # weight of the base rate among the votes
 CACHE = 50_000    # vectors whose answer a task remembers
+POWER = 1.5       # a word weighs idf * (1 + likelihood ratio) ** POWER
+DENSE = 0.08      # words of more than this share of the examples are columns of the matrix
+AT_ONCE = 128     # documents searched together
+ROUNDING = 1e-4   # more than the error of a cosine summed in single precision
+
+DERIVED = ("term", "blocks", "query", "column", "matrix", "top", "norm", "start", "example", "posted")
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers start[0]..stop[0]-1, start[1]..stop[1]-1, ... in one array."""
+    sizes = stop - start
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - sizes), sizes)
+
+
+def digest(vector: Vector) -> bytes:
+    return hashlib.blake2b(vector[0].tobytes() + vector[1].tobytes(), digest_size=16).digest()
 
 
 class Index:
     """Block-max inverted index of the examples."""
 
     def __init__(self, idf: dict[bytes, float], ids: list, bags: list[dict[bytes, int]], labels: np.ndarray):
-        self.term = {w: i for i, w in enumerate(sorted(idf))}
-        self.idf = np.array([idf[w] for w in sorted(idf)])
-        self.ids, self.labels = ids, labels.astype(np.float64)
-        self.blocks = -(-len(bags) // BLOCK) or 1
-        post: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        self.empty = np.zeros(len(bags), bool)
-        for e, bag in enumerate(bags):
-            terms, weights = self.vector(bag)
-            self.empty[e] = not len(terms)
-            for t, w in zip(terms, weights):
-                post[t].append((e, w))
-        sizes = np.array([len(p) for p in post], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(sizes)])
-        flat = [x for p in post for x in p]
-        self.example = np.array([e for e, _ in flat], np.int64)
-        self.weight = np.array([w for _, w in flat])
-        self.top = np.zeros((len(post), self.blocks))
-        np.maximum.at(self.top, (np.repeat(np.arange(len(post)), sizes), self.example // BLOCK), self.weight)
-        self.base = float((self.labels.sum() + 0.5) / (len(bags) + 1))
+        words = sorted(idf)
+        code = {w: i for i, w in enumerate(words)}
+        own = [[(code[w], n) for w, n in bag.items() if w in code] for bag in bags]
+        flat = np.array([x for f in own for x in f], np.int32).reshape(-1, 2)
+        self._fill(pa.array(words, pa.binary()), np.array([idf[w] for w in words]), ids,
+                   np.repeat(np.arange(len(own), dtype=np.int32), [len(f) for f in own]), flat[:, 0], flat[:, 1], labels)
+
+    @classmethod
+    def of_arrays(cls, *parts) -> Index:
+        """Like the constructor, from one array of words and one row per example and word."""
+        index = cls.__new__(cls)
+        index._fill(*parts)
+        return index
+
+    def _fill(self, words: pa.Array, idf: np.ndarray, ids: list, example: np.ndarray, terms: np.ndarray,
+              counts: np.ndarray, labels: np.ndarray) -> None:
+        self.words, self.idf, self.ids, self.labels = words, idf, ids, labels.astype(np.float64)
+        order = np.argsort(example * np.int64(len(words) or 1) + terms)
+        self.terms, example = terms[order], example[order]
+        self.weights = idf[self.terms]
+        self.weights *= 1 + np.log(counts[order])
+        del order
+        length = np.sqrt(np.bincount(example, weights=self.weights ** 2, minlength=len(ids)))
+        self.weights /= length[example]
+        sizes = np.bincount(example, minlength=len(ids))
+        self.own = np.concatenate([[0], np.cumsum(sizes)])  # where each example's words begin
+        self.empty = sizes == 0
+        self.base = float((self.labels.sum() + 0.5) / (len(ids) + 1))
         self.empty_rate = float((self.labels[self.empty].sum() + self.base) / (self.empty.sum() + 1))
         self.knots = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self.knots = self._calibrate(bags)
 
-    def vector(self, bag: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    def __getattr__(self, name: str):
+        """The driver keeps the examples' vectors only; what follows from them is made where it is used."""
+        if name not in DERIVED:
+            raise AttributeError(name)
+        self._open()
+        return self.__dict__[name]
+
+    def _open(self) -> None:
+        """What follows from the examples' vectors: postings, matrix and block maxima."""
+        self.term = {w: i for i, w in enumerate(self.words.to_pylist())}
+        n, size = len(self.ids), len(self.words)
+        self.blocks = -(-n // BLOCK) or 1
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.own))
+        seen = np.bincount(self.terms, minlength=size)
+        frequent = np.flatnonzero(seen > DENSE * n)
+        self.query = np.zeros(size)  # the query at hand, zero between calls
+        self.column = np.full(size, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        dense = self.column[self.terms] >= 0
+        self.matrix = np.zeros((self.blocks * BLOCK, len(frequent)), np.float32)
+        self.matrix[example[dense], self.column[self.terms[dense]]] = self.weights[dense]
+        self.matrix = self.matrix.reshape(self.blocks, BLOCK, -1)
+        self.top = self.matrix.max(axis=1).T.copy()
+        self.norm = np.sqrt(np.einsum("bet,bet->be", self.matrix, self.matrix)).max(axis=1).astype(np.float64)
+        rare = np.flatnonzero(~dense)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=size))])
+        self.example, self.posted = example[rare], self.weights[rare].astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in DERIVED}
+
+    def vector(self, bag: dict[bytes, int]) -> Vector:
         """Terms (ascending) and unit-length TF-IDF weights of a bag of words."""
-        found = sorted((self.term[w], n) for w, n in bag.items() if w in self.term)
-        terms = np.array([t for t, _ in found], np.int64)
-        weights = self.idf[terms] * np.array([1 + math.log(n) for _, n in found])
+        codes = np.fromiter(map(self.term.get, bag, repeat(-1)), np.int32, len(bag))
+        order = np.argsort(codes)
+        order = order[np.searchsorted(codes[order], 0):]
+        terms = codes[order]
+        weights = self.idf[terms] * (1 + np.log(np.fromiter(bag.values(), np.int64, len(bag))[order]))
         length = math.sqrt(float(weights @ weights))
         return terms, weights / length if length else weights
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> Vector:
         """The k examples of largest positive cosine (equal ones: the earlier example)."""
-        bounds = weights @ self.top[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        near, cos, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(order) and (len(cos) < k or bounds[order[at]] >= cos[-1] - 1e-9):
-            visit = np.zeros(self.blocks, bool)
-            visit[order[at:at + step]] = True
-            score = np.zeros(self.blocks * BLOCK)
-            for t, w in zip(terms, weights):
-                e = self.example[self.start[t]:self.start[t + 1]]
-                own = visit[e // BLOCK]
-                score[e[own]] += w * self.weight[self.start[t]:self.start[t + 1]][own]
-            hit = np.flatnonzero(score > 0)
-            near, cos = np.concatenate([near, hit]), np.concatenate([cos, score[hit]])
-            best = np.lexsort((near, -np.round(cos, 12)))[:k]
-            near, cos = near[best], cos[best]
-            at, step = at + step, step * 4
-        return near, cos
+        return self.search([(terms, weights)], k)[0]
+
+    def search(self, vectors: list[Vector], k: int) -> list[Vector]:
+        """:meth:`nearest` of each vector."""
+        return [x for at in range(0, len(vectors), AT_ONCE) for x in self._search(vectors[at:at + AT_ONCE], k)]
+
+    def _search(self, vectors: list[Vector], k: int) -> list[Vector]:
+        score = np.zeros((len(vectors), self.blocks * BLOCK), np.float32)
+        query = np.zeros((len(vectors), self.top.shape[0]), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            at = self.column[terms]
+            query[i, at[at >= 0]] = weights[at >= 0]
+            terms, weights = terms[at < 0], weights[at < 0]
+            start, stop = self.start[terms], self.start[terms + 1]
+            if len(weights):
+                own = list(zip(start.tolist(), stop.tolist()))
+                share = np.concatenate([self.posted[a:b] for a, b in own])
+                share *= np.repeat(weights.astype(np.float32), stop - start)
+                score[i] = np.bincount(np.concatenate([self.example[a:b] for a, b in own]), share, score.shape[1])
+        blocked = score.reshape(len(vectors), self.blocks, BLOCK)
+        length = np.sqrt((query.astype(np.float64) ** 2).sum(axis=1))
+        bounds = blocked.max(axis=2) + np.minimum(query @ self.top, np.outer(length, self.norm))
+        bounds = np.where(bounds > 0, bounds + ROUNDING, 0)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        visited = np.zeros(bounds.shape, bool)
+        least = np.zeros(len(vectors))  # no more than the k-th best cosine
+        for at, step in ((0, 4), (4, 12), (16, self.blocks)):
+            visit = np.zeros(bounds.shape, bool)
+            np.put_along_axis(visit, order[:, at:at + step], True, axis=1)
+            visit &= (bounds > 0) & (bounds >= least[:, None])
+            for b in np.flatnonzero(visit.any(axis=0)):
+                rows = np.flatnonzero(visit[:, b])
+                blocked[rows, b] += query[rows] @ self.matrix[b].T
+            visited |= visit
+            for i in np.flatnonzero(visit.any(axis=1)):
+                seen = blocked[i, visited[i]].ravel()
+                seen = seen[seen >= least[i]] if least[i] else seen
+                if len(seen) > k:
+                    least[i] = max(0.0, float(np.partition(seen, -k)[-k]) - ROUNDING)
+        out = []
+        for i, v in enumerate(vectors):
+            near = np.flatnonzero(score[i] >= least[i] if least[i] else score[i])
+            out.append(self._exact(v, near[visited[i, near // BLOCK]], k))
+        return out
+
+    def _exact(self, vector: Vector, near: np.ndarray, k: int) -> Vector:
+        """The best k of some examples, in double precision."""
+        start, stop = self.own[near], self.own[near + 1]
+        own = _ranges(start, stop)
+        self.query[vector[0]] = vector[1]
+        cos = np.bincount(np.repeat(np.arange(len(near)), stop - start),
+                          weights=self.query[self.terms[own]] * self.weights[own], minlength=len(near))
+        self.query[vector[0]] = 0
+        best = np.lexsort((near, -np.round(cos, 12)))[:k]
+        return near[best], cos[best]
 
     def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
         """Votes weighted by closeness, cos^2 / (1.05 - cos), with the base rate as one vote."""
         w = cos ** 2 / (1.05 - np.minimum(cos, 1.0))
         return float((w @ self.labels[near] + PRIOR * self.base) / (w.sum() + PRIOR))
 
-    def _calibrate(self, bags: list[dict[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Isotonic fit of label on leave-one-out vote (pool adjacent violators)."""
-        votes, known, ys = [], {}, []
-        for e, bag in enumerate(bags):
-            if self.empty[e]:
-                continue
-            terms, weights = self.vector(bag)
-            key = (terms.tobytes(), weights.tobytes())
-            if key not in known:
-                known[key] = self.nearest(terms, weights, K + 1)
+    def left_out(self, examples: list[int], known: dict) -> list[float]:
+        """The votes for examples that have words, each without its own."""
+        vectors = [(self.terms[self.own[e]:self.own[e + 1]], self.weights[self.own[e]:self.own[e + 1]]) for e in examples]
+        keys = [digest(v) for v in vectors]
+        new = {key: v for key, v in zip(keys, vectors) if key not in known}
+        known.update(zip(new, self.search(list(new.values()), K + 1)))
+        votes = []
+        for e, key in zip(examples, keys):
             near, cos = known[key]
-            own = near != e
-            votes.append(self.vote(near[own][:K], cos[own][:K]))
-            ys.append(self.labels[e])
-        if not votes:
-            return self.knots
+            others = near != e
+            votes.append(self.vote(near[others][:K], cos[others][:K]))
+        return votes
+
+    def calibrate(self, examples: np.ndarray, votes: np.ndarray) -> None:
+        """Isotonic fit of label on leave-one-out vote (pool adjacent violators)."""
+        if not len(votes):
+            return
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # sum of labels, count, sum of votes
-        for v, y in zip(np.array(votes)[order], np.array(ys)[order]):
+        for v, y in zip(votes[order], self.labels[examples][order]):
             pools.append([y, 1.0, v])
             while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
                 y1, n1, v1 = pools.pop()
                 pools[-1] = [pools[-1][0] + y1, pools[-1][1] + n1, pools[-1][2] + v1]
         y, n, v = np.array(pools).T
-        return v / n, np.maximum.accumulate((y + self.base) / (n + 1))
-
-    def score(self, bag: dict[bytes, int], cache: dict) -> tuple[float, list, list]:
-        """Calibrated score and its evidence: the nearest examples' ids and cosines."""
-        terms, weights = self.vector(bag)
-        if not len(terms):
-            return self.empty_rate, [], []
-        key = (terms.tobytes(), weights.tobytes())
-        if key not in cache:
-            near, cos = self.nearest(terms, weights, K)
-            p = float(np.interp(self.vote(near, cos), *self.knots)) if len(near) else self.empty_rate
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[key] = (p, [self.ids[e] for e in near], cos.tolist())
-        return cache[key]
-
-
-def vocabulary(sample: DataFrame, max_terms: int) -> dict[bytes, float]:
-    """Words told apart by the labels, with their inverse document frequencies: the likelihood
-    ratio of the 2x2 table (word in the document, label) beyond a 1e-3 chance over all words."""
-    def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, y = [], []
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = set(words_of(text))
-                words += own
-                y += [label] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(y, pa.int32())], names=["w", "y"])
-
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
-    n, pos = total["n"], total["p"] or 0
-    if not n or pos in (0, n):
-        return {}
-    counts = (sample.select("text", "y").mapInArrow(bags, "w binary, y int").groupBy("w")
-              .agg(F.sum("y").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("d")))
-    a, d = F.col("a"), F.col("d")
+        self.knots = v / n, np.maximum.accumulate((y + self.base) / (n + 1))
+
+    def scores(self, texts: list[str | None], knots: tuple, cache: dict) -> list[tuple[float, list, list]]:
+        """Calibrated scores and their evidence: the nearest examples' ids and cosines."""
+        vectors = [self.vector(Counter(words_of(t))) for t in texts]
+        keys = [digest(v) if len(v[0]) else None for v in vectors]
+        new = {key: v for key, v in zip(keys, vectors) if key and key not in cache}
+        answers = {key: cache[key] for key in keys if key in cache}
+        for key, (near, cos) in zip(new, self.search(list(new.values()), K)):
+            p = float(np.interp(self.vote(near, cos), *knots)) if len(near) else self.empty_rate
+            answers[key] = (p, [self.ids[e] for e in near], cos.tolist())
+        if len(cache) + len(new) > CACHE:
+            cache.clear()
+        cache.update((key, answers[key]) for key in new)
+        return [answers[key] if key else (self.empty_rate, [], []) for key in keys]
+
 
+def weigh(n: int, pos: int, d: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Weights of words that stand in ``d`` of ``n`` examples, ``a`` of the ``pos`` toxic ones:
+    inverse document frequency by the likelihood ratio of the 2x2 table (word in the document, label)."""
     def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
 
     g2 = 2 * (part(a, d * pos / n) + part(d - a, d * (n - pos) / n)
-              + part(F.lit(pos) - a, (n - d) * pos / n) + part(F.lit(n - pos) - (d - a), (n - d) * (n - pos) / n))
-    # a chi-squared value of about 2 ln(words / 0.001) is reached by chance once in 1000 corpora
-    rows = (counts.where((d >= 3) & (d < n)).withColumn("g2", g2)
-            .where(F.col("g2") > 2 * math.log(max(n, 10) * 100 / 1e-3))
-            .orderBy(F.desc("g2"), "w").limit(max_terms).collect())
-    return {bytes(r["w"]): math.log(1 + n / r["d"]) for r in rows}
+              + part(pos - a, (n - d) * pos / n) + part(n - pos - (d - a), (n - d) * (n - pos) / n))
+    return np.log(1 + n / d) * (1 + np.maximum(g2, 0)) ** POWER
 
 
-def build_index(docs: DataFrame, labels: DataFrame, max_rows: int, max_terms: int) -> Index:
-    """Index of at most ``max_rows`` labelled documents outside the held-out fold."""
+def build_index(docs: DataFrame, labels: DataFrame, max_rows: int) -> Index:
+    """Index of at most ``max_rows`` labelled documents outside the held-out fold, not calibrated."""
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD, max_rows)
-    sample = sample.persist()
-    try:
-        idf = vocabulary(sample, max_terms)
-        wanted = set(idf)
-
-        def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                own = [Counter(w for w in words_of(t) if w in wanted) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(2), pa.array([list(c) for c in own], pa.list_(pa.binary())),
-                     pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))], names=["id", "y", "w", "n"])
 
-        kind = sample.schema["id"].dataType.simpleString()
-        rows = (sample.select("id", "text", "y").mapInArrow(bags, f"id {kind}, y int, w array<binary>, n array<int>")
-                .orderBy("id").collect())
-    finally:
-        sample.unpersist()
-    return Index(idf, [r["id"] for r in rows], [dict(zip(map(bytes, r["w"]), r["n"])) for r in rows],
-                 np.array([r["y"] for r in rows]))
+    def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [Counter(words_of(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array([list(c) for c in own], pa.list_(pa.binary())),
+                 pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))], names=["id", "y", "w", "n"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    rows = sample.select("id", "text", "y").mapInArrow(bags, f"id {kind}, y int, w array<binary>, n array<int>").toArrow()
+    order = pc.sort_indices(rows["id"])
+    ids, y = rows["id"].take(order).to_pylist(), rows["y"].take(order).to_numpy().astype(np.int64)
+    n, pos = len(y), int(y.sum())
+    none = np.zeros(0, np.int32)
+    if pos in (0, n):  # nothing tells the labels apart
+        return Index.of_arrays(pa.array([], pa.binary()), np.zeros(0), ids, none, none, none, y)
+    place = np.empty(n, np.int32)
+    place[order.to_numpy()] = np.arange(n)
+    example = np.repeat(place, pc.list_value_length(rows["w"]).to_numpy())
+    counts = np.concatenate([c.flatten().to_numpy() for c in rows["n"].chunks])
+    words = pa.chunked_array([c.flatten() for c in rows["w"].chunks], pa.binary())
+    del rows
+    coded = words.dictionary_encode().unify_dictionaries()
+    del words
+    vocabulary = coded.chunk(0).dictionary
+    terms = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+    del coded
+    d = np.bincount(terms, minlength=len(vocabulary))
+    a = np.bincount(terms, weights=y[example], minlength=len(vocabulary))
+    return Index.of_arrays(vocabulary, weigh(n, pos, d, a), ids, example, terms, counts, y)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 2_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``score``, ``predicted`` (score >= 0.3), and
     the evidence: ``neighbours`` (ids of the nearest examples) and ``cosines``.
 
-    Defined cases: NULL and empty texts, and texts without a word of the vocabulary, get the
+    Defined cases: NULL and empty texts, and texts without a word of any example, get the
     smoothed rate of the examples without one, and no evidence; without labels of both kinds
     the vocabulary is empty; NULL labels are ignored, contradicting ones averaged; a NULL id
     stays NULL and falls in the fold of the empty text; repeated rows get equal scores; an empty
     table gives an empty result; only ``doc_id`` and ``text`` are read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, max_rows, max_terms))
+    spark = docs.sparkSession
+    index = build_index(docs, labels, max_rows)
+    shared = spark.sparkContext.broadcast(index)
+
+    def left_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for b in batches:
+            votes = shared.value.left_out(b.column(0).to_pylist(), known)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["e", "vote"])
+
+    full = np.flatnonzero(~index.empty)
+    if len(full):
+        examples = spark.createDataFrame(pa.table({"e": full})).repartition(max(1, len(full) // 500))
+        votes = examples.mapInArrow(left_out, "e long, vote double").toArrow().sort_by("e")
+        index.calibrate(votes["e"].to_numpy(), votes["vote"].to_numpy())
+    knots = index.knots
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, cache = shared.value, {}
-        wanted = set(index.term)
         for b in batches:
-            out = [index.score(Counter(filter(wanted.__contains__, words_of(t))), cache) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([s for s, _, _ in out], pa.float64()),
-                 pa.array([i for _, i, _ in out], pa.list_(b.schema.field(0).type)),
-                 pa.array([c for _, _, c in out], pa.list_(pa.float64()))],
-                names=["doc_id", "score", "neighbours", "cosines"])
+            for at in range(0, b.num_rows, AT_ONCE):
+                own = b.slice(at, AT_ONCE)
+                out = index.scores(own.column(1).to_pylist(), knots, cache)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), pa.array([s for s, _, _ in out], pa.float64()),
+                     pa.array([i for _, i, _ in out], pa.list_(b.schema.field(0).type)),
+                     pa.array([c for _, _, c in out], pa.list_(pa.float64()))],
+                    names=["doc_id", "score", "neighbours", "cosines"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(
         score, f"doc_id {kind}, score double, neighbours array<{kind}>, cosines array<double>")
     return out.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score",
                       (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours", "cosines")
+
+
+def held_out_recall(scores: DataFrame, docs: DataFrame, labels: DataFrame, by: str = "lang") -> DataFrame:
+    """Per value of ``by``: held-out documents labelled toxic, those predicted, and the recall."""
+    toxic = (labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+             .groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("is_toxic")).where("is_toxic"))
+    own = scores.where("held_out").select("doc_id", "predicted").dropDuplicates(["doc_id"])
+    return (own.join(toxic, "doc_id").join(docs.select("doc_id", by).dropDuplicates(["doc_id"]), "doc_id")
+            .groupBy(by).agg(F.count(F.lit(1)).alias("toxic"), F.sum("predicted").alias("found"))
+            .withColumn("recall", F.col("found") / F.col("toxic")))

@@ -112,3 +112,40 @@ def test_block_max_search_is_exact():
         near, got = index.nearest(t, w, 15)
         assert near.tolist() == want.tolist()
         assert np.allclose(got, cos[want])
+
+
+def test_search_over_rare_and_frequent_words_is_exact():
+    rng = random.Random(8)
+    words = [f"w{i}".encode() for i in range(3000)]
+    share = [1 / (i + 1) for i in range(3000)]
+    bags = [Counter(rng.choices(words, share, k=rng.randrange(0, 60))) for _ in range(1500)]
+    index = X.Index({w: 1 + i / 100 for i, w in enumerate(words)}, list(range(1500)), bags, np.arange(1500) % 2)
+    assert 0 < index.top.shape[0] < 200 and len(index.example)
+    dense = np.zeros((1500, 3000))
+    for e, bag in enumerate(bags):
+        t, w = index.vector(bag)
+        dense[e, t] = w
+    vectors = [index.vector(b) for b in bags[:150] if b]
+    for (t, w), (near, got) in zip(vectors, index.search(vectors, 15)):
+        cos = dense[:, t] @ w
+        want = np.lexsort((np.arange(1500), -np.round(cos, 12)))[:15]
+        want = want[cos[want] > 0]
+        assert near.tolist() == want.tolist() and np.allclose(got, cos[want])
+
+
+def test_toxic_words_of_every_language_are_found(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.lang: r.recall for r in X.held_out_recall(X.score_toxicity(docs, labels), docs, labels).collect()}
+    assert set(got) == {"en", "de", "fr", "es"} and min(got.values()) >= 0.8, got
+
+
+def test_every_word_of_the_examples_counts(spark):
+    rows = [doc(i, f"plain words of no meaning number{i}" + (f" slur{i // 40}" if i % 20 == 0 else "")) for i in range(400)]
+    rows += [doc(1000 + i, f"slur{i}") for i in range(10)] + [doc(2000, "number399"), doc(2001, "unheard")]
+    labels = spark.createDataFrame([(i, 0, int(i % 20 == 0)) for i in range(400)], LABELS)
+    got = {r.doc_id: r for r in X.score_toxicity(frame(spark, rows), labels).collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    for i in range(10):
+        own = [e for e in (40 * i, 40 * i + 20) if fold(e) != 2]
+        assert sorted(got[1000 + i].neighbours) == own  # a word of one or two examples finds them
+    assert got[2000].neighbours == ([399] if fold(399) != 2 else []) and got[2001].neighbours == []
