@@ -30,3 +30,25 @@ def test_parts_and_edges(spark):
     assert [r.text for r in out if r.conv_id is None] == ["<|assistant|>\nlost<|end|>\n"]
     assert not [r for r in out if r.conv_id == 3]
     assert rotate_perspectives(conv(spark, [])).collect() == []
+
+
+def test_no_part_is_longer_whatever_the_turns(spark):
+    rows = [(1, 0, f"p{i % 2}", f"same turn {i:03}") for i in range(150)]                # repeated turns
+    rows += [(1, 10 + i % 30, "p0", f"late {i:03}") for i in range(60)] + [(1, 64, "p1", "next"), (1, 300, "p0", "end")]
+    rows += [(2, None, "u", f"no turn {i:03}") for i in range(100)] + [(2, -i, "u", "minus") for i in range(1, 100)]
+    rows += [(None, i % 5, "u", f"lost {i:03}") for i in range(130)] + [(None, 0, "u", "lost 000")] * 70
+    rows += [(4, 0, "u", "same")] * 200 + [(4, 64, "u", "b"), (5, 0, "u", "a"), (5, 130, "u", "b")]
+    out = rotate_perspectives(conv(spark, rows)).collect()
+    assert max(r.n_messages for r in out) == 64
+    parts = lambda c, p: [(r.part, r.n_messages) for r in sorted(out, key=lambda r: r.part) if (r.conv_id, r.perspective) == (c, p)]
+    assert parts(1, "p0") == parts(1, "p1") == [(0, 64), (1, 64), (2, 64), (3, 18), (4, 1), (7, 1)]
+    assert parts(2, "u") == [(0, 64), (1, 64), (2, 64), (3, 7)]
+    assert parts(None, "u") == [(0, 64), (1, 64), (2, 2)]
+    assert parts(4, "u") == [(0, 1), (1, 1)] and parts(5, "u") == [(0, 1), (2, 1)]
+    for c in (1, 2, None, 4):
+        first = lambda m: (m[1] is not None, m[1] or 0, m[2], m[3])
+        own = sorted({r for r in rows if r[0] == c}, key=first)
+        for who in {r[2] for r in own}:
+            text = "".join(r.text for r in sorted(out, key=lambda r: r.part) if (r.conv_id, r.perspective) == (c, who))
+            heads = {who: "<|assistant|>\n"}
+            assert text == "".join(heads.get(m[2], f"<|user name={m[2]}|>\n") + m[3] + "<|end|>\n" for m in own)
