@@ -1,7 +1,8 @@
-"""Removal of repeated byte strings by depth-limited radix passes over suffixes.
+"""Removal of repeated byte strings by minimizer anchors and grouping on hashes.
 
-Two suffixes matter to each other only through their first ``WIDTH`` bytes. They are ordered by
-most-significant-digit passes, and a suffix that is alone in its group after a pass leaves:
+Two suffixes matter to each other only through their first ``WIDTH`` bytes. They are not
+sorted (a radix sort would shuffle every byte position) but grouped, in passes over longer and longer
+stretches of bytes, and a suffix that is alone in its group after a pass leaves:
 
 1. digit 1 is the ``HEAD`` bytes at an *anchor*. Every window of ``WIDTH`` bytes picks its anchor
    by its own content (the position of the smallest hashed 8-gram among its first ``REACH``
