@@ -356,9 +356,19 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, key:
     rest = scratch.save(_unsettled(answers, known, reps, docs, k, percent, scratch), "rest")
     scratch.drop("members", "mixed", "near", "near_full", "deltas", "changes")
     found = _compare(rest, reps, docs, k, percent, scratch, "rest")
-    comp = components(links.union(_links(found, percent)), scratch, "all")
+    # rows with one id and several sets are one document: their classes are one component
+    several = (members.where("id is not null").groupBy("id")
+               .agg(F.min(F.struct("n", "s1", "s2")).alias("low"), F.max(F.struct("n", "s1", "s2")).alias("high"))
+               .where("low <> high").select(F.col("id").alias("same")))
+    owned = scratch.save(members.where("n > 0").join(several, F.col("id") == F.col("same")).join(classes, ["s1", "s2"])
+                         .select("id", "rep").distinct(), "owned")
+    home = scratch.save(owned.groupBy("id").agg(F.min("rep").alias("home")), "home")
+    ties = owned.join(home, "id").where("rep <> home").select(F.col("home").alias("a"), F.col("rep").alias("b"))
+    comp = components(links.union(_links(found, percent)).union(ties), scratch, "all")
     out = (members.join(classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep"),
                         (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
+           .join(home.withColumnRenamed("id", "same"), F.col("id") == F.col("same"), "left")
+           .withColumn("rep", F.coalesce("rep", "home"))
            .join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left"))
     out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
                      F.coalesce("component", "rep", "id").alias("component_id"))

@@ -70,3 +70,11 @@ def test_bitmaps_bound_the_overlap():
         both = len(np.intersect1d(a, b))
         assert J.overlap_bound(J.bitmap(a), J.bitmap(b), len(a), len(b)) >= both
         assert len(np.intersect1d(J.unpack(J.pack(a)), J.unpack(J.pack(b)))) == both
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [doc(1, a), doc(2, a), doc(2, b), doc(3, b), doc(3, ""), doc(5, c), doc(6, c), doc(7, ""), doc(None, a)]
+    got = answer(frame(spark, rows))
+    assert {(i, comp) for i, _, comp in got} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (7, 7), (None, None)}
+    assert len(got) == len(rows)
