@@ -118,5 +118,85 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """.replace("LOWERED", _LOWER.format("text"))
 
+_OP11 = r"""
+WITH t AS (  -- the checksum's table: eight division steps per byte value, by the polynomial of crc32
+  SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, [0,0,0,0,0,0,0,0]),
+           lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+         coalesce(CAST(doc_id AS VARCHAR), '') AS key FROM documents),
+s AS (
+  SELECT doc_id, size, md5(key) AS hash,
+         list_transform(range(41), lambda s: {'draw': -ln((CAST('0x' || substr(md5(key || ':0:' || CAST(s AS VARCHAR)), 1, 13)
+                                                        AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE), 'shard': s}) AS draws,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+                                                             lambda h: CAST('0x' || h AS BIGINT))),
+             lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))) AS text_crc32
+  FROM d, t),
+a AS (
+  SELECT doc_id, size, hash, text_crc32, CAST(list_min(draws[1:40]).shard AS INT) AS shard,
+         CAST(list_min(draws).shard AS INT) AS grown_shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY hash, size, text_crc32) - 1 AS slot, grown_shard
+FROM a
+"""
+
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+k AS (SELECT *, row_number() OVER () AS r FROM d WHERE len(ws) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM k),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM k) GROUP BY r, term),
+g AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM f, c GROUP BY term, n_docs),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (
+  SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ws) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN g USING (term) JOIN f USING (term) JOIN k USING (r), c GROUP BY item_id, r)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM s JOIN k USING (r) WHERE score > 0) WHERE rank <= 50
+""".replace("LOWERED", _LOWER.format("text"))
+
+_OP13 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
+d AS (
+  SELECT doc_id, part, len(ws) < 200 AS a, 100 * list_unique(ws) < 50 * len(ws) AS b,
+         100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (  -- one character per failed filter
+  SELECT part, concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END,
+                      CASE WHEN e THEN 'E' END) AS fails, count(*) AS n,
+         count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM d LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order FROM x p, x q, x r, x s, x t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+u AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+m AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS own, fails, n, good, toxic,
+         contains(fails, substr(filter_order, step, 1)) AS here,
+         length(translate(fails, substr(filter_order, 1, step - 1), '')) < length(fails) AS before FROM f, u),
+g AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT here AND NOT before), 0) AS kept,
+         coalesce(sum(n) FILTER (here AND NOT before), 0) AS removed, coalesce(sum(n) FILTER (here AND before), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (here AND NOT before), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (here AND NOT before), 0) AS toxic_lost
+  FROM m GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM g
+"""
+
 ORACLE = {"op1_url_filter": _OP1, "op2_jaccard_join": _OP2, "op3_chat_perspectives": _OP3, "op4_mix_sources": _OP4,
-          "op6_decontaminate": _OP6}
+          "op6_decontaminate": _OP6, "op11_rendezvous_shards": _OP11, "op12_ranked_search": _OP12,
+          "op13_filter_audit": _OP13}

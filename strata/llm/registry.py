@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strata.llm import (chat, decontam, jaccard, mixing, quality, secrets, suffix_dedup, toxicity,
-                        url_filter, vectors)
+from strata.llm import (audit, chat, decontam, jaccard, lexical, mixing, quality, secrets, sharding, suffix_dedup,
+                        toxicity, url_filter, vectors)
 from strata.llm.oracle import ORACLE
 
 # Fixed by the contract of op1.
@@ -58,8 +58,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_report(table(spark, sf_dir, "documents"))
 
 
+def op11_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _OPS = (op1_url_filter, op2_jaccard_join, op3_chat_perspectives, op4_mix_sources, op5_quality, op6_decontaminate,
-        op7_toxicity, op8_vector_search, op9_secret_scan, op10_suffix_dedup)
+        op7_toxicity, op8_vector_search, op9_secret_scan, op10_suffix_dedup, op11_rendezvous_shards, op12_ranked_search,
+        op13_filter_audit)
 
 
 def queries() -> dict:

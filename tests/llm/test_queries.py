@@ -22,7 +22,7 @@ def rows(df, columns):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(registry.oracle_sql()[name])
     columns = [d[0] for d in want.description]
@@ -33,7 +33,7 @@ def test_against_sql(spark, name):
 
 def test_one_query_per_operator():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
 
 
 def test_pipeline_stages(spark, tmp_path):
