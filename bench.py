@@ -21,7 +21,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from strata.plans.registry import queries  # noqa: E402
 from strata.session import local_session  # noqa: E402
 
-MODEL_KEYS = {"rf_report", "rf_confusion", "rf_importance", "cv_accuracy", "model_comparison", "key_findings"}
+MODEL_KEYS = {"rf_report", "rf_confusion", "rf_importance", "cv_accuracy", "model_comparison", "key_findings",
+              "forest_nodes", "forest_predictions", "forest_importance", "cv_accuracy_shallow", "boosting_nodes",
+              "boosting_predictions", "logistic_gradient", "logistic_two_classes"}
 
 
 def headline(names):

@@ -4,7 +4,7 @@ Both tails are integrals of a smooth positive function over [0, inf) (DLMF 8.2.2
 after a change of variable):
 
     chi-square:  Q(a, x) = x^(a-1) e^-x / Gamma(a) * I,   I = int_0^inf e^-s (1 + s/x)^(a-1) ds,
-                 a = dof / 2, x = statistic / 2
+                 a = dof / 2, x = statistic / 2 (beyond 2,500 degrees of freedom see _wide_tail)
     F:           I_y(a, b) = y^a / (a B(a, b)) * J,       J = int_0^inf e^-s (1 - y e^(-s/a))^(b-1) ds,
                  a = d2 / 2, b = d1 / 2, y = d2 / (d2 + d1 f)
 
@@ -21,7 +21,8 @@ from pyspark.sql import Column, functions as F
 
 STEP = 0.02               # of w
 LOW, HIGH = -45.0, 9.0    # e^-45 .. e^9: covers 2,500 degrees of freedom of the chi-square
-MAX_DOF = 2_500           # beyond, the chi-square tail is NULL
+WIDE_DOF = 2_500          # beyond, the chi-square tail is integrated around its peak
+FAR = 38.0                # standard deviations beyond which a tail is 0 or 1 in doubles
 SHIFT = 8                 # Stirling's series is used from here on
 
 
@@ -56,13 +57,30 @@ def log_gamma_ratio(a: Column, b: Column) -> Column:
     return (z + b - 0.5) * F.log1p(b / z) + b * F.log(z) - b + _series(z + b) - _series(z) - below
 
 
+def _excess(v: Column) -> Column:
+    """e^v - 1 - v without loss of digits near 0."""
+    series = v * v / 2 * (1 + v / 3 * (1 + v / 4 * (1 + v / 5 * (1 + v / 6 * (1 + v / 7)))))
+    return F.when(F.abs(v) < 0.02, series).otherwise(F.expm1(v) - v)
+
+
+def _wide_tail(a: Column, x: Column) -> Column:
+    """Q(a, x) for large a: with t = a e^(y / sqrt a) the integrand of the gamma tail becomes
+    e^(-a (e^v - 1 - v)) in v = y / sqrt a, close to a normal curve in y, whatever a is."""
+    root = F.sqrt(a)
+    y = root * F.log(x / a)
+    area = _trapezoid(lambda s: F.exp(-a * _excess((y + s) / root)))
+    return (F.when(y < -FAR, F.lit(1.0)).when(y > FAR, F.lit(0.0))
+            .otherwise(F.exp(-_series(a)) / F.lit(2.5066282746310002) * area))
+
+
 def chi2_pvalue(stat: Column, dof: Column) -> Column:
-    """P(X > stat) for X ~ chi-square(dof); NULL for a NULL or NaN statistic or dof outside
-    1..MAX_DOF."""
+    """P(X > stat) for X ~ chi-square(dof), at any degrees of freedom; NULL for a NULL or NaN statistic
+    or dof below 1."""
     a, x = dof.cast("double") / 2, stat.cast("double") / 2
     tail = F.exp((a - 1) * F.log(x) - x - log_gamma(a)) * _trapezoid(
         lambda s: F.exp(-s + (a - 1) * F.log1p(s / x)))
-    known = stat.isNotNull() & ~F.isnan(stat.cast("double")) & (dof > 0) & (dof <= MAX_DOF)
+    tail = F.when(dof <= WIDE_DOF, tail).otherwise(_wide_tail(a, x))
+    known = stat.isNotNull() & ~F.isnan(stat.cast("double")) & (dof > 0)
     return F.when(known, F.when(x <= 0, F.lit(1.0)).otherwise(F.least(tail, F.lit(1.0))))
 
 

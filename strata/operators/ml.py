@@ -1,28 +1,21 @@
-"""Feature matrix, stratified split and folds, three classifiers and their evaluation.
+"""Feature matrix, stratified split and folds, and the evaluation of predictions.
 
 * The split and the folds are exact per class: each class's rows are ordered by
   ``md5(id:seed)``, and the rows at the cut positions are found from counts per hash range. The
   first ``round(test_fraction * n_class)`` rows of a class are the test part; the folds are k
   consecutive parts of the order. Rows are compared with the cuts in the scan.
-* Models are Spark ML pipelines (distributed fits). Multi-class boosting is one-vs-rest
-  over binary GBTs, since Spark's GBT is binary only.
-* Every evaluation number is an aggregate over the prediction DataFrame; only model
-  metadata (importances) is read on the driver.
+* The classifiers are in ``operators/trees.py`` and ``operators/logistic.py``.
+* Every evaluation number is an aggregate over the prediction DataFrame.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, Window, functions as F
 
-from strata.operators.joins import join_small
+from strata.operators.joins import join_small, materialize
 from strata.operators.windows import bucket_target, hash_prefix_for, passed_cuts, position_cuts
 from strata.sources import schema as S
 
@@ -48,7 +41,9 @@ def _hash_cuts(df: DataFrame, label: str, id_col: str, seed: int, positions) ->
     x = df.withColumn("__h", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))))
     digits = hash_prefix_for(bucket_target(df.sparkSession))
     x = x.withColumn("__r", F.substring("__h", 1, digits))
-    return x, position_cuts(x.select(label, "__r", "__h"), [label], "__r", "__h", positions)
+    # the counts, the ranges with a cut and their rows read the narrow table, not the frame
+    narrow = materialize(x.select(label, "__r", "__h"), "order")
+    return x, position_cuts(narrow, [label], "__r", "__h", positions)
 
 
 def _passed(df: DataFrame, label: str, id_col: str, seed: int, positions, name: str) -> DataFrame:
@@ -86,48 +81,10 @@ def split_report(split: DataFrame, label: str = LABEL) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")).orderBy("part", "class"))
 
 
-# --- models ---------------------------------------------------------------------------
-
 def _assembler(feature_cols: Sequence[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(feature_cols), outputCol=out, handleInvalid="error")
 
 
-def random_forest(feature_cols: Sequence[str] = tuple(S.FEATURE_COLS), num_trees: int = S.RF_TREES,
-                  max_depth: int = S.RF_DEPTH, min_leaf: int = S.RF_MIN_LEAF, seed: int = S.SEED,
-                  max_bins: int = S.MAX_BINS) -> Pipeline:
-    rf = RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=num_trees,
-                                maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed,
-                                featureSubsetStrategy="sqrt", maxBins=max_bins, impurity="gini",
-                                bootstrap=True, cacheNodeIds=True, checkpointInterval=10)
-    return Pipeline(stages=[_assembler(feature_cols), rf])
-
-
-def gradient_boosting(feature_cols: Sequence[str] = tuple(S.FEATURE_COLS), rounds: int = S.GBT_ROUNDS,
-                      depth: int = S.GBT_DEPTH, step: float = S.GBT_STEP, seed: int = S.SEED,
-                      parallelism: int = 4, max_bins: int = S.MAX_BINS) -> Pipeline:
-    gbt = GBTClassifier(labelCol=LABEL, featuresCol="features", maxIter=rounds, maxDepth=depth,
-                        stepSize=step, seed=seed, maxBins=max_bins, checkpointInterval=10)
-    ovr = OneVsRest(classifier=gbt, labelCol=LABEL, featuresCol="features", parallelism=parallelism)
-    return Pipeline(stages=[_assembler(feature_cols), ovr])
-
-
-def logistic_regression(train_rows: int, feature_cols: Sequence[str] = tuple(S.FEATURE_COLS),
-                        max_iter: int = S.LR_MAX_ITER, c: float = 1.0) -> Pipeline:
-    """Multinomial L2 logistic regression on standardised features.
-
-    Standardisation uses the population sd (the sample-sd scaler times
-    sqrt(n / (n - 1))), and C maps to ``regParam = 1 / (C * n)``."""
-    n = max(train_rows, 2)
-    factor = math.sqrt(n / (n - 1))
-    scaler = StandardScaler(inputCol="raw_features", outputCol="scaled", withMean=True, withStd=True)
-    rescale = ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(feature_cols)),
-                                 inputCol="scaled", outputCol="features")
-    lr = LogisticRegression(labelCol=LABEL, featuresCol="features", maxIter=max_iter,
-                            family="multinomial", elasticNetParam=0.0, regParam=1.0 / (c * n),
-                            standardization=False)
-    return Pipeline(stages=[_assembler(feature_cols, "raw_features"), scaler, rescale, lr])
-
-
 # --- evaluation -----------------------------------------------------------------------
 
 def accuracy(pred: DataFrame) -> DataFrame:
@@ -191,27 +148,7 @@ def ranked_importances(imps: DataFrame, engineered: Sequence[str] = tuple(S.ENGI
     return df.withColumn("top", F.col("rank") <= top).orderBy("importance", "feature")
 
 
-def feature_importance(model: PipelineModel, feature_cols: Sequence[str] = tuple(S.FEATURE_COLS), **kw) -> DataFrame:
-    """Importances of the forest (model metadata: one number per feature)."""
-    imps = model.stages[-1].featureImportances.toArray().tolist()
-    session = SparkSession.getActiveSession()
-    return ranked_importances(session.createDataFrame([(n, float(v)) for n, v in zip(feature_cols, imps)],
-                                                      "feature string, importance double"), **kw)
-
-
 def best_first(results: DataFrame) -> DataFrame:
     """(model, accuracy, n, _pos) with ``best``: the highest accuracy, the first listed on a tie."""
     order = [F.desc("accuracy"), F.asc("_pos")]
     return results.withColumn("best", F.row_number().over(Window.orderBy(*order)) == 1).orderBy(*order).drop("_pos")
-
-
-def scaler_stats(df: DataFrame, feature_cols: Sequence[str] = tuple(S.FEATURE_COLS)) -> DataFrame:
-    """Mean and population sd of every feature, as the standardisation uses them."""
-    one = df.agg(*[e for c in feature_cols for e in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s"))])
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}_m").alias("mean"), F.col(f"{c}_s").alias("sd")) for c in feature_cols]
-    return one.select(F.inline(F.array(*rows)))
-
-
-def fit_and_score(pipeline: Pipeline, train: DataFrame, test: DataFrame):
-    model = pipeline.fit(train)
-    return model, model.transform(test)

@@ -6,10 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from strata.operators.clean import features
-from strata.operators.ml import feature_importance
 from strata.plans import models as MD
 from strata.plans import notebook as NB
-from strata.sources import schema as S
 
 
 def data_findings(raw: DataFrame) -> DataFrame:
@@ -28,11 +26,10 @@ def data_findings(raw: DataFrame) -> DataFrame:
         NB.chi_square_family_test(feat).select("significant").scalar().alias("chi_square_significant"))
 
 
-def key_findings(raw: DataFrame, num_trees: int = S.RF_TREES, gbt_rounds: int = S.GBT_ROUNDS) -> DataFrame:
+def key_findings(raw: DataFrame, settings: MD.TreeSettings = MD.TreeSettings()) -> DataFrame:
     """One row: the data findings, the best model and the top feature."""
-    results, forest = MD.compare_models(raw, num_trees, gbt_rounds)
-    best = results.where(F.col("best"))
-    top = feature_importance(forest).where(F.col("rank") == 1)
+    best = MD.model_comparison(raw, settings).where(F.col("best"))
+    top = MD.rf_importance(raw, settings).where(F.col("rank") == 1)
     return data_findings(raw).select(
         "*", best.select("model").scalar().alias("best_model"),
         (best.select("accuracy").scalar() * F.lit(100.0)).alias("best_accuracy_pct"),

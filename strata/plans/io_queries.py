@@ -35,10 +35,11 @@ def enriched_export(spark: SparkSession, sf_dir: str, path: str | None = None) -
 def csv_executive_summary(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """The questionnaire file path end to end: the cohort is written as a header CSV
     (the 32 file columns, no id), loaded by the fixed-schema reader, cleaned and
-    summarised."""
+    summarised. The summary never reads the key, so none is made."""
     path = path or shared_scratch(spark, "csv")
     write_csv(patients_raw(spark, sf_dir).select(*S.CSV_SCHEMA.fieldNames()), path)
-    return Q.executive_summary(clean(read_questionnaire_csv(spark, path)))
+    return Q.executive_summary(clean(read_questionnaire_csv(spark, path, with_id=False)
+                                     .withColumn("id", F.lit(None).cast("long"))))
 
 
 def peek_rows(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:

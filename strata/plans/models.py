@@ -12,16 +12,23 @@ can state too: they check accuracy, report, confusion, folds and choice of the b
 from __future__ import annotations
 
 import hashlib
+import inspect
+import math
+import sys
+from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
+from strata.operators import logistic as LG
 from strata.operators import ml as ML
+from strata.operators import moments as MO
+from strata.operators import trees as TR
 from strata.operators.clean import features
 from strata.operators.joins import materialize
 from strata.session import ensure_checkpoint_dir
 from strata.sources import schema as S
+from strata.sources.sinks import shared_scratch
 
 
 def model_rows(raw: DataFrame) -> DataFrame:
@@ -69,78 +76,203 @@ def _fingerprint(df: DataFrame) -> str:
     """A digest of the table's content, whatever its order: row count and two sums of row hashes."""
     h = df.select(F.xxhash64(*df.columns).alias("a"), F.hash(*df.columns).cast("long").alias("b"))
     r = h.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum("b")).first()
-    return hashlib.sha256(repr(tuple(r)).encode()).hexdigest()[:24]
+    return repr(tuple(r))
 
 
-def forest_fit(raw: DataFrame, num_trees: int = S.RF_TREES):
-    """(model, scored test rows) of the forest on the split.
+def _code_version() -> str:
+    """A digest of the code that fits, so that kept results do not outlive a change of it."""
+    return "".join(inspect.getsource(m) for m in (TR, ML, sys.modules[__name__]))
 
-    One fit serves every report: model and scores are kept in the shared checkpoint folder under
-    the digest of the model frame and the settings, and are read from there while the content is
-    the same. A changed table has another digest and is fitted anew."""
+
+@dataclass(frozen=True)
+class TreeSettings:
+    """How trees are fitted; the defaults are those of the analysed workload."""
+    trees: int = S.RF_TREES
+    depth: int = S.RF_DEPTH
+    least: int = S.RF_MIN_LEAF
+    chosen: int = math.isqrt(len(S.FEATURE_COLS))
+    bins: int = S.MAX_BINS
+    seed: int = S.SEED
+    rounds: int = S.GBT_ROUNDS
+    boost_depth: int = S.GBT_DEPTH
+    step: float = S.GBT_STEP
+    max_rows: int = MAX_FIT_ROWS
+
+    def forest(self, folds: int = 0) -> TR.ForestSettings:
+        return TR.ForestSettings(len(S.FEATURE_COLS), len(S.DIAGNOSIS_LABELS), self.trees, self.depth, self.least,
+                                 self.chosen, self.seed, folds)
+
+    def boosting(self) -> TR.BoostSettings:
+        return TR.BoostSettings(len(S.FEATURE_COLS), len(S.DIAGNOSIS_LABELS), self.rounds, self.boost_depth, self.step)
+
+
+# small enough for a SQL statement to grow the same trees
+SHALLOW = TreeSettings(trees=3, depth=2, bins=16, rounds=2, boost_depth=2)
+
+
+def _binned(fitted_on: DataFrame, rows: DataFrame, settings: TreeSettings, fold: str | None = None) -> DataFrame:
+    """(id, label, fold, bins) of ``rows``; the cuts come from the rows that are fitted on."""
+    cuts = TR.feature_cuts(fitted_on, S.FEATURE_COLS, settings.bins)
+    typed = rows.withColumn(ML.LABEL, F.col(ML.LABEL).cast("int"))
+    typed = typed.withColumn("fold", F.col(fold).cast("int") if fold else F.lit(-1))
+    return materialize(TR.binned(typed, S.FEATURE_COLS, cuts, ["id", ML.LABEL, "fold"]), "binned")
+
+
+def _moved(spark, source: str, target: str) -> None:
+    """Renames a finished folder; one that another session finished first stays."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(target)):
+        fs.rename(path(source), path(target))
+
+
+def forest_fit(raw: DataFrame, settings: TreeSettings = TreeSettings()) -> tuple[DataFrame, DataFrame]:
+    """(node table, scored test rows) of the forest on the split.
+
+    One fit serves every report: both tables are kept in the shared checkpoint folder under a digest
+    of the model frame, all settings and the fitting code. They are written to a fresh folder and
+    renamed when complete, so two sessions never write one path."""
     spark = raw.sparkSession
     rows = model_rows(raw)
+    key = repr((_fingerprint(rows), settings, S.FEATURE_COLS, S.SPLIT_TEST_FRACTION, TR.SMALL_NODE, _code_version()))
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/strata-forest-{_fingerprint(rows)}-{num_trees}-{S.RF_DEPTH}-{S.MAX_BINS}-{MAX_FIT_ROWS}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/scored/_SUCCESS")
+    path = f"{base}/strata-forest-{hashlib.sha256(key.encode()).hexdigest()[:32]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        train, test = _split(raw)
-        model, pred = ML.fit_and_score(ML.random_forest(num_trees=num_trees), train, test)
-        model.write().overwrite().save(f"{path}/model")
-        pred.select("id", ML.LABEL, "prediction").write.mode("overwrite").parquet(f"{path}/scored")
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/scored")
+        train, test = _split(raw, settings.max_rows)
+        both = _binned(train, train.withColumn("_p", F.lit(0)).unionByName(test.withColumn("_p", F.lit(1))), settings, "_p")
+        forest = settings.forest()
+        nodes = TR.grow_forest(both.where("fold = 0"), forest)
+        fresh = shared_scratch(spark, "forest-fit")
+        nodes.write.parquet(f"{fresh}/nodes")
+        TR.forest_scores(both.where("fold = 1"), nodes, forest).write.parquet(f"{fresh}/scored")
+        _moved(spark, fresh, path)
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/scored")
 
 
-def rf_report(raw: DataFrame, num_trees: int = S.RF_TREES) -> DataFrame:
-    _, pred = forest_fit(raw, num_trees)
-    return ML.classification_report(pred)
+def rf_report(raw: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    return ML.classification_report(forest_fit(raw, settings)[1])
 
 
-def rf_confusion(raw: DataFrame, num_trees: int = S.RF_TREES) -> DataFrame:
-    _, pred = forest_fit(raw, num_trees)
-    return ML.confusion(pred)
+def rf_confusion(raw: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    return ML.confusion(forest_fit(raw, settings)[1])
 
 
-def rf_importance(raw: DataFrame, num_trees: int = S.RF_TREES) -> DataFrame:
-    model, _ = forest_fit(raw, num_trees)
-    return ML.feature_importance(model)
+def rf_importance(raw: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    """The importances of the forest, from its node table."""
+    imps = TR.impurity_importances(forest_fit(raw, settings)[0], S.FEATURE_COLS)
+    return ML.ranked_importances(imps.withColumn("importance", F.round("importance", 9)))
 
 
-def cv_accuracy(raw: DataFrame, k: int = S.CV_FOLDS, num_trees: int = S.RF_TREES) -> DataFrame:
-    """Stratified k-fold accuracy of the forest on the whole cohort: one row per fold
-    plus the mean and the population sd over folds."""
-    folds = materialize(ML.stratified_folds(model_rows(raw)))
-    per_fold = None
-    for f in range(k):
-        _, pred = ML.fit_and_score(ML.random_forest(num_trees=num_trees),
-                                   folds.where(F.col("fold") != f), folds.where(F.col("fold") == f))
-        acc = materialize(ML.accuracy(pred).withColumn("fold", F.lit(f)))
-        per_fold = acc if per_fold is None else per_fold.unionByName(acc)
+def cv_accuracy(raw: DataFrame, k: int = S.CV_FOLDS, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    """Stratified k-fold accuracy of the forest: one row per fold plus the mean and the population sd
+    over folds. All k forests grow in the same passes; a tree gives its own fold's rows no weight."""
+    folds = materialize(ML.stratified_folds(model_rows(raw), k))
+    fitted_on = _bounded(folds, settings.max_rows)
+    rows, forest = _binned(fitted_on, folds, settings, "fold"), settings.forest(k)
+    nodes = TR.grow_forest(_bounded(rows, settings.max_rows), forest)
+    scored = TR.forest_scores(rows, nodes, forest, keep=("id", ML.LABEL, "fold"))
+    per = scored.groupBy("fold").agg(F.avg((F.col(ML.LABEL) == F.col("prediction")).cast("double")).alias("accuracy"),
+                                     F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy()
-    return (per_fold.withColumn("mean_accuracy", F.avg("accuracy").over(w))
-            .withColumn("std_accuracy", F.stddev_pop("accuracy").over(w))
+    return (per.withColumn("mean_accuracy", F.avg("accuracy").over(w)).withColumn("std_accuracy", F.stddev_pop("accuracy").over(w))
             .select("fold", "n", "accuracy", "mean_accuracy", "std_accuracy").orderBy("fold"))
 
 
-def compare_models(raw: DataFrame, num_trees: int = S.RF_TREES, gbt_rounds: int = S.GBT_ROUNDS):
-    """Fits the forest, one-vs-rest boosting and logistic regression (standardised
-    features) on the same split; returns (accuracy table, forest model)."""
-    forest, scored = forest_fit(raw, num_trees)
-    results = materialize(ML.accuracy(scored).select(F.lit("Random Forest").alias("model"), "accuracy", "n",
-                                                     F.lit(0).alias("_pos")))
-    train, test = _split(raw)
-    n_train = train.count()
-    for pos, (name, pipe) in enumerate([("Gradient Boosting", ML.gradient_boosting(rounds=gbt_rounds)),
-                                        ("Logistic Regression", ML.logistic_regression(n_train))], 1):
-        _, pred = ML.fit_and_score(pipe, train, test)
-        acc = materialize(ML.accuracy(pred).select(F.lit(name).alias("model"), "accuracy", "n", F.lit(pos).alias("_pos")))
-        results = results.unionByName(acc)
-    return ML.best_first(results), forest
+def boosting_fit(raw: DataFrame, settings: TreeSettings = TreeSettings()):
+    """(node rows, starting scores, scored test rows) of multinomial boosting on the split."""
+    train, test = _split(raw, settings.max_rows)
+    both = _binned(train, train.withColumn("_p", F.lit(0)).unionByName(test.withColumn("_p", F.lit(1))), settings, "_p")
+    nodes, prior = TR.grow_boosting(both.where("fold = 0"), settings.boosting())
+    return nodes, prior, TR.boosting_scores(both.where("fold = 1"), nodes, prior, settings.boosting())
+
+
+def logistic_fit(raw: DataFrame, max_rows: int = MAX_FIT_ROWS):
+    """(model, scored test rows) of the logistic regression on the split."""
+    train, test = _split(raw, max_rows)
+    model = LG.fit_logistic(train, S.FEATURE_COLS, len(S.DIAGNOSIS_LABELS), ML.LABEL)
+    return model, LG.logistic_scores(test, model)
+
+
+def model_comparison(raw: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    """Test accuracy of the forest, boosting and logistic regression (standardised features) on the
+    same split, best first."""
+    results = None
+    fits = [("Random Forest", lambda: forest_fit(raw, settings)[1]), ("Gradient Boosting", lambda: boosting_fit(raw, settings)[2]),
+            ("Logistic Regression", lambda: logistic_fit(raw, settings.max_rows)[1])]
+    for pos, (name, scored) in enumerate(fits):
+        acc = materialize(ML.accuracy(scored()).select(F.lit(name).alias("model"), "accuracy", "n", F.lit(pos).alias("_pos")))
+        results = acc if results is None else results.unionByName(acc)
+    return ML.best_first(results)
+
+
+# --- the same fits at a size that SQL can state ------------------------------------------
+
+def forest_nodes(raw: DataFrame) -> DataFrame:
+    """The node table of a small forest on the training rows."""
+    nodes = forest_fit(raw, SHALLOW)[0]
+    return nodes.select("tree", "node", "feature", "bin", *[F.col("counts")[c].alias(f"class_{c}") for c in S.DIAGNOSIS_LABELS])
+
+
+def forest_predictions(raw: DataFrame) -> DataFrame:
+    """The small forest's votes on the test rows."""
+    return forest_fit(raw, SHALLOW)[1].select("id", ML.LABEL, F.col("prediction").cast("int").alias("prediction"))
+
+
+def forest_importance(raw: DataFrame) -> DataFrame:
+    return rf_importance(raw, SHALLOW)
 
 
-def model_comparison(raw: DataFrame, num_trees: int = S.RF_TREES, gbt_rounds: int = S.GBT_ROUNDS) -> DataFrame:
-    """Test accuracy of the three models, best first."""
-    return compare_models(raw, num_trees, gbt_rounds)[0]
+def cv_accuracy_shallow(raw: DataFrame) -> DataFrame:
+    return cv_accuracy(raw, settings=SHALLOW)
+
+
+def boosting_nodes(raw: DataFrame) -> DataFrame:
+    """The trees of two rounds of boosting: cuts, and in the leaves what they add."""
+    nodes, _, _ = boosting_fit(raw, SHALLOW)
+    rows = [(t, n, f, b, *map(int, sums), v) for t, n, f, b, sums, v in nodes]
+    out = raw.sparkSession.createDataFrame(rows, "tree int, node int, feature int, bin int, residual long, curvature long, "
+                                                 "rows long, value double")
+    return out.withColumn("value", F.round("value", 9))
+
+
+def boosting_predictions(raw: DataFrame) -> DataFrame:
+    return boosting_fit(raw, SHALLOW)[2].select("id", ML.LABEL, F.col("prediction").cast("int").alias("prediction"))
+
+
+def logistic_gradient(raw: DataFrame) -> DataFrame:
+    """Per class and coefficient whether the penalised gradient at the fitted coefficients, summed anew
+    by SQL expressions over the training rows, is below 1e-6 per row of the penalty's scale."""
+    train, _ = _split(raw)
+    model = LG.fit_logistic(train, S.FEATURE_COLS, len(S.DIAGNOSIS_LABELS), ML.LABEL)
+    k = len(S.FEATURE_COLS)
+    x = [(F.col(c) - float(model.mean[i])) / float(model.sd[i]) for i, c in enumerate(S.FEATURE_COLS)] + [F.lit(1.0)]
+    z = train.select(ML.LABEL, F.array(*x).alias("x"))
+    dots = [F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+            for w in model.weights]
+    z = z.select(ML.LABEL, "x", F.array(*dots).alias("z")).withColumn("e", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
+    z = z.withColumn("s", F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
+    long = z.select(ML.LABEL, "x", "s", F.posexplode("e").alias("class", "ek"))
+    off = F.col("ek") / F.col("s") - (F.col(ML.LABEL) == F.col("class")).cast("double")
+    sums = (long.select("class", off.alias("off"), F.posexplode("x").alias("place", "xi"))
+            .groupBy("class", "place").agg(F.sum(F.col("off") * F.col("xi")).alias("g")))
+    weights = raw.sparkSession.createDataFrame(
+        [(a, i, float(model.weights[a, i]) if i < k else 0.0) for a in range(len(model.weights)) for i in range(k + 1)],
+        "class int, place int, w double")
+    names = F.element_at(F.array(*[F.lit(c) for c in [*S.FEATURE_COLS, "intercept"]]), F.col("place") + 1)
+    return (sums.join(F.broadcast(weights), ["class", "place"])
+            .select("class", names.alias("feature"), (F.abs(F.col("g") + F.col("w")) < 1e-6).alias("at_optimum")))
+
+
+def logistic_two_classes(raw: DataFrame) -> DataFrame:
+    """Coefficients of the class-0-or-not regression on two features, as SQL's own Newton steps find them."""
+    train, _ = _split(raw)
+    rows = train.withColumn("y", (F.col(ML.LABEL) != 0).cast("int"))
+    model = LG.fit_logistic(rows, ["Total_Severity", "Sleep_Hours"], 2, "y", tolerance=1e-9)
+    # the two classes' coefficients are opposite; the log odds are their difference
+    odds = model.weights[1] - model.weights[0]
+    return (raw.sparkSession.createDataFrame([(n, float(v)) for n, v in zip([*model.features, "intercept"], odds)], "name string, odds double")
+            .withColumn("odds", F.round("odds", 6)))
 
 
 # --- the evaluation on a rule's predictions -------------------------------------------
@@ -191,7 +323,9 @@ def rule_comparison(raw: DataFrame) -> DataFrame:
 def scaler_statistics(raw: DataFrame) -> DataFrame:
     """Means and population sds that the standardisation learns from the training rows."""
     train = ML.stratified_split(model_rows(raw)).where(F.col("part") == "train")
-    return ML.scaler_stats(train)
+    moments = MO.column_moments(train, S.FEATURE_COLS)
+    pairs = [] if moments is None else zip(S.FEATURE_COLS, *map(lambda a: a.tolist(), MO.scaler(moments)))
+    return raw.sparkSession.createDataFrame(list(pairs), "feature string, mean double, sd double")
 
 
 def feature_vectors(raw: DataFrame) -> DataFrame:
@@ -202,10 +336,11 @@ def feature_vectors(raw: DataFrame) -> DataFrame:
 
 def feature_correlation_rank(raw: DataFrame) -> DataFrame:
     """The importance table over |correlation with the label|."""
-    rows = model_rows(raw)
-    one = rows.agg(*[F.abs(F.corr(c, ML.LABEL)).alias(c) for c in S.FEATURE_COLS])
-    pairs = [F.struct(F.lit(c).alias("feature"), F.round(F.coalesce(F.col(c), F.lit(0.0)), 9).alias("importance")) for c in S.FEATURE_COLS]
-    return ML.ranked_importances(one.select(F.inline(F.array(*pairs))))
+    moments = MO.column_moments(model_rows(raw), [*S.FEATURE_COLS, ML.LABEL])
+    with_label = [] if moments is None else MO.correlation(moments)[-1, :-1].tolist()
+    rows = [(c, 0.0 if math.isnan(v) else abs(v)) for c, v in zip(S.FEATURE_COLS, with_label)]
+    pairs = raw.sparkSession.createDataFrame(rows, "feature string, importance double")
+    return ML.ranked_importances(pairs.withColumn("importance", F.round("importance", 9)))
 
 
 def split_losses(raw: DataFrame) -> DataFrame:

@@ -119,6 +119,10 @@ REGISTRY["split_report_edge"] = _on_raw(MD.split_report, edge=True)
 REGISTRY.update({k: _on_raw(getattr(MD, k)) for k in
                  ["rf_report", "rf_confusion", "rf_importance", "cv_accuracy", "model_comparison"]})
 REGISTRY["key_findings"] = _on_raw(FI.key_findings)
+# the same fits with few, shallow trees, a few steps or two features: SQL grows the same models
+REGISTRY.update({k: _on_raw(getattr(MD, k)) for k in
+                 ["forest_nodes", "forest_predictions", "forest_importance", "cv_accuracy_shallow", "boosting_nodes",
+                  "boosting_predictions", "logistic_gradient", "logistic_two_classes"]})
 
 
 from strata.plans import io_queries as IO  # noqa: E402
@@ -148,5 +152,6 @@ def oracle_sql() -> dict[str, str]:
     from strata.plans.oracle import QUERIES
     from strata.plans.oracle_more import MORE
     from strata.plans.oracle_notebook import NB_QUERIES
-    both = {**QUERIES, **NB_QUERIES, **MORE}
+    from strata.plans.oracle_models import MODELS
+    both = {**QUERIES, **NB_QUERIES, **MORE, **MODELS}
     return {k: v for k, v in both.items() if k in REGISTRY}

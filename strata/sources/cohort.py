@@ -26,15 +26,23 @@ MISSING_MARKERS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType(), True) for f in S.CSV_SCHEMA.fields])
 
 
-def read_questionnaire_csv(spark: SparkSession, path: str, with_id: bool = True, rules: str = "notebook") -> DataFrame:
+# Quotes inside a quoted cell are doubled and a backslash is a letter like any other.
+CSV_QUOTING = {"quote": '"', "escape": '"'}
+
+
+def read_questionnaire_csv(spark: SparkSession, path: str, with_id: bool = True, rules: str = "notebook",
+                           multi_line: bool = False) -> DataFrame:
     """Header CSV with the fixed 32-column schema; header names are checked, not inferred.
 
+    A quoted cell may hold commas and doubled quotes. ``multi_line`` lets it hold line breaks too;
+    a file is then read by one task, so many files are better than a large one.
+
     Cells are read as text under the fixed header, then typed by :func:`typed_cells`; a value that
     is neither a number nor a marker fails the load instead of silently turning NULL.
     ``with_id`` adds the surrogate key of :func:`with_surrogate_id`."""
     df = (spark.read.schema(TEXT_SCHEMA).option("header", True).option("enforceSchema", False)
           .option("mode", "FAILFAST").option("nullValue", "").option("ignoreLeadingWhiteSpace", False)
-          .option("ignoreTrailingWhiteSpace", False).csv(path))
+          .option("ignoreTrailingWhiteSpace", False).option("multiLine", multi_line).options(**CSV_QUOTING).csv(path))
     if with_id:
         df = with_surrogate_id(df)
     return df.select(*(["id"] if with_id else []), *typed_cells(rules))

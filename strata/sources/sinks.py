@@ -18,8 +18,10 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Header CSV, one file per task (no coalesce to one writer)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Header CSV, one file per task (no coalesce to one writer). Quotes inside a cell are doubled;
+    white space around text is kept."""
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -31,11 +33,11 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     return path
 
 
-def read_csv_as(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_as(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Read a header CSV written by :func:`write_csv` with an explicit schema; header
-    names are checked against it."""
-    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-            .option("mode", "FAILFAST").csv(path))
+    names are checked against it. ``multi_line`` lets quoted cells hold line breaks."""
+    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"')
+            .option("multiLine", multi_line).option("mode", "FAILFAST").csv(path))
 
 
 def key_check(df: DataFrame, key: str = "id") -> DataFrame:

@@ -12,18 +12,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strata.operators.clean import clean
 from strata.plans.queries import executive_summary
-from strata.sources.cohort import TEXT_SCHEMA, typed_cells
+from strata.sources.cohort import CSV_QUOTING, TEXT_SCHEMA, typed_cells
 from strata.sources.sinks import shared_scratch
 
 
-def read_questionnaire_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
+def read_questionnaire_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int = 100,
+                              multi_line: bool = False) -> DataFrame:
     """Header CSV files arriving in ``input_dir`` with the fixed 32-column schema.
 
     Streamed rows carry no surrogate key (``id`` is NULL): a position-based id is not
     available to a stream, and the summary never reads the key."""
     df = (spark.readStream.schema(TEXT_SCHEMA).option("header", True).option("enforceSchema", False)
           .option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .option("maxFilesPerTrigger", max_files_per_trigger).csv(input_dir))
+          .option("maxFilesPerTrigger", max_files_per_trigger).option("multiLine", multi_line).options(**CSV_QUOTING).csv(input_dir))
     return df.select(F.lit(None).cast("long").alias("id"), *typed_cells())
 
 

@@ -104,3 +104,30 @@ def test_key_check(spark, sf_small):
     dup = spark.createDataFrame([(1,), (1,), (2,)], "id long")
     r = key_check(dup, "id").collect()[0]
     assert (r["rows"], r["distinct_keys"], r["duplicate_keys"]) == (3, 2, 1)
+
+
+def test_quoted_cells_round_trip(spark, sf_small, tmp_path):
+    """Quotes, backslashes, commas, white space and line breaks come back as they were."""
+    from strata.sources.sinks import read_csv_as
+    cells = ['say "hi" now', '"', 'a,b', 'ends in \\', '\\"', " padded ", "line\nbreak", 'x"\n"y', "'", "tab\there"]
+    base = patients_raw(spark, sf_small).orderBy("id").limit(len(cells)).select(*S.CSV_SCHEMA.fieldNames())
+    rows = [dict(r.asDict(), Educational_Level=c) for r, c in zip(base.collect(), cells)]
+    df = spark.createDataFrame([tuple(r[c] for c in base.columns) for r in rows], base.schema)
+    path = write_csv(df, f"{tmp_path}/cells")
+    back = read_questionnaire_csv(spark, path, multi_line=True)
+    assert sorted(r["Educational_Level"] for r in back.collect()) == sorted(cells)
+    assert sorted(r["Educational_Level"] for r in read_csv_as(spark, path, df.schema, multi_line=True).collect()) == sorted(cells)
+
+
+def test_doubled_quotes_and_backslashes_in_a_file(spark, sf_small, tmp_path):
+    """A file as a database server or pandas writes it, read split by split."""
+    import csv
+    cells = ['say "hi" now', "ends in \\", "a,b", 'mid"quote']
+    rows = patients_raw(spark, sf_small).orderBy("id").limit(len(cells)).select(*S.CSV_SCHEMA.fieldNames())
+    with open(tmp_path / "cells.csv", "w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(rows.columns)
+        for r, c in zip(rows.collect(), cells):
+            out.writerow([c if name == "Educational_Level" else r[name] for name in rows.columns])
+    back = read_questionnaire_csv(spark, str(tmp_path / "cells.csv"))
+    assert sorted(r["Educational_Level"] for r in back.collect()) == sorted(cells)

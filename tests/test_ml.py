@@ -1,9 +1,12 @@
 """Split, folds and models: exactness of the split, ranges of the model outputs."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from strata.operators import ml as ML
 from strata.operators.clean import features
+from strata.plans import models as MD
 from strata.sources.cohort import patients_raw
 
 
@@ -30,37 +33,40 @@ def test_folds_balanced(spark, sf_small):
     assert all(r["d"] <= 1 and r["k"] == 5 for r in d.collect())
 
 
+FEW = replace(MD.SHALLOW, trees=10, depth=5, bins=64)
+
+
 def test_forest_outputs(spark, sf_small):
-    data = ML.stratified_split(_rows(spark, sf_small))
-    train, test = data.where("part = 'train'"), data.where("part = 'test'")
-    model, pred = ML.fit_and_score(ML.random_forest(num_trees=10, max_depth=5), train, test)
+    raw = patients_raw(spark, sf_small)
+    nodes, pred = MD.forest_fit(raw, FEW)
     acc = ML.accuracy(pred).collect()[0]["accuracy"]
+    test = ML.stratified_split(_rows(spark, sf_small)).where("part = 'test'")
     majority = test.groupBy("label").count().agg(F.max("count")).collect()[0][0] / test.count()
-    assert 0.0 <= acc <= 1.0 and acc >= majority
-    imp = ML.feature_importance(model).collect()
-    assert len(imp) == 22 and abs(sum(r["importance"] for r in imp) - 1.0) < 1e-9
-    rep = {r["class"]: r for r in ML.classification_report(pred).collect()}
+    assert acc >= majority and pred.count() == test.count()
+    assert nodes.select("tree").distinct().count() == 10
+    imp = MD.rf_importance(raw, FEW).collect()
+    assert len(imp) == 22 and abs(sum(r["importance"] for r in imp) - 1.0) < 1e-6
+    rep = {r["class"]: r for r in MD.rf_report(raw, FEW).collect()}
     assert abs(rep["accuracy"]["f1"] - acc) < 1e-12
-    cm = ML.confusion(pred).collect()
-    for r in cm:
+    for r in MD.rf_confusion(raw, FEW).collect():
         assert abs(sum(r[f"pct_{c}"] for c in range(4)) - 100.0) < 1e-9
 
 
-def test_logistic_regression_runs(spark, sf_small):
-    data = ML.stratified_split(_rows(spark, sf_small))
-    train, test = data.where("part = 'train'"), data.where("part = 'test'")
-    _, pred = ML.fit_and_score(ML.logistic_regression(train.count(), max_iter=50), train, test)
-    assert 0.0 <= ML.accuracy(pred).collect()[0]["accuracy"] <= 1.0
+def test_kept_fit_depends_on_settings_and_content(spark, sf_small):
+    raw = patients_raw(spark, sf_small)
+    a = MD.forest_fit(raw, FEW)[1]
+    assert MD.forest_fit(raw, FEW)[1].inputFiles() == a.inputFiles()
+    other = [replace(FEW, seed=7), replace(FEW, least=9)]
+    files = {tuple(sorted(MD.forest_fit(raw, s)[1].inputFiles())) for s in [FEW, *other]}
+    files.add(tuple(sorted(MD.forest_fit(raw.where("id % 10 > 0"), FEW)[1].inputFiles())))
+    assert len(files) == 4
 
 
-def test_forest_is_deterministic_for_a_seed(spark, sf_small):
-    data = ML.stratified_split(_rows(spark, sf_small))
-    train, test = data.where("part = 'train'"), data.where("part = 'test'")
-    _, p1 = ML.fit_and_score(ML.random_forest(num_trees=5, max_depth=4), train, test)
-    _, p2 = ML.fit_and_score(ML.random_forest(num_trees=5, max_depth=4), train, test)
-    a = p1.select("id", "prediction")
-    b = p2.select("id", "prediction")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_models_are_compared_on_the_same_rows(spark, sf_small):
+    got = MD.model_comparison(patients_raw(spark, sf_small), replace(FEW, rounds=3)).collect()
+    assert {r["model"] for r in got} == {"Random Forest", "Gradient Boosting", "Logistic Regression"}
+    assert len({r["n"] for r in got}) == 1 and [r["best"] for r in got] == [True, False, False]
+    assert all(0.3 < r["accuracy"] <= 1 for r in got)
 
 
 def test_split_independent_of_input_partitioning(spark, sf_small):

@@ -45,7 +45,7 @@ def test_query_matches_duckdb(spark, con, name):
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == cols
     # exact type correspondence, column by column
-    kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE"}
+    kinds = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
     dtypes = {d[0]: str(d[1]) for d in res.description}
     for f in df.schema.fields:
         assert kinds.get(f.dataType.simpleString()) == dtypes[f.name], (f.name, f.dataType, dtypes[f.name])

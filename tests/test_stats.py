@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from strata.functions.pvalues import chi2_pvalue, f_pvalue
@@ -196,3 +197,27 @@ def test_box_stats_histogram_equals_exact(spark):
     for k in a:
         for c in ("n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers"):
             assert abs(a[k][c] - b[k][c]) < 1e-12, (k, c)
+
+
+@pytest.mark.parametrize("dof", [2_501, 10_000, 1_000_000, 10 ** 9])
+def test_chi_square_tail_at_many_degrees(spark, dof):
+    """Against the sum rule Q(a + 1, x) = Q(a, x) + x^a e^-x / Gamma(a + 1), the median and both ends."""
+    sd = math.sqrt(2 * dof)
+    stats = [dof + z * sd for z in (-30, -6, -1, 0, 1, 3, 8)]
+    rows = spark.createDataFrame([(float(s), d) for s in stats for d in (dof, dof + 2)], "s double, d long")
+    got = {(r["s"], r["d"]): r["p"] for r in rows.select("s", "d", chi2_pvalue(F.col("s"), F.col("d")).alias("p")).collect()}
+    for s in stats:
+        a, x = dof / 2, s / 2
+        # the step in logs by Stirling's series; only where its digits suffice
+        step = math.exp(a * math.log(x / a) + (a - x) - 0.5 * math.log(2 * math.pi * a) - 1 / (12 * a))
+        assert got[s, dof + 2] - got[s, dof] == pytest.approx(step, rel=1e-4, abs=1e-12)
+    assert got[stats[0], dof] == pytest.approx(1, abs=1e-12)
+    assert got[stats[3], dof] == pytest.approx(0.5 - 2 / (3 * math.sqrt(2 * math.pi * dof / 2)) / 2, abs=2e-3 / math.sqrt(dof) + 1e-6)
+    assert 0 < got[stats[6], dof] < 1e-9 < got[stats[5], dof] < 0.01
+
+
+def test_chi_square_tail_is_continuous_where_the_form_changes(spark):
+    rows = spark.createDataFrame([(2500.0 + z * 70, d) for z in (-3, 0, 2, 6) for d in (2499, 2500, 2501, 2502)], "s double, d long")
+    got = [r["p"] for r in rows.select(chi2_pvalue(F.col("s"), F.col("d")).alias("p")).collect()]
+    for a, b, c, d in zip(got[::4], got[1::4], got[2::4], got[3::4]):
+        assert b - a == pytest.approx(c - b, rel=0.1, abs=1e-12) and c - b == pytest.approx(d - c, rel=0.1, abs=1e-12)

@@ -14,7 +14,9 @@ from strata.operators import joins  # noqa: E402
 from strata.plans import registry  # noqa: E402
 from strata.session import local_session  # noqa: E402
 
-MODELS = {"rf_report", "rf_confusion", "rf_importance", "cv_accuracy", "model_comparison", "key_findings"}
+MODELS = {"rf_report", "rf_confusion", "rf_importance", "cv_accuracy", "model_comparison", "key_findings",
+          "forest_nodes", "forest_predictions", "forest_importance", "cv_accuracy_shallow", "boosting_nodes",
+          "boosting_predictions", "logistic_gradient", "logistic_two_classes"}
 
 
 def executed(df) -> str:
