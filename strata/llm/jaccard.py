@@ -10,16 +10,18 @@ link share a shingle of their prefixes. The order decides the cost only, never t
 *Answers of the leader.* Each list has a leader: its member that stands in the most lists. Every list member is compared
 with its leaders: first by parity bitmaps (bits that differ bound the sets' difference from
 below, so the overlap from above), then, where that bound allows a link, by the exact overlap of
-the full sets.
+the full sets. What these links connect needs no further look: a group of near copies costs about
+one comparison per member, not one per pair.
 
-*Skipping and deriving.* Two members y, z of a leader x's lists need a look only if they are not yet
-connected. Their overlap is at most ``|x and z| + |y - x|`` (and the same with y and z exchanged), and
-a parity sketch of fixed size bounds it too, so most pairs are ruled out inside the join; lists
-are cut into blocks by set size, and blocks too far apart never meet. Members near their leader are held as its set plus
-and minus a few changes; their overlaps follow from the changes alone, so two of them can only
-link if they share enough changes, and a prefix index over the changes (with a bound by position)
-finds those. The pairs that remain go through the same two comparisons. A group of near copies
-thus costs about one comparison per member, not one per pair.
+*Skipping blocks by position.* Lists whose members are not all connected are looked at again, in
+blocks by set size. A shingle at position ``i`` of a set of ``n``, if it is the first one that two sets
+share, leaves at most ``n - i`` to share, so it rules out partners above a size ``(n - i)(1 + t) / t - n``.
+A member meets only blocks of sizes from its own up to that; late positions, where the frequent
+shingles stand, meet none. Both sides' limits are then checked pair by pair.
+
+*Deriving.* Each member has one leader x, the one it shares most with, and that overlap is kept once.
+The answers of x give a bound for every member y: ``|y and z| <= |x and z| + |y - x|``, from either
+side. Only pairs that this allows are compared, like members with their leaders.
 
 The links are closed to components by written rounds. Nothing but counts and the bounded table of
 frequent shingles reaches the driver.
@@ -42,8 +44,6 @@ CHUNK = 2_000_000      # shingles counted at once by a task
 SEEN = 2               # frequent: seen so often in one chunk
 FREQUENT = 1 << 18     # shingles in the table of the most frequent ones
 HINT_BITS = 22
-SKETCH = 8             # 64-bit words of the fixed-size parity sketch
-PACK = 5               # bytes kept of each shingle for the exact overlap
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -100,12 +100,6 @@ def bitmap(own: np.ndarray) -> bytes:
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """Parity bitmap of fixed size, for bounds inside a join."""
-    parity = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
-
-
 def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     """Largest overlap that two sets with these bitmaps can have."""
     x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
@@ -117,18 +111,6 @@ def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     return min(na, nb, (na + nb - differ) // 2)
 
 
-def pack(own: np.ndarray) -> bytes:
-    """The top ``PACK`` bytes of each shingle (for overlaps of two given sets)."""
-    return np.ascontiguousarray((own >> np.uint64(64 - 8 * PACK)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACK]).tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, PACK)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :PACK] = raw
-    return wide.view("<u8").ravel()
-
-
 def _frequent_rows(k: int):
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -157,7 +139,7 @@ def _set_rows(k: int, percent: int, frequent):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
         for batch in batches:
-            n, s1, s2, prefix, maps, words = [], [], [], [], [], []
+            n, s1, s2, prefix, maps = [], [], [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py(), k)
                 sig = xxhash.xxh3_128_intdigest(own.tobytes())
@@ -167,12 +149,11 @@ def _set_rows(k: int, percent: int, frequent):
                 size = len(own) + 1 + (-percent * len(own)) // 100 if len(own) else 0  # n - ceil(t n) + 1
                 prefix.append(table.prefix(own, size).view(np.int64))
                 maps.append(bitmap(own))
-                words.append(sketch(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)),
                  pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(prefix, pa.list_(pa.int64())),
-                 pa.array(maps, pa.binary()), pa.array(words, pa.list_(pa.int64()))],
-                names=["id", "n", "s1", "s2", "prefix", "bitmap", "sketch"])
+                 pa.array(maps, pa.binary())],
+                names=["id", "n", "s1", "s2", "prefix", "bitmap"])
     return rows
 
 
@@ -180,7 +161,7 @@ def _full_rows(k: int):
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([pack(shingle_set(t.as_py(), k)) for t in batch.column(1)], pa.binary())],
+                [batch.column(0), pa.array([shingle_set(t.as_py(), k).tobytes() for t in batch.column(1)], pa.binary())],
                 names=["id", "full"])
     return rows
 
@@ -199,8 +180,8 @@ def _overlap_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for x, y in zip(batch.column(2), batch.column(3)):
             x, y = x.as_py(), y.as_py()
             if known[0] != x:
-                known = (x, unpack(x))
-            both.append(len(np.intersect1d(known[1], unpack(y), assume_unique=True)))
+                known = (x, np.frombuffer(x, np.uint64))
+            both.append(len(np.intersect1d(known[1], np.frombuffer(y, np.uint64), assume_unique=True)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(both, pa.int64())], names=["a", "b", "both"])
 
 
@@ -229,82 +210,45 @@ def _full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             .mapInArrow(_full_rows(k), "id long, full binary"))
 
 
-def _delta_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A member as its leader plus ``added`` and minus ``dropped`` shingles; ``el`` holds both kinds,
-    the added ones first (even numbers), then the dropped ones (odd numbers)."""
-    for batch in batches:
-        added, dropped, el = [], [], []
-        for fa, fb in zip(batch.column(5), batch.column(6)):
-            x, y = unpack(fa.as_py()), unpack(fb.as_py())
-            more, less = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-            added.append(len(more))
-            dropped.append(len(less))
-            el.append(np.concatenate([more * 2, less * 2 + 1]).astype(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:5], pa.array(added, pa.int64()), pa.array(dropped, pa.int64()), pa.array(el, pa.list_(pa.int64()))],
-            names=["a", "b", "comp", "na", "nb", "added", "dropped", "el"])
-
-
-def _unsettled(answers: DataFrame, known: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int,
-               scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) below one leader, not connected yet, that its answers do not rule out."""
-    bucket = F.floor(F.log(F.col("nb").cast("double")) / math.log(100 / percent))
-    member = (answers.join(known.select(F.col("id").alias("b"), "component"), "b", "left")
-              .select("a", "b", "na", "nb", "lo", "hi", F.coalesce("component", "b").alias("comp"), bucket.alias("block"),
-                      (F.col("hi") * 2 >= F.greatest("na", "nb")).alias("near")))
-    member = scratch.save(member, "members")
-
-    def mixed(df: DataFrame) -> DataFrame:
-        heads = (df.groupBy(F.col("a").alias("x")).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-                 .where("c0 <> c1").select("x"))
-        return df.join(heads, F.col("a") == F.col("x")).drop("x")
-
-    member = mixed(member).join(reps.select(F.col("id").alias("b"), "sketch"), "b")
-    member = scratch.save(member, "mixed")
-    kept = ("b", "nb", "lo", "hi", "comp", "near", "sketch")
-    y = member.select("a", *[F.col(c).alias(f"y_{c}") for c in kept], F.col("block"))
-    z = member.select("a", *[F.col(c).alias(f"z_{c}") for c in kept],
-                      F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    sized = F.least("y_nb", "z_nb") * 100 >= F.greatest("y_nb", "z_nb") * percent
-    apart = (F.col("y_b") < F.col("z_b")) & (F.col("y_comp") != F.col("z_comp")) & sized
-    most = F.least(F.col("z_hi") + F.col("y_nb") - F.col("y_lo"), F.col("y_hi") + F.col("z_nb") - F.col("z_lo"), "y_nb", "z_nb")
-    differ = sum((F.bit_count(F.col("y_sketch")[i].bitwiseXOR(F.col("z_sketch")[i])) for i in range(SKETCH)), F.lit(0))
-    sketched = (F.col("y_nb") + F.col("z_nb") - differ) * (100 + percent) >= 2 * percent * (F.col("y_nb") + F.col("z_nb"))
-    far = (y.join(z, ["a", "block"])
-           .where(apart & ~(F.col("y_near") & F.col("z_near")) & sketched
-                  & (most * (100 + percent) >= (F.col("y_nb") + F.col("z_nb")) * percent))
-           .select(F.col("y_b").alias("a"), F.col("z_b").alias("b")))
-    # members near their leader, as its set plus and minus a few shingles: with y = x - D + A,
-    #   |y and z| = |x| - |D_y| - |D_z| + |D_y and D_z| + |A_y and A_z|
-    # so y and z must share r = need - |x| + |D_y| + |D_z| changes. For two sets that are not connected
-    # r is positive (else one would link with x), so it rules a prefix of the changes, in which
-    # linked sets meet, and a change at position i leaves at most (changes - i) to share.
-    near = mixed(member.where("near").select("a", "b", "comp", "na", "nb"))
-    near = scratch.save(near, "near")
-    ids = scratch.save(near.select(F.col("a").alias("i")).union(near.select(F.col("b").alias("i"))).distinct(), "near_ids")
-    full = scratch.save(_full_sets(ids, docs, k), "near_full")
-    deltas = (near.join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
-              .join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
-              .select("a", "b", "comp", "na", "nb", "fa", "fb")
-              .mapInArrow(_delta_rows, "a long, b long, comp long, na long, nb long, added long, dropped long, el array<long>"))
-    share = percent / (100 + percent)
-    deltas = scratch.save(deltas.withColumn("g", F.col("nb") * share + F.col("dropped")), "deltas")
-    # the least g among the members of other components
-    first = deltas.groupBy(F.col("a").alias("x")).agg(F.min(F.struct("g", "comp")).alias("f"))
-    second = (deltas.join(first, F.col("a") == F.col("x")).where(F.col("comp") != F.col("f.comp"))
-              .groupBy("x", "f").agg(F.min("g").alias("s")))
-    own = deltas.join(second, F.col("a") == F.col("x"))
-    other = F.when(F.col("comp") == F.col("f.comp"), F.col("s")).otherwise(F.col("f.g"))
-    r = F.greatest(F.ceil(F.col("g") - F.col("na") + other - 1e-6), F.lit(1))
-    own = (own.withColumn("size", F.size("el")).withColumn("keep", (F.col("size") - r + 1).cast("int")).where("keep > 0")
-           .select("a", "b", "comp", "na", "nb", "g", "size", F.posexplode(F.slice("el", F.lit(1), F.col("keep"))).alias("pos", "e")))
-    own = scratch.save(own, "changes")
-    y = own.select("a", "e", "na", *[F.col(c).alias(f"y_{c}") for c in ("b", "comp", "nb", "g", "size", "pos")])
-    z = own.select("a", "e", *[F.col(c).alias(f"z_{c}") for c in ("b", "comp", "nb", "g", "size", "pos")])
-    left = F.least(F.col("y_size") - F.col("y_pos"), F.col("z_size") - F.col("z_pos"))
-    close = (y.join(z, ["a", "e"]).where(apart & (left >= F.col("y_g") + F.col("z_g") - F.col("na") - 1e-6))
-             .select(F.col("y_b").alias("a"), F.col("z_b").alias("b")))
-    return far.union(close).distinct()
+def _skipped_pairs(shared: DataFrame, known: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of lists whose members are not all connected, not connected themselves, that sizes
+    and positions allow. ``a`` is the smaller set."""
+    block = lambda size: F.floor(F.log(size.cast("double")) / math.log(100 / percent))
+    # the largest partner that a first shared shingle at this position allows
+    most = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent).cast("long") - F.col("n")
+    rows = (shared.join(known, "id", "left")
+            .select("sh", "id", "n", F.coalesce("component", "id").alias("comp"), most.alias("most")))
+    rows = scratch.save(rows, "placed")
+    mixed = rows.groupBy("sh").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sh")
+    rows = scratch.save(rows.join(mixed, "sh"), "mixed")
+    scratch.drop("placed")
+    small = rows.where("most >= n").select(
+        "sh", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "comp", "most")],
+        # one block more at the end: the logarithm may fall on either side of a block's border
+        F.explode(F.sequence(block(F.col("n")), block(F.col("most")) + 1)).alias("block"))
+    large = rows.select("sh", *[F.col(c).alias(f"z_{c}") for c in ("id", "n", "comp", "most")], block(F.col("n")).alias("block"))
+    ordered = (F.col("y_n") < F.col("z_n")) | ((F.col("y_n") == F.col("z_n")) & (F.col("y_id") < F.col("z_id")))
+    fits = (F.col("z_n") <= F.col("y_most")) & (F.col("y_n") <= F.col("z_most"))
+    return (small.join(large, ["sh", "block"]).where(ordered & fits & (F.col("y_comp") != F.col("z_comp")))
+            .select(F.col("y_id").alias("a"), F.col("z_id").alias("b"), F.col("y_n").alias("na"), F.col("z_n").alias("nb")).distinct())
+
+
+def _derived_pairs(pairs: DataFrame, answers: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that the answers of the members' leaders neither settle nor rule out."""
+    # one leader per member: the one it shares most with
+    best = (answers.where("lo > 0").groupBy("b").agg(F.max(F.struct("lo", (-F.col("a")).alias("less"))).alias("top"))
+            .select(F.col("b").alias("member"), (-F.col("top.less")).alias("lead"), F.col("top.lo").alias("own")))
+    best = scratch.save(best, "best")
+    given = answers.select(F.col("a").alias("lead"), F.col("b").alias("other"), "hi")
+    for side, partner in (("a", "b"), ("b", "a")):
+        one = pairs.join(best.withColumnRenamed("member", side), side, "left")
+        # the leader itself as partner: their overlap is what the member keeps
+        one = one.join(given.withColumnRenamed("other", partner), ["lead", partner], "left")
+        derived = F.when(F.col("lead") == F.col(partner), F.col("own")).otherwise(F.col("hi") + F.col(f"n{side}") - F.col("own"))
+        allowed = derived.isNull() | (derived * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+        pairs = scratch.save(one.where(allowed).select("a", "b", "na", "nb"), f"derived_{side}")
+    seen = answers.select("a", "b").union(answers.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return scratch.save(pairs.select("a", "b").join(seen, ["a", "b"], "left_anti"), "rest")
 
 
 def _links(compared: DataFrame, percent: int) -> DataFrame:
@@ -328,33 +272,35 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, key:
            .orderBy(F.desc("c"), "sh").limit(FREQUENT))
     rows = scratch.save(top, "frequent").toPandas()  # at most FREQUENT rows
     frequent = spark.sparkContext.broadcast(Frequent(rows["sh"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)))
-    kind = "id long, n long, s1 long, s2 long, prefix array<long>, bitmap binary, sketch array<long>"
+    kind = "id long, n long, s1 long, s2 long, prefix array<long>, bitmap binary"
     sets = scratch.save(docs.mapInArrow(_set_rows(k, percent, frequent), kind), "sets")
     members = scratch.save(sets.select("id", "n", "s1", "s2"), "rows")
     # classes of equal sets; the smallest id stands for the class
     classes = scratch.save(members.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
     full = (sets.join(classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep"),
                       (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("id") == F.col("rep")))
-            .groupBy("id", "s1", "s2").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "bitmap", "sketch")]))
+            .groupBy("id", "s1", "s2").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "bitmap")]))
     full = scratch.save(full.drop("s1", "s2"), "classes_full")
     scratch.drop("sets")
     # index lists of two and more; each is led by its member that stands in the most lists (in a
     # group of near copies: the one with the fewest edits), the smallest id on ties
-    postings = full.select("id", F.explode("prefix").alias("sh"))
+    postings = full.select("id", "n", F.posexplode("prefix").alias("pos", "sh"))
     lists = postings.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sh")
     shared = scratch.save(postings.join(lists, "sh"), "shared")
-    reps = scratch.save(full.select("id", "n", "bitmap", "sketch"), "reps")
+    reps = scratch.save(full.select("id", "n", "bitmap"), "reps")
     scratch.drop("classes_full")
     placed = shared.join(shared.groupBy("id").agg(F.count(F.lit(1)).alias("rank")), "id")
     leads = placed.groupBy("sh").agg(F.max(F.struct("rank", (-F.col("id")).alias("less"))).alias("top"))
     pairs = (shared.join(leads.select("sh", (-F.col("top.less")).alias("lead")), "sh").where("id <> lead")
              .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     answers = _compare(scratch.save(pairs, "pairs"), reps, docs, k, percent, scratch, "lead")
-    scratch.drop("shared", "pairs")
+    scratch.drop("pairs")
     links = _links(answers, percent)
     known = components(links, scratch, "first")
-    rest = scratch.save(_unsettled(answers, known, reps, docs, k, percent, scratch), "rest")
-    scratch.drop("members", "mixed", "near", "near_full", "deltas", "changes")
+    pairs = scratch.save(_skipped_pairs(shared, known, percent, scratch), "open")
+    scratch.drop("shared", "mixed")
+    rest = _derived_pairs(pairs, answers, percent, scratch)
+    scratch.drop("open", "derived_a", "derived_b", "best")
     found = _compare(rest, reps, docs, k, percent, scratch, "rest")
     # rows with one id and several sets are one document: their classes are one component
     several = (members.where("id is not null").groupBy("id")
@@ -378,12 +324,26 @@ def jaccard_components(documents: DataFrame, k: int = 4, percent: int = 85, key:
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
-    """One document of each component stays (the one with the smallest id), with all its columns.
-    Rows with a NULL id stay; of rows with one id that is kept, all stay."""
-    found = jaccard_components(docs, k, percent, key)
-    keep = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_keep")).distinct()
-    nulls = docs.where(F.col(key).isNull())
-    return docs.join(keep, F.col(key) == F.col("_keep"), "left_semi").unionByName(nulls)
+    """One row of each component stays, with all its columns: the one with the smallest id.
+
+    Defined cases: rows with one id are one document, of which the smallest row stays; a row with a
+    NULL id takes part under a key of its own contents, above all usual ids, so it goes if it
+    is a copy of a row with an id or of an equal row; texts without words stay, once per id; an empty
+    table gives an empty result."""
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(*own), F.lit(1 << 61))
+    keyed = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col(f"`{key}`").cast("long"), stand_in).alias("id"),
+                        F.col("`text`").alias("text"))
+    found = jaccard_components(keyed.select("id", "text"), k, percent, "id")
+    fate = scratch.save(found.groupBy("id").agg(F.min("component_id").alias("home"), F.count(F.lit(1)).alias("rows")), "fate")
+    gone = scratch.save(fate.where("id <> home").select("id"), "gone")
+    several = scratch.save(fate.where("id = home and rows > 1").select("id"), "several")
+    kept = keyed.join(gone, "id", "left_anti").select("id", "row")
+    if several.isEmpty():
+        return kept.select("row.*")
+    one = (kept.join(several, "id").groupBy("id").agg(F.min("row").alias("row")).select("row.*"))
+    return kept.join(several, "id", "left_anti").select("row.*").unionByName(one)
 
 
 def brute_force(texts: dict[int, str | None], k: int, percent: int) -> dict[int, tuple[int, int]]:
