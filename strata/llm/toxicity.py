@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from strata.llm.common import fold, labelled_sample
+from strata.llm.common import Scratch, fold, labelled_sample
 from strata.llm.decontam import words_of
 
 FOLDS, HELD = 4, 2  # held out: crc32(doc_id) mod 4 is 2
@@ -42,6 +42,8 @@ CACHE = 50_000    # vectors whose answer a task remembers
 POWER = 1.5       # a word weighs idf * (1 + likelihood ratio) ** POWER
 DENSE = 0.08      # words of more than this share of the examples are columns of the matrix
 AT_ONCE = 128     # documents searched together
+TOGETHER = 0.3    # share of the pairs of documents and blocks to visit from which one product takes them all
+MAX_BYTES = 256 << 20  # of the examples' texts
 ROUNDING = 1e-4   # more than the error of a cosine summed in single precision
 
 DERIVED = ("term", "blocks", "query", "column", "matrix", "top", "norm", "start", "example", "posted")
@@ -168,9 +170,7 @@ class Index:
             visit = np.zeros(bounds.shape, bool)
             np.put_along_axis(visit, order[:, at:at + step], True, axis=1)
             visit &= (bounds > 0) & (bounds >= least[:, None])
-            for b in np.flatnonzero(visit.any(axis=0)):
-                rows = np.flatnonzero(visit[:, b])
-                blocked[rows, b] += query[rows] @ self.matrix[b].T
+            self._add_frequent(blocked, query, visit)
             visited |= visit
             for i in np.flatnonzero(visit.any(axis=1)):
                 seen = blocked[i, visited[i]].ravel()
@@ -183,6 +183,17 @@ class Index:
             out.append(self._exact(v, near[visited[i, near // BLOCK]], k))
         return out
 
+    def _add_frequent(self, blocked: np.ndarray, query: np.ndarray, visit: np.ndarray) -> None:
+        """Adds the shares of the frequent words to the visited (document, block) pairs of ``blocked``."""
+        wanted = np.flatnonzero(visit.any(axis=0))
+        if visit[:, wanted].mean() > TOGETHER if len(wanted) else False:
+            part = query @ self.matrix[wanted].reshape(-1, query.shape[1]).T
+            blocked[:, wanted] += part.reshape(len(query), len(wanted), BLOCK) * visit[:, wanted, None]
+            return
+        for b in wanted:
+            rows = np.flatnonzero(visit[:, b])
+            blocked[rows, b] += query[rows] @ self.matrix[b].T
+
     def _exact(self, vector: Vector, near: np.ndarray, k: int) -> Vector:
         """The best k of some examples, in double precision."""
         start, stop = self.own[near], self.own[near + 1]
@@ -252,9 +263,27 @@ def weigh(n: int, pos: int, d: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.log(1 + n / d) * (1 + np.maximum(g2, 0)) ** POWER
 
 
-def build_index(docs: DataFrame, labels: DataFrame, max_rows: int) -> Index:
-    """Index of at most ``max_rows`` labelled documents outside the held-out fold, not calibrated."""
-    sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD, max_rows)
+def bounded_sample(sample: DataFrame, max_bytes: int, scratch: Scratch) -> DataFrame:
+    """The rows of ``sample`` (id, text, y) in the order of their ids' hashes, whole, as long as their
+    texts together have no more than ``max_bytes``; a row that does not fit is passed over."""
+    rows = scratch.save(sample, "sample")
+    sizes = rows.select("id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("id"), "id").collect()  # max_rows numbers
+    if sum(r["size"] for r in sizes) <= max_bytes:
+        return rows
+    kept, left = [], max_bytes
+    for r in sizes:
+        if r["size"] <= left:
+            kept.append((r["id"],))
+            left -= r["size"]
+    ids = rows.sparkSession.createDataFrame(kept, rows.select("id").schema)
+    return rows.join(F.broadcast(ids), "id")
+
+
+def build_index(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> Index:
+    """Index of at most ``max_rows`` labelled documents outside the held-out fold, with at most
+    ``max_bytes`` of text, not calibrated."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = bounded_sample(labelled_sample(docs, labels, "toxic", FOLDS, HELD, max_rows), max_bytes, scratch)
 
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -265,6 +294,7 @@ def build_index(docs: DataFrame, labels: DataFrame, max_rows: int) -> Index:
 
     kind = sample.schema["id"].dataType.simpleString()
     rows = sample.select("id", "text", "y").mapInArrow(bags, f"id {kind}, y int, w array<binary>, n array<int>").toArrow()
+    scratch.clear()
     order = pc.sort_indices(rows["id"])
     ids, y = rows["id"].take(order).to_pylist(), rows["y"].take(order).to_numpy().astype(np.int64)
     n, pos = len(y), int(y.sum())
@@ -287,9 +317,10 @@ def build_index(docs: DataFrame, labels: DataFrame, max_rows: int) -> Index:
     return Index.of_arrays(vocabulary, weigh(n, pos, d, a), ids, example, terms, counts, y)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``score``, ``predicted`` (score >= 0.3), and
-    the evidence: ``neighbours`` (ids of the nearest examples) and ``cosines``.
+    the evidence: ``neighbours`` (ids of the nearest examples) and ``cosines``. The examples are at
+    most ``max_rows`` labelled documents with at most ``max_bytes`` of text in all.
 
     Defined cases: NULL and empty texts, and texts without a word of any example, get the
     smoothed rate of the examples without one, and no evidence; without labels of both kinds
@@ -298,7 +329,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -
     table gives an empty result; only ``doc_id`` and ``text`` are read.
     """
     spark = docs.sparkSession
-    index = build_index(docs, labels, max_rows)
+    index = build_index(docs, labels, max_rows, max_bytes)
     shared = spark.sparkContext.broadcast(index)
 
     def left_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

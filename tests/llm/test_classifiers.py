@@ -149,3 +149,19 @@ def test_every_word_of_the_examples_counts(spark):
         own = [e for e in (40 * i, 40 * i + 20) if fold(e) != 2]
         assert sorted(got[1000 + i].neighbours) == own  # a word of one or two examples finds them
     assert got[2000].neighbours == ([399] if fold(399) != 2 else []) and got[2001].neighbours == []
+
+
+def test_examples_are_bounded_by_bytes(spark):
+    rows = [doc(i, f"word{i} " * (50 if i % 2 else 5000)) for i in range(40)]
+    labels = spark.createDataFrame([(i, 0, i % 4 // 2) for i in range(40)], LABELS)
+    index = X.build_index(frame(spark, rows), labels, 100, max_bytes=20_000)
+    sizes = {r[0]: len(r[1].encode()) for r in rows}
+    assert len(index.ids) > 5 and sum(sizes[i] for i in index.ids) <= 20_000
+    assert len(X.build_index(frame(spark, rows), labels, 100).ids) > len(index.ids)
+    assert X.score_toxicity(frame(spark, rows), labels, max_bytes=10).count() == 40
+
+
+@pytest.mark.parametrize("together", [0.0, 2.0])
+def test_blocks_together_or_one_by_one(monkeypatch, together):
+    monkeypatch.setattr(X, "TOGETHER", together)
+    test_search_over_rare_and_frequent_words_is_exact()
