@@ -1,13 +1,19 @@
 """Secret scans: patterns plus a randomness test battery, natively.
 
 Base spans come from fixed patterns. The battery looks at every maximal run of
-``[A-Za-z0-9+/_=-]`` that is long enough, holds a digit and looks like an encoding (hex,
-base32 or base64/62), and tests the hypothesis "these symbols are uniform and independent":
-a chi-squared test of the symbol counts over the encoding's alphabet, a runs test around the
-alphabet's middle, and a lag-1 serial correlation test. Fisher's method combines the three.
-Benjamini-Hochberg control over all candidates of one encoding and length band decides which
-runs are structured (identifiers, paths, numbers); the runs it cannot tell from random are
-secrets. Short runs carry less evidence, so each length band has its own threshold.
+``[A-Za-z0-9+/_=-]`` that is long enough and fits an encoding (hex, base32 or base36 in one case,
+base64/62), and tests the hypothesis "these symbols are uniform and independent":
+a chi-squared test of the symbol counts over groups of the encoding's alphabet (frequent and other
+letters of either case, low and other digits), a runs test of how often neighbours are of one
+class, and a lag-1 serial correlation test. Fisher's method combines the three.
+
+Both errors are controlled per encoding and length band. Benjamini-Hochberg over all candidates
+decides which runs are structured (identifiers, paths, numbers), so that few random ones are among
+those dismissed. The p-values of random runs are even, so the upper half of them tells how many
+random runs there are; if the runs above the threshold are more than that, beyond the share ``q``
+and two standard errors, structured ones are among them and the threshold rises until they are
+not. The runs left are secrets. Runs of under 20 symbols carry too little evidence and are not
+looked at, nor are runs outside these alphabets (plain numbers, one-case words with signs).
 
 Everything is a Spark expression. Per document only its few matches are handled; over the
 corpus only a histogram of p-values (encoding x band x bin, a fixed number of rows) is
@@ -28,15 +34,44 @@ MIN_VALUE = 8
 
 KINDS = ("assign", "access", "hex", "random")
 
-# Runs with a digit, from their start (possessive: linear even on long runs without one).
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
 MIN_RUN = 20
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+# Alphabets, by encoding; one-case runs are tested in lower case, URL-safe signs as + and /.
 HEX_ALPHABET = "0123456789abcdef"
-B32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+B32_ALPHABET = "abcdefghijklmnopqrstuvwxyz234567"
+B36_ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyz"
 B64_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+ALPHABETS = (HEX_ALPHABET, B32_ALPHABET, B36_ALPHABET, B64_ALPHABET)
+# Letters that are frequent in ordinary words; the groups of the chi-squared test and the classes of
+# the runs test follow from them.
+FREQUENT = "etaoinsrhl"
+VOWELS = "aeiou"
 BANDS = (20, 32, 48, 96)
 BINS = 400
 BIN_WIDTH = 0.05  # of -log10(p)
+EVEN_BINS = 6     # bins of p above a half, where structured runs are rare
+
+
+def symbol_groups(alphabet: str) -> list[str]:
+    """Groups of the chi-squared test: every symbol of hex; else frequent and other letters by case,
+    the digits 0 and 1, and the other digits with the signs."""
+    if alphabet == HEX_ALPHABET:
+        return list(alphabet)
+    kinds = (lambda c: c in FREQUENT, lambda c: c.islower() and c not in FREQUENT, lambda c: c.isupper() and c.lower() in FREQUENT,
+             lambda c: c.isupper() and c.lower() not in FREQUENT, lambda c: c in "01", lambda c: not c.isalpha() and c not in "01")
+    groups = ["".join(filter(kind, alphabet)) for kind in kinds]
+    return [g for g in groups if g]
+
+
+def symbol_classes(alphabet: str) -> list[str]:
+    """Classes of the runs test: digits (with signs) and, in mixed case, upper and lower letters, else
+    vowels and consonants; hex has digits and letters."""
+    digits, letters = "".join(c for c in alphabet if not c.isalpha()), "".join(c for c in alphabet if c.isalpha())
+    if alphabet == HEX_ALPHABET:
+        return [digits, letters]
+    if alphabet == B64_ALPHABET:
+        return [digits, letters.upper()[:26], letters.lower()[:26]]
+    return [digits, VOWELS, "".join(c for c in letters if c not in VOWELS)]
 
 
 def _prefix_sums(lengths: Column, block: int = 512) -> Column:
@@ -94,29 +129,33 @@ def _upper_normal(z: Column) -> Column:
 
 
 def _counts_z(run: Column, n: Column, alphabet: str) -> Column:
-    """Chi-squared statistic of the symbol counts, as a normal score (Wilson-Hilferty)."""
-    size = len(alphabet)
-    df = size - 1
-    counts = F.transform(F.split(F.lit(alphabet), ""), lambda c: n - F.length(F.replace(run, c)))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, k: a + k * k)
-    chi = F.greatest(F.lit(float(size)) / n * squares - n, F.lit(0.0))
+    """Chi-squared statistic of the counts of the symbol groups, as a normal score (Wilson-Hilferty)."""
+    groups = symbol_groups(alphabet)
+    df = len(groups) - 1
+
+    def part(g: str) -> Column:
+        expected = n * (len(g) / len(alphabet))
+        return F.pow(n - F.length(F.translate(run, g, "")) - expected, F.lit(2)) / expected
+
+    chi = sum((part(g) for g in groups), F.lit(0.0))
     return (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
 
 
 def _runs_z(run: Column, n: Column, alphabet: str) -> Column:
-    """Runs test around the middle of the alphabet."""
-    half = len(alphabet) // 2
+    """Runs test: how many neighbours are of one class, against what independent symbols give."""
+    classes = symbol_classes(alphabet)
+    shares = [len(c) / len(alphabet) for c in classes]
+    two, three = sum(f ** 2 for f in shares), sum(f ** 3 for f in shares)
+    marks = "".join(str(i) * len(c) for i, c in enumerate(classes))
+    own = F.translate(run, "".join(classes), marks)
 
     def score(v: Column) -> Column:
-        ones, turns = v["ones"], v["turns"]
-        mean = 2 * ones * (n - ones) / n + 1
-        return _let(mean, lambda m: F.when((m - 1) * (m - 2) > 0, (turns + 1 - m) / F.sqrt(
-            F.greatest((m - 1) * (m - 2) / (n - 1), F.lit(1e-9)))).otherwise(F.lit(40.0)))
+        turns = sum((F.length(v) - F.length(F.replace(v, F.lit(f"{i}{j}"))) for i in range(len(classes))
+                     for j in range(len(classes)) if i != j), F.lit(0)) / 2
+        spread = (n - 1) * (two * (1 - two)) + 2 * (n - 2) * (three - two ** 2)
+        return (n - 1 - turns - (n - 1) * two) / F.sqrt(spread)
 
-    bits = F.translate(run, alphabet, "0" * half + "1" * (len(alphabet) - half))
-    return _let(bits, lambda b: _let(F.struct(
-        (n - F.length(F.replace(b, F.lit("1")))).alias("ones"),
-        ((2 * n - F.length(F.replace(b, F.lit("01"))) - F.length(F.replace(b, F.lit("10")))) / 2).alias("turns")), score))
+    return _let(own, score)
 
 
 def _corr_z(run: Column, n: Column, alphabet: str) -> Column:
@@ -149,16 +188,17 @@ def _battery(run: Column, alphabet: str) -> Column:
 
 
 def _tested(match: Column, start: Column, end: Column) -> Column:
-    """Encoding, length band, p-value and its bin of one run; p is NULL without an encoding."""
+    """Encoding, length band, p-value and its bin of one run; p is NULL without an encoding. The signs
+    at the end (padding) are not tested."""
     def test(body: Column) -> Column:
         hexed = body.rlike("^([0-9a-f]+|[0-9A-F]+)$") & body.rlike("[a-fA-F]")
-        b32 = body.rlike("^[A-Z2-7]+$")
+        b32 = body.rlike("^([A-Z2-7]+|[a-z2-7]+)$") & body.rlike("[A-Za-z]")
+        b36 = body.rlike("^([A-Z0-9]+|[a-z0-9]+)$") & body.rlike("[A-Za-z]")
         b64 = body.rlike("[a-z]") & body.rlike("[A-Z]")
-        plain = F.translate(body, "-_", "+/")  # the URL-safe alphabet
-        enc = F.when(hexed, 0).when(b32, 1).when(b64, 2)
-        p = (F.when(hexed, _let(F.lower(body), lambda r: _battery(r, HEX_ALPHABET)))
-             .when(b32, _battery(body, B32_ALPHABET))
-             .when(b64, _let(plain, lambda r: _battery(r, B64_ALPHABET))))
+        enc = F.when(hexed, 0).when(b32, 1).when(b36, 2).when(b64, 3)
+        # the URL-safe signs are taken as + and /
+        plain = F.when(enc == 3, F.translate(body, "-_", "+/")).otherwise(F.lower(body))
+        p = _let(plain, lambda r: F.coalesce(*[F.when(enc == i, _battery(r, a)) for i, a in enumerate(ALPHABETS)]))
         band = sum((F.when(F.length(body) >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
         return _let(p, lambda p: F.struct(
             start.alias("start"), end.alias("end"), (enc * len(BANDS) + band).alias("stratum"),
@@ -187,16 +227,31 @@ def find_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def thresholds(found: DataFrame, q: float) -> DataFrame:
-    """Per stratum the first bin whose runs are structured, by Benjamini-Hochberg at ``q``: the
-    smallest bin b such that the runs in bins >= b number at least p(b) * m / q, with p(b) the
-    largest p-value of the bin. At most strata x bins rows are handled."""
+    """Per stratum the first bin whose runs are structured; at most strata x bins rows are handled.
+
+    By Benjamini-Hochberg at ``q``, the smallest bin b such that the runs in bins >= b number at least
+    p(b) * m / q, with p(b) the largest p-value of the bin. Then the largest bin up to it such that the
+    runs before it are at most ``q`` of them, and two standard errors, more than an even spread
+    of the p-values above a half would give."""
     hist = (found.select(F.explode("_cand").alias("c")).groupBy("c.stratum", "c.bin").agg(F.count(F.lit(1)).alias("n")))
     own = W.partitionBy("stratum")
-    tail = F.sum("n").over(own.orderBy(F.desc("bin")))
-    m = F.sum("n").over(own)
+    hist = (hist.withColumn("tail", F.sum("n").over(own.orderBy(F.desc("bin")))).withColumn("m", F.sum("n").over(own))
+            .withColumn("even", F.sum(F.when(F.col("bin") < EVEN_BINS, F.col("n")).otherwise(0)).over(own)
+                        / (1 - 10 ** (-EVEN_BINS * BIN_WIDTH))))
     top = F.pow(F.lit(10.0), -F.col("bin") * BIN_WIDTH)
-    return (hist.withColumn("tail", tail).withColumn("m", m).where(top * F.col("m") <= q * F.col("tail"))
-            .groupBy("stratum").agg(F.min("bin").alias("first_bin")))
+    structured = hist.where(top * F.col("m") <= q * F.col("tail")).groupBy("stratum").agg(F.min("bin").alias("first_bin"))
+    # bins that runs are reported up to: each bin's end is a possible threshold
+    limit = F.coalesce("first_bin", F.lit(BINS + 1))
+    some = hist.join(structured, "stratum", "left").where(F.col("bin") < limit)
+    upto = F.sum("n").over(own.orderBy("bin"))
+    some = (some.withColumn("upto", upto).withColumn("next", F.lead("bin").over(own.orderBy("bin")))
+            .withColumn("end", F.least(F.coalesce("next", limit), limit)))
+    random = F.col("even") * (1 - F.pow(F.lit(10.0), -(F.col("bin") + 1) * BIN_WIDTH))
+    fits = (F.col("bin") < EVEN_BINS) | (F.col("upto") - random <= q * F.col("upto") + 2 * F.sqrt("upto"))
+    kept = some.where(fits).groupBy("stratum").agg(F.max("end").alias("end"))
+    # a stratum without a bin to keep reports nothing
+    return (hist.select("stratum").distinct().join(kept, "stratum", "left")
+            .select("stratum", F.coalesce("end", F.lit(0)).cast("int").alias("first_bin")))
 
 
 def flagged(found: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -222,8 +277,9 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", q: fl
 
     Defined cases: NULL and empty texts have no spans (empty ``spans``); a NULL key stays NULL;
     repeated rows give repeated results; matches at one start are ordered by kind; an empty
-    table gives an empty result; other columns are not read. ``q`` bounds the share of random
-    runs among those dismissed as structured, per encoding and length band.
+    table gives an empty result; other columns are not read. ``q`` bounds, per encoding and
+    length band, the share of random runs among those dismissed as structured, and the share that
+    reported runs may exceed the number of random ones by.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     found = find_spans(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).drop("text")
@@ -238,7 +294,8 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", q: fl
 def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", q: float = 0.01,
                    mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by ``mark`` (overlapping spans by one mark) and
-    ``n_chars`` renewed where something was replaced. Columns and rows stay as they are."""
+    ``n_chars`` renewed where something was replaced. Columns and rows stay as they are: NULL and
+    empty texts, NULL ids and repeated rows too; an empty table gives an empty result."""
     own = docs.columns
     scratch = Scratch(docs.sparkSession, "secrets")
     # the row travels as one struct, so its columns cannot clash with the working ones
