@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -60,6 +60,29 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
 def test_mixed_documents_keep_their_columns(edge_docs):
     out = mixed_documents(edge_docs)
     assert out.columns == edge_docs.columns + ["mix_size", "mix_target", "mix_taken"]
-    plan = {(r.doc_id, r.source, r.size): r.taken for r in mix_sources(edge_docs).collect()}
+    plan = Counter((r.doc_id, r.source, r.size, r.taken) for r in mix_sources(edge_docs).collect() if r.taken)
     rows = out.collect()
-    assert rows and all(plan[(r.doc_id, r.source, r.mix_size)] == r.mix_taken > 0 for r in rows)
+    assert rows and Counter((r.doc_id, r.source, r.mix_size, r.mix_taken) for r in rows) == plan
+
+
+@pytest.mark.parametrize("same", [None, 7])
+def test_rows_with_one_id_share_the_cut_without_loss(spark, same):
+    rows = [doc(same, "w " * (1 + i % 3) + (f"x{i}" if i % 5 else ""), "abc"[i % 3]) for i in range(900)]
+    rows += [doc(same, "one", "hot")] * 600
+    df = frame(spark, rows).repartition(6)
+    check(mix_sources(df).collect(), [(r[1], r[3]) for r in rows])
+    got = sorted(map(tuple, mix_sources(df).collect()), key=repr)
+    assert got == sorted(map(tuple, mix_sources(frame(spark, rows[::-1]).coalesce(1)).collect()), key=repr)
+    mixed = mixed_documents(df).groupBy("source").sum("mix_taken").collect()
+    taken = defaultdict(int)
+    for r in got:
+        taken[r[1]] += r[5]
+    assert {r[0]: r[1] for r in mixed} == {s: t for s, t in taken.items() if t}
+
+
+def test_one_word_rows_with_one_id(spark):
+    rows = [doc(1, "w", "abc"[i % 3]) for i in range(300)]
+    taken = defaultdict(int)
+    for r in mix_sources(frame(spark, rows)).collect():
+        taken[r.source] += r.taken
+    assert [round(taken[s]) for s in "abc"] == [200, 83, 167]
