@@ -104,6 +104,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "p
     name = f"urls-{uuid.uuid4().hex}.bin"  # a file name can be registered with one path only
     spark.sparkContext.addFile(Scratch(spark, "urls").write_bytes(data, name))
     lengths = sorted({len(r.partition("/")[2]) + 1 for _, r in rules})
+    rule_hosts = [r.partition("/")[0] for _, r in rules]
+    most_labels = max((h.count(".") + 1 for h in rule_hosts), default=0)
+    longest = max(map(len, rule_hosts), default=0)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         array = DigestArray(SparkFiles.get(name))
@@ -114,12 +117,14 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "p
                 hosts.append(host)
                 paths.append(path)
                 prefixes = [path[:n].encode() for n in lengths if n <= len(path)]
-                suffix = host if prefixes else ""
+                # only the last labels of a host, as many as a rule's host has, can be a rule's host
+                suffix = ".".join(host.rsplit(".", most_labels)[-most_labels:]) if prefixes and most_labels else ""
                 while suffix:
-                    head = suffix.encode()
-                    texts += [head + p for p in prefixes]
-                    host_len += [len(head)] * len(prefixes)
-                    owner += [i] * len(prefixes)
+                    if len(suffix) <= longest:
+                        head = suffix.encode()
+                        texts += [head + p for p in prefixes]
+                        host_len += [len(head)] * len(prefixes)
+                        owner += [i] * len(prefixes)
                     suffix = suffix.partition(".")[2]
             best: dict[int, tuple[int, int, int]] = {}
             row = array.find(texts)

@@ -54,3 +54,11 @@ def test_equal_keys_are_told_apart_by_the_string(tmp_path, monkeypatch):
     array = DigestArray(str(path))
     assert [array.verdicts[i] if i >= 0 else None for i in array.find([b"b/y", b"a/x", b"c/z"])] == [0, 1, None]
     assert np.all(array.keys == 7)
+
+
+def test_very_long_hosts_make_few_keys(spark):
+    host = "a." * 500_000 + "example.org"
+    df = spark.createDataFrame([(1, f"http://{host}/en/1x"), (2, f"http://{host[:-1]}/en/1x"), (3, "http://" + "b" * 1_000_000 + "/fr/")],
+                               "page_id long, url string")
+    got = {r.page_id: (r.host, r.rule) for r in judge_urls(df, [("block", "example.org/en/1"), ("allow", "org/")]).collect()}
+    assert got[1] == (host, "example.org/en/1") and got[2][1] is None and got[3][1] is None
