@@ -8,27 +8,33 @@ wavelet matrix with packed bits and block ranks. All windows are searched backwa
 the occurrences of those that remain are located by walking to sampled suffix positions, and
 their spans are merged.
 
-Documents are only scanned: no shuffle. The benchmark travels as a broadcast of at most
-``block_bytes`` of text; a larger one is taken in several such blocks, one pass each, and the
-passes' spans and items are united.
+Documents are only scanned: no shuffle. The benchmark is cut into blocks of at most about
+``block_bytes`` of text, whose windows travel as files; one scan searches a shard for the blocks one after
+the other, a task holding one block at a time, and unites their spans and items.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from strata.llm.common import Scratch
+
 # Fixed by the contract: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z were lower-cased,
 # so digits, a-z and every byte of a non-ASCII character.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
                for c in range(256))
 SAMPLE = 8            # every 8th text position keeps its place
-SHARD_WORDS = 1_000_000
+SHARD_BYTES = 6 << 20  # of text in a shard, about a million words
 PAIR_BITS = 22
 
 
@@ -222,18 +228,47 @@ def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 
 
-def _shards(batches: Iterable[pa.RecordBatch], column: str, windows: Windows) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the batches with their texts as word codes, of about ``SHARD_WORDS`` words at most."""
+def _shards(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``SHARD_BYTES`` of text."""
     for batch in batches:
-        begin, codes, n = 0, [], 0
-        for i, text in enumerate(batch.column(batch.schema.get_field_index(column))):
-            codes.append(windows.codes(words_of(text.as_py())))
-            n += len(codes[-1])
-            if n >= SHARD_WORDS:
-                yield batch.slice(begin, i + 1 - begin), codes
-                begin, codes, n = i + 1, [], 0
-        if codes:
-            yield batch.slice(begin), codes
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            done = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, done + SHARD_BYTES, side="right")))
+            yield batch.slice(begin, stop - begin)
+            begin = stop
+
+
+def _block_loader(names: list[str]) -> Callable[[int], Windows]:
+    """Reads the windows of a block; the one at hand is kept."""
+    held: dict[int, Windows] = {}
+
+    def load(b: int) -> Windows:
+        if b not in held:
+            held.clear()
+            with open(SparkFiles.get(names[b]), "rb") as f:
+                held[b] = pickle.load(f)
+        return held[b]
+    return load
+
+
+def _search(shard: pa.RecordBatch, column: str, blocks: int, load: Callable[[int], Windows]):
+    """Per text of a shard the mask of its hit words and the items found, over all blocks."""
+    texts = shard.column(shard.schema.get_field_index(column))
+    masks: list[np.ndarray] = []
+    items: list[set[str]] = []
+    for b in range(blocks):
+        windows = load(b)
+        hits = shard_hits([windows.codes(words_of(t.as_py())) for t in texts], windows)
+        if b == 0:
+            masks, items = [mask.copy() for mask, _ in hits], [set(found) for _, found in hits]
+            continue
+        for mask, own, (more, found) in zip(masks, items, hits):
+            mask |= more
+            own |= found
+    return masks, items
 
 
 def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Windows]:
@@ -246,6 +281,16 @@ def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iter
         yield Windows([(r["item"], r["text"]) for r in own.collect()], width)
 
 
+def benchmark_files(benchmark: DataFrame, width: int, block_bytes: int) -> list[str]:
+    """Writes the windows of every block as a file that reaches each executor; returns their names."""
+    spark = benchmark.sparkSession
+    scratch, names = Scratch(spark, "windows"), []
+    for windows in benchmark_blocks(benchmark, width, block_bytes):
+        names.append(f"windows-{uuid.uuid4().hex}.bin")  # a file name can be registered with one path only
+        spark.sparkContext.addFile(scratch.write_bytes(cloudpickle.dumps(windows), names[-1]))
+    return names
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20,
                        key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``spans`` (merged runs of hit words, end
@@ -256,32 +301,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, b
     NULL; repeated documents give repeated rows; empty documents give an empty result and an
     empty benchmark hits nothing; other columns are not read.
     """
-    sc = docs.sparkSession.sparkContext
-    df = docs.select(F.col(key).alias("key"), F.col(text).alias("text"),
-                     F.lit(0).cast("long").alias("n_words"),
-                     F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-                     F.array().cast("array<string>").alias("items"))
-    for windows in benchmark_blocks(benchmark, width, block_bytes):
-        shared = sc.broadcast(windows)
-
-        def scan(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch, words in _shards(batches, "text", shared.value):
-                spans, items = [], []
-                hits = shard_hits(words, shared.value)
-                old_spans, old_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-                for (mask, found), before, known in zip(hits, old_spans, old_items):
-                    mask = mask.copy()
-                    for s in before:
-                        mask[s["start"]:s["end"]] = True
-                    spans.append([{"start": a, "end": b} for a, b in _spans(mask)])
-                    items.append(sorted(found.union(known)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()),
-                     pa.array(spans, batch.schema.field(3).type), pa.array(items, batch.schema.field(4).type)],
-                    schema=batch.schema)
-
-        df = df.mapInArrow(scan, df.schema)
-    return df.drop("text").withColumnRenamed("key", key)
+    names = benchmark_files(benchmark, width, block_bytes)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = _block_loader(names)
+        spans_type, items_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
+        for shard in _shards(batches, "text"):
+            masks, items = _search(shard, "text", len(names), load)
+            spans = [[{"start": a, "end": b} for a, b in _spans(mask)] for mask in masks]
+            yield pa.RecordBatch.from_arrays(
+                [shard.column(0), pa.array([len(m) for m in masks], pa.int64()), pa.array(spans, spans_type),
+                 pa.array([sorted(i) for i in items], items_type)], names=["key", "n_words", "spans", "items"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
+        scan, f"key {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    return found.withColumnRenamed("key", key)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -295,18 +330,17 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20,
                       text: str = "text") -> DataFrame:
-    """The documents without any hit, with all their columns."""
-    sc = docs.sparkSession.sparkContext
-    for windows in benchmark_blocks(benchmark, width, block_bytes):
-        shared = sc.broadcast(windows)
+    """The documents without any hit, with all their columns. NULL and empty texts stay, repeated rows
+    share their fate; empty documents give an empty result and an empty benchmark keeps all."""
+    names = benchmark_files(benchmark, width, block_bytes)
 
-        def clean(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch, words in _shards(batches, text, shared.value):
-                hits = shard_hits(words, shared.value)
-                yield batch.filter(pa.array([not mask.any() for mask, _ in hits], pa.bool_()))
+    def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = _block_loader(names)
+        for shard in _shards(batches, text):
+            masks, _ = _search(shard, text, len(names), load)
+            yield shard.filter(pa.array([not mask.any() for mask in masks], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def brute_force(texts: list[str | None], items: list[tuple[str, str | None]], width: int) -> list[tuple[int, int, str]]:

@@ -44,8 +44,27 @@ def test_blocks_of_the_benchmark_unite(spark, monkeypatch):
     texts = [text(rng, 200) for _ in range(20)]
     df, b = frame(spark, [doc(i, t) for i, t in enumerate(texts)]), items(spark, bench)
     one = sorted(map(repr, D.find_contamination(df, b, 3).collect()))
-    monkeypatch.setattr(D, "SHARD_WORDS", 300)
-    assert sorted(map(repr, D.find_contamination(df, b, 3, block_bytes=100).collect())) == one
+    monkeypatch.setattr(D, "SHARD_BYTES", 1500)
+    many = D.find_contamination(df, b, 3, block_bytes=20)
+    assert sorted(map(repr, many.collect())) == one
+    # one scan, whatever the number of blocks
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert len(D.benchmark_files(b, 3, 20)) > 20
+    clean = {r.doc_id for r in D.drop_contaminated(df, b, 3, block_bytes=20).collect()}
+    assert clean == {r.doc_id for r in D.find_contamination(df, b, 3).collect() if not r["items"]}
+
+
+def test_shards_hold_every_row():
+    import pyarrow as pa
+    texts = [None, "", "a" * 4000, "b" * 100, None] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(35)), pa.array(texts)], names=["k", "text"])
+    for size in (1, 150, 5000, 10 ** 9):
+        D_size, D.SHARD_BYTES = D.SHARD_BYTES, size
+        try:
+            got = [k for s in D._shards([batch], "text") for k in s.column(0).to_pylist()]
+        finally:
+            D.SHARD_BYTES = D_size
+        assert got == list(range(35))
 
 
 def test_fm_index():
