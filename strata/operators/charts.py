@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from strata.operators.joins import join_small
+from strata.operators.selection import range_percentiles
 from strata.operators.metrics import unpivot
 
 
@@ -92,7 +93,8 @@ def box_stats(df: DataFrame, variables: Sequence[str], group: str, whisker: floa
               groups_bound: int | None = None) -> DataFrame:
     """Box-plot numbers per (variable, group): quartiles (linear interpolation), whiskers
     at the furthest points inside ``whisker``·IQR of the box, and the outlier count.
-    ``method``: ``'histogram'`` (exact and spread over tasks), ``'exact'`` (Spark ``percentile``:
+    ``method``: ``'histogram'`` (exact and spread over tasks, one pass), ``'range'`` (exact by range
+    refinement: no table of distinct values, for continuous columns), ``'exact'`` (Spark ``percentile``:
     one value map per group, only for scores with few values), ``'approx'``
     (``percentile_approx``).
 
@@ -126,6 +128,8 @@ def box_stats(df: DataFrame, variables: Sequence[str], group: str, whisker: floa
             out = out.select(*[F.round(c, digits).alias(c) if c in ("q1", "median", "q3", "whisker_lo",
                                                                     "whisker_hi") else c for c in out.columns])
         return out.orderBy("variable", group)
+    if method == "range":
+        quart = range_percentiles(long, "value", ["variable", group], [0.25, 0.5, 0.75])
     else:
         q = (F.percentile("value", [0.25, 0.5, 0.75]) if method == "exact"
              else F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).cast("array<double>"))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strata.operators.joins import join_small, materialize
 
+WINDOW_ROWS = 100_000  # distinct values up to which plain windows run over their counts
 VALUE_BUCKETS = 128  # buckets of a group's histogram: each is a task's worth of distinct values
 
 
@@ -151,9 +152,15 @@ def position_cuts(df: DataFrame, by: Sequence[str], coarse: str, fine: str, posi
     Counts per (group, coarse) say in which coarse value each position falls; only the rows with
     those values are numbered, in two levels. Everything else is only counted."""
     counts = materialize(df.groupBy(*by, coarse).agg(F.count(F.lit(1)).alias("__c")), "counts")
-    order = Window.partitionBy(*by).orderBy(F.asc_nulls_last(coarse))
-    counts = (counts.withColumn("__before", F.sum("__c").over(order) - F.col("__c"))
-              .withColumn("__n", F.sum("__c").over(Window.partitionBy(*by))))
+    if dict(df.dtypes)[coarse] != "string" and counts.count() > WINDOW_ROWS:
+        # many values: their running counts are spread over value buckets
+        keyed = value_bucketed(counts, coarse, by, VALUE_BUCKETS, "__cb")
+        counts = bucketed_prefix_sum(keyed, by, [F.asc_nulls_last(coarse)], [F.col("__cb")], name="__before",
+                                     weight=F.col("__c"), exclusive=True, total_name="__n").drop("__cb")
+    else:
+        order = Window.partitionBy(*by).orderBy(F.asc_nulls_last(coarse))
+        counts = (counts.withColumn("__before", F.sum("__c").over(order) - F.col("__c"))
+                  .withColumn("__n", F.sum("__c").over(Window.partitionBy(*by))))
     wanted = (counts.select(*by, coarse, "__before", "__c", F.posexplode(positions(F.col("__n"))).alias("__k", "__pos"))
               .where((F.col("__pos") > F.col("__before")) & (F.col("__pos") <= F.col("__before") + F.col("__c")))
               .select(*by, coarse, "__k", (F.col("__pos") - F.col("__before")).alias("__at")))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strata.operators.clean import clean, features
 from strata.plans import queries as Q
 from strata.sources import schema as S
+from strata.sources.appends import AppendedTable, SummaryStore
 from strata.sources.cohort import patients_raw, peek, read_questionnaire_csv
 from strata.sources.sinks import key_check, read_csv_as, shared_scratch, write_csv, write_parquet
 
@@ -59,3 +60,27 @@ def cleaned_parquet_roundtrip(spark: SparkSession, sf_dir: str, path: str | None
     write_parquet(clean(patients_raw(spark, sf_dir)), path, partition_by=["Life_Stage"])
     stored = spark.read.parquet(path).where(F.col("Life_Stage") == "Pediatric (5-14)")
     return Q.comorbidity_matrix(stored)
+
+
+def appended_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort stored in three loads under one surrogate key: per load its rows, distinct keys and
+    key range."""
+    table = AppendedTable(spark, shared_scratch(spark, "appended"))
+    raw = patients_raw(spark, sf_dir).withColumnRenamed("id", "patient")
+    for load in range(3):
+        table.append(raw.where(F.col("patient") % 3 == load))
+    return (table.read().groupBy(F.col("load").cast("int").alias("load"))
+            .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("distinct_keys"),
+                 F.min("id").alias("first_key"), F.max("id").alias("last_key")).orderBy("load"))
+
+
+def folded_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The executive summary kept by three loads, one of which came incomplete first."""
+    store = SummaryStore(spark, shared_scratch(spark, "summary"))
+    rows = clean(patients_raw(spark, sf_dir))
+    for load in range(3):
+        own = rows.where(F.col("id") % 3 == load)
+        if load == 1:
+            store.fold(f"load{load}", own.where(F.col("id") % 2 == 0))
+        store.fold(f"load{load}", own)
+    return store.summary()

@@ -15,6 +15,7 @@ import hashlib
 import inspect
 import math
 import sys
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
@@ -35,22 +36,32 @@ def model_rows(raw: DataFrame) -> DataFrame:
     return ML.model_frame(features(raw))
 
 
+def stored_rows(raw: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """The model frame (or its key, label and ``columns``), written once: the features are derived in one
+    scan, and every step after reads plain columns."""
+    rows = model_rows(raw)
+    return materialize(rows.select("id", ML.LABEL, *columns) if columns is not None else rows, "frame")
+
+
+RULE_COLUMNS = ("Hyperactivity_Index", "Inattention_Index", "Total_Severity")
+
+
 def split_assignment(raw: DataFrame) -> DataFrame:
-    split = ML.stratified_split(model_rows(raw))
+    split = ML.stratified_split(stored_rows(raw))
     return split.select("id", F.col(ML.LABEL).cast("int").alias("class"), "part")
 
 
 def split_report(raw: DataFrame) -> DataFrame:
-    return ML.split_report(ML.stratified_split(model_rows(raw)))
+    return ML.split_report(ML.stratified_split(stored_rows(raw)))
 
 
 def fold_assignment(raw: DataFrame) -> DataFrame:
-    folds = ML.stratified_folds(model_rows(raw))
+    folds = ML.stratified_folds(stored_rows(raw))
     return folds.select("id", F.col(ML.LABEL).cast("int").alias("class"), "fold")
 
 
 def fold_sizes(raw: DataFrame) -> DataFrame:
-    folds = ML.stratified_folds(model_rows(raw))
+    folds = ML.stratified_folds(stored_rows(raw))
     return (folds.groupBy("fold", F.col(ML.LABEL).cast("int").alias("class"))
             .agg(F.count(F.lit(1)).alias("n")).orderBy("fold", "class"))
 
@@ -68,7 +79,7 @@ def _bounded(train: DataFrame, max_rows: int) -> DataFrame:
 
 
 def _split(raw: DataFrame, max_rows: int = MAX_FIT_ROWS):
-    data = materialize(ML.stratified_split(model_rows(raw)))
+    data = materialize(ML.stratified_split(stored_rows(raw, None)))
     return _bounded(data.where(F.col("part") == "train"), max_rows), data.where(F.col("part") == "test")
 
 
@@ -106,6 +117,7 @@ class TreeSettings:
         return TR.BoostSettings(len(S.FEATURE_COLS), len(S.DIAGNOSIS_LABELS), self.rounds, self.boost_depth, self.step)
 
 
+BOOST_NODES = "tree int, node int, feature int, bin int, residual long, curvature long, rows long, value double"
 # small enough for a SQL statement to grow the same trees
 SHALLOW = TreeSettings(trees=3, depth=2, bins=16, rounds=2, boost_depth=2)
 
@@ -126,28 +138,42 @@ def _moved(spark, source: str, target: str) -> None:
         fs.rename(path(source), path(target))
 
 
-def forest_fit(raw: DataFrame, settings: TreeSettings = TreeSettings()) -> tuple[DataFrame, DataFrame]:
-    """(node table, scored test rows) of the forest on the split.
+def _kept(raw: DataFrame, name: str, settings: TreeSettings, build: Callable[[str], None]) -> str:
+    """The folder of a fit's tables, which ``build`` writes if they are not there yet.
 
-    One fit serves every report: both tables are kept in the shared checkpoint folder under a digest
+    One fit serves every report: the tables are kept in the shared checkpoint folder under a digest
     of the model frame, all settings and the fitting code. They are written to a fresh folder and
     renamed when complete, so two sessions never write one path."""
     spark = raw.sparkSession
-    rows = model_rows(raw)
-    key = repr((_fingerprint(rows), settings, S.FEATURE_COLS, S.SPLIT_TEST_FRACTION, TR.SMALL_NODE, _code_version()))
+    key = repr((name, _fingerprint(model_rows(raw)), settings, S.FEATURE_COLS, S.SPLIT_TEST_FRACTION, TR.SMALL_NODE, _code_version()))
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/strata-forest-{hashlib.sha256(key.encode()).hexdigest()[:32]}"
+    path = f"{base}/strata-{name}-{hashlib.sha256(key.encode()).hexdigest()[:32]}"
     done = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        train, test = _split(raw, settings.max_rows)
-        both = _binned(train, train.withColumn("_p", F.lit(0)).unionByName(test.withColumn("_p", F.lit(1))), settings, "_p")
+        fresh = shared_scratch(spark, f"{name}-fit")
+        build(fresh)
+        _moved(spark, fresh, path)
+    return path
+
+
+def _binned_split(raw: DataFrame, settings: TreeSettings) -> tuple[DataFrame, DataFrame]:
+    """Binned training rows (bounded) and test rows of the split."""
+    train, test = _split(raw, settings.max_rows)
+    both = _binned(train, train.withColumn("_p", F.lit(0)).unionByName(test.withColumn("_p", F.lit(1))), settings, "_p")
+    return both.where("fold = 0"), both.where("fold = 1")
+
+
+def forest_fit(raw: DataFrame, settings: TreeSettings = TreeSettings()) -> tuple[DataFrame, DataFrame]:
+    """(node table, scored test rows) of the forest on the split."""
+    def build(fresh: str) -> None:
+        train, test = _binned_split(raw, settings)
         forest = settings.forest()
-        nodes = TR.grow_forest(both.where("fold = 0"), forest)
-        fresh = shared_scratch(spark, "forest-fit")
+        nodes = TR.grow_forest(train, forest)
         nodes.write.parquet(f"{fresh}/nodes")
-        TR.forest_scores(both.where("fold = 1"), nodes, forest).write.parquet(f"{fresh}/scored")
-        _moved(spark, fresh, path)
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/scored")
+        TR.forest_scores(test, nodes, forest).write.parquet(f"{fresh}/scored")
+
+    path = _kept(raw, "forest", settings, build)
+    return raw.sparkSession.read.parquet(f"{path}/nodes"), raw.sparkSession.read.parquet(f"{path}/scored")
 
 
 def rf_report(raw: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
@@ -167,7 +193,7 @@ def rf_importance(raw: DataFrame, settings: TreeSettings = TreeSettings()) -> Da
 def cv_accuracy(raw: DataFrame, k: int = S.CV_FOLDS, settings: TreeSettings = TreeSettings()) -> DataFrame:
     """Stratified k-fold accuracy of the forest: one row per fold plus the mean and the population sd
     over folds. All k forests grow in the same passes; a tree gives its own fold's rows no weight."""
-    folds = materialize(ML.stratified_folds(model_rows(raw), k))
+    folds = materialize(ML.stratified_folds(stored_rows(raw, None), k))
     fitted_on = _bounded(folds, settings.max_rows)
     rows, forest = _binned(fitted_on, folds, settings, "fold"), settings.forest(k)
     nodes = TR.grow_forest(_bounded(rows, settings.max_rows), forest)
@@ -179,12 +205,19 @@ def cv_accuracy(raw: DataFrame, k: int = S.CV_FOLDS, settings: TreeSettings = Tr
             .select("fold", "n", "accuracy", "mean_accuracy", "std_accuracy").orderBy("fold"))
 
 
-def boosting_fit(raw: DataFrame, settings: TreeSettings = TreeSettings()):
-    """(node rows, starting scores, scored test rows) of multinomial boosting on the split."""
-    train, test = _split(raw, settings.max_rows)
-    both = _binned(train, train.withColumn("_p", F.lit(0)).unionByName(test.withColumn("_p", F.lit(1))), settings, "_p")
-    nodes, prior = TR.grow_boosting(both.where("fold = 0"), settings.boosting())
-    return nodes, prior, TR.boosting_scores(both.where("fold = 1"), nodes, prior, settings.boosting())
+def boosting_fit(raw: DataFrame, settings: TreeSettings = TreeSettings()) -> tuple[DataFrame, DataFrame]:
+    """(node table, scored test rows) of multinomial boosting on the split."""
+    spark = raw.sparkSession
+
+    def build(fresh: str) -> None:
+        train, test = _binned_split(raw, settings)
+        nodes, prior = TR.grow_boosting(train, settings.boosting())
+        rows = [(t, n, f, b, *map(int, sums), v) for t, n, f, b, sums, v in nodes]
+        spark.createDataFrame(rows, BOOST_NODES).write.parquet(f"{fresh}/nodes")
+        TR.boosting_scores(test, nodes, prior, settings.boosting()).write.parquet(f"{fresh}/scored")
+
+    path = _kept(raw, "boosting", settings, build)
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/scored")
 
 
 def logistic_fit(raw: DataFrame, max_rows: int = MAX_FIT_ROWS):
@@ -198,7 +231,7 @@ def model_comparison(raw: DataFrame, settings: TreeSettings = TreeSettings()) ->
     """Test accuracy of the forest, boosting and logistic regression (standardised features) on the
     same split, best first."""
     results = None
-    fits = [("Random Forest", lambda: forest_fit(raw, settings)[1]), ("Gradient Boosting", lambda: boosting_fit(raw, settings)[2]),
+    fits = [("Random Forest", lambda: forest_fit(raw, settings)[1]), ("Gradient Boosting", lambda: boosting_fit(raw, settings)[1]),
             ("Logistic Regression", lambda: logistic_fit(raw, settings.max_rows)[1])]
     for pos, (name, scored) in enumerate(fits):
         acc = materialize(ML.accuracy(scored()).select(F.lit(name).alias("model"), "accuracy", "n", F.lit(pos).alias("_pos")))
@@ -229,15 +262,11 @@ def cv_accuracy_shallow(raw: DataFrame) -> DataFrame:
 
 def boosting_nodes(raw: DataFrame) -> DataFrame:
     """The trees of two rounds of boosting: cuts, and in the leaves what they add."""
-    nodes, _, _ = boosting_fit(raw, SHALLOW)
-    rows = [(t, n, f, b, *map(int, sums), v) for t, n, f, b, sums, v in nodes]
-    out = raw.sparkSession.createDataFrame(rows, "tree int, node int, feature int, bin int, residual long, curvature long, "
-                                                 "rows long, value double")
-    return out.withColumn("value", F.round("value", 9))
+    return boosting_fit(raw, SHALLOW)[0].withColumn("value", F.round("value", 9))
 
 
 def boosting_predictions(raw: DataFrame) -> DataFrame:
-    return boosting_fit(raw, SHALLOW)[2].select("id", ML.LABEL, F.col("prediction").cast("int").alias("prediction"))
+    return boosting_fit(raw, SHALLOW)[1].select("id", ML.LABEL, F.col("prediction").cast("int").alias("prediction"))
 
 
 def logistic_gradient(raw: DataFrame) -> DataFrame:
@@ -302,7 +331,7 @@ def rule_confusion(raw: DataFrame) -> DataFrame:
 
 
 def rule_cv_accuracy(raw: DataFrame) -> DataFrame:
-    folds = _ruled(ML.stratified_folds(model_rows(raw)))
+    folds = _ruled(ML.stratified_folds(stored_rows(raw, RULE_COLUMNS)))
     per = folds.groupBy("fold").agg(F.avg((F.col(ML.LABEL) == F.col("prediction")).cast("double")).alias("accuracy"),
                                     F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy()
@@ -312,17 +341,18 @@ def rule_cv_accuracy(raw: DataFrame) -> DataFrame:
 
 def rule_comparison(raw: DataFrame) -> DataFrame:
     """Accuracy of the rules on the test rows, the best marked."""
-    test = ML.stratified_split(model_rows(raw)).where(F.col("part") == "test")
-    results = None
-    for pos, name in enumerate(_rules()):
-        acc = ML.accuracy(_ruled(test, name)).select(F.lit(name).alias("model"), "accuracy", "n", F.lit(pos).alias("_pos"))
-        results = acc if results is None else results.unionByName(acc)
-    return ML.best_first(results)
+    test = ML.stratified_split(stored_rows(raw, RULE_COLUMNS)).where(F.col("part") == "test")
+    # all rules in one scan: a row per rule and its prediction
+    tried = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(pos).alias("_pos"), rule.alias("prediction"))
+                      for pos, (name, rule) in enumerate(_rules().items())])
+    hits = test.select(ML.LABEL, F.inline(tried)).withColumn("hit", (F.col(ML.LABEL) == F.col("prediction")).cast("double"))
+    return ML.best_first(hits.groupBy("model", "_pos").agg(F.avg("hit").alias("accuracy"), F.count(F.lit(1)).alias("n"))
+                         .select("model", "accuracy", "n", "_pos"))
 
 
 def scaler_statistics(raw: DataFrame) -> DataFrame:
     """Means and population sds that the standardisation learns from the training rows."""
-    train = ML.stratified_split(model_rows(raw)).where(F.col("part") == "train")
+    train = ML.stratified_split(stored_rows(raw, None)).where(F.col("part") == "train")
     moments = MO.column_moments(train, S.FEATURE_COLS)
     pairs = [] if moments is None else zip(S.FEATURE_COLS, *map(lambda a: a.tolist(), MO.scaler(moments)))
     return raw.sparkSession.createDataFrame(list(pairs), "feature string, mean double, sd double")

@@ -109,7 +109,7 @@ def severity_diagnosis_counts(feat: DataFrame) -> DataFrame:
 
 def group_stats_table(feat: DataFrame) -> DataFrame:
     return M.group_stats(feat, ["Diagnosis_Label"], S.STAT_COLS, ("mean", "std", "median"), digits=2,
-                         median_method="histogram")
+                         median_method="exact")
 
 
 def describe_indices(feat: DataFrame) -> DataFrame:

@@ -38,6 +38,13 @@ MORE["enriched_export"] = with_features("SELECT " + ", ".join(EXPORT) + " FROM f
 
 MORE["csv_executive_summary"] = with_cohort(BODIES["executive_summary"])
 
+MORE["folded_summary"] = MORE["csv_executive_summary"]
+
+MORE["appended_keys"] = with_cohort("""
+SELECT CAST(load AS INT) AS load, rows, rows AS distinct_keys, CAST(upto - rows + 1 AS BIGINT) AS first_key, CAST(upto AS BIGINT) AS last_key
+FROM (SELECT load, rows, SUM(rows) OVER (ORDER BY load) AS upto
+      FROM (SELECT id % 3 + 1 AS load, COUNT(*) AS rows FROM patients_raw GROUP BY id % 3) a) b""")
+
 MORE["peek_rows"] = with_cohort("SELECT * FROM patients_raw ORDER BY id LIMIT 10")
 
 MORE["id_key_check"] = with_cohort("""

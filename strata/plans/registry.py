@@ -138,7 +138,7 @@ REGISTRY["severity_violin_quartiles"] = _on_features(NB.severity_violin_quartile
 REGISTRY["distinct_classes"] = _on_raw(NB.distinct_classes)
 REGISTRY.update({k: getattr(IO, k) for k in
                  ["enriched_export", "csv_executive_summary", "peek_rows", "id_key_check",
-                  "cleaned_parquet_roundtrip"]})
+                  "cleaned_parquet_roundtrip", "appended_keys", "folded_summary"]})
 REGISTRY.update({k: getattr(TB, k) for k in
                  ["lineitem_flag_status", "lineitem_price_percentiles", "lineitem_kruskal",
                   "events_value_boxes", "toxic_by_language"]})

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strata.operators import charts as C
 from strata.operators import metrics as M
 from strata.operators import stats as ST
+from strata.operators.selection import range_percentiles
 from strata.sources.cohort import table
 
 
@@ -24,11 +25,10 @@ def lineitem_flag_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact quartiles and 90th percentile of a continuous column per group, from the
-    value histogram (no group's values are gathered on one task)."""
-    from strata.operators.windows import histogram_percentiles
+    """Exact quartiles and 90th percentile of a continuous column per group, by range refinement
+    (no group's values are gathered on one task, no table of distinct values is written)."""
     li = table(spark, sf_dir, "lineitem")
-    q = histogram_percentiles(li, "l_extendedprice", ["l_linestatus"], [0.25, 0.5, 0.75, 0.9])
+    q = range_percentiles(li, "l_extendedprice", ["l_linestatus"], [0.25, 0.5, 0.75, 0.9])
     return q.select("l_linestatus", "n", *[F.round(F.col("q")[i], 6).alias(name) for i, name in
                                            enumerate(["p25", "p50", "p75", "p90"])]).orderBy("l_linestatus")
 
@@ -40,7 +40,7 @@ def lineitem_kruskal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_value_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return C.box_stats(ev, ["value"], "event_type", digits=6, method="histogram")
+    return C.box_stats(ev, ["value"], "event_type", digits=6, method="range")
 
 
 def toxic_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from strata.operators.windows import (bucketed_prefix_sum, exact_row_number, midrank_sums, ntile,
@@ -156,3 +157,16 @@ def test_rank_ascending_and_continuous(spark):
     ref2 = df.withColumn("r_ref", F.rank().over(Window.orderBy(F.desc_nulls_first("s"))))
     j2 = got2.join(ref2.select("id", "r_ref"), "id")
     assert j2.count() == df.count() and j2.where(F.col("r") != F.col("r_ref")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [5, 10 ** 9])
+def test_ntile_of_distinct_doubles_with_a_hot_group(spark, monkeypatch, limit):
+    """Equal to the plain window, whether the values' counts go through buckets or one window."""
+    from strata.operators import windows as W
+    monkeypatch.setattr(W, "WINDOW_ROWS", limit)
+    score = F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 7 == 0, 0.5).otherwise(F.xxhash64("id") / 3)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 20 == 0, "b").otherwise("a").alias("g"), score.alias("s"))
+    plain = df.withColumn("t", F.ntile(4).over(Window.partitionBy("g").orderBy(F.asc_nulls_last("s"), "id")))
+    got = W.ntile(df, 4, ["g"], "s", "id", name="t")
+    assert got.select("id", "t").exceptAll(plain.select("id", "t")).isEmpty()
+    assert got.count() == 3000
