@@ -118,6 +118,27 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """.replace("LOWERED", _LOWER.format("text"))
 
+_OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (  -- every 200-byte string, cut from pieces of 512 starts
+  SELECT r, 512 * c + i AS i, md5_number(substr(piece, 2 * i + 1, 400)) AS k
+  FROM (SELECT r, c, piece, unnest(range(0, length(piece) // 2 - 199)) AS i
+        FROM (SELECT r, c, substr(h, 1024 * c + 1, 2 * 711) AS piece
+              FROM (SELECT r, h, unnest(range(0, (length(h) // 2 - 200) // 512 + 1)) AS c FROM d WHERE length(h) >= 400)))),
+c AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT r, i, i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 AS apart FROM w WHERE k IN (SELECT k FROM c)),
+g AS (SELECT r, i, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM s),
+x AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, run),
+p AS (
+  SELECT d.r, x.b AS kept_from, lead(x.a, 1, length(h) // 2) OVER (PARTITION BY d.r ORDER BY x.a) AS kept_to, h FROM d JOIN x ON d.r = x.r
+  UNION ALL
+  SELECT d.r, 0, coalesce((SELECT min(a) FROM x WHERE x.r = d.r), length(h) // 2), h FROM d),
+k AS (SELECT r, string_agg(substr(h, 2 * kept_from + 1, 2 * (kept_to - kept_from)), '' ORDER BY kept_from) AS h FROM p GROUP BY r)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN k ON d.r = k.r LEFT JOIN (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM x GROUP BY r) q ON q.r = d.r
+"""
+
 _OP11 = r"""
 WITH t AS (  -- the checksum's table: eight division steps per byte value, by the polynomial of crc32
   SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, [0,0,0,0,0,0,0,0]),
@@ -198,5 +219,5 @@ FROM g
 """
 
 ORACLE = {"op1_url_filter": _OP1, "op2_jaccard_join": _OP2, "op3_chat_perspectives": _OP3, "op4_mix_sources": _OP4,
-          "op6_decontaminate": _OP6, "op11_rendezvous_shards": _OP11, "op12_ranked_search": _OP12,
+          "op6_decontaminate": _OP6, "op10_suffix_dedup": _OP10, "op11_rendezvous_shards": _OP11, "op12_ranked_search": _OP12,
           "op13_filter_audit": _OP13}

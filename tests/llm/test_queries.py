@@ -11,6 +11,8 @@ import corpus_pipeline
 from strata.llm import decontam, jaccard, registry
 from strata.llm.registry import table
 
+from .helpers import LABELS
+
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -62,6 +64,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert after.count() > 0 and after.where("mix_taken <= 0 or mix_taken > 2 * mix_size").count() == 0
 
 
+def write_tables(spark, base, docs, labels, benchmark):
+    docs.write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    return base
+
+
+def test_pipeline_on_edge_rows(spark, edge_docs, edge_rows, tmp_path):
+    labels = [(i, 1, 0) for i in range(12)] + [(None, 0, 1), (3, None, None)]
+    base = write_tables(spark, str(tmp_path), edge_docs, labels, [(1, "two words"), (None, None)])
+    out = corpus_pipeline.run(spark, base)
+    assert out.columns == edge_docs.columns + ["mix_size", "mix_target", "mix_taken"]
+    texts = [r.text for r in out.collect()]
+    assert "Two words" not in texts and "one" in texts and "a b c d" in texts
+    assert len(texts) == len(set(texts)) and all(t and t.strip() for t in texts)
+
+
+def test_pipeline_on_empty_tables(spark, no_docs, edge_docs, tmp_path):
+    assert corpus_pipeline.run(spark, write_tables(spark, f"{tmp_path}/a", no_docs, [(1, 1, 1)], [(1, "a b")])).collect() == []
+    assert corpus_pipeline.run(spark, write_tables(spark, f"{tmp_path}/b", edge_docs, [], [])).count() > 0
+
+
 def test_run_equals_the_stages(spark):
     a = rows(corpus_pipeline.run(spark, SF), ["doc_id", "mix_taken"])
     assert a == rows(corpus_pipeline.run(spark, SF), ["doc_id", "mix_taken"]) and a
