@@ -74,3 +74,11 @@ def test_split_independent_of_input_partitioning(spark, sf_small):
     a = ML.stratified_split(rows.repartition(1)).select("id", "part")
     b = ML.stratified_split(rows.repartition(50)).select("id", "part")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_fits_use_every_core(spark, sf_small):
+    """The rows of a fit lie in enough files, however few bytes they are."""
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (*MD._split(patients_raw(spark, sf_small)), *MD._binned_split(patients_raw(spark, sf_small), FEW)):
+        assert 2 * rows.rdd.getNumPartitions() >= cores
+        assert len(rows.inputFiles()) >= 2 or cores == 1

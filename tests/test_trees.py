@@ -160,3 +160,35 @@ def test_boosting_does_not_depend_on_partitions(table):
     s = TR.BoostSettings(4, 3, rounds=2, depth=2, step=0.1)
     a, b = TR.grow_boosting(table.repartition(1), s), TR.grow_boosting(table.repartition(9), s)
     assert sorted(map(repr, a[0])) == sorted(map(repr, b[0])) and a[1] == b[1]
+
+
+def test_hash_is_taken_modulo_the_prime():
+    x = np.concatenate([np.arange(1000), TR.PRIME - 1 - np.arange(1000)]).astype(np.int64)
+    want = x
+    for shift, factor, plus in ((0, 48271, 11), (15, 69621, 0), (13, 16807, 0)):
+        want = ((want ^ (want >> shift) if shift else want) * factor + plus) % TR.PRIME
+    assert (TR.mix(x) == want).all() and TR._below(np.array([TR.PRIME, 2 * TR.PRIME, 2 ** 60])).tolist() == [0, 0, 2 ** 60 % TR.PRIME]
+    ids = np.array([-5, 0, 7, 2 ** 62], dtype=np.int64)
+    h = TR.mix((ids % TR.PRIME + 9 * 1_000_003 + 42 * 97) % TR.PRIME)
+    assert TR.poisson_weights(ids, 8, 42).tolist() == np.searchsorted(TR.POISSON_CUTS, h, side="right").tolist()
+
+
+def test_cells_without_rows_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    bins = rng.integers(0, 200, (500, 4)).astype(np.uint8)
+    labels, weights = (bins[:, 0].astype(np.int64) + rng.integers(0, 9, 500)) // 70, rng.integers(1, 4, 500)
+    grown = []
+    for cells in (0, 10 ** 9):
+        monkeypatch.setattr(TR, "CELLS", cells)
+        grown.append(TR.grow_here(settings(), 1, 1, labels, weights, bins))
+    assert grown[0] == grown[1] and len(grown[0]) > 20
+
+
+def test_chunks_hold_all_rows_in_order(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(TR, "CHUNK", 4)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array([bytes([v, v + 1]) for v in range(a, b)], pa.binary())], names=["a", "b"])
+               for a, b in ((0, 3), (3, 3), (3, 14), (14, 15))]
+    got = list(TR._chunks(batches))
+    assert [v for c in got for v in c.column(0).to_pylist()] == list(range(15)) and max(c.num_rows for c in got) <= 4
+    assert [TR._matrix(c.column(1).slice(1), np.uint8, 2)[:, 1].tolist() for c in got] == [[v + 1 for v in c.column(0).to_pylist()[1:]] for c in got]
