@@ -140,65 +140,89 @@ def _packed_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([pack.compress(r) for r in raws], pa.binary())], names=["key", "t1", "t2", "z"])
 
 
+def _groups(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """Rows (compressed text, ...) in groups of about SEGMENT bytes, column by column, with their texts' bytes."""
+    unpack, own, size = zstandard.ZstdDecompressor(), [], 0
+    for row in rows:
+        own.append((unpack.decompress(row[0]), *row[1:]))
+        size += len(own[-1][0])
+        if size >= SEGMENT:
+            yield tuple(zip(*own))
+            own, size = [], 0
+    if own:
+        yield tuple(zip(*own))
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers first[0]..last[0], first[1]..last[1], ... in one array."""
+    sizes = last - first + 1
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+
+
 def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w1, w2, rid, lo, m) of the windows of the representatives' stretches: 96 bits of hash, the
     text's number and the window, and m = 2 where the stretch itself is repeated."""
-    unpack = zstandard.ZstdDecompressor()
     digest = xxhash.xxh3_128_digest
     for batch in batches:
-        for rid, z, reps in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            raw = unpack.decompress(z)
-            _, first, last, _ = anchors([raw])
-            wanted = {r["lo"]: r["m"] for r in reps}
-            starts, m = [], []
-            for a, b in zip(first.tolist(), last.tolist()):
-                if a in wanted:
-                    starts += range(a, b + 1)
-                    m += [wanted[a]] * (b + 1 - a)
-            w = np.frombuffer(b"".join(digest(raw[s:s + WIDTH]) for s in starts), "<i8").reshape(-1, 2)
+        for raws, rids, reps in _groups(zip(*(batch.column(i).to_pylist() for i in (1, 0, 2)))):
+            text, first, last, _ = anchors(raws)
+            wanted = {(t, r["lo"]): r["m"] for t, own in enumerate(reps) for r in own}
+            m = np.fromiter((wanted.get(x, 0) for x in zip(text.tolist(), first.tolist())), np.int32, len(text))
+            hit = np.flatnonzero(m)
+            text, first, last, m = text[hit], first[hit], last[hit], m[hit]
+            starts, sizes = _ranges(first, last), last - first + 1
+            w = np.frombuffer(b"".join([digest(raws[t][s:s + WIDTH]) for t, a, b in zip(text.tolist(), first.tolist(), last.tolist())
+                                        for s in range(a, b + 1)]), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w[:, 0]), pa.array(w[:, 1].astype(np.int32)), pa.array(np.full(len(w), rid, np.int64)),
-                 pa.array(starts, pa.int32()), pa.array(m, pa.int32())], names=["w1", "w2", "rid", "lo", "m"])
-
-
-def repeated_spans(raw: bytes, unique_runs: Iterable[int], unique_windows: Iterable[int]) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by repeated windows."""
-    if len(raw) < WIDTH:
-        return []
-    _, first, last, _ = anchors([raw])
-    unique = np.zeros(len(raw) - WIDTH + 1, bool)
-    known = np.isin(first, np.array(list(unique_runs), np.int64))
-    for a, b in zip(first[known].tolist(), last[known].tolist()):
-        unique[a:b + 1] = True
-    unique[np.array(list(unique_windows), np.int64)] = True
-    edge = np.flatnonzero(np.diff(np.concatenate([[1], unique.astype(np.int8), [1]])))
-    spans: list[tuple[int, int]] = []
-    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
-        b += WIDTH - 1
-        if spans and a <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], b)
-        else:
-            spans.append((a, b))
-    return spans
+                [pa.array(w[:, 0]), pa.array(w[:, 1].astype(np.int32)), pa.array(np.repeat(np.array(rids, np.int64)[text], sizes)),
+                 pa.array(starts.astype(np.int32)), pa.array(np.repeat(m, sizes))], names=["w1", "w2", "rid", "lo", "m"])
+
+
+def repeated_spans(raws: list[bytes], unique_runs: list, unique_windows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the maximal byte runs covered by repeated windows, text by text."""
+    n = np.array([max(len(r) - WIDTH + 1, 0) for r in raws], np.int64)
+    base = np.cumsum(n + 1) - n - 1  # all windows in a row, one cell behind those of each text
+    at = [np.repeat(base, [len(x or ()) for x in own]) + np.fromiter((v for x in own for v in x or ()), np.int64)
+          for own in (unique_runs, unique_windows)]
+    text, first, last, _ = anchors(raws)
+    known = np.zeros(int((n + 1).sum()), bool)
+    known[at[0]] = True
+    known = known[base[text] + first]
+    edge = np.zeros(int((n + 1).sum()) + 1, np.int8)
+    edge[(base[text] + first)[known]] = 1
+    edge[(base[text] + last)[known] + 1] -= 1
+    unique = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    unique[at[1]] = True
+    unique[base + n] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[1], unique.astype(np.int8)])))
+    start, end = edge[0::2], edge[1::2] + WIDTH - 1
+    text = np.searchsorted(base, start, "right") - 1
+    # runs of one text that touch or overlap are one
+    opens = np.concatenate([[True], (np.diff(text) != 0) | (start[1:] > end[:-1])])[:len(start)]
+    closes = np.append(opens[1:], True)[:len(start)]
+    return text[opens], (start - base[text])[opens], (end - base[text])[closes]
 
 
 def _finish(batches: Iterable[pa.RecordBatch], with_bytes: bool) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows = []
-        for z, runs, windows in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            raw = unpack.decompress(z)
-            spans = repeated_spans(raw, runs or (), windows or ())
-            ends = [0] + [b for _, b in spans]
-            kept = b"".join(raw[a:b] for a, b in zip(ends, [a for a, _ in spans] + [len(raw)]))
-            rows.append((len(raw), [{"start": a, "end": b} for a, b in spans], hashlib.sha256(kept).hexdigest(),
-                         kept if with_bytes else None))
-        n, spans, sha, kept = zip(*rows) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()),
-             pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-             pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
-            names=["key", "n_bytes", "spans", "kept_sha256", "kept"])
+        done = 0
+        for raws, runs, windows in _groups(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
+            text, start, end = repeated_spans(raws, runs, windows)
+            offsets = np.searchsorted(text, np.arange(len(raws) + 1))
+            kept = []
+            for raw, i, j in zip(raws, offsets[:-1].tolist(), offsets[1:].tolist()):
+                if i < j:
+                    raw = b"".join(raw[a:b] for a, b in zip([0, *end[i:j].tolist()], [*start[i:j].tolist(), len(raw)]))
+                kept.append(raw)
+            spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(done, len(raws)), pa.array([len(r) for r in raws], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans),
+                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                 pa.array(kept if with_bytes else [None] * len(kept), pa.binary())],
+                names=["key", "n_bytes", "spans", "kept_sha256", "kept"])
+            done += len(raws)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = False) -> DataFrame:

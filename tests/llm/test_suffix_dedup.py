@@ -57,3 +57,31 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
         assert got[i].kept_sha256 == hashlib.sha256(b"").hexdigest()
     assert (got[0].n_bytes, got[0].n_spans) == (0, 0)
     assert S.repeats_report(no_docs).collect() == []
+
+
+def test_texts_are_searched_together():
+    """Runs and windows of many texts come in one batch per SEGMENT bytes, with the spans of each text."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    from strata.llm import suffix_dedup as sd
+    rng = np.random.default_rng(3)
+    shared = rng.bytes(700)
+    raws = [rng.bytes(300) + shared[:250 + 40 * i] + rng.bytes(90 * i) for i in range(9)] + [b"", b"short", shared, rng.bytes(400)]
+    anchored = [sd.anchors([r])[1:3] for r in raws]
+    count = {}
+    for r in raws:
+        for s in range(len(r) - sd.WIDTH + 1):
+            count[r[s:s + sd.WIDTH]] = count.get(r[s:s + sd.WIDTH], 0) + 1
+    alone = [[s for s in range(len(r) - sd.WIDTH + 1) if count[r[s:s + sd.WIDTH]] == 1] for r in raws]
+    runs = [[a for a, b in zip(*(x.tolist() for x in own)) if set(range(a, b + 1)) <= set(w)] for own, w in zip(anchored, alone)]
+    text, start, end = sd.repeated_spans(raws, [r or None for r in runs], alone)
+    assert [[(a, b) for t, a, b in zip(text, start, end) if t == i] for i in range(len(raws))] == sd.brute_force(raws)
+    pack = zstandard.ZstdCompressor()
+    z = pa.array([pack.compress(r) for r in raws], pa.binary())
+    reps = [[{"lo": int(a), "m": 1} for a in own[0]] for own in anchored]
+    made = list(sd._window_rows([pa.RecordBatch.from_arrays([pa.array(range(len(raws))), z, pa.array(reps)], names=["rid", "z", "reps"])]))
+    assert len(made) == 1 and made[0].num_rows == sum(max(0, len(r) - sd.WIDTH + 1) for r in raws)
+    assert len(list(sd._finish([pa.RecordBatch.from_arrays([pa.array(range(len(raws))), z, pa.array(runs), pa.array(alone)],
+                                                           names=["key", "z", "runs", "windows"])], False))) == 1
