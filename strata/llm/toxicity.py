@@ -10,7 +10,8 @@ have postings; the frequent ones are columns of a dense matrix with their larges
 block. The postings give every example its share exactly; a block's bound is its best share plus
 the most that the frequent words can add. Blocks are visited from the best bound down, those of a
 few documents at a time, until no bound reaches the k-th best cosine; what is within rounding of
-it is computed again in double precision, so the neighbours are exact. Their votes, weighted by
+it is computed again in double precision, so the neighbours are exact. The postings of a document's
+weakest words are passed over: the most that they can add is part of every bound. Their votes, weighted by
 closeness, are mapped to probabilities by an isotonic fit over the examples' own leave-one-out
 votes.
 
@@ -44,9 +45,11 @@ DENSE = 0.08      # words of more than this share of the examples are columns of
 AT_ONCE = 128     # documents searched together
 TOGETHER = 0.3    # share of the pairs of documents and blocks to visit from which one product takes them all
 MAX_BYTES = 256 << 20  # of the examples' texts
+SKIPPED = 0.004   # the most that a document's passed-over words can add to a cosine
 ROUNDING = 1e-4   # more than the error of a cosine summed in single precision
 
-DERIVED = ("term", "blocks", "query", "column", "matrix", "top", "norm", "start", "example", "posted")
+DERIVED = ("term", "blocks", "query", "column", "matrix", "top", "norm", "start", "posted", "example", "most")
+POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
 Vector = tuple[np.ndarray, np.ndarray]
 
 
@@ -123,7 +126,12 @@ class Index:
         rare = np.flatnonzero(~dense)
         rare = rare[np.argsort(self.terms[rare], kind="stable")]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=size))])
-        self.example, self.posted = example[rare], self.weights[rare].astype(np.float32)
+        self.posted = np.empty(len(rare), POSTING)
+        self.most = np.zeros(size)  # a word's largest weight in its postings
+        starts = self.start[:-1][np.diff(self.start) > 0]
+        self.most[np.diff(self.start) > 0] = np.maximum.reduceat(self.weights[rare], starts) if len(starts) else 0
+        self.posted["example"], self.posted["weight"] = example[rare], self.weights[rare]
+        self.example = self.posted["example"]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in DERIVED}
@@ -142,30 +150,46 @@ class Index:
         """The k examples of largest positive cosine (equal ones: the earlier example)."""
         return self.search([(terms, weights)], k)[0]
 
+    def _passed_over(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
+        """(which of the rare words to read, the most that the others add): the words with the least
+        to add for the length of their postings are left to :meth:`_exact`."""
+        adds = weights * self.most[terms]
+        order = np.argsort(adds / (self.start[terms + 1] - self.start[terms]))
+        sums = np.cumsum(adds[order])
+        n = int(np.searchsorted(sums, SKIPPED, "right"))
+        read = np.ones(len(terms), bool)
+        read[order[:n]] = False
+        return read, float(sums[n - 1]) if n else 0.0
+
     def search(self, vectors: list[Vector], k: int) -> list[Vector]:
         """:meth:`nearest` of each vector."""
         return [x for at in range(0, len(vectors), AT_ONCE) for x in self._search(vectors[at:at + AT_ONCE], k)]
 
-    def _search(self, vectors: list[Vector], k: int) -> list[Vector]:
+    def _search(self, vectors: list[Vector], k: int, whole: bool = False) -> list[Vector]:
         score = np.zeros((len(vectors), self.blocks * BLOCK), np.float32)
         query = np.zeros((len(vectors), self.top.shape[0]), np.float32)
+        skipped = np.zeros(len(vectors))  # the most that a document's words left out can add
+        raw = self.posted.view(np.int64)  # joined as plain numbers, which is quicker
         for i, (terms, weights) in enumerate(vectors):
             at = self.column[terms]
             query[i, at[at >= 0]] = weights[at >= 0]
             terms, weights = terms[at < 0], weights[at < 0]
+            if not whole:
+                read, skipped[i] = self._passed_over(terms, weights)
+                terms, weights = terms[read], weights[read]
             start, stop = self.start[terms], self.start[terms + 1]
             if len(weights):
-                own = list(zip(start.tolist(), stop.tolist()))
-                share = np.concatenate([self.posted[a:b] for a, b in own])
-                share *= np.repeat(weights.astype(np.float32), stop - start)
-                score[i] = np.bincount(np.concatenate([self.example[a:b] for a, b in own]), share, score.shape[1])
+                own = np.concatenate([raw[a:b] for a, b in zip(start.tolist(), stop.tolist())]).view(POSTING)
+                share = own["weight"] * np.repeat(weights.astype(np.float32), stop - start)
+                score[i] = np.bincount(own["example"], share, score.shape[1])
         blocked = score.reshape(len(vectors), self.blocks, BLOCK)
         length = np.sqrt((query.astype(np.float64) ** 2).sum(axis=1))
-        bounds = blocked.max(axis=2) + np.minimum(query @ self.top, np.outer(length, self.norm))
+        bounds = blocked.max(axis=2) + np.minimum(query @ self.top, np.outer(length, self.norm)) + skipped[:, None]
         bounds = np.where(bounds > 0, bounds + ROUNDING, 0)
         order = np.argsort(-bounds, axis=1, kind="stable")
         visited = np.zeros(bounds.shape, bool)
         least = np.zeros(len(vectors))  # no more than the k-th best cosine
+        best = [np.zeros(0, np.float32)] * len(vectors)  # the k best so far, in no order
         for at, step in ((0, 4), (4, 12), (16, self.blocks)):
             visit = np.zeros(bounds.shape, bool)
             np.put_along_axis(visit, order[:, at:at + step], True, axis=1)
@@ -173,22 +197,37 @@ class Index:
             self._add_frequent(blocked, query, visit)
             visited |= visit
             for i in np.flatnonzero(visit.any(axis=1)):
-                seen = blocked[i, visited[i]].ravel()
+                # shares are added to a block once, so those of earlier blocks stand
+                seen = blocked[i, visit[i]].ravel()
                 seen = seen[seen >= least[i]] if least[i] else seen
+                seen = np.concatenate([best[i], seen])
                 if len(seen) > k:
-                    least[i] = max(0.0, float(np.partition(seen, -k)[-k]) - ROUNDING)
+                    seen = np.partition(seen, -k)[-k:]
+                    least[i] = max(0.0, float(seen[0]) - ROUNDING)
+                best[i] = seen
         out = []
         for i, v in enumerate(vectors):
-            near = np.flatnonzero(score[i] >= least[i] if least[i] else score[i])
+            if skipped[i] and least[i] <= skipped[i]:  # an example may share no other word
+                out += self._search([v], k, whole=True)
+                continue
+            near = np.flatnonzero(score[i] >= least[i] - skipped[i] if least[i] else score[i])
             out.append(self._exact(v, near[visited[i, near // BLOCK]], k))
         return out
 
     def _add_frequent(self, blocked: np.ndarray, query: np.ndarray, visit: np.ndarray) -> None:
         """Adds the shares of the frequent words to the visited (document, block) pairs of ``blocked``."""
+        if not query.shape[1]:
+            return
         wanted = np.flatnonzero(visit.any(axis=0))
         if visit[:, wanted].mean() > TOGETHER if len(wanted) else False:
-            part = query @ self.matrix[wanted].reshape(-1, query.shape[1]).T
-            blocked[:, wanted] += part.reshape(len(query), len(wanted), BLOCK) * visit[:, wanted, None]
+            whole = len(wanted) == self.blocks
+            part = query @ (self.matrix if whole else self.matrix[wanted]).reshape(-1, query.shape[1]).T
+            part = part.reshape(len(query), len(wanted), BLOCK)
+            for i, own in enumerate(visit[:, wanted]):
+                if own.all() and whole:
+                    blocked[i] += part[i]
+                else:
+                    blocked[i, wanted[own]] += part[i, own]
             return
         for b in wanted:
             rows = np.flatnonzero(visit[:, b])

@@ -165,3 +165,25 @@ def test_examples_are_bounded_by_bytes(spark):
 def test_blocks_together_or_one_by_one(monkeypatch, together):
     monkeypatch.setattr(X, "TOGETHER", together)
     test_search_over_rare_and_frequent_words_is_exact()
+
+
+@pytest.mark.parametrize("skipped", [0.004, 0.3, 5.0])
+def test_words_passed_over_change_no_neighbour(monkeypatch, skipped):
+    """Words that add next to nothing are not read; the nearest examples and their cosines stay."""
+    monkeypatch.setattr(X, "SKIPPED", skipped)
+    rng = random.Random(5)
+    words = [b"w%d" % i for i in range(900)]
+    idf = {w: rng.choice([1e-4, 1e-3, 0.1, 1.0, 30.0]) for w in words}
+    bags = [Counter(rng.choices(words, k=rng.randint(0, 60))) for _ in range(1500)]
+    index = X.Index(idf, list(range(1500)), bags, np.array([i % 2 for i in range(1500)]))
+    queries = [index.vector(Counter(rng.choices(words, k=n))) for n in (1, 2, 5, 40, 200) for _ in range(30)]
+    rare = [t[index.column[t] < 0] for t, _ in queries]
+    read = [index._passed_over(r, w[index.column[t] < 0]) for r, (t, w) in zip(rare, queries)]
+    assert sum((~own).sum() for own, _ in read) > 100 and all(most <= skipped for _, most in read)
+    for (near, cos), (terms, weights) in zip(index.search(queries, 15), queries):
+        dense = np.zeros(len(idf))
+        dense[terms] = weights
+        all_cos = np.bincount(np.repeat(np.arange(1500), np.diff(index.own)), dense[index.terms] * index.weights, 1500)
+        order = np.lexsort((np.arange(1500), -np.round(all_cos, 12)))[:15]
+        order = order[all_cos[order] > 0]
+        assert near.tolist() == order.tolist() and np.allclose(cos, all_cos[order], atol=1e-12)
