@@ -15,14 +15,16 @@ weakest words are passed over: the most that they can add is part of every bound
 closeness, are mapped to probabilities by an isotonic fit over the examples' own leave-one-out
 votes.
 
-The index is broadcast (bounded by the sample); the documents are scanned once, whole, with no
-shuffle.
+The examples' words are dealt out by word, weighed part by part, and packed; the driver passes the
+packed parts on (a few bytes for each word of an example) and never opens them. The index is broadcast
+so (bounded by the sample); the documents are scanned once, whole, with no shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -45,9 +47,12 @@ DENSE = 0.08      # words of more than this share of the examples are columns of
 AT_ONCE = 128     # documents searched together
 TOGETHER = 0.3    # share of the pairs of documents and blocks to visit from which one product takes them all
 MAX_BYTES = 256 << 20  # of the examples' texts
+PARTS = 32        # of the vocabulary, by the words' checksums
+PACKED = 1000     # examples packed together
 SKIPPED = 0.004   # the most that a document's passed-over words can add to a cosine
 ROUNDING = 1e-4   # more than the error of a cosine summed in single precision
 
+VECTORS = ("words", "idf", "terms", "weights", "own", "empty", "empty_rate")
 DERIVED = ("term", "blocks", "query", "column", "matrix", "top", "norm", "start", "posted", "example", "most")
 POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
 Vector = tuple[np.ndarray, np.ndarray]
@@ -64,46 +69,86 @@ def digest(vector: Vector) -> bytes:
     return hashlib.blake2b(vector[0].tobytes() + vector[1].tobytes(), digest_size=16).digest()
 
 
+def packed(words: pa.Array, **numbers: np.ndarray) -> bytes:
+    """Words and numbers in few bytes: the numbers in the least type that holds them, all compressed."""
+    def row(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    small = {k: v.astype(np.min_scalar_type(int(v.max(initial=0)))) if v.dtype.kind == "i" else v for k, v in numbers.items()}
+    own = pa.record_batch({"words": row(words)} | {k: row(pa.array(v)) for k, v in small.items()})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(own)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> tuple:
+    """The words and the arrays of numbers, in the order in which they were :func:`packed`."""
+    words, *numbers = [c.flatten() for c in pa.ipc.open_stream(data).read_next_batch().columns]
+    return words, *(v.to_numpy() for v in numbers)
+
+
 class Index:
     """Block-max inverted index of the examples."""
 
     def __init__(self, idf: dict[bytes, float], ids: list, bags: list[dict[bytes, int]], labels: np.ndarray):
         words = sorted(idf)
         code = {w: i for i, w in enumerate(words)}
-        own = [[(code[w], n) for w, n in bag.items() if w in code] for bag in bags]
+        own = [sorted((code[w], n) for w, n in bag.items() if w in code) for bag in bags]
         flat = np.array([x for f in own for x in f], np.int32).reshape(-1, 2)
-        self._fill(pa.array(words, pa.binary()), np.array([idf[w] for w in words]), ids,
-                   np.repeat(np.arange(len(own), dtype=np.int32), [len(f) for f in own]), flat[:, 0], flat[:, 1], labels)
+        self._label(ids, labels)
+        self._fill(pa.array(words, pa.binary()), np.array([idf[w] for w in words]),
+                   np.repeat(np.arange(len(own), dtype=np.int32), [len(f) for f in own]), flat[:, 0], flat[:, 1])
 
     @classmethod
-    def of_arrays(cls, *parts) -> Index:
-        """Like the constructor, from one array of words and one row per example and word."""
+    def of_parts(cls, parts: list[bytes], ids: list, labels: np.ndarray) -> Index:
+        """Like the constructor, from the parts of the vocabulary, each with its words' weights, how many
+        of them each example holds, and these words and their counts example by example."""
         index = cls.__new__(cls)
-        index._fill(*parts)
+        index._label(ids, labels)
+        index.parts = parts
         return index
 
-    def _fill(self, words: pa.Array, idf: np.ndarray, ids: list, example: np.ndarray, terms: np.ndarray,
-              counts: np.ndarray, labels: np.ndarray) -> None:
-        self.words, self.idf, self.ids, self.labels = words, idf, ids, labels.astype(np.float64)
-        order = np.argsort(example * np.int64(len(words) or 1) + terms)
-        self.terms, example = terms[order], example[order]
-        self.weights = idf[self.terms]
-        self.weights *= 1 + np.log(counts[order])
-        del order
-        length = np.sqrt(np.bincount(example, weights=self.weights ** 2, minlength=len(ids)))
+    def _label(self, ids: list, labels: np.ndarray) -> None:
+        self.ids, self.labels = ids, labels.astype(np.float64)
+        self.base = float((self.labels.sum() + 0.5) / (len(ids) + 1))
+        self.knots = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+
+    def _unpack(self) -> None:
+        words, idf, example, terms, counts = [pa.array([], pa.binary())], [np.zeros(0)], *([np.zeros(0, np.int32)] for _ in range(3))
+        first = 0
+        for part in self.__dict__.pop("parts"):
+            own, weights, sizes, codes, seen = unpacked(part)
+            words.append(own)
+            idf.append(weights)
+            example.append(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))
+            terms.append(codes.astype(np.int32) + np.int32(first))
+            counts.append(seen)
+            first += len(own)
+        example = np.concatenate(example)
+        order = np.argsort(example, kind="stable")
+        self._fill(pa.concat_arrays(words), np.concatenate(idf), example[order], np.concatenate(terms)[order], np.concatenate(counts)[order])
+
+    def _fill(self, words: pa.Array, idf: np.ndarray, example: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
+        """From one row per example and word, in the order of both."""
+        self.words, self.idf, self.terms = words, idf, terms
+        self.weights = idf[terms]
+        self.weights *= 1 + np.log(counts.astype(np.float64))
+        length = np.sqrt(np.bincount(example, weights=self.weights ** 2, minlength=len(self.ids)))
         self.weights /= length[example]
-        sizes = np.bincount(example, minlength=len(ids))
+        sizes = np.bincount(example, minlength=len(self.ids))
         self.own = np.concatenate([[0], np.cumsum(sizes)])  # where each example's words begin
         self.empty = sizes == 0
-        self.base = float((self.labels.sum() + 0.5) / (len(ids) + 1))
         self.empty_rate = float((self.labels[self.empty].sum() + self.base) / (self.empty.sum() + 1))
-        self.knots = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
     def __getattr__(self, name: str):
-        """The driver keeps the examples' vectors only; what follows from them is made where it is used."""
-        if name not in DERIVED:
+        """The driver keeps the packed parts only; what follows from them is made where it is used."""
+        if name not in VECTORS + DERIVED:
             raise AttributeError(name)
-        self._open()
+        if "parts" in self.__dict__:
+            self._unpack()
+        if name in DERIVED:
+            self._open()
         return self.__dict__[name]
 
     def _open(self) -> None:
@@ -324,36 +369,51 @@ def build_index(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: in
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = bounded_sample(labelled_sample(docs, labels, "toxic", FOLDS, HELD, max_rows), max_bytes, scratch)
 
+    rows = sample.select("id", "y").toArrow()  # max_rows ids
+    rows = rows.take(pc.sort_indices(rows["id"]))
+    ids, y = rows["id"].to_pylist(), rows["y"].to_numpy().astype(np.int64)
+    n, pos = len(y), int(y.sum())
+    if pos in (0, n):  # nothing tells the labels apart
+        scratch.clear()
+        return Index.of_parts([], ids, y)
+
     def bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, PACKED) for whole in batches for i in range(0, whole.num_rows, PACKED)):
             own = [Counter(words_of(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([list(c) for c in own], pa.list_(pa.binary())),
-                 pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))], names=["id", "y", "w", "n"])
-
-    kind = sample.schema["id"].dataType.simpleString()
-    rows = sample.select("id", "text", "y").mapInArrow(bags, f"id {kind}, y int, w array<binary>, n array<int>").toArrow()
+            example = np.repeat(b.column(0).to_numpy(), [len(c) for c in own])
+            counts = np.array([k for c in own for k in c.values()], np.int64)
+            words = pa.array([w for c in own for w in c], pa.binary()).dictionary_encode()
+            codes, part = words.indices.to_numpy(), np.array([zlib.crc32(w) % PARTS for w in words.dictionary.to_pylist()], np.int64)
+            out = []
+            for p in range(PARTS):
+                mine = part == p
+                at = np.flatnonzero(mine[codes])
+                code = (np.cumsum(mine) - 1)[codes[at]]
+                out.append(packed(words.dictionary.filter(pa.array(mine)), codes=code, examples=example[at], counts=counts[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(out, pa.binary())], names=["part", "data"])
+
+    def weighed(rows: pa.Table) -> pa.Table:
+        words, codes, examples, counts = zip(*map(unpacked, rows["data"].to_pylist()))
+        first = np.cumsum([0, *map(len, words)])
+        coded = pa.concat_arrays(words).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        place = place[coded.indices.to_numpy()]
+        terms = np.concatenate([place[c + np.int64(f)] for c, f in zip(codes, first)])
+        example = np.concatenate([e.astype(np.int64) for e in examples])
+        d = np.bincount(terms, minlength=len(order))
+        a = np.bincount(terms, weights=y[example], minlength=len(order))
+        by = np.argsort(example * (len(order) or 1) + terms)
+        data = packed(coded.dictionary.take(pa.array(order)), idf=weigh(n, pos, d, a), sizes=np.bincount(example, minlength=n),
+                      codes=terms[by], counts=np.concatenate(counts)[by].astype(np.int64))
+        return pa.table({"part": rows["part"][:1], "data": pa.array([data], pa.binary())})
+
+    places = docs.sparkSession.createDataFrame(rows.select(["id"]).append_column("e", pa.array(range(n), pa.int64())))
+    own = sample.join(F.broadcast(places), "id").select("e", "text").mapInArrow(bags, "part int, data binary")
+    parts = own.groupBy("part").applyInArrow(weighed, own.schema).toArrow()
     scratch.clear()
-    order = pc.sort_indices(rows["id"])
-    ids, y = rows["id"].take(order).to_pylist(), rows["y"].take(order).to_numpy().astype(np.int64)
-    n, pos = len(y), int(y.sum())
-    none = np.zeros(0, np.int32)
-    if pos in (0, n):  # nothing tells the labels apart
-        return Index.of_arrays(pa.array([], pa.binary()), np.zeros(0), ids, none, none, none, y)
-    place = np.empty(n, np.int32)
-    place[order.to_numpy()] = np.arange(n)
-    example = np.repeat(place, pc.list_value_length(rows["w"]).to_numpy())
-    counts = np.concatenate([c.flatten().to_numpy() for c in rows["n"].chunks])
-    words = pa.chunked_array([c.flatten() for c in rows["w"].chunks], pa.binary())
-    del rows
-    coded = words.dictionary_encode().unify_dictionaries()
-    del words
-    vocabulary = coded.chunk(0).dictionary
-    terms = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
-    del coded
-    d = np.bincount(terms, minlength=len(vocabulary))
-    a = np.bincount(terms, weights=y[example], minlength=len(vocabulary))
-    return Index.of_arrays(vocabulary, weigh(n, pos, d, a), ids, example, terms, counts, y)
+    return Index.of_parts(parts.sort_by("part")["data"].to_pylist(), ids, y)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -372,14 +432,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, m
     shared = spark.sparkContext.broadcast(index)
 
     def left_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        index, known = shared.value, {}
         for b in batches:
-            votes = shared.value.left_out(b.column(0).to_pylist(), known)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["e", "vote"])
+            full = [e for e in b.column(0).to_pylist() if not index.empty[e]]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(index.left_out(full, known), pa.float64())],
+                                             names=["e", "vote"])
 
-    full = np.flatnonzero(~index.empty)
-    if len(full):
-        examples = spark.createDataFrame(pa.table({"e": full})).repartition(max(1, len(full) // 500))
+    if index.parts:
+        examples = spark.range(len(index.ids)).repartition(max(1, len(index.ids) // 500))
         votes = examples.mapInArrow(left_out, "e long, vote double").toArrow().sort_by("e")
         index.calibrate(votes["e"].to_numpy(), votes["vote"].to_numpy())
     knots = index.knots

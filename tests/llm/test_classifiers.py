@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -187,3 +188,28 @@ def test_words_passed_over_change_no_neighbour(monkeypatch, skipped):
         order = np.lexsort((np.arange(1500), -np.round(all_cos, 12)))[:15]
         order = order[all_cos[order] > 0]
         assert near.tolist() == order.tolist() and np.allclose(cos, all_cos[order], atol=1e-12)
+
+
+def test_the_driver_holds_packed_parts_only(spark, monkeypatch):
+    """What the driver gathers and broadcasts is a few bytes for each word of an example."""
+    monkeypatch.setattr(X, "PACKED", 7)
+    rng = random.Random(6)
+    rows = [doc(i, " ".join(f"Wort{rng.randrange(500)}é" for _ in range(rng.choice([0, 3, 600])))) for i in range(200)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], LABELS)
+    index = X.build_index(frame(spark, rows).repartition(3), labels, 200)
+    data = pickle.dumps(index)
+    texts = {r[0]: r[1] for r in rows}
+    bags = [Counter(X.words_of(texts[i])) for i in index.ids]
+    pairs = sum(map(len, bags))
+    assert pairs > 15_000 and len(data) < 6 * pairs and not {"words", "terms", "weights"} & set(vars(index))
+    labelled = np.array([i % 2 for i in index.ids])
+    seen, toxic = Counter(w for b in bags for w in b), Counter(w for b, y in zip(bags, labelled) if y for w in b)
+    words = sorted(seen)
+    idf = X.weigh(len(bags), int(labelled.sum()), np.array([seen[w] for w in words]), np.array([toxic[w] for w in words]))
+    want, got = X.Index(dict(zip(words, idf)), index.ids, bags, labelled), pickle.loads(data)
+    assert sorted(got.words.to_pylist()) == words and got.empty_rate == want.empty_rate
+    for e in range(len(bags)):
+        mine, own = ({i.words[t].as_py(): w for t, w in zip(i.terms[i.own[e]:i.own[e + 1]].tolist(), i.weights[i.own[e]:i.own[e + 1]])}
+                     for i in (got, want))
+        assert mine == pytest.approx(own)
+    assert (np.diff(got.terms)[np.diff(np.repeat(np.arange(len(bags)), np.diff(got.own))) == 0] > 0).all()
