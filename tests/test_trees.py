@@ -192,3 +192,30 @@ def test_chunks_hold_all_rows_in_order(monkeypatch):
     got = list(TR._chunks(batches))
     assert [v for c in got for v in c.column(0).to_pylist()] == list(range(15)) and max(c.num_rows for c in got) <= 4
     assert [TR._matrix(c.column(1).slice(1), np.uint8, 2)[:, 1].tolist() for c in got] == [[v + 1 for v in c.column(0).to_pylist()[1:]] for c in got]
+
+
+def test_groups_of_trees_equal_one_pass(table, spark):
+    s = settings(trees=3, folds=2)
+    want, sizes = nodes_of(TR.grow_forest(table, s, small=300)), []
+    for gathered in (1, 4 * 3000 * 6, 10 ** 9):
+        groups = TR.tree_groups(s, 3000, gathered)
+        sizes.append(max(map(len, groups)))
+        assert sorted(t for g in groups for t in g) == list(range(6))
+        assert nodes_of(TR.grow_forest(table, s, small=300, gathered=gathered)) == want
+    assert sizes == [1, 4, 6]
+
+
+def test_groups_of_voters_equal_one_model(table):
+    for s in (settings(trees=5), settings(trees=3, folds=3)):
+        nodes = TR.grow_forest(table, s, small=300)
+        want = sorted(TR.forest_scores(table, nodes, s, keep=("id",)).collect())
+        assert len(want) == 3000
+        for most in (1, 100):
+            assert sorted(TR.forest_scores(table, nodes, s, keep=("id",), most=most).collect()) == want
+
+
+def test_growth_leaves_no_shuffle_setting_behind(table, spark):
+    from strata.operators.joins import FILE_CLEANUP
+    before = spark.conf.get(FILE_CLEANUP)
+    TR.grow_forest(table, settings(), small=300)
+    assert spark.conf.get(FILE_CLEANUP) == before
