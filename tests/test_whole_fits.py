@@ -57,3 +57,9 @@ def test_forest_nodes_count_all_training_rows(raw, split, whole):
     train = split.where("part = 'train'").select("id", F.col(ML.LABEL).cast("int").alias("y")).toArrow()
     for r in got.where("node = 1").collect():
         assert [r[f"class_{c}"] for c in range(4)] == sampled_sums(train["id"].to_numpy(), train["y"].to_numpy(), r["tree"])
+
+
+def test_forest_predictions_are_votes_of_the_whole_forest(raw, whole):
+    got, want = MD.forest_predictions(raw), whole[1].select("id", ML.LABEL, F.col("prediction").cast("int").alias("prediction"))
+    assert got.count() == want.count() > 500_000
+    assert got.exceptAll(want).isEmpty()
