@@ -63,3 +63,12 @@ def test_forest_predictions_are_votes_of_the_whole_forest(raw, whole):
     got, want = MD.forest_predictions(raw), whole[1].select("id", ML.LABEL, F.col("prediction").cast("int").alias("prediction"))
     assert got.count() == want.count() > 500_000
     assert got.exceptAll(want).isEmpty()
+
+
+def importances(nodes):
+    imps = TR.impurity_importances(nodes, S.FEATURE_COLS)
+    return rows_of(ML.ranked_importances(imps.withColumn("importance", F.round("importance", 9))))
+
+
+def test_forest_importance_is_that_of_the_whole_forest(raw, whole):
+    assert rows_of(MD.forest_importance(raw)) == importances(whole[0])
