@@ -72,3 +72,7 @@ def importances(nodes):
 
 def test_forest_importance_is_that_of_the_whole_forest(raw, whole):
     assert rows_of(MD.forest_importance(raw)) == importances(whole[0])
+
+
+def test_rf_importance_is_that_of_the_whole_forest(raw, whole):
+    assert rows_of(MD.rf_importance(raw, PICK)) == importances(whole[0])
