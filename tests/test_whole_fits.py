@@ -76,3 +76,7 @@ def test_forest_importance_is_that_of_the_whole_forest(raw, whole):
 
 def test_rf_importance_is_that_of_the_whole_forest(raw, whole):
     assert rows_of(MD.rf_importance(raw, PICK)) == importances(whole[0])
+
+
+def test_rf_confusion_is_that_of_the_whole_forest(raw, whole):
+    assert rows_of(MD.rf_confusion(raw, PICK)) == rows_of(ML.confusion(whole[1]))
