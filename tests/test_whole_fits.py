@@ -80,3 +80,7 @@ def test_rf_importance_is_that_of_the_whole_forest(raw, whole):
 
 def test_rf_confusion_is_that_of_the_whole_forest(raw, whole):
     assert rows_of(MD.rf_confusion(raw, PICK)) == rows_of(ML.confusion(whole[1]))
+
+
+def test_rf_report_is_that_of_the_whole_forest(raw, whole):
+    assert rows_of(MD.rf_report(raw, PICK)) == rows_of(ML.classification_report(whole[1]))
