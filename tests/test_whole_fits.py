@@ -50,6 +50,32 @@ def sampled_sums(ids, labels, tree):
     return np.bincount(labels, weights=TR.poisson_weights(ids, tree, PICK.seed), minlength=4).astype(int).tolist()
 
 
+def spied(monkeypatch, module, name):
+    """The row counts that a fit is called with."""
+    seen, fit = [], getattr(module, name)
+
+    def spy(rows, *args, **kw):
+        seen.append(rows.count())
+        return fit(rows, *args, **kw)
+    monkeypatch.setattr(module, name, spy)
+    return seen
+
+
+@pytest.fixture(scope="module")
+def folds(raw):
+    """(fold sizes, the fit's calls, node table, result) of the cross-validation."""
+    with pytest.MonkeyPatch.context() as patch:
+        seen, cuts, tables = spied(patch, TR, "grow_forest"), spied(patch, TR, "feature_cuts"), []
+        spy = TR.grow_forest
+        patch.setattr(TR, "grow_forest", lambda *a, **kw: tables.append(spy(*a, **kw)) or tables[-1])
+        got = MD.cv_accuracy_shallow(raw).collect()
+    return seen, cuts, tables[0], got
+
+
+def test_cv_accuracy_shallow_cuts_come_from_all_rows(folds):
+    assert folds[1] == [N]
+
+
 def test_forest_nodes_count_all_training_rows(raw, split, whole):
     got = MD.forest_nodes(raw)
     assert rows_of(got) == rows_of(whole[0].select(
