@@ -72,6 +72,17 @@ def folds(raw):
     return seen, cuts, tables[0], got
 
 
+def test_cv_accuracy_grows_on_all_rows_of_the_other_folds(folds, raw):
+    seen, _, nodes, got = folds
+    assert seen == [N] and sum(r["n"] for r in got) == N
+    rows = ML.stratified_folds(MD.stored_rows(raw)).select("id", F.col(ML.LABEL).cast("int").alias("y"), "fold").toArrow()
+    ids, labels, fold = (rows[c].to_numpy() for c in ("id", "y", "fold"))
+    roots = {r["tree"]: list(r["counts"]) for r in nodes.where("node = 1").collect()}
+    for tree in (0, 4, 14):
+        others = fold != tree // PICK.trees
+        assert roots[tree] == sampled_sums(ids[others], labels[others], tree % PICK.trees)
+
+
 def test_cv_accuracy_shallow_cuts_come_from_all_rows(folds):
     assert folds[1] == [N]
 
