@@ -5,9 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strata.operators import logistic as LG
 from strata.operators import ml as ML
 from strata.operators import trees as TR
 from strata.operators.joins import materialize
+from strata.plans import findings as FI
 from strata.plans import models as MD
 from strata.sources import schema as S
 from strata.sources.cohort import cohort_from_orders
@@ -121,3 +123,19 @@ def test_rf_confusion_is_that_of_the_whole_forest(raw, whole):
 
 def test_rf_report_is_that_of_the_whole_forest(raw, whole):
     assert rows_of(MD.rf_report(raw, PICK)) == rows_of(ML.classification_report(whole[1]))
+
+
+@pytest.fixture(scope="module")
+def compared(raw):
+    """(rows that boosting and the regression are fitted on, the node tables ranked, the key findings)."""
+    with pytest.MonkeyPatch.context() as patch:
+        boosted, regressed, ranked = spied(patch, TR, "grow_boosting"), spied(patch, LG, "fit_logistic"), []
+        rank = TR.impurity_importances
+        patch.setattr(TR, "impurity_importances", lambda nodes, *a: ranked.append(nodes) or rank(nodes, *a))
+        got = FI.key_findings(raw, PICK).collect()[0]
+    return boosted, regressed, ranked, got
+
+
+def test_model_comparison_fits_every_model_on_all_training_rows(compared, split):
+    n = split.where("part = 'train'").count()
+    assert n > 2_000_000 and compared[0] == [n] and set(compared[1]) == {n}
