@@ -139,3 +139,10 @@ def compared(raw):
 def test_model_comparison_fits_every_model_on_all_training_rows(compared, split):
     n = split.where("part = 'train'").count()
     assert n > 2_000_000 and compared[0] == [n] and set(compared[1]) == {n}
+
+
+def test_key_findings_rank_the_whole_forest(compared, whole):
+    assert compared[3]["patients"] == N and len(compared[2]) == 1
+    assert rows_of(compared[2][0]) == rows_of(whole[0])
+    top = TR.impurity_importances(whole[0], S.FEATURE_COLS).orderBy(F.desc(F.round("importance", 9)), "feature").first()
+    assert compared[3]["top_feature"] == top["feature"]
